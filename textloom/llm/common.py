@@ -125,7 +125,7 @@ def block_ids() -> Iterator[int]:
 def freeze(batch: pa.RecordBatch) -> bytes:
     """All columns of a run of rows as one compressed Arrow stream."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -158,7 +158,14 @@ def covered(n: int, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-LONGS = pa.list_(pa.int64())
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
+
+
+def one_list(x: np.ndarray) -> pa.Array:
+    """A column of one row: the list of these numbers."""
+    values = _signed(x)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def deduplicated(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
@@ -175,29 +182,34 @@ def deduplicated(docs: DataFrame, text: str = "text", keep_text: bool = True) ->
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part in zip(common.block_ids(), common.slices(batches, "text", BLOCK)):  # noqa: B905
             hashes, times, _ = Block(part.column("text").to_pylist()).phrases()
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([common.freeze(part)], pa.binary()), pa.array([hashes.view(np.int64).tolist()], LONGS), pa.array([np.minimum(times, 2).tolist()], LONGS)], ["block", "payload", "hash", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([common.freeze(part)], pa.binary()), one_list(hashes), one_list(np.minimum(times, 2))], ["block", "payload", "hash", "times"])
 
     blocks = common.written(given.mapInArrow(gather, "block long, payload binary, hash array<long>, times array<long>"), "phrases")
     each = blocks.select("block", F.explode(F.arrays_zip("hash", "times")).alias("x")).select("block", "x.hash", "x.times")
-    recurring = each.groupBy("hash").agg(F.sum("times").alias("n")).where("n > 1").select("hash")
-    by_block = each.select("block", "hash").join(recurring, "hash").groupBy("block").agg(F.collect_list("hash").alias("recurring"))
-
-    locate_fields = "block long, payload binary, a array<long>, b array<long>, times array<long>"
+    recurring = each.withColumn("n", F.sum("times").over(Window.partitionBy("hash"))).where("n > 1")
+    by_block = recurring.groupBy("block").agg(F.collect_list("hash").alias("recurring"))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                found = np.array(batch.column("recurring")[i].as_py() or [], np.int64).view(np.uint64)
-                payload = batch.column("payload")[i].as_py()
-                block = Block(common.thaw(payload).column("text").to_pylist()) if len(found) else None
-                hashes = [block.windows(k, starts) for k, starts in block.located(found)] if block else []
-                h, n = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.zeros(0, [("a", np.uint64), ("b", np.uint64)]), np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), pa.array([payload], pa.binary()), pa.array([h["a"].copy().view(np.int64).tolist()], LONGS), pa.array([h["b"].copy().view(np.int64).tolist()], LONGS), pa.array([np.minimum(n, 2).tolist()], LONGS)], ["block", "payload", "a", "b", "times"])
-
-    candidates = common.written(blocks.select("block", "payload").join(by_block, "block", "left").mapInArrow(locate, locate_fields), "windows")
-    windows = candidates.select("block", F.explode(F.arrays_zip("a", "b", "times")).alias("x")).select("block", "x.a", "x.b", "x.times")
-    repeated = windows.groupBy("a", "b").agg(F.sum("times").alias("n")).where("n > 1").select("a", "b")
-    back = windows.select("block", "a", "b").join(repeated, ["a", "b"]).groupBy("block").agg(F.collect_list(F.struct("a", "b")).alias("repeated"))
+                found = batch.column("recurring")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                block = Block(common.thaw(batch.column("payload")[i].as_py()).column("text").to_pylist())
+                hashes = [block.windows(k, starts) for k, starts in block.located(found)]
+                if not hashes:
+                    continue
+                a, b = (np.concatenate([h[c] for h in hashes]) for c in ("a", "b"))
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+                times = np.minimum(np.diff(np.append(new, len(a))), 2)
+                for low in range(0, len(new), 65536):
+                    at = new[low : low + 65536]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column("block")[i].as_py())), _signed(a[at]), _signed(b[at]), pa.array(times[low : low + 65536], pa.int32())], ["block", "a", "b", "times"])
+
+    # A window comes once from each block that has it, so its rows are no more than the blocks.
+    windows = blocks.select("block", "payload").join(by_block, "block").mapInArrow(locate, "block long, a long, b long, times int")
+    repeated = windows.withColumn("n", F.sum("times").over(Window.partitionBy("a", "b"))).where("n > 1")
+    back = repeated.groupBy("block").agg(F.collect_list("a").alias("repeated"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,18 +219,11 @@ def deduplicated(docs: DataFrame, text: str = "text", keep_text: bool = True) ->
                 texts = table.column("text").to_pylist()
                 block = Block(texts)
                 gone: dict[int, np.ndarray] = {}
-                if pairs.is_valid:
-                    flat = pairs.values
-                    confirmed = np.empty(len(flat), [("a", np.uint64), ("b", np.uint64)])
-                    for name in ("a", "b"):
-                        confirmed[name] = flat.field(name).to_numpy(zero_copy_only=False).view(np.uint64)
-                    whole = set(confirmed.tolist())
-                    every = runs_hashed(block.a, WINDOW, 1)
-                    hit = np.isin(every, confirmed["a"])
+                if pairs.is_valid:  # within its block, half of a confirmed window's hash tells it
+                    hit = np.isin(runs_hashed(block.a, WINDOW, 1), pairs.values.to_numpy(zero_copy_only=False).view(np.uint64))
                     for k, own in block.long_enough():
                         at = np.flatnonzero(hit[own.start : own.stop - WINDOW + 1])
                         if len(at):
-                            at = at[[x in whole for x in block.windows(k, at).tolist()]]
                             gone[k] = covered(own.stop - own.start, at)
                 found = [block.without(k, gone.get(k)) for k in range(len(texts))]
                 new = pa.array([None if t is None or not keep_text else x[3] for t, x in zip(texts, found, strict=True)], pa.string())
@@ -226,7 +231,7 @@ def deduplicated(docs: DataFrame, text: str = "text", keep_text: bool = True) ->
                 done = pa.StructArray.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["n_words", "n_removed", "kept_sha256"])
                 yield pa.RecordBatch.from_arrays([rest, new, done], ["rest", "text", "removal"])
 
-    out = candidates.select("block", "payload").join(back, "block", "left").mapInArrow(remove, f"rest {rest_type}, text string, removal struct<n_words: long, n_removed: long, kept_sha256: string>")
+    out = blocks.select("block", "payload").join(back, "block", "left").mapInArrow(remove, f"rest {rest_type}, text string, removal struct<n_words: long, n_removed: long, kept_sha256: string>")
     row = F.struct(*[F.col("text").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in names])
     return out.select(row.alias("row"), "removal")
 
