@@ -1,6 +1,345 @@
-"""Registered queries of the text-memory operators and their DuckDB SQL."""
+"""Registered queries of the text-memory operators, bound to the given tables, and the same results in DuckDB SQL.
+
+Bindings: knowledge = documents, chat = conversations, vectors = embeddings with events, operations = events, decisions = labels.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.functions import text as T
+from textloom.functions import vectors as V
+from textloom.operators import chunking, lifecycle, retrieval, tables
+from textloom.streaming import ingest
+
+AS_OF = "2024-02-01 00:00:00"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def register(fn: Callable) -> Callable:
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        if sql:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+#: SQL pieces.
+STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+NORM = r"lower(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))"
+
+
+def norm(c: str) -> str:
+    return NORM.format(c)
+
+
+def knowledge(t) -> DataFrame:
+    labels = t("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    status = F.when(F.col("quality") == 1, "verified").when(F.col("quality") == 0, "rejected").otherwise("unverified")
+    return t("documents").join(labels, "doc_id", "left").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("lang").alias("category"), F.col("source").alias("source_book"), status.alias("verification_status"))
+
+
+K_SQL = "k AS (SELECT doc_id AS id, text AS content, lang AS category, source AS source_book, CASE quality WHEN 1 THEN 'verified' WHEN 0 THEN 'rejected' ELSE 'unverified' END AS verification_status FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id))"
+
+
+def vectors(t) -> DataFrame:
+    e = t("events").select(F.col("event_id").alias("id"), F.col("ts").alias("occurred_at"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") / 500)).alias("quality_weight"), F.col("event_type").alias("kind"))
+    return t("embeddings").select(F.col("vec_id").alias("id"), "embedding", "label").join(e, "id")
+
+
+V_SQL = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS embedding, label, ts AS occurred_at, greatest(0.0, least(1.0, value / 500)) AS quality_weight, event_type AS kind FROM embeddings JOIN events ON vec_id = event_id)"
+NEAR_SQL = V_SQL + ", s AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.embedding, v.embedding) AS similarity FROM v AS q, v WHERE q.id % 25 = 0), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s))"
+
+
+def questions(t) -> DataFrame:
+    return vectors(t).where("id % 25 = 0").select(F.col("id").alias("query_id"), "embedding")
+
+
+def chat(t) -> DataFrame:
+    return t("conversations").where("role in ('user', 'assistant')").withColumn("kind", F.when(F.col("role") == "assistant", "posts").otherwise("chats"))
+
+
+C_SQL = "c AS (SELECT *, CASE WHEN role = 'assistant' THEN 'posts' ELSE 'chats' END AS kind FROM conversations WHERE role IN ('user', 'assistant'))"
+
+
+# ---- expressions
+
+
+@query(f"SELECT doc_id, {norm('text')} AS normalised, sha256(concat(source, ':', {norm('text')})) AS fingerprint, sha256(text) AS content_hash, length(text) AS n_chars FROM documents")
+def p2_p4_normalise_fingerprint(t):
+    d = t("documents")
+    return d.select("doc_id", T.normalise(F.col("text")).alias("normalised"), T.fingerprint(F.col("source"), F.col("text")).alias("fingerprint"), F.sha2("text", 256).alias("content_hash"), F.length("text").alias("n_chars"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^\p{L}\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
+CASE WHEN regexp_matches(lower(text), 'finance|money|invest|econom') THEN 'finance' WHEN regexp_matches(lower(text), 'islam|quran|hadith|fiqh') THEN 'islam' WHEN regexp_matches(lower(text), 'python|software|program|data') THEN 'it' WHEN regexp_matches(lower(text), 'psycholog|mind|habit') THEN 'psychology' WHEN regexp_matches(lower(text), 'brand|market|content') THEN 'branding' ELSE 'psychology' END AS category,
+CASE WHEN length(text) > 120 THEN concat(rtrim(substr(text, 1, 119), ' '), '…') ELSE text END AS clipped,
+least(length(text) // 10, 200) + CASE WHEN source = 'src0' THEN 100 ELSE 0 END + CASE WHEN length(text) > 500 THEN 50 ELSE 0 END AS score, greatest(1, length(text) // 4) AS tokens,
+CASE WHEN length(""" + STRIP.format("text") + r""") <= 180 THEN 'short' WHEN length(""" + STRIP.format("text") + """) <= 650 THEN 'medium' ELSE 'long' END AS length_class FROM documents""")
+def p5_p12_text_expressions(t):
+    c = F.col("text")
+    return t("documents").select("doc_id", T.slug(F.substring(c, 1, 60)).alias("slug"), T.category(c).alias("category"), T.clip(c, 120).alias("clipped"), T.message_score(c, F.col("source") == "src0").alias("score"), T.token_estimate(c).alias("tokens"), T.length_class(c).alias("length_class"))
+
+
+@query(r"""WITH h AS (SELECT doc_id, text, substr(text, 1, 300) AS h FROM documents),
+e AS (SELECT *, greatest(CASE WHEN instr(reverse(h), ' .') = 0 THEN 0 ELSE length(h) - instr(reverse(h), ' .') END, CASE WHEN instr(reverse(h), ' !') = 0 THEN 0 ELSE length(h) - instr(reverse(h), ' !') END,
+ CASE WHEN instr(reverse(h), ' ?') = 0 THEN 0 ELSE length(h) - instr(reverse(h), ' ?') END, CASE WHEN instr(reverse(h), chr(10)) = 0 THEN 0 ELSE length(h) - instr(reverse(h), chr(10)) + 1 END) AS e,
+ CASE WHEN instr(reverse(h), ' ') = 0 THEN 0 ELSE length(h) - instr(reverse(h), ' ') + 1 END AS s FROM h)
+SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN e >= 165 THEN rtrim(substr(h, 1, e), ' ') ELSE concat(rtrim(CASE WHEN s > 0 THEN substr(h, 1, s - 1) ELSE h END, ' '), '…') END AS cut FROM e""")
+def p10_enforce_length(t):
+    return t("documents").select("doc_id", T.enforce_length(F.col("text"), 300).alias("cut"))
+
+
+@query("SELECT event_id, greatest(0.0, least(1.0, value / 100)) AS confidence, concat('see https://site.example/watch?v=', event_id) AS url, CAST(event_id AS VARCHAR) AS video_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def p13_p21_values_urls(t):
+    body = F.concat(F.lit("see https://site.example/watch?v="), F.col("event_id"), F.lit(". and http://other.example/x"))
+    found = F.get(T.urls(body, ["site.example"]), 0)
+    return t("events").select("event_id", T.clamp(F.col("value") / 100, 0.5).alias("confidence"), F.concat(F.lit("see "), found).alias("url"), F.try_parse_url(found, F.lit("QUERY"), F.lit("v")).alias("video_id"), F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+@query(f"WITH {V_SQL} SELECT id, len(embedding[1:32]) AS dim, round(list_sum(embedding[1:32]), 5) AS total, round(quality_weight * exp(-0.002 * greatest(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(occurred_at), 0) / 86400e6), 9) AS recency FROM v")
+def p24_p29_vectors_recency(t):
+    short = V.fit_dimension(F.col("embedding"), 32)
+    return vectors(t).select("id", F.size(short).alias("dim"), F.round(F.aggregate(short, F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"), F.round(V.recency(F.col("quality_weight"), F.col("occurred_at"), AS_OF), 9).alias("recency"))
+
+
+@query(r"SELECT doc_id, regexp_replace(replace(concat('## ', replace(text, chr(10), chr(10) || chr(10))), '<span id=x></span>', ''), '^\s+|\s+$', '', 'g') AS cleaned FROM documents")
+def p27_markdown_cleanup(t):
+    raw = F.concat(F.lit('### <span id="p1"></span>'), F.replace("text", F.lit("\n"), F.lit("\n\n\n\n")))
+    return t("documents").select("doc_id", T.clean_markdown(raw).alias("cleaned"))
+
+
+# ---- filters, sets and joins
+
+
+@query(f"WITH {C_SQL} SELECT conv_id, turn, kind FROM c WHERE length({STRIP.format('text')}) >= 80 AND length({STRIP.format('text')}) <= 1500")
+def f1_f11_chat_filters(t):
+    n = F.length(T.strip(F.col("text")))
+    return chat(t).where(~T.is_noise(F.col("text")) & n.between(80, 1500)).select("conv_id", "turn", "kind")
+
+
+@query(f"WITH {K_SQL} SELECT id, {norm('substr(content, 5, 40)')} <> '' AND contains({norm('content')}, {norm('substr(content, 5, 40)')}) AS grounded, {norm('substr(content, 5, 40)')} <> '' AND length(content) >= 200 AND verification_status = 'verified' AS queued FROM k")
+def f9_f10_grounding_gate(t):
+    k, quote = knowledge(t), F.substring("content", 5, 40)
+    g = T.grounded(F.col("content"), quote)
+    return k.select("id", g.alias("grounded"), (g & (F.length("content") >= 200) & (F.col("verification_status") == "verified")).alias("queued"))
+
+
+def _prints(t) -> DataFrame:
+    return t("documents").withColumn("print", T.fingerprint(F.col("text")))
+
+
+@query(f"WITH f AS (SELECT doc_id, sha256({norm('text')}) AS print FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY print ORDER BY doc_id) AS r FROM f WHERE doc_id % 3 <> 0) SELECT doc_id, print FROM n WHERE r = 1 AND print NOT IN (SELECT print FROM f WHERE doc_id % 3 = 0)")
+def s9_j1_insert_if_new(t):
+    p = _prints(t)
+    return tables.insert_new(p.where("doc_id % 3 <> 0"), p.where("doc_id % 3 = 0"), "print", [F.col("doc_id")]).select("doc_id", "print")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE lang END AS lang FROM documents WHERE doc_id % 2 = 0 OR doc_id % 5 = 0")
+def s10_upsert(t):
+    d = t("documents").select("doc_id", "lang")
+    return tables.upsert(d.where("doc_id % 2 = 0"), d.where("doc_id % 5 = 0").withColumn("lang", F.lit("new")), "doc_id")
+
+
+@query("SELECT 'documents' AS table_name, count(*) AS n_rows, CAST(sum(CAST(CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''), coalesce(lang, ''), coalesce(source, ''), coalesce(CAST(n_chars AS VARCHAR), ''))), 1, 12) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM documents")
+def s7_snapshot_manifest(t):
+    return tables.snapshot(t("documents"), "documents")
+
+
+@query("SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def s12_resume(t):
+    done = t("labels").select("doc_id", F.when(F.col("quality") == 1, "ok").otherwise("failed").alias("status"))
+    return tables.pending(t("documents").select("doc_id"), done, "doc_id")
+
+
+@query(f"WITH {NEAR_SQL} SELECT query_id, id, rank, round(similarity, 6) AS similarity FROM n WHERE rank <= 6")
+def j3_knn(t):
+    return retrieval.nearest(questions(t), vectors(t), 6).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH f AS (SELECT doc_id, source, sha256({norm('text')}) AS p FROM documents) SELECT a.doc_id, min(b.doc_id) AS duplicate_of FROM f a JOIN f b ON a.p = b.p AND b.doc_id < a.doc_id GROUP BY a.doc_id")
+def j4_g6_exact_duplicates(t):
+    p = _prints(t)
+    return p.join(p.groupBy("print").agg(F.min("doc_id").alias("duplicate_of")), "print").where("doc_id > duplicate_of").select("doc_id", "duplicate_of")
+
+
+@query(f"WITH {V_SQL}, s AS (SELECT q.id AS query_id, q.label, v.id, v.label AS other, list_cosine_similarity(q.embedding, v.embedding) AS s FROM v AS q, v WHERE q.id % 25 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM s) SELECT query_id, arg_max(id, s) AS duplicate_of, round(max(s), 6) AS similarity FROM n WHERE r <= 9 AND id <> query_id AND label = other AND s >= 0.2 GROUP BY query_id")
+def j5_semantic_duplicates(t):
+    v = vectors(t)
+    found = retrieval.semantic_duplicates(v, v.where("id % 25 = 0"), "label", 0.2)
+    return found.select("query_id", "duplicate_of", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT count(DISTINCT e.user_id) AS published, count(DISTINCT CASE WHEN c.c_custkey IS NULL OR c.c_custkey % 2 = 1 THEN e.user_id END) AS inconsistent FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey")
+def j8_consistency(t):
+    users, c = t("events").select("user_id").distinct(), t("customer").select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 2 == 0, "published").otherwise("draft").alias("state"))
+    return users.join(c, "user_id", "left").agg(F.count("user_id").alias("published"), F.count_if(~F.col("state").eqNullSafe(F.lit("published"))).alias("inconsistent"))
+
+
+# ---- aggregates and windows
+
+
+@query(f"WITH {C_SQL} SELECT coalesce(kind, 'all') AS kind, count(*) AS n, sum(length(text)) AS chars, count(DISTINCT conv_id) AS chats FROM c GROUP BY ROLLUP (kind)")
+def g1_corpus_stats(t):
+    return chat(t).rollup("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.countDistinct("conv_id").alias("chats")).withColumn("kind", F.coalesce("kind", F.lit("all")))
+
+
+@query(f"WITH {K_SQL}, m AS (SELECT count(*) FILTER (verification_status = 'verified') AS verified, count(*) FILTER (verification_status = 'rejected') AS rejected, count(*) FILTER (length(content) < 100) AS short, count(*) FILTER (length(content) > 5000) AS long FROM k) SELECT unnest(['verified', 'rejected', 'short', 'long']) AS metric, unnest([verified, rejected, short, long]) AS value FROM m")
+def g2_q1_counts(t):
+    n, s = F.length("content"), F.col("verification_status")
+    return lifecycle.counts(knowledge(t), {"verified": s == "verified", "rejected": s == "rejected", "short": n < 100, "long": n > 5000})
+
+
+@query("SELECT 'has_text' AS \"check\", count(*) FILTER (coalesce(text, '') = '') AS violations, count(*) FILTER (coalesce(text, '') = '') = 0 AS ok FROM documents UNION ALL SELECT 'known_lang', count(*) FILTER (lang NOT IN ('en', 'es', 'fr')), count(*) FILTER (lang NOT IN ('en', 'es', 'fr')) = 0 FROM documents UNION ALL SELECT 'chars_match', count(*) FILTER (n_chars <> length(text)), count(*) FILTER (n_chars <> length(text)) = 0 FROM documents")
+def q2_q4_checks(t):
+    return lifecycle.checks(t("documents"), {"has_text": F.coalesce("text", F.lit("")) == "", "known_lang": ~F.col("lang").isin("en", "es", "fr"), "chars_match": F.col("n_chars") != F.length("text")})
+
+
+@query("WITH e AS (SELECT *, first_value(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS w FROM events) SELECT user_id, event_type, any_value(w) AS winner, list(event_id ORDER BY event_id) FILTER (event_id <> w) AS losers FROM e GROUP BY user_id, event_type HAVING count(*) > 1")
+def g7_l9_conflicts(t):
+    return tables.conflicts(t("events"), ["user_id", "event_type"], "event_id", F.struct("ts", "event_id"))
+
+
+@query("SELECT label AS owner, list(word ORDER BY pos) AS \"values\" FROM (SELECT source AS label, lower(lang || (doc_id % 7)) AS word, min(doc_id) AS pos FROM documents GROUP BY ALL) GROUP BY label")
+def g8_g11_profile_fold(t):
+    items = t("documents").select(F.col("source").alias("owner"), F.col("doc_id").alias("ord"), F.concat("lang", F.col("doc_id") % 7).alias("item"))
+    return lifecycle.profile_fold(items, "owner", "ord", "item")
+
+
+@query("SELECT source, round(count(*) FILTER (quality = 1) / count(*), 4) AS coverage FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id) GROUP BY source")
+def g12_s14_coverage(t):
+    return knowledge(t).groupBy(F.col("source_book").alias("source")).agg(F.round(F.count_if(F.col("verification_status") == "verified") / F.count(F.lit(1)), 4).alias("coverage"))
+
+
+@query(f"WITH f AS (SELECT doc_id, n_chars, row_number() OVER (PARTITION BY sha256({norm('text')}) ORDER BY n_chars DESC, doc_id) AS r FROM documents) SELECT doc_id, CASE WHEN r = 1 THEN 'active' ELSE 'archived' END AS status, CASE WHEN r > 1 THEN 'duplicate' END AS reason FROM f")
+def w1_l11_archive_duplicates(t):
+    return lifecycle.archive_duplicates(_prints(t), ["print"], [F.desc("n_chars"), F.asc("doc_id")]).select("doc_id", "status", "reason")
+
+
+@query(f"WITH {C_SQL}, f AS (SELECT conv_id, turn, kind, text, row_number() OVER (PARTITION BY sha256({norm('text')}) ORDER BY conv_id, turn) AS r FROM c WHERE length({STRIP.format('text')}) >= 15 AND NOT regexp_matches({STRIP.format('text')}, '^https?://\\S+$') AND NOT regexp_matches({STRIP.format('text')}, '(?i)^(password|login|token|api[_ -]?key)\\b')) SELECT conv_id, turn, kind, sha256(text) AS content_hash FROM f WHERE r = 1")
+def w2_l1_chat_cleaning(t):
+    clean = chat(t).where(~T.is_noise(F.col("text"))).withColumn("print", T.fingerprint(F.col("text")))
+    return tables.first_of(clean, ["print"], [F.col("conv_id"), F.col("turn")]).select("conv_id", "turn", "kind", F.sha2("text", 256).alias("content_hash"))
+
+
+@query("SELECT event_id, user_id, coalesce(v, 0) + row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version FROM events LEFT JOIN (SELECT o_custkey AS user_id, count(*) AS v FROM orders GROUP BY ALL) USING (user_id)")
+def w5_next_versions(t):
+    existing = t("orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count(F.lit(1)).alias("version"))
+    return tables.next_versions(t("events").select("event_id", "user_id"), existing, "user_id", F.col("event_id"))
+
+
+@query("WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, count(*) OVER () AS n FROM documents) SELECT doc_id, position FROM n WHERE position IN (SELECT (i * n) // 20 FROM range(20) r(i))")
+def w6_systematic_sample(t):
+    return tables.systematic_sample(t("documents").select("doc_id"), "doc_id", 20).select("doc_id", "position")
+
+
+@query(f"WITH {V_SQL}, s AS (SELECT id, label, 1 - list_cosine_similarity(lag(embedding) OVER (PARTITION BY label ORDER BY id), embedding) AS distance FROM v), b AS (SELECT label, quantile_cont(distance, 0.95) AS bound FROM s GROUP BY label) SELECT id, label, CAST(sum(CASE WHEN distance > bound THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY id) AS BIGINT) AS chunk_no FROM s JOIN b USING (label)")
+def w9_semantic_breaks(t):
+    return chunking.semantic_breaks(vectors(t), "label", "id", "embedding").select("id", "label", "chunk_no")
+
+
+# ---- top-k
+
+
+@query(f"WITH {NEAR_SQL}, r AS (SELECT query_id, id, similarity * exp(-0.002 * greatest(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(occurred_at), 0) / 86400e6) AS score FROM n JOIN v USING (id) WHERE rank <= 5) SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r")
+def k1_recency_rerank(t):
+    v = vectors(t).drop("embedding")
+    out = retrieval.reranked(retrieval.nearest(questions(t), vectors(t), 5), v, V.recency(F.col("similarity"), F.col("occurred_at"), AS_OF), 5)
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {NEAR_SQL}, r AS (SELECT query_id, id, similarity * quality_weight AS score FROM n JOIN v USING (id) WHERE rank <= 24), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r) SELECT query_id, id, round(score, 6) AS score, rank FROM w WHERE rank <= 6")
+def k2_overfetch_quality(t):
+    out = retrieval.reranked(retrieval.nearest(questions(t), vectors(t), 24), vectors(t).drop("embedding"), F.col("similarity") * F.col("quality_weight"), 6)
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {K_SQL} SELECT id, category FROM k WHERE verification_status = 'unverified' AND category = 'en' ORDER BY id DESC LIMIT 50")
+def k6_verification_queue(t):
+    return knowledge(t).where("verification_status = 'unverified' and category = 'en'").select("id", "category").orderBy(F.desc("id")).limit(50)
+
+
+@query(f"WITH {V_SQL}, s AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.embedding, v.embedding) AS similarity FROM v AS q, v WHERE q.id % 25 = 0 AND v.kind = 'purchase'), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) SELECT query_id, id, rank FROM n WHERE rank <= 5")
+def k8_filtered_top_k(t):
+    return retrieval.nearest(questions(t), vectors(t).where("kind = 'purchase'"), 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT * FROM ((SELECT 'candidate' AS kind, doc_id AS id FROM documents ORDER BY doc_id LIMIT 30) UNION ALL (SELECT 'rule', item_id FROM benchmark ORDER BY item_id LIMIT 30) UNION ALL (SELECT 'experience', page_id FROM pages ORDER BY page_id LIMIT 30)) ORDER BY id, kind LIMIT 30")
+def u1_l7_review_queue(t):
+    parts = [t(n).select(F.lit(k).alias("kind"), F.col(c).cast("long").alias("id")).orderBy("id").limit(30) for k, n, c in (("candidate", "documents", "doc_id"), ("rule", "benchmark", "item_id"), ("experience", "pages", "page_id"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("id", "kind").limit(30)
+
+
+# ---- chunking
+
+
+@query(r"WITH s AS (SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil((length(text) - 1000) / 800), 0) AS BIGINT) * 800 + 1, 800)) AS s FROM documents), c AS (SELECT doc_id, s, " + STRIP.format("substr(text, s + 1, 1000)") + " AS chunk FROM s) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS chunk_no, chunk FROM c WHERE chunk <> ''")
+def c1_sliding_windows(t):
+    return chunking.windows(t("documents"), "text", ["doc_id"]).withColumn("chunk_no", F.col("chunk_no").cast("long"))
+
+
+@query("WITH p AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS x FROM documents), c AS (SELECT doc_id, i, " + STRIP.format("x") + " AS chunk FROM p) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS chunk_no, chunk FROM c WHERE chunk <> ''")
+def c2_w7_paragraphs(t):
+    return chunking.paragraphs(t("documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), "text", ["doc_id"]).withColumn("chunk_no", F.col("chunk_no").cast("long"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS x FROM documents), l AS (SELECT doc_id, i, x, i % 5 = 0 AND regexp_matches(x, '^\S') AS head FROM p),
+n AS (SELECT *, CAST(sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS section FROM l), g AS (SELECT doc_id, section, coalesce(max(CASE WHEN head THEN x END), 'Preamble') AS title, regexp_replace(coalesce(string_agg(CASE WHEN NOT head THEN CASE WHEN i % 5 = 0 THEN '# ' || x ELSE x END END, chr(10) ORDER BY i), ''), '^\s+|\s+$', '', 'g') AS body FROM n GROUP BY doc_id, section) SELECT * FROM g WHERE section > 0 OR body <> ''""")
+def c4_markdown_sections(t):
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("# "), x)).otherwise(x))
+    return chunking.sections(t("documents").select("doc_id", F.array_join(lines, "\n").alias("text")), "text", "doc_id")
+
+
+@query()
+def c6_c7_greedy_pack(t):
+    return chunking.packed(t("documents"), F.split("text", "\n"), ["doc_id"], 2500)
+
+
+@query("SELECT user_id, string_agg(printf('[%02d:%02d] ', event_id // 60, event_id % 60) || event_type, chr(10) ORDER BY event_id) AS transcript FROM events GROUP BY user_id")
+def c12_transcript(t):
+    return chunking.transcript(t("events"), "user_id", "event_id", "event_type")
+
+
+# ---- lifecycle and streams' batch twins
+
+
+@query(f"""WITH c AS (SELECT doc_id AS id, source AS kind, sha256(concat({norm('source')}, ':', {norm('text')})) AS print FROM documents), d AS (SELECT doc_id AS id, min(CASE WHEN toxic = 1 OR quality = 0 THEN 'reject' ELSE 'accept' END) AS decision FROM labels GROUP BY doc_id),
+a AS (SELECT DISTINCT print FROM c WHERE id % 10 = 0), j AS (SELECT c.*, decision, a.print IS NOT NULL AS held, sum(CASE WHEN decision = 'accept' THEN 1 ELSE 0 END) OVER (PARTITION BY c.print ORDER BY CASE WHEN decision IS NULL THEN NULL ELSE id END NULLS LAST, id ROWS UNBOUNDED PRECEDING) AS nth FROM c LEFT JOIN d USING (id) LEFT JOIN a ON c.print = a.print)
+SELECT id, kind, CASE WHEN decision IS NULL THEN 'pending' WHEN decision = 'reject' THEN 'rejected' WHEN held OR nth > 1 THEN 'duplicate' ELSE 'active' END AS status FROM j""")
+def l6_apply_decisions(t):
+    c = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("kind"), F.col("text").alias("content"))
+    d = t("labels").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), "reject").otherwise("accept")).alias("decision"), F.max("doc_id").alias("at"))
+    return lifecycle.apply_decisions(c, d, c.where("id % 10 = 0"))
+
+
+@query("WITH r AS (SELECT event_id AS request_id, user_id AS token, ts, CASE WHEN event_type = 'error' THEN 'draft' ELSE 'approved' END AS state FROM events), n AS (SELECT *, sum(CASE WHEN state = 'approved' THEN 1 ELSE 0 END) OVER (PARTITION BY token ORDER BY ts, request_id) AS nth FROM r) SELECT request_id, CASE WHEN state = 'draft' THEN 'rejected' WHEN nth = 1 THEN 'accepted' ELSE 'duplicate' END AS outcome FROM n")
+def l19_publish_ledger(t):
+    r = t("events").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("token"), F.col("ts").alias("at"), F.when(F.col("event_type") == "error", "draft").otherwise("approved").alias("state"))
+    return tables.publish_ledger(r).select("request_id", "outcome")
+
+
+@query("WITH e AS (SELECT user_id % 50 AS event_type, ts, event_id, event_type = 'error' AS bad FROM events) SELECT event_type, max(ts) FILTER (NOT bad) AS last_success, max(ts) FILTER (bad) AS last_error, arg_max(event_id, (ts, event_id)) FILTER (bad) AS error_id, max(ts) FILTER (bad) IS NOT NULL AND (max(ts) FILTER (NOT bad) IS NULL OR max(ts) FILTER (bad) > max(ts) FILTER (NOT bad)) AS error_shown FROM e GROUP BY event_type")
+def q3_t2_latest_status(t):
+    e = t("events").select((F.col("user_id") % 50).alias("event_type"), F.col("ts").alias("created_at"), "event_id", F.when(F.col("event_type") == "error", "error").otherwise("success").alias("status"))
+    return lifecycle.latest_status(e)
+
+
+@query(f"WITH p AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS r FROM conversations WHERE length({STRIP.format('text')}) >= 80 AND conv_id % 4 <> 0) SELECT conv_id AS channel_id, turn AS message_id, text, sha256(concat('channel:', {norm('text')})) AS fingerprint, CAST(CASE WHEN turn % 2 = 1 THEN 0.85 ELSE 1.0 END AS DOUBLE) AS quality_weight FROM p WHERE r = 1")
+def t1_channel_posts(t):
+    posts = t("conversations").select(F.col("conv_id").alias("channel_id"), F.col("turn").alias("message_id"), "text", F.lit(AS_OF).cast("timestamp").alias("date"), (F.col("turn") % 2 == 1).alias("forwarded"))
+    return ingest.channel_posts_batch(posts, posts.where("channel_id % 4 = 0").select("channel_id", "message_id").distinct())
+
+
+@query()
+def r1_context(t):
+    v, q = vectors(t), questions(t)
+    near = lambda k, c: retrieval.nearest(q, c, k).join(v.select("id", "kind", "quality_weight"), "id")
+    line = F.format_string("%d. %s (%.3f)", F.col("rank"), F.col("kind"), F.col("similarity"))
+    voice = retrieval.reranked(retrieval.nearest(q, v, 24), v.drop("embedding"), F.col("similarity") * F.col("quality_weight"), 6)
+    return retrieval.context(q.select("query_id"), {"rules": retrieval.layer(near(20, v.where("label < 5")), line, "rules", 1200), "voice": retrieval.layer(voice, line, "voice", 1800), "experiences": retrieval.layer(near(4, v.where("label >= 5")), line, "experiences", 1800)})
