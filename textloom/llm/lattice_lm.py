@@ -18,13 +18,13 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .sp_unigram import MARK, Vocabulary
 
-BLOCK, ROUNDS, SMOOTHING, FOLDS, HELD_OUT = 8 << 20, 2, 0.1, 5, 1
+BLOCK, ROUNDS, SMOOTHING, FOLDS, HELD_OUT = 6 << 20, 2, 0.1, 5, 1
 
 
 @cache
@@ -95,6 +95,92 @@ class Lattice:
                 beta[i] = top + math.log(sum([math.exp(x - top) for x in xs]))
 
 
+class Arrays:
+    """The same lattice over many words at once: words of one length are the columns of whole-array steps.
+
+    A substring is looked up by its rolling hash among the pieces of its length; words beyond ``LONG`` characters go one by one.
+    """
+
+    LONG, TOGETHER, BASE = 64, 32768, np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, lattice: Lattice) -> None:
+        self.one, self.names = lattice, list(lattice.pieces)
+        self.logs = np.array([lattice.pieces[p] for p in self.names])
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k in set(map(len, self.names)):
+            own = np.array([i for i, p in enumerate(self.names) if len(p) == k])
+            h = self._codes([self.names[i] for i in own])
+            rolled = np.zeros(len(own), np.uint64)
+            for c in h.T:
+                rolled = rolled * self.BASE + c
+            order = np.argsort(rolled)
+            self.by_length[k] = rolled[order], own[order]
+
+    @staticmethod
+    def _codes(words: list[str]) -> np.ndarray:
+        return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), -1).astype(np.uint64) + np.uint64(1)
+
+    def _forward(self, words: list[str]) -> tuple[np.ndarray, list, int]:
+        """(log probability of each prefix, edges as (start, end, which words, piece or -1, log probability), length)."""
+        codes = self._codes(words)
+        n, size = codes.shape
+        alpha = np.full((size + 1, n), -np.inf)
+        alpha[0] = 0.0
+        edges = []
+        for i in range(size):
+            h = np.zeros(n, np.uint64)
+            for j in range(i + 1, min(size, i + self.one.longest) + 1):
+                h = h * self.BASE + codes[:, j - 1]
+                if j - i not in self.by_length:
+                    continue
+                keys, ids = self.by_length[j - i]
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[at] == h
+                found = [(np.flatnonzero(hit), True)] + ([(np.flatnonzero(~hit), False)] if j == i + 1 else [])
+                for which, is_piece in found:
+                    if not len(which):
+                        continue
+                    piece = ids[at[which]] if is_piece else None
+                    p = self.logs[piece] if is_piece else np.array([sum(self.one.spelt[b] for b in words[w][i].encode("utf-8", "surrogatepass")) for w in which])
+                    edges.append((i, j, which, piece, p))
+                    alpha[j, which] = np.logaddexp(alpha[j, which], alpha[i, which] + p)
+        return alpha, edges, size
+
+    def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+        lengths = np.array([len(w) + 1 for w in words])
+        for k in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == k)
+            yield at, [MARK + words[i] for i in at]
+
+    def log10(self, words: list[str]) -> np.ndarray:
+        out = np.empty(len(words))
+        for at, own in self.groups(words):
+            out[at] = [self.one.forward(w)[-1] for w in own] if len(own[0]) > self.LONG else self._forward(own)[0][-1]
+        return out / math.log(10)
+
+    def expect(self, words: list[str], times: list[int], counts: dict, sums: np.ndarray) -> None:
+        """Add expected uses: of pieces to ``sums`` by number (or ``counts`` by text), of bytes to ``counts``."""
+        for at, own in self.groups(words):
+            many = np.array([times[i] for i in at], np.float64)
+            if len(own[0]) > self.LONG:
+                for w, k in zip(own, many, strict=True):
+                    self.one.expect(w[1:], k, counts)
+                continue
+            alpha, edges, size = self._forward(own)
+            beta = np.full_like(alpha, -np.inf)
+            beta[size] = 0.0
+            for i, j, which, piece, p in reversed(edges):
+                on = p + beta[j, which]
+                beta[i, which] = np.logaddexp(beta[i, which], on)
+                gain = many[which] * np.exp(alpha[i, which] + on - alpha[size, which])
+                if piece is not None:
+                    sums += np.bincount(piece, gain, len(sums))
+                else:
+                    for w, g in zip(which.tolist(), gain.tolist(), strict=True):
+                        for b in own[w][i].encode("utf-8", "surrogatepass"):
+                            counts[b] = counts.get(b, 0.0) + g
+
+
 def first_lattice(path: str | None = None) -> Lattice:
     """The existing scores, with the byte pieces sharing the unknown character's."""
     v = vocabulary(path)
@@ -114,6 +200,19 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
+def together(batches: Iterator[pa.RecordBatch], n: int, *columns: str) -> Iterator[list[list]]:
+    """The columns' values, about ``n`` rows at a time."""
+    held: list[list] = [[] for _ in columns]
+    for b in batches:
+        for have, c in zip(held, columns, strict=True):
+            have += b.column(c).to_pylist()
+        if len(held[0]) >= n:
+            yield held
+            held = [[] for _ in columns]
+    if held[0]:
+        yield held
+
+
 def scored(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -139,8 +238,11 @@ def scored(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Da
     schema = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n", pa.list_(pa.int64())), ("tokens", pa.binary()), ("words", pa.list_(pa.string())), ("train", pa.list_(pa.int64()))])
     blocks = common.written(docs.select("doc_id", "text").mapInArrow(gather, "block long, doc_id array<long>, held_out array<boolean>, n array<long>, tokens binary, words array<string>, train array<long>"), "lm-blocks")
     uses = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("pos", "x")).select("block", "pos", F.col("x.words").alias("word"), F.col("x.train").alias("train"))
-    counts = common.written(uses.groupBy("word").agg(F.sum("train").alias("c")), "lm-words")
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    # A word comes once from each block that has it, so no word has more rows than there are blocks.
+    w = Window.partitionBy("word")
+    placed = common.written(uses.withColumn("c", F.sum("train").over(w)).withColumn("first", F.row_number().over(w.orderBy("block")) == 1).select("word", "c", "first", "block", "pos"), "lm-words")
+    counts = placed.where("first and c > 0").select("word", "c")
+    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = blocks.agg(F.coalesce(F.sum(F.size(F.filter("held_out", lambda x: ~x))), F.lit(0)).alias("n")).first().n
     n_all, v_all = totals.n + ends, totals.v + (ends > 0)
 
@@ -149,24 +251,26 @@ def scored(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Da
         now = (lattice.pieces, lattice.spelt, lattice.longest)
 
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            model, found = Lattice(*now), {}
-            for b in batches:
-                for word, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist(), strict=True):
-                    model.expect(word, c, found)
+            model, found = Arrays(Lattice(*now)), {}
+            uses = np.zeros(len(model.names))
+            for words, times in together(batches, Arrays.TOGETHER, "word", "c"):
+                model.expect(words, times, found, uses)
+            for k in np.flatnonzero(uses).tolist():
+                found[model.names[k]] = found.get(model.names[k], 0.0) + float(uses[k])
             keys = [k if isinstance(k, str) else f"<{k}>" for k in found]
             yield pa.RecordBatch.from_arrays([pa.array([isinstance(k, int) for k in found], pa.bool_()), pa.array(keys, pa.string()), pa.array(list(found.values()), pa.float64())], ["spelt", "piece", "uses"])
 
-        sums = counts.where("c > 0").mapInArrow(expect, "spelt boolean, piece string, uses double").groupBy("spelt", "piece").agg(F.sum("uses").alias("uses")).collect()
+        sums = counts.mapInArrow(expect, "spelt boolean, piece string, uses double").groupBy("spelt", "piece").agg(F.sum("uses").alias("uses")).collect()
         lattice, end_score = lattice_from({int(r.piece[1:-1]) if r.spelt else r.piece: r.uses for r in sums}, ends, path)
     last = (lattice.pieces, lattice.spelt, lattice.longest)
 
     def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Lattice(*last)
+        model = Arrays(Lattice(*last))
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array([model.log10(w) for w in b.column("word").to_pylist()], pa.float64())], ["word", "c", "p"])
+            words, which = np.unique(b.column("word").to_numpy(zero_copy_only=False), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("pos"), b.column("c"), pa.array(model.log10(words.tolist())[which], pa.float64())], ["block", "pos", "c", "p"])
 
-    words = counts.mapInArrow(by_word, "word string, c long, p double")
-    back = uses.select("block", "pos", "word").join(words, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "c", "p")).alias("words"))
+    back = placed.select("block", "pos", "c", "word").mapInArrow(by_word, "block long, pos int, c long, p double").groupBy("block").agg(F.collect_list(F.struct("pos", "c", "p")).alias("words"))
 
     result = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     floor = n_all + 0.5 * (v_all + 1)
