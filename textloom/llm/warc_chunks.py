@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CHUNK, PIECE, LEAST, LEVEL = 1 << 20, 4 << 20, 100, 1
+CHUNK, PIECE, ARCHIVE, LEAST, LEVEL = 1 << 20, 4 << 20, 32 << 20, 100, 1
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 #: Fixed texts of the format.
 VERSION, PROFILE, DATE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "2024-01-01T00:00:00Z"
@@ -61,21 +61,30 @@ def planned(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
-    """Write every row as a record; the table (archive, piece_no, piece) of the archives' bytes. One archive a task, in pieces of about 4 MB."""
+    """Write every row as a record; the table (archive, piece_no, piece) of the archives' bytes. An archive ends after the record with which it reaches 32 MB, so no reader gets more
+    than that and one record; pieces are of about 4 MB."""
+
+    def piece(archive: int, number: int, held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([number]), pa.array([b"".join(held)], pa.binary())], ["archive", "piece_no", "piece"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive, number, held, size = next(common.block_ids()), 0, [], 0
+        ids = common.block_ids()
+        archive, number, held, size, total = next(ids), 0, [], 0, 0
         for batch in batches:
             names = batch.schema.names
             for i in range(batch.num_rows):
                 for part in compressed(record_parts({n: batch.column(k)[i].as_py() for k, n in enumerate(names)})):
                     held.append(part)
-                    size += len(part)
+                    size, total = size + len(part), total + len(part)
                     if size >= PIECE:
-                        yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([number]), pa.array([b"".join(held)], pa.binary())], ["archive", "piece_no", "piece"])
+                        yield piece(archive, number, held)
                         number, held, size = number + 1, [], 0
+                if total >= ARCHIVE:
+                    if held:
+                        yield piece(archive, number, held)
+                    archive, number, held, size, total = next(ids), 0, [], 0, 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([number]), pa.array([b"".join(held)], pa.binary())], ["archive", "piece_no", "piece"])
+            yield piece(archive, number, held)
 
     return common.written(planned(pages).mapInArrow(run, "archive long, piece_no long, piece binary"), "warc")
 
