@@ -7,13 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import chunking, lifecycle, retrieval, tables
+from textloom.operators import captions, chunking, lifecycle, memory, retrieval, tables
 from textloom.plans.queries import ORACLE, QUERIES
 from textloom.sources import exports
 from textloom.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("customer", "orders", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+TABLES = ("region", "customer", "orders", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def plain(v):
@@ -83,3 +83,54 @@ def test_stream_equals_batch_and_survives_replay(spark, tmp_path):
 def test_expressions(spark):
     row = spark.range(1).select(T.strip(F.lit("  a ")).alias("a"), T.seconds(F.lit("01:02:03.5")).alias("b"), T.caption_text(F.lit("<i>a</i>&amp; b -")).alias("c"), T.chapter_title(F.lit("x\n# One\ny")).alias("d"), T.urls(F.lit("http://a.b/x). http://c.d"), ["a.b"]).alias("e")).first()
     assert tuple(row) == (" a".strip(), 3723.5, "a& b", "One", ["http://a.b/x"])
+
+
+def test_lists_find_what_exact_search_finds(spark):
+    c = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    q = c.where("id % 25 = 0").select(F.col("id").alias("query_id"), "embedding")
+    pairs = lambda df: {(r.query_id, r.id) for r in df.collect()}
+    exact = pairs(retrieval.nearest(q, c, 6))
+    assert pairs(retrieval.nearest_in_lists(q, c, 6, 8, 8)) == exact
+    assert len(pairs(retrieval.nearest_in_lists(q, c, 6, 8, 6)) & exact) >= 0.8 * len(exact)
+
+
+def test_rolling_captions(spark):
+    rows = [(1, 0, 0.0, 1.0, "one two three"), (1, 1, 1.0, 2.0, "one two three four"), (1, 2, 2.0, 3.0, "two three four five six"), (1, 3, 3.0, 4.0, "five six"), (2, 0, 0.0, 1.0, "five six")]
+    df = spark.createDataFrame(rows, "video int, cue int, start double, end double, text string")
+    got = [(r.video, r.start, r.text) for r in captions.without_rolling_repeats(df, "video").orderBy("video", "start").collect()]
+    assert got == [(1, 0.0, "one two three four"), (1, 2.0, "five six"), (2, 0.0, "five six")]
+
+
+def test_cleanup_plan_merges_splits_and_deletes(spark):
+    long = "\n\n".join(["p" * 2000 + str(i) for i in range(3)])
+    rows = [(1, "b", "c", "short"), (2, "b", "c", "x" * 150), (3, "b", "c", "tail"), (4, "b", "c", "X" * 150), (5, "b", "d", long), (6, "b", "e", None)]
+    k = spark.createDataFrame(rows, "id long, source_book string, category string, content string")
+    plan = memory.cleanup_plan(k)
+    assert {r.id: r.action for r in plan.collect()} == {1: "delete", 2: "update", 3: "delete", 4: "delete", 5: "split", 6: "keep"}
+    assert plan.where("id = 2").first().content == "short\n\n" + "x" * 150 + "\n\ntail"
+    done = memory.applied_plan(k, plan).collect()
+    assert sorted((r.id, r.chunk_no) for r in done) == [(2, 1), (5, 1), (5, 2), (5, 3), (6, 1)]
+
+
+def test_parsing_and_text_expressions(spark):
+    row = spark.range(1).select(T.style_entries(T.parsed(F.lit('```json\n{"style": ["a", {"value": "b", "source_quote": "q", "confidence": 7}, {"x": 1}]}\n```')), "$.style").alias("style"), T.parsed(F.lit("[1]")).isNull().alias("no"), T.joined_lines(F.lit("# head\nbroken\nline.\n- item\nnext")).alias("joined"), T.timestamp(F.lit("bad")).alias("bad"), T.with_source(F.lit("a http://x"), F.lit("http://x"), True).alias("moved")).first()
+    assert [tuple(x) for x in row.style] == [("a", "", 0.5), ("b", "q", 1.0)]
+    assert (row.no, row.joined, row.bad, row.moved) == (True, "# head\nbroken line.\n- item\nnext", None, "a\n\nhttp://x")
+
+
+def test_lists_or_objects_of_items(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"t": 1}, 2]')
+    (tmp_path / "b.json").write_text('{"regrets": [{"t": 3}]}')
+    items, skipped = exports.json_items(spark, str(tmp_path), "regrets")
+    assert items.count() == 2 and sum(r.skipped for r in skipped.collect()) == 1
+
+
+def test_streams_of_status_and_feedback(spark, tmp_path):
+    e = spark.createDataFrame([("sync", "error", 1, "2024-01-01 00:00:00"), ("sync", "success", 2, "2024-01-02 00:00:00")], "event_type string, status string, event_id long, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
+    e.write.parquet(str(tmp_path / "e"))
+    ingest.ops_status(spark.readStream.schema(e.schema).parquet(str(tmp_path / "e")), str(tmp_path / "c1"), str(tmp_path / "out")).awaitTermination()
+    assert [(r.error_id, r.error_shown) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, False)]
+    d = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "draft_id long, final_text string")
+    d.write.parquet(str(tmp_path / "d"))
+    ingest.publish_feedback(spark.readStream.schema(d.schema).parquet(str(tmp_path / "d")), str(tmp_path / "voice"), str(tmp_path / "c2")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "voice")).count() == 2

@@ -123,3 +123,77 @@ def caption_text(c: Column) -> Column:
 def seconds(c: Column) -> Column:
     """``MM:SS`` or ``HH:MM:SS`` (fractions allowed) as seconds."""
     return F.aggregate(F.split(F.replace(c, F.lit(","), F.lit(".")), ":"), F.lit(0.0), lambda acc, x: acc * 60 + x.try_cast("double"))
+
+
+def clock(s: Column) -> Column:
+    """Seconds as ``MM:SS``, from an hour on as ``HH:MM:SS``."""
+    n = F.floor(s).cast("long")
+    return F.when(n >= 3600, F.format_string("%02d:%02d:%02d", F.floor(n / 3600), F.floor(n / 60) % 60, n % 60)).otherwise(F.format_string("%02d:%02d", F.floor(n / 60), n % 60))
+
+
+def timestamp(c: Column) -> Column:
+    """Lenient ISO time; without a zone it is the session's; what cannot be read is null."""
+    return F.try_to_timestamp(F.regexp_replace(strip(c), "(?i)z$", "+00:00"))
+
+
+def parsed(c: Column) -> Column:
+    """The JSON object in a text, code fence or not, as a variant; null for anything else."""
+    v = F.try_parse_json(F.regexp_replace(strip(c), r"(?is)^```(?:json)?\s*|\s*```$", ""))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+
+
+def style_entries(v: Column, path: str) -> Column:
+    """Entries of a list as (value, source_quote, confidence): a bare string has no quote and confidence 0.5; others without a value go."""
+    one = lambda x: F.struct(F.coalesce(F.try_variant_get(x, "$.value", "string"), F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))).alias("value"), F.coalesce(F.try_variant_get(x, "$.source_quote", "string"), F.lit("")).alias("source_quote"), clamp(F.try_variant_get(x, "$.confidence", "string"), 0.5).alias("confidence"))
+    return F.filter(F.transform(F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>")), one), lambda x: x["value"].isNotNull())
+
+
+def rule_text(value: Column, fallback: Column) -> Column:
+    return F.coalesce(F.nullif(strip(value), F.lit("")), F.nullif(strip(fallback), F.lit("")), F.lit(""))
+
+
+def experience_text(*parts: Column) -> Column:
+    """Parts on lines of their own; an empty part keeps its line."""
+    return F.array_join(F.array(*[F.coalesce(p, F.lit("")) for p in parts]), "\n")
+
+
+def topics(c: Column) -> Column:
+    text = F.coalesce(c, F.lit(""))
+    return F.struct(text.rlike(FACTUAL).alias("factual"), text.rlike(RELIGIOUS).alias("religious"))
+
+
+def with_source(c: Column, url: Column, keep: bool) -> Column:
+    """The text without the URL, which comes last on a line of its own if it is to be kept."""
+    bare = strip(F.replace(c, url, F.lit("")))
+    return F.when(url.isNull() | (url == ""), c).otherwise(F.concat(bare, F.lit("\n\n"), url) if keep else bare)
+
+
+def status_map(event: Column, metadata: Column) -> Column:
+    """An event's fields and metadata as one map of strings; the error text only for errors."""
+    own = F.create_map(F.lit("status"), event["status"], F.lit("at"), event["created_at"].cast("string"), F.lit("error"), F.when(event["status"] == "error", event["summary"]))
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return F.map_concat(own, F.map_filter(F.coalesce(metadata, empty), lambda k, _: ~k.isin("status", "at", "error")))
+
+
+def is_owned(message: Column, owner: str) -> Column:
+    """Messages by the owner, or by the channel itself in a public channel."""
+    author = F.coalesce(message["author"], F.lit(""))
+    return (message["type"] == "message") & ((author == owner) | ((message["chat_type"] == "public_channel") & author.startswith("channel")))
+
+
+def is_excluded(name: Column, patterns: list[str]) -> Column:
+    both = F.concat(F.lower(name), F.lit(" "), slug(name))
+    return F.exists(F.array(*map(F.lit, patterns)), lambda p: F.contains(both, F.lower(p))) if patterns else F.lit(False)
+
+
+def joined_lines(c: Column) -> Column:
+    """Lines broken inside a paragraph joined again: a line goes on where the one before has no sentence end and neither is a heading or a list item."""
+    block = r"^\s*(#|[-*+]\s|\d+[.)]\s|>|\|)"
+
+    def step(acc: Column, line: Column) -> Column:
+        last = F.coalesce(F.get(F.split(acc, "\n"), F.size(F.split(acc, "\n")) - 1), F.lit(""))
+        on = (F.trim(last) != "") & (F.trim(line) != "") & ~last.rlike(r"[.!?:;…»\"”)]\s*$") & ~last.rlike(block) & ~line.rlike(block)
+        return F.when(on, F.concat(F.rtrim(acc), F.lit(" "), F.ltrim(line))).otherwise(F.concat(acc, F.lit("\n"), line))
+
+    lines = F.split(c, "\n")
+    return F.aggregate(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), F.get(lines, 0), step)

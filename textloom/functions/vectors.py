@@ -24,3 +24,10 @@ def recency(similarity: Column, ts: Column, as_of: str, rate: float = 0.002) ->
     """Similarity times exp(-rate x age in days); unknown time: as it is; a future time: age 0."""
     age = F.greatest((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / 86400e6, F.lit(0.0))
     return F.when(ts.isNull(), similarity).otherwise(similarity * F.exp(-rate * age))
+
+
+def hashed_words(text: Column, n: int) -> Column:
+    """A deterministic stand-in for a model: how many lower-case words of the text fall into each of ``n`` buckets by their MD5. Null counts as empty."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9]+"), F.lit(0))
+    buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % n)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("float"))

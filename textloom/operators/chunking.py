@@ -61,3 +61,26 @@ def semantic_breaks(df: DataFrame, key: str, order: str, vector: str, quantile:
     steps = df.withColumn("distance", 1 - V.cosine(F.lag(vector).over(w), F.col(vector)))
     limits = steps.groupBy(key).agg(F.expr(f"percentile(distance, {quantile})").alias("bound"))
     return steps.join(limits, key).withColumn("chunk_no", F.sum(F.coalesce((F.col("distance") > F.col("bound")).cast("int"), F.lit(0))).over(w)).drop("bound")
+
+
+def routed(df: DataFrame, text: str, category: str, keep: list[str], by_window: list[str], by_paragraph: list[str]) -> DataFrame:
+    """Windows or paragraphs by category; a category in neither list comes out as one chunk."""
+    c = F.coalesce(F.col(category), F.lit(""))
+    rest = df.where(~c.isin(*by_window, *by_paragraph))
+    return windows(df.where(c.isin(*by_window)), text, keep).unionByName(paragraphs(df.where(c.isin(*by_paragraph)), text, keep)).unionByName(exploded(rest, F.array(text), keep))
+
+
+def section_packs(df: DataFrame, key: str, section: str, title: str, body: str, tokens: int = 4000, share: float = 0.1) -> DataFrame:
+    """Sections packed in order into chunks of at most ``tokens`` estimated tokens; a larger section is cut by paragraphs first.
+
+    Every chunk but a document's first starts with the last words of the one before: twice the overlap's tokens, at least 40.
+    A fold over one document's sections.
+    """
+    head = F.concat(F.lit("## "), F.col(title), F.lit("\n\n"), F.col(body))
+    parts = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(section).alias("s"), head.alias("t")))), lambda x: F.when(T.token_estimate(x["t"]) > tokens, F.split(x["t"], "\n\n")).otherwise(F.array(x["t"]))))
+    docs = df.groupBy(key).agg(parts.alias("parts"))
+    packs = packed(docs, F.col("parts"), [key], tokens * 4, "\n\n")
+    words = max(2 * int(tokens * share), 40)
+    before = F.split(F.lag("chunk").over(Window.partitionBy(key).orderBy("chunk_no")), r"\s+")
+    tail = F.array_join(F.slice(before, F.greatest(F.size(before) - words + 1, F.lit(1)), words), " ")
+    return packs.withColumn("overlap", F.coalesce(tail, F.lit("")))

@@ -85,3 +85,48 @@ def context(queries: DataFrame, layers: dict[str, DataFrame], budget: int = 30_0
     out = out.withColumn(shrink, F.when(over > 0, F.expr(f"substring({shrink}, 1, greatest({least}, length({shrink}) - greatest({'+'.join(f'length({n})' for n in layers)} - {budget}, 0)))")).otherwise(F.col(shrink)))
     del room
     return out.withColumn("context_chars", sum((F.length(n) for n in layers), F.lit(0)))
+
+
+#: Rows that the coarse index is fitted on, at most; every row is indexed.
+FIT_ROWS = 50_000
+
+
+def index_lists(corpus: DataFrame, lists: int, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
+    """(the corpus with the number of its nearest centre as ``list``, the centres). Centres are fitted on a bounded sample, every row is indexed."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    some = corpus.where(F.col("embedding").isNotNull()).orderBy(F.xxhash64("id")).limit(FIT_ROWS)
+    model = KMeans(k=lists, seed=seed, featuresCol="v", maxIter=10).fit(some.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v")))
+    centres = np.array(model.clusterCenters())
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, centres.shape[1]))
+            pdf["list"] = ((centres**2).sum(1) - 2 * v @ centres.T).argmin(1).astype(np.int32) if len(pdf) else pd.Series([], dtype=np.int32)
+            yield pdf
+
+    rows = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding")
+    return rows.mapInPandas(assign, "id long, embedding array<float>, list int"), centres
+
+
+def nearest_in_lists(queries: DataFrame, corpus: DataFrame, k: int, lists: int, probe: int) -> DataFrame:
+    """Approximate ``nearest``: exact within the ``probe`` lists whose centres are nearest to the query. With ``probe == lists`` it is exact."""
+    indexed, centres = index_lists(corpus, lists)
+    c = F.array(*[F.struct(F.lit(i).alias("list"), F.array(*[F.lit(float(x)) for x in row]).alias("at")) for i, row in enumerate(centres)])
+    away = lambda x: F.aggregate(F.zip_with(x["at"], F.col("embedding"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y)
+    near = F.slice(F.array_sort(F.transform(c, lambda x: F.struct(away(x).alias("away"), x["list"].alias("list")))), 1, probe)
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").alias("q"), F.explode(F.transform(near, lambda x: x["list"])).alias("list"))
+    found = indexed.join(asked, "list").select("query_id", "id", V.cosine(F.col("q"), F.col("embedding")).alias("similarity")).where("similarity is not null")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
+
+
+def embedded(changed: DataFrame, known: DataFrame, text: str, predict: object = None, n: int = 64, batch: int = 96) -> DataFrame:
+    """``embedding`` of rows whose (id, fingerprint) is not among the known ones. ``predict`` makes a model's batch function; without one words are hashed."""
+    new = changed.withColumn("fingerprint", T.fingerprint(F.col(text))).join(known.select("id", "fingerprint"), ["id", "fingerprint"], "left_anti")
+    if predict is None:
+        return new.withColumn("embedding", V.hashed_words(F.col(text), n))
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, FloatType
+
+    return new.withColumn("embedding", predict_batch_udf(predict, return_type=ArrayType(FloatType()), batch_size=batch)(F.col(text)))

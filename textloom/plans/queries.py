@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions import vectors as V
-from textloom.operators import chunking, lifecycle, retrieval, tables
+from textloom.operators import captions, chunking, lifecycle, memory, retrieval, tables
 from textloom.streaming import ingest
 
 AS_OF = "2024-02-01 00:00:00"
@@ -343,3 +343,234 @@ def r1_context(t):
     line = F.format_string("%d. %s (%.3f)", F.col("rank"), F.col("kind"), F.col("similarity"))
     voice = retrieval.reranked(retrieval.nearest(q, v, 24), v.drop("embedding"), F.col("similarity") * F.col("quality_weight"), 6)
     return retrieval.context(q.select("query_id"), {"rules": retrieval.layer(near(20, v.where("label < 5")), line, "rules", 1200), "voice": retrieval.layer(voice, line, "voice", 1800), "experiences": retrieval.layer(near(4, v.where("label >= 5")), line, "experiences", 1800)})
+
+
+# ---- memory tables, captions and the rest
+
+
+@query("SELECT event_id, event_id % 7 <> 0 AS ok, CASE WHEN event_id % 7 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, ts AS at, printf('%02d:%02d', event_id // 60, event_id % 60) AS clock FROM events WHERE event_id < 3600 UNION ALL SELECT event_id, event_id % 7 <> 0, CASE WHEN event_id % 7 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END, ts, printf('%02d:%02d:%02d', event_id // 3600, (event_id // 60) % 60, event_id % 60) FROM events WHERE event_id >= 3600")
+def p13_p15_p20_parsed(t):
+    raw = F.when(F.col("event_id") % 7 == 0, "[1, 2]").otherwise(F.concat(F.lit("```json\n"), "props", F.lit("\n```")))
+    return t("events").select("event_id", T.parsed(raw).isNotNull().alias("ok"), F.try_variant_get(T.parsed(raw), "$.k", "bigint").alias("k"), T.timestamp(F.concat(F.lit(" "), F.col("ts").cast("string"))).cast("timestamp_ntz").alias("at"), T.clock(F.col("event_id")).alias("clock"))
+
+
+@query(f"WITH {V_SQL} SELECT id, CASE WHEN kind = 'purchase' THEN 0.4::DOUBLE ELSE quality_weight END AS quality_weight, kind AS source, CASE WHEN kind = 'purchase' THEN round(quality_weight, 6) END AS previous FROM v")
+def p17_l12_reweighted(t):
+    v = vectors(t).withColumn("metadata", F.create_map(F.lit("source"), "kind", F.lit("previous_weight"), F.lit(None).cast("string")))
+    return memory.reweighted(v, F.col("kind") == "purchase", 0.4).select("id", "quality_weight", F.col("metadata")["source"].alias("source"), F.round(F.col("metadata")["previous_weight"].cast("double"), 6).alias("previous"))
+
+
+@query(f"WITH t AS (SELECT doc_id, {STRIP.format('text')} AS s, text, source, lang FROM documents) SELECT doc_id, CASE WHEN s <> '' THEN s ELSE source END AS rule, concat(lang, chr(10), chr(10), source) AS experience, regexp_matches(text, '(?i)\\b(what|when|who|how many|fact|statistic)\\b') AS factual, regexp_matches(text, '(?i)\\b(quran|hadith|islam|prayer)\\b') AS religious, concat(s, chr(10), chr(10), 'https://x.example/', doc_id) AS moved FROM t")
+def p18_p23_p26_texts(t):
+    url = F.concat(F.lit("https://x.example/"), "doc_id")
+    flags = T.topics(F.col("text"))
+    return t("documents").select("doc_id", T.rule_text(F.col("text"), F.col("source")).alias("rule"), T.experience_text(F.col("lang"), F.lit(None).cast("string"), F.col("source")).alias("experience"), flags["factual"].alias("factual"), flags["religious"].alias("religious"), T.with_source(F.concat(url, F.lit(" "), "text"), url, True).alias("moved"))
+
+
+@query(f"SELECT doc_id, CASE source WHEN 'src0' THEN 'main' WHEN 'src1' THEN 'main' ELSE source END AS source, sha256({norm('text')}) AS fingerprint, CASE WHEN lang = 'es' THEN 'unverified' ELSE 'kept' END AS status FROM documents")
+def p7_l10_canonical(t):
+    d = memory.canonical(t("documents"), "source", {"src0": "main", "src1": "main"})
+    return d.select("doc_id", "source", T.fingerprint(F.col("text")).alias("fingerprint"), F.when(F.col("lang") == "es", "unverified").otherwise("kept").alias("status"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE role = 'user' OR (role = 'assistant' AND turn % 2 = 0) OR (conv_id % 10 = 0 AND role = 'system')")
+def f1_owner_messages(t):
+    m = t("conversations").withColumn("m", F.struct(F.when((F.col("role") == "system") & (F.col("conv_id") % 10 != 0), "service").otherwise("message").alias("type"), F.when(F.col("role") == "user", "owner").otherwise(F.concat(F.lit("channel"), "conv_id")).alias("author"), F.when((F.col("role") == "system") | (F.col("turn") % 2 == 0), "public_channel").otherwise("group").alias("chat_type")))
+    return m.where(T.is_owned(F.col("m"), "owner")).select("conv_id", "turn")
+
+
+@query("SELECT doc_id FROM documents WHERE source NOT IN ('src3', 'src13') AND NOT contains(lower(source), 'src1')")
+def f4_excluded(t):
+    return t("documents").where(~T.is_excluded(F.col("source"), ["SRC3", "src1"])).where("source <> 'src3'").select("doc_id")
+
+
+@query("SELECT conv_id, turn FROM conversations c WHERE conv_id % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM conversations d WHERE d.turn = 3 AND d.text = c.text)")
+def j2_unpublished(t):
+    c = t("conversations")
+    return memory.unpublished(c, (c.where("conv_id % 4 = 0"), ["conv_id", "turn"]), (c.where("turn = 3"), ["text"])).select("conv_id", "turn")
+
+
+@query("SELECT event_id, CASE WHEN user_id % 10 < 3 THEN user_id % 10 ELSE 0 END AS used_mode, r_name AS name FROM events JOIN region ON r_regionkey = CASE WHEN user_id % 10 < 3 THEN user_id % 10 ELSE 0 END")
+def j7_mode_fallback(t):
+    modes = t("region").where("r_regionkey < 3").select(F.col("r_regionkey").cast("long").alias("mode"), F.col("r_name").alias("name"))
+    return memory.lookup(t("events").select("event_id", (F.col("user_id") % 10).alias("mode")), modes, "mode", 0).select("event_id", "used_mode", "name")
+
+
+@query(f"WITH {K_SQL} SELECT id, CASE WHEN id > 0 AND id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'rejected' ELSE verification_status END AS verification_status FROM k")
+def j10_set_status(t):
+    return memory.set_status(knowledge(t), t("labels").where("toxic = 1").select(F.col("doc_id").alias("id")), "rejected").select("id", "verification_status")
+
+
+@query()
+def j11_nearest_in_lists(t):
+    return retrieval.nearest_in_lists(questions(t), t("embeddings").select(F.col("vec_id").alias("id"), "embedding"), 6, 16, 8).select("query_id", "id", "rank")
+
+
+@query("SELECT count(text) AS n, count(text) - count(DISTINCT text) AS duplicates, count(*) FILTER (text IS NULL) AS missing, count(*) FILTER (lang = 'en') + count(*) FILTER (source = 'src0') AS total FROM documents")
+def g3_g5_duplicates_nulls(t):
+    return t("documents").agg(F.count("text").alias("n"), (F.count("text") - F.countDistinct("text")).alias("duplicates"), F.count_if(F.col("text").isNull()).alias("missing"), (F.count_if(F.col("lang") == "en") + F.count_if(F.col("source") == "src0")).alias("total"))
+
+
+@query("SELECT source, string_agg(lang, chr(10) ORDER BY p) AS merged FROM (SELECT source, lang, min(doc_id) AS p FROM documents GROUP BY source, lang) GROUP BY source")
+def g8_topic_merge(t):
+    return memory.topic_merge(t("documents"), ["source"], "doc_id", "lang")
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents WHERE trim(source) <> '' GROUP BY lower(source) UNION ALL SELECT min(doc_id) FROM documents WHERE trim(lang) <> '' GROUP BY lower(lang)")
+def g9_first_by_title(t):
+    d = t("documents")
+    return memory.first_by_title(d, "source", "doc_id").select("doc_id").unionAll(memory.first_by_title(d, "lang", "doc_id").select("doc_id"))
+
+
+@query("SELECT user_id, list(event_type ORDER BY p) AS markers FROM (SELECT user_id, event_type, min(event_id) AS p FROM events GROUP BY ALL) GROUP BY user_id")
+def g10_marker_union(t):
+    return memory.marker_union(t("events"), ["user_id"], "event_id", "event_type")
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events WHERE event_type <> 'error') WHERE r = 1 ORDER BY event_id DESC")
+def w3_w4_k7_current(t):
+    return tables.first_of(t("events").where("event_type <> 'error'"), ["user_id"], [F.desc("ts"), F.asc("event_id")]).select("user_id", "event_id").orderBy(F.desc("event_id"))
+
+
+@query("WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'manual' ELSE 'auto' END AS origin, CASE event_type WHEN 'click' THEN 'en' WHEN 'view' THEN 'ru' ELSE event_type END AS lang FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY origin DESC, CASE lang WHEN 'ru' THEN 1 WHEN 'en' THEN 2 ELSE 3 END, lang, event_id) AS r FROM e) SELECT user_id, origin, lang FROM n WHERE r = 1")
+def w10_best_track(t):
+    lang = F.when(F.col("event_type") == "click", "en").when(F.col("event_type") == "view", "ru").otherwise(F.col("event_type"))
+    tracks = t("events").select("user_id", F.when(F.col("event_id") % 3 == 0, "manual").otherwise("auto").alias("origin"), lang.alias("lang"), F.lit("vtt").alias("ext"))
+    return captions.best_track(tracks, "user_id", ["ru", "en"]).select("user_id", "origin", "lang")
+
+
+@query(f"WITH {V_SQL}, b AS (SELECT id, row_number() OVER (ORDER BY quality_weight DESC NULLS FIRST, occurred_at DESC NULLS FIRST, id) AS rank FROM v) SELECT q.id AS query_id, b.id, rank FROM v AS q, b WHERE q.id % 50 = 0 AND rank <= 6")
+def k3_without_vector(t):
+    q = questions(t).withColumn("embedding", F.when(F.col("query_id") % 50 != 0, F.col("embedding")))
+    return memory.without_vector(q, vectors(t), [F.desc_nulls_first("quality_weight"), F.desc_nulls_first("occurred_at"), F.asc("id")], 6).select("query_id", "id", "rank")
+
+
+@query(f"WITH {NEAR_SQL}, g AS (SELECT id, row_number() OVER (ORDER BY occurred_at DESC NULLS FIRST, id) AS rank FROM v WHERE label = 0), t AS (SELECT q.id AS query_id, g.id, 0 AS part, g.rank FROM v AS q, g WHERE q.id % 25 = 0 AND g.rank <= 10), a AS (SELECT * FROM t UNION ALL SELECT query_id, id, 1, rank FROM n WHERE rank <= 20 AND (query_id, id) NOT IN (SELECT (query_id, id) FROM t)), r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY part, rank) AS rank FROM a) SELECT * FROM r WHERE rank <= 20")
+def k4_j9_rules(t):
+    q, v = questions(t), vectors(t)
+    return memory.rules_for(q, retrieval.nearest(q, v, 20), v, F.col("label") == 0, [F.desc_nulls_first("occurred_at"), F.asc("id")], 20).select("query_id", "id", "rank")
+
+
+@query(f"WITH {V_SQL}, t AS (SELECT * FROM v ORDER BY quality_weight DESC, id LIMIT 40), s AS (SELECT id, quality_weight * exp(-0.002 * greatest(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(occurred_at), 0) / 86400e6) AS score FROM t) SELECT id, round(score, 9) AS score FROM s ORDER BY score DESC, id LIMIT 10")
+def k5_style_patterns(t):
+    top = vectors(t).orderBy(F.desc("quality_weight"), "id").limit(40)
+    return top.select("id", F.round(V.recency(F.col("quality_weight"), F.col("occurred_at"), AS_OF), 9).alias("score")).orderBy(F.desc("score"), "id").limit(10)
+
+
+@query(r"WITH s AS (SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil((length(text) - 1000) / 800), 0) AS BIGINT) * 800 + 1, 800)) AS s FROM documents WHERE lang = 'en'), c AS (SELECT doc_id, s, " + STRIP.format("substr(text, s + 1, 1000)") + " AS chunk FROM s UNION ALL SELECT doc_id, 0, " + STRIP.format("text") + " FROM documents WHERE lang <> 'en') SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS chunk_no, sha256(chunk) AS chunk FROM c WHERE chunk <> ''")
+def c3_routed(t):
+    return chunking.routed(t("documents"), "text", "lang", ["doc_id"], ["en"], ["es"]).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.sha2("chunk", 256).alias("chunk"))
+
+
+@query()
+def c5_section_packs(t):
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("# "), x)).otherwise(x))
+    s = chunking.sections(t("documents").select("doc_id", F.array_join(lines, "\n").alias("text")), "text", "doc_id")
+    return chunking.section_packs(s, "doc_id", "section", "title", "body", 400)
+
+
+@query("WITH l AS (SELECT *, concat('[', role, ' | ', conv_id, ']', chr(10), coalesce(text, '')) AS line FROM conversations), p AS (SELECT *, CAST(floor(coalesce(sum(length(line)) OVER (PARTITION BY conv_id ORDER BY turn, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 500) AS BIGINT) + 1 AS pack_no FROM l) SELECT conv_id, pack_no, count(*) AS n_messages, string_agg(line, chr(10) || '---' || chr(10) ORDER BY turn, line) AS pack FROM p GROUP BY conv_id, pack_no")
+def c8_message_packs(t):
+    head = F.concat(F.lit("["), "role", F.lit(" | "), "conv_id", F.lit("]"))
+    m = t("conversations").withColumn("line", F.concat(head, F.lit("\n"), F.coalesce("text", F.lit(""))))
+    return memory.message_packs(m, "conv_id", ["turn", "line"], head, "text", 500)
+
+
+@query()
+def c9_joined_lines(t):
+    return t("documents").select("doc_id", T.joined_lines(F.col("text")).alias("joined"))
+
+
+CAPTION_SQL = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '[​‌‍﻿]', '', 'g'), '\s+', ' ', 'g'), '^[ -]+|[ -]+$', '', 'g')".replace('\\"', '"')
+
+
+def _caption_files(t) -> DataFrame:
+    words = F.regexp_replace("text", r"\s+", " ")
+    cue = F.concat(F.format_string("00:%02d:%02d.500 --> 00:%02d:%02d.000\n", F.floor(F.col("turn") / 60), F.col("turn") % 60, F.floor((F.col("turn") + 1) / 60), (F.col("turn") + 1) % 60), F.lit("<c>"), words, F.lit("</c>"))
+    return t("conversations").where("text is not null").select("conv_id", "turn", F.concat(F.lit("WEBVTT\n\n"), cue).alias("vtt"), F.to_json(F.struct(F.array(F.struct((F.col("turn") * 1000).alias("tStartMs"), F.array(F.struct(words.alias("utf8"))).alias("segs"))).alias("events"))).alias("json"))
+
+
+@query("WITH s AS (SELECT conv_id, turn, " + CAPTION_SQL.format("text") + " AS text FROM conversations) SELECT conv_id, turn, 'vtt' AS form, CAST(turn + 0.5 AS DOUBLE) AS start, CAST(turn + 1 AS DOUBLE) AS \"end\", text FROM s WHERE text <> '' UNION ALL SELECT conv_id, turn, 'json', CAST(turn AS DOUBLE), CAST(turn AS DOUBLE), text FROM s WHERE text <> ''")
+def c10_c11_captions(t):
+    files, keep = _caption_files(t), ["conv_id", "turn"]
+    both = captions.vtt(files, "vtt", keep).withColumn("form", F.lit("vtt")).unionByName(captions.json3(files, "json", keep).withColumn("form", F.lit("json")))
+    return both.select(*keep, "form", "start", "end", "text")
+
+
+@query()
+def w8_rolling_captions(t):
+    segments = captions.vtt(_caption_files(t), "vtt", ["conv_id"]).withColumn("cue", F.col("start").cast("int"))
+    return captions.without_rolling_repeats(segments, "conv_id")
+
+
+@query(f"WITH {C_SQL} SELECT conv_id, turn, sha256(concat(kind, ':', {norm('text')})) AS fingerprint, CASE kind WHEN 'chats' THEN 0.45::DOUBLE ELSE 1.0::DOUBLE END AS quality_weight, kind = 'chats' AS style_only FROM c")
+def l2_voice_rows(t):
+    return memory.voice_rows(chat(t)).select("conv_id", "turn", "fingerprint", "quality_weight", "style_only")
+
+
+@query(f"WITH b AS (SELECT doc_id AS id, 'beliefs' AS kind, substr(text, 1, 50) AS content, greatest(0.0, least(1.0, (doc_id % 130) / 100)) AS confidence FROM documents UNION ALL SELECT doc_id, 'decisions', source, 0.0 FROM documents), f AS (SELECT *, sha256(concat(kind, ':', {norm('content')})) AS fingerprint, row_number() OVER (PARTITION BY kind, {norm('content')} ORDER BY id) AS r FROM b WHERE {STRIP.format('content')} <> '') SELECT id, kind, round(confidence, 6) AS confidence, fingerprint FROM f WHERE r = 1")
+def l3_u2_candidates(t):
+    entry = lambda c, n: F.array(F.struct(c.alias("content"), c.alias("quote"), n.alias("confidence")))
+    d = t("documents").select(F.col("doc_id").alias("id"), entry(F.substring("text", 1, 50), ((F.col("doc_id") % 130) / 100).cast("string")).alias("beliefs"), entry(F.col("source"), F.lit("unclear")).alias("decisions"))
+    return memory.candidates(d, ["beliefs", "decisions"]).select("id", "kind", F.round("confidence", 6).alias("confidence"), "fingerprint")
+
+
+@query(f"SELECT CASE WHEN {norm('substr(text, 5, 40)')} <> '' AND contains({norm('text')}, {norm('substr(text, 5, 40)')}) AND doc_id % 100 >= 75 AND (length(source) >= 40 OR length(substr(text, 5, 40)) >= 30) THEN 'queue' ELSE 'pending_confirm' END AS decision, count(*) AS n FROM documents GROUP BY decision")
+def l4_gate_report(t):
+    d = t("documents").withColumn("decision", memory.gate((F.col("doc_id") % 100) / 100, F.col("text"), F.substring("text", 5, 40), F.col("source")))
+    return d.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {K_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY {norm('content')} ORDER BY id) AS n FROM k), g AS (SELECT *, greatest(sum(CAST(length(content) >= 100 AS INT)) OVER (PARTITION BY source_book, category ORDER BY id), 1) AS grp FROM r WHERE n = 1), h AS (SELECT coalesce(min(id) FILTER (length(content) >= 100), min(id)) AS id, count(*) AS parts, sum(length(content)) + 2 * (count(*) - 1) AS size, list(id) AS ids FROM g GROUP BY source_book, category, grp) SELECT id, CASE WHEN size > 5000 THEN 'split' WHEN parts > 1 THEN 'update' ELSE 'keep' END AS action, CAST(size AS BIGINT) AS size FROM h UNION ALL SELECT id, 'delete', 0 FROM k WHERE id NOT IN (SELECT id FROM h)")
+def l13_cleanup_plan(t):
+    return memory.cleanup_plan(knowledge(t)).select("id", "action", F.when(F.col("action") == "delete", 0).otherwise(F.length("content")).cast("long").alias("size"))
+
+
+@query()
+def l14_applied_plan(t):
+    return memory.applied_plan(knowledge(t), memory.cleanup_plan(knowledge(t)))
+
+
+@query("""SELECT doc_id, '{"lang":"' || lang || '"}' AS old_value, CASE WHEN doc_id % 11 <> 0 THEN '{"lang":"new"}' END AS new_value FROM documents WHERE doc_id % 5 = 0 OR doc_id % 11 = 0""")
+def l15_audit(t):
+    d = t("documents").select("doc_id", "lang")
+    return memory.audit(d, d.where("doc_id % 11 <> 0").withColumn("lang", F.when(F.col("doc_id") % 5 == 0, "new").otherwise(F.col("lang"))), "doc_id")
+
+
+@query(f"WITH {K_SQL} SELECT id FROM k WHERE verification_status <> 'rejected' OR EXISTS (SELECT 1 FROM k WHERE verification_status = 'pending')")
+def l16_purged(t):
+    s = F.col("verification_status")
+    return memory.purged(knowledge(t), s == "rejected", s == "pending").select("id")
+
+
+@query("WITH a AS (SELECT source, lang, min(substr(text, 1, 30)) AS old FROM documents WHERE doc_id % 3 = 1 GROUP BY ALL) SELECT CASE WHEN old IS NULL THEN 'insert' WHEN NOT (contains(lower(trim(substr(text, 1, 30), ' ' || chr(10))), lower(trim(old, ' ' || chr(10)))) OR contains(lower(trim(old, ' ' || chr(10))), lower(trim(substr(text, 1, 30), ' ' || chr(10))))) THEN 'update' ELSE 'skip' END AS outcome, count(*) AS n FROM documents LEFT JOIN a USING (source, lang) WHERE doc_id % 3 = 0 GROUP BY outcome")
+def l17_seed_outcomes(t):
+    d = t("documents").select("doc_id", "source", "lang", F.substring("text", 1, 30).alias("value"))
+    active = d.where("doc_id % 3 = 1").groupBy("source", "lang").agg(F.min("value").alias("value"))
+    return memory.seed_outcomes(d.where("doc_id % 3 = 0"), active, ["source", "lang"], "value").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT source, 'langs' AS pattern_type, list(DISTINCT lang ORDER BY lang) AS patterns FROM documents GROUP BY source UNION ALL SELECT source, 'long', list(DISTINCT lang ORDER BY lang) FILTER (length(text) > 15000) FROM documents GROUP BY source HAVING count(*) FILTER (length(text) > 15000) > 0")
+def l18_style_rows(t):
+    far = F.sort_array(F.collect_set(F.when(F.length("text") > 15000, F.col("lang"))))
+    m = t("documents").groupBy("source").agg(F.create_map(F.lit("langs"), F.sort_array(F.collect_set("lang")), F.lit("long"), far).alias("m"))
+    return memory.style_rows(m, "m")
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, arg_max(value, (ts, event_id)) FILTER (event_type = 'purchase') AS amount, coalesce(max(CASE WHEN event_type = 'error' THEN event_id END), max(event_id)) AS journal_id FROM events GROUP BY user_id")
+def l20_l21_current_drafts(t):
+    e = t("events").withColumn("at", F.struct("ts", "event_id")).withColumn("set_state", F.struct(F.col("event_type").alias("value"))).withColumn("set_amount", F.when(F.col("event_type") == "purchase", F.struct("value")))
+    journal = e.groupBy("user_id").agg(F.coalesce(F.max(F.when(F.col("event_type") == "error", F.col("event_id"))), F.max("event_id")).alias("journal_id"))
+    return memory.current_drafts(e, "user_id", F.col("at"), ["state", "amount"]).drop("updated").join(journal, "user_id")
+
+
+@query("SELECT doc_id, list_transform(range(8), lambda i: len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 8 = i))) AS counts FROM documents WHERE doc_id % 4 <> 0")
+def s15_embedded(t):
+    d = t("documents").select(F.col("doc_id").alias("id"), "text")
+    known = d.where("id % 4 = 0").select("id", T.fingerprint(F.col("text")).alias("fingerprint"))
+    return retrieval.embedded(d, known, "text", n=8).select(F.col("id").alias("doc_id"), F.col("embedding").cast("array<bigint>").alias("counts"))
+
+
+@query(f"SELECT event_id AS draft_id, sha256(concat('draft:', {norm('event_type')})) AS fingerprint, 0.4::DOUBLE AS quality_weight FROM events WHERE event_type = 'purchase'")
+def t3_publish_feedback(t):
+    return ingest.feedback_rows(t("events").where("event_type = 'purchase'").select(F.col("event_id").alias("draft_id"), F.col("event_type").alias("final_text"))).drop("text")

@@ -38,3 +38,21 @@ def text_tree(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
 def replace_books(chunks: DataFrame, path: str) -> None:
     """Replace all chunks of the books in ``chunks`` and leave other books alone."""
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_book").parquet(path)
+
+
+def json_items(spark: SparkSession, path: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(objects as variants, counts of what was skipped by file) of files that hold a list, or an object with the list under ``key``."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v"))
+    items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.try_variant_get("v", f"$.{key}", "array<variant>"))
+    rows = files.select("path", F.posexplode(items).alias("pos", "item"))
+    is_object = F.schema_of_variant("item").startswith("OBJECT")
+    return rows.where(is_object), rows.groupBy("path").agg(F.count_if(~is_object).alias("skipped"))
+
+
+def write_corpus(messages: DataFrame, path: str) -> None:
+    """Posts and chats in folders of their own; both together is the whole table."""
+    messages.write.mode("overwrite").partitionBy("kind").parquet(path)
+
+
+def append_log(rows: DataFrame, path: str, summary: str = "summary", limit: int = 1000) -> None:
+    rows.withColumn(summary, F.substring(summary, 1, limit)).write.mode("append").parquet(path)

@@ -46,3 +46,26 @@ def channel_posts(posts: DataFrame, ledger: str, dead: str, checkpoint: str, lat
 
     unique = posts.withWatermark("date", late).dropDuplicatesWithinWatermark(["channel_id", "message_id"])
     return unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ops_status(events: DataFrame, checkpoint: str, sink: str) -> StreamingQuery:
+    """Stream of operation events to the latest status of each type, in update mode; ``sink`` holds the changes of every batch."""
+    from textloom.operators import lifecycle
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(sink)
+
+    return lifecycle.latest_status(events).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def feedback_rows(published: DataFrame) -> DataFrame:
+    """Voice rows of published drafts, weight 0.4."""
+    return published.select("draft_id", F.col("final_text").alias("text"), T.fingerprint(F.lit("draft"), F.col("final_text")).alias("fingerprint"), F.lit(0.4).alias("quality_weight"))
+
+
+def publish_feedback(published: DataFrame, voice: str, checkpoint: str) -> StreamingQuery:
+    """Stream published drafts into the voice table; a batch that comes again is written over itself."""
+    def write(batch: DataFrame, number: int) -> None:
+        feedback_rows(batch.dropDuplicates(["draft_id"])).write.mode("overwrite").parquet(f"{voice}/batch={number}")
+
+    return published.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
