@@ -98,15 +98,16 @@ class Lattice:
 class Arrays:
     """The same lattice over many words at once: words of one length are the columns of whole-array steps.
 
-    A substring is looked up by its rolling hash among the pieces of its length; words beyond ``LONG`` characters go one by one.
+    A substring is looked up by its rolling hash among the pieces of its length, after a bitmap has turned most others away;
+    words beyond ``LONG`` characters go one by one.
     """
 
-    LONG, TOGETHER, BASE = 64, 32768, np.uint64(0x9E3779B97F4A7C15)
+    LONG, TOGETHER, BASE, SHIFT = 64, 65536, np.uint64(0x9E3779B97F4A7C15), np.uint64(46)
 
     def __init__(self, lattice: Lattice) -> None:
         self.one, self.names = lattice, list(lattice.pieces)
         self.logs = np.array([lattice.pieces[p] for p in self.names])
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for k in set(map(len, self.names)):
             own = np.array([i for i, p in enumerate(self.names) if len(p) == k])
             h = self._codes([self.names[i] for i in own])
@@ -114,7 +115,9 @@ class Arrays:
             for c in h.T:
                 rolled = rolled * self.BASE + c
             order = np.argsort(rolled)
-            self.by_length[k] = rolled[order], own[order]
+            maybe = np.zeros(1 << 18, bool)
+            maybe[rolled * self.BASE >> self.SHIFT] = True
+            self.by_length[k] = rolled[order], own[order], maybe
 
     @staticmethod
     def _codes(words: list[str]) -> np.ndarray:
@@ -133,15 +136,18 @@ class Arrays:
                 h = h * self.BASE + codes[:, j - 1]
                 if j - i not in self.by_length:
                     continue
-                keys, ids = self.by_length[j - i]
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = keys[at] == h
-                found = [(np.flatnonzero(hit), True)] + ([(np.flatnonzero(~hit), False)] if j == i + 1 else [])
-                for which, is_piece in found:
+                keys, ids, maybe = self.by_length[j - i]
+                which = np.flatnonzero(maybe[h * self.BASE >> self.SHIFT])
+                at = np.minimum(np.searchsorted(keys, h[which]), len(keys) - 1)
+                hit = keys[at] == h[which]
+                which, at = which[hit], at[hit]
+                found = [(which, ids[at])]
+                if j == i + 1 and len(which) < n:
+                    found.append((np.setdiff1d(np.arange(n), which, assume_unique=True), None))
+                for which, piece in found:
                     if not len(which):
                         continue
-                    piece = ids[at[which]] if is_piece else None
-                    p = self.logs[piece] if is_piece else np.array([sum(self.one.spelt[b] for b in words[w][i].encode("utf-8", "surrogatepass")) for w in which])
+                    p = self.logs[piece] if piece is not None else np.array([sum(self.one.spelt[b] for b in words[w][i].encode("utf-8", "surrogatepass")) for w in which])
                     edges.append((i, j, which, piece, p))
                     alpha[j, which] = np.logaddexp(alpha[j, which], alpha[i, which] + p)
         return alpha, edges, size
@@ -213,6 +219,18 @@ def together(batches: Iterator[pa.RecordBatch], n: int, *columns: str) -> Iterat
         yield held
 
 
+def gathered(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches, of ``n`` rows and a little more."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= n:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def scored(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -266,9 +284,9 @@ def scored(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Da
 
     def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Arrays(Lattice(*last))
-        for b in batches:
-            words, which = np.unique(b.column("word").to_numpy(zero_copy_only=False), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("pos"), b.column("c"), pa.array(model.log10(words.tolist())[which], pa.float64())], ["block", "pos", "c", "p"])
+        for b in gathered(batches, Arrays.TOGETHER):
+            words = b.column("word").dictionary_encode()
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("pos"), b.column("c"), pa.array(model.log10(words.dictionary.to_pylist())[words.indices.to_numpy()], pa.float64())], ["block", "pos", "c", "p"])
 
     back = placed.select("block", "pos", "c", "word").mapInArrow(by_word, "block long, pos int, c long, p double").groupBy("block").agg(F.collect_list(F.struct("pos", "c", "p")).alias("words"))
 
