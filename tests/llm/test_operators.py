@@ -119,6 +119,34 @@ def test_vp_tree_links_equal_brute_force():
     assert len(shards) > 4 and all(any({int(points[i]), int(points[j])} <= s for s in shards) for i, j in pairs)
 
 
+def united(points, found):
+    root = {int(p): int(p) for p in points}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for members, r in found:
+        for m in members.tolist():
+            a, b = find(m), find(r)
+            root[max(a, b)] = min(a, b)
+    return {int(p): find(int(p)) for p in points}
+
+
+def test_unsplittable_balls_keep_chains():
+    chain = np.array([3, 12, 15], np.uint64)
+    assert set(united(chain, simhash_vp._by_flips(chain, 2)).values()) == {3}
+    rng = np.random.default_rng(2)
+    shell = np.unique(np.array([sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(9700)], np.uint64))
+    assert len(shell) > 8192
+    want = united(shell, simhash_vp._walked(shell, 2))
+    assert united(shell, simhash_vp.links(shell, 2)) == united(shell, simhash_vp._by_flips(shell, 2)) == want
+    spread = np.unique(np.array([sum(1 << int(b) for b in rng.choice(64, 8, replace=False)) for _ in range(3000)], np.uint64))
+    want = united(spread, simhash_vp._walked(spread, 6))
+    assert 1 < len(set(want.values())) < len(spread) and united(spread, simhash_vp._by_blocks(spread, 6)) == want
+
+
 def test_weak_supervision_base_counts_and_verdicts(spark, odd):
     d = docs(spark)
     got = {r.doc_id: r for r in weak_rules.judged(d).collect()}

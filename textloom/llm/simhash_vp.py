@@ -118,8 +118,12 @@ def route(nodes: list[tuple[int, int, int, int]], points: np.ndarray, bits: int)
 def _exact(points: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, int]]:
     """Links inside ``points``, as groups around a member: a breadth-first walk that measures each fingerprint against the unvisited ones only."""
     if len(points) > 8192:
-        yield from _by_flips(points, bits)
+        yield from (_by_flips if bits <= 2 else _by_blocks)(points, bits)
         return
+    yield from _walked(points, bits)
+
+
+def _walked(points: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, int]]:
     if len(points) <= 2 * LEAF:
         near = np.bitwise_count(points[:, None] ^ points[None, :]) <= bits
         points = points[near.sum(1) > 1]
@@ -138,19 +142,54 @@ def _exact(points: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, int]]:
             yield group, int(root)
 
 
+def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give all that ``a`` and ``b`` (positions, pairwise linked) reach the smallest label among them, in place."""
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (up := label[label]).tobytes() != label.tobytes():
+            label[:] = up
+
+
+def _labelled(points: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    order = np.argsort(label, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+        if len(at) > 1:
+            yield points[at[1:]], int(points[at[0]])
+
+
 def _by_flips(points: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, int]]:
-    """For a ball that no vantage point parts: look up every fingerprint with up to ``bits`` bits flipped, in linear time."""
+    """For a ball that no vantage point parts: look up every fingerprint with up to ``bits`` bits flipped, in linear time; each link found unites both ends."""
     points = np.sort(points)
-    masks = [sum(1 << b for b in c) for k in range(1, bits + 1) for c in combinations(range(64), k)]
     label = np.arange(len(points))
-    for m in map(np.uint64, masks):
-        other = points ^ m
+    for m in (sum(1 << b for b in c) for k in range(1, bits + 1) for c in combinations(range(64), k)):
+        other = points ^ np.uint64(m)
         at = np.minimum(np.searchsorted(points, other), len(points) - 1)
-        hit = points[at] == other
-        np.minimum.at(label, np.flatnonzero(hit), at[hit])
-    linked = label < np.arange(len(points))
-    for root in np.unique(label[linked]):
-        yield points[linked & (label == root)], int(points[root])
+        hit = np.flatnonzero((points[at] == other) & (other < points))
+        if len(hit):
+            _unite(label, hit, at[hit])
+    yield from _labelled(points, label)
+
+
+def _by_blocks(points: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, int]]:
+    """The same for more bits, where flips are too many: fingerprints within ``bits`` bits agree in one of ``bits`` + 1 blocks of bits, so those
+    that share a block are walked together."""
+    points = np.sort(points)
+    label = np.arange(len(points))
+    cuts = [64 * k // (bits + 1) for k in range(bits + 2)]
+    for low, high in zip(cuts, cuts[1:]):  # noqa: B905
+        key = points >> np.uint64(low) & np.uint64((1 << high - low) - 1)
+        order = np.argsort(key, kind="stable")
+        a, b = [], []
+        for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            for members, root in _walked(points[at], bits) if len(at) > 1 else ():
+                a.append(members)
+                b.append(np.full(len(members), root, np.uint64))
+        if a:
+            _unite(label, np.searchsorted(points, np.concatenate(a)), np.searchsorted(points, np.concatenate(b)))
+    yield from _labelled(points, label)
 
 
 def links(points: np.ndarray, bits: int, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, int]]:
