@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from textloom.llm import gif, html_mss, lattice_lm, lgs_pack, line_align, phrase_automata, simhash_vp, sp_unigram, warc_chunks, weak_rules
+from textloom.llm import gif, html_mss, lattice_lm, lgs_pack, line_align, phrase_automata, shingle_sets, simhash_vp, sp_unigram, warc_chunks, weak_rules
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -147,6 +147,39 @@ def test_unsplittable_balls_keep_chains():
     assert 1 < len(set(want.values())) < len(spread) and united(spread, simhash_vp._by_blocks(spread, 6)) == want
 
 
+def test_pipeline_near_duplicates_by_similarity(spark, odd):
+    rng = random.Random(11)
+    texts = {}
+    for g in range(120):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        texts[2 * g] = " ".join(words)
+        for at in rng.sample(range(300), g % 12):
+            words[at] = f"z{rng.randrange(5000)}"
+        texts[2 * g + 1] = " ".join(words)
+    common_part = [f"c{i}" for i in range(200)]
+    for i in range(1000, 1060):  # share a long passage, but are not alike
+        texts[i] = " ".join(common_part + [f"u{rng.randrange(10**6)}" for _ in range(150)])
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    want = set(texts) - {i for i in texts if i % 2 and i < 240 and len(sets[i] & sets[i - 1]) >= 0.8 * len(sets[i] | sets[i - 1])}
+    assert 120 < len(want) - 60 < 239
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()} == want
+    d = docs(spark)
+    given = {r.doc_id: shingle_sets.shingles(r.text, 5) for r in d.collect()}
+    root = {i: i for i in given}
+    changed = True
+    pairs = [(a, b) for a in given for b in given if a < b and shingle_sets.similarity(given[a], given[b]) >= 0.8]
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, d, SF).collect()} == {i for i, r in root.items() if i == r}
+    kept = corpus_pipeline.near_duplicates(spark, odd, SF).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3, 5, 6, 7, 8]
+
+
 def test_weak_supervision_base_counts_and_verdicts(spark, odd):
     d = docs(spark)
     got = {r.doc_id: r for r in weak_rules.judged(d).collect()}
