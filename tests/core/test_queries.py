@@ -52,6 +52,13 @@ def test_nearest_skips_null_and_zero_vectors(spark):
     assert got == {(1, 1), (1, 4), (4, 4), (4, 1)}
 
 
+def test_semantic_duplicates_behind_other_kinds(spark):
+    rows = [(1, "a", [1.0, 0.0])] + [(i, "b", [1.0, i / 1000]) for i in range(2, 22)] + [(30, "a", [1.0, 0.5]), (31, "a", [1.0, 0.6]), (32, "a", [0.0, 1.0]), (33, "a", None)]
+    c = spark.createDataFrame(rows, "id long, kind string, embedding array<float>")
+    found = lambda **o: [(r.query_id, r.duplicate_of) for r in retrieval.semantic_duplicates(c, c.where("id = 1"), "kind", 0.85, **o).collect()]
+    assert found() == [(1, 30)] and found(compat=True) == []
+
+
 def test_conflict_ledger_and_decisions(spark):
     r = spark.createDataFrame([(1, "t", 1, "draft"), (2, "t", 2, "approved"), (3, "t", 3, "approved")], "request_id int, token string, at int, state string")
     assert [x.outcome for x in tables.publish_ledger(r).orderBy("request_id").collect()] == ["rejected", "accepted", "duplicate"]

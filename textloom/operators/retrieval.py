@@ -16,9 +16,11 @@ from textloom.functions import vectors as V
 QUERY_BLOCK = 2048
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", row_id: str = "id", vector: str = "embedding") -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", row_id: str = "id", vector: str = "embedding", kind: str | None = None) -> DataFrame:
     """query_id, id, similarity and rank of the ``k`` corpus rows most similar to each query; ties go to the smaller id.
 
+    With ``kind``, a column of both sides, only rows of the query's kind count; a null kind matches nothing.
+
     The query side travels in blocks of a fixed size; each task multiplies matrices and sends on its own top k of a query, so the shuffle holds
     k rows a query and task. Null and zero vectors match nothing.
     """
@@ -26,13 +28,15 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "quer
     n = queries.count()
     for block in range(-(-n // QUERY_BLOCK) or 1):
         some = queries if n <= QUERY_BLOCK else queries.where(F.pmod(F.xxhash64(query_id), F.lit(-(-n // QUERY_BLOCK))) == block)
-        rows = [(r[0], r[1]) for r in some.select(query_id, vector).where(F.col(vector).isNotNull()).collect()]
+        rows = some.select(query_id, vector, *[kind] if kind else []).where(F.col(vector).isNotNull()).collect()
+        codes = {x: i for i, x in enumerate({r[2] for r in rows} - {None})} if kind else {}
+        own = np.array([codes.get(r[2], -2) for r in rows] if kind else [], np.int64)
         ids = np.array([r[0] for r in rows], np.int64)
         q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
         norms = np.linalg.norm(q, axis=1, keepdims=True)
         q = np.divide(q, norms, out=np.full_like(q, np.nan), where=norms > 0)
 
-        def score(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q, codes: dict = codes, own: np.ndarray = own) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 pdf = pdf[pdf["v"].notna()]
                 if pdf.empty or not len(ids):
@@ -41,6 +45,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "quer
                 length = np.linalg.norm(c, axis=1, keepdims=True)
                 c = np.divide(c, length, out=np.full_like(c, np.nan), where=length > 0)
                 sims = np.nan_to_num(q @ c.T, nan=-2.0)
+                if kind:
+                    sims[own[:, None] != np.array([codes.get(x, -1) for x in pdf["kind"]], np.int64)] = -2.0
                 rid = pdf["id"].to_numpy(np.int64)
                 for i in range(0, len(ids), 256):
                     top = np.lexsort((np.broadcast_to(rid, sims[i : i + 256].shape), -sims[i : i + 256]), axis=1)[:, :k]
@@ -48,7 +54,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "quer
                     keep = s > -2.0
                     yield pd.DataFrame({"query_id": np.repeat(ids[i : i + 256], top.shape[1])[keep], "id": rid[top].ravel()[keep], "similarity": s[keep]})
 
-        found = corpus.select(F.col(row_id).cast("long").alias("id"), F.col(vector).alias("v")).mapInPandas(score, "query_id long, id long, similarity double")
+        found = corpus.select(F.col(row_id).cast("long").alias("id"), F.col(vector).alias("v"), *[F.col(kind).alias("kind")] if kind else []).mapInPandas(score, "query_id long, id long, similarity double")
         parts = found if parts is None else parts.union(found)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     del spark
@@ -61,11 +67,18 @@ def reranked(found: DataFrame, corpus: DataFrame, score: Column, k: int) -> Data
     return found.drop("rank").join(corpus, "id").withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def semantic_duplicates(corpus: DataFrame, queries: DataFrame, kind: str, threshold: float, k: int = 8) -> DataFrame:
-    """Each query's most similar other row of its kind, at the threshold or above."""
-    q = queries.select(F.col("id").alias("query_id"), F.col(kind).alias("_kind"), "embedding")
-    found = nearest(q, corpus, k + 1).where("query_id <> id").join(q.select("query_id", "_kind"), "query_id").join(corpus.select("id", kind), "id").where((F.col(kind) == F.col("_kind")) & (F.col("similarity") >= threshold))
-    return found.groupBy("query_id").agg(F.max_by("id", F.struct("similarity", -F.col("id"))).alias("duplicate_of"), F.max("similarity").alias("similarity"))
+def semantic_duplicates(corpus: DataFrame, queries: DataFrame, kind: str, threshold: float, k: int = 8, compat: bool = False) -> DataFrame:
+    """Each query's most similar other row of its kind, at the threshold or above; ties go to the smaller id.
+
+    Similarities are taken inside the kind. ``compat`` takes the ``k`` + 1 nearest rows of all kinds first and filters these by kind, as the
+    reference does, and so loses matches behind rows of other kinds.
+    """
+    if compat:
+        q = queries.select(F.col("id").alias("query_id"), F.col(kind).alias("_kind"), "embedding")
+        found = nearest(q, corpus, k + 1).where("query_id <> id").join(q.select("query_id", "_kind"), "query_id").join(corpus.select("id", kind), "id").where(F.col(kind) == F.col("_kind"))
+    else:
+        found = nearest(queries.select(F.col("id").alias("query_id"), kind, "embedding"), corpus, 2, kind=kind).where("query_id <> id")
+    return found.where(F.col("similarity") >= threshold).groupBy("query_id").agg(F.max_by("id", F.struct("similarity", -F.col("id"))).alias("duplicate_of"), F.max("similarity").alias("similarity"))
 
 
 def layer(found: DataFrame, line: Column, name: str, limit: int, placeholder: str = "-") -> DataFrame:

@@ -172,7 +172,14 @@ def j4_g6_exact_duplicates(t):
 @query(f"WITH {V_SQL}, s AS (SELECT q.id AS query_id, q.label, v.id, v.label AS other, list_cosine_similarity(q.embedding, v.embedding) AS s FROM v AS q, v WHERE q.id % 25 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM s) SELECT query_id, arg_max(id, s) AS duplicate_of, round(max(s), 6) AS similarity FROM n WHERE r <= 9 AND id <> query_id AND label = other AND s >= 0.2 GROUP BY query_id")
 def j5_semantic_duplicates(t):
     v = vectors(t)
-    found = retrieval.semantic_duplicates(v, v.where("id % 25 = 0"), "label", 0.2)
+    found = retrieval.semantic_duplicates(v, v.where("id % 25 = 0"), "label", 0.2, compat=True)
+    return found.select("query_id", "duplicate_of", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {V_SQL} SELECT q.id AS query_id, arg_max(v.id, (list_cosine_similarity(q.embedding, v.embedding), -v.id)) AS duplicate_of, round(max(list_cosine_similarity(q.embedding, v.embedding)), 6) AS similarity FROM v AS q JOIN v ON q.label = v.label AND q.id <> v.id WHERE q.id % 20 = 0 AND list_cosine_similarity(q.embedding, v.embedding) >= 0.2 GROUP BY q.id")
+def j5_semantic_duplicates_in_kind(t):
+    v = vectors(t)
+    found = retrieval.semantic_duplicates(v, v.where("id % 20 = 0"), "label", 0.2)
     return found.select("query_id", "duplicate_of", F.round("similarity", 6).alias("similarity"))
 
 
