@@ -101,6 +101,13 @@ def test_lists_find_what_exact_search_finds(spark):
     assert len(pairs(retrieval.nearest_in_lists(q, c, 6, 8, 6)) & exact) >= 0.8 * len(exact)
 
 
+def test_list_query_has_its_recall(spark):
+    c = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    pairs = lambda df: {(r.query_id, r.id) for r in df.collect()}
+    exact = pairs(retrieval.nearest(c.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), c, 6))
+    assert len(pairs(QUERIES["j11_nearest_in_lists"](spark, "/root/testdata/sf0.1")) & exact) >= 0.9 * len(exact)
+
+
 def test_rolling_captions(spark):
     rows = [(1, 0, 0.0, 1.0, "one two three"), (1, 1, 1.0, 2.0, "one two three four"), (1, 2, 2.0, 3.0, "two three four five six"), (1, 3, 3.0, 4.0, "five six"), (2, 0, 0.0, 1.0, "five six")]
     df = spark.createDataFrame(rows, "video int, cue int, start double, end double, text string")
