@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_intdigest
 
 #: A word, for Java's and Python's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,11 +22,11 @@ BLOCK_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where it is unset, as in local tests."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a single machine (a ``local`` master, as in tests) gets one of our own and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "textloom-scratch")
-    return found.rstrip("/")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or os.path.join(tempfile.gettempdir(), "textloom-scratch")).rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -60,6 +61,8 @@ def word_lists(data: bytes, size: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 CHUNK = 1 << 20
+#: Words over so many bytes are hashed by XXH3: long words of a special form can be made to collide in any polynomial modulo 2 ** 64.
+LONG_WORD = 48
 #: Odd multipliers of the two polynomial word hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
@@ -72,34 +75,39 @@ def _powers() -> list[tuple[np.ndarray, np.ndarray]]:
     return _POWERS
 
 
-def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash, other hash) of every word of UTF-8 ``data``, in whole-array steps.
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of every word of UTF-8 ``data``."""
+    inside = np.concatenate(([False], ~SPACE[np.frombuffer(data, np.uint8)], [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
 
-    The two 64-bit hashes of a word are independent polynomials of its bytes, got from prefix sums a megabyte at a time.
+def hashed_words(data: bytes, hashes: int = 2) -> tuple[np.ndarray, ...]:
+    """(start, end, hash, other hash) of every word of UTF-8 ``data``, in whole-array steps; only as many hashes as asked for.
+
+    The two 64-bit hashes of a word up to LONG_WORD bytes are polynomials of its bytes with different bases, got from prefix sums a megabyte
+    at a time; those of a longer word are the halves of its XXH3 hash.
     """
     arr = np.frombuffer(data, np.uint8)
-    inside = np.concatenate(([False], ~SPACE[arr], [False]))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    out = np.empty((2, len(starts)), np.uint64)
+    starts, ends = word_places(data)
+    out = np.empty((hashes, len(starts)), np.uint64)
     i = 0
     while i < len(starts):
         low = int(starts[i])
-        j = int(np.searchsorted(ends, low + CHUNK, side="right"))
-        if j <= i:  # a word beyond a megabyte
-            out[:, i] = [xxh64_intdigest(data[low : ends[i]], b % 1000) for b in BASES]
-            i += 1
-            continue
-        at, to = starts[i:j] - low, ends[i:j] - low
-        seg = arr[low : ends[j - 1]].astype(np.uint64) + np.uint64(1)
-        for k, (power, inverse) in enumerate(_powers()):
+        j = max(i + 1, int(np.searchsorted(ends, low + CHUNK, side="right")))
+        at, to = starts[i:j] - low, np.minimum(ends[i:j] - low, CHUNK)
+        seg = arr[low : low + int(to[-1])].astype(np.uint64) + np.uint64(1)
+        for k, (power, inverse) in enumerate(_powers()[:hashes]):
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(seg * power[: len(seg)])))
             h = (sums[to] - sums[at]) * inverse[at]
             h ^= h >> np.uint64(31)
             h *= power[5]
             out[k, i:j] = h ^ (h >> np.uint64(29))
         i = j
-    return starts, ends, out[0], out[1]
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        whole = xxh3_128_intdigest(data[starts[i] : ends[i]])
+        out[:, i] = (whole >> 64, whole & (1 << 64) - 1)[:hashes]
+    return starts, ends, *out
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,14 @@
 """Operator 8, substring dedup with repeated-phrase automata.
 
-1. Of every 35-word window one inner phrase of 8 words is chosen by its hash (the smallest of the window), so equal windows choose
-   equal phrases and few phrases stand for all windows. Phrases chosen twice or more anywhere recur.
-2. The documents are kept in blocks of a few megabytes. Each block is a shard: an Aho-Corasick automaton is compiled from those recurring phrases that
-   occur in the block's own documents, and every document of the block is streamed through it to locate every occurrence.
-   Windows around the located phrases are candidates; their 128-bit hashes are counted over all blocks and repeated ones confirmed.
-3. Each block gets back its confirmed windows, and the words that they cover go.
-
-A shard's automaton is bounded by its block, however many phrases recur in the corpus, and a document meets one automaton only.
+1. Passages. Of every 35-word window one phrase of 8 words is its anchor (the smallest by hash, the leftmost of equals), so equal windows have equal
+   anchors. The windows that one occurrence of an anchor stands for lie next to each other; the words they cover are a passage of 35 to 62 words.
+2. Confirmation. Passages are counted over all documents by the 128-bit hash of their words; those found twice or more recur whole. Where an anchor recurs but
+   a passage around it does not, its windows are counted one by one, so that a passage comes out with a mask of its recurring windows.
+3. Automata. The documents are kept in blocks of a few megabytes. A block is a shard: an Aho-Corasick automaton is compiled from the anchors of
+   the confirmed passages that the block holds, and every document of the block is streamed through it. Each hit is held against the confirmed passages of
+   that anchor, byte by byte, and the words of their recurring windows go. What the automaton does not locate is not removed.
+
+A shard's automaton is bounded by its block, however many passages recur in the corpus, and a document meets one automaton only.
 """
 
 from __future__ import annotations
@@ -18,156 +19,229 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_intdigest
 
 from . import common
 
 WINDOW, PHRASE = 35, 8
+#: Phrases in a window.
+WITHIN = WINDOW - PHRASE + 1
 BLOCK = 8 << 20
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
+#: A place is a word's number in its block, how many words of its passage come before it, and the passage's windows.
+BEFORE_BITS = WINDOWS_BITS = 5
 
 
-def _mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
-    h = (a * ODD[salt]) ^ (b + ODD[(salt + 1) % 3])
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = (a * ODD[0]) ^ (b + ODD[1])
     h ^= h >> np.uint64(29)
-    h *= ODD[(salt + 2) % 3]
+    h *= ODD[2]
     return h ^ (h >> np.uint64(32))
 
 
-def runs_hashed(words: np.ndarray, n: int, salt: int) -> np.ndarray:
-    """Hash of every ``n`` consecutive entries, by doubling; empty if there are fewer."""
-    if len(words) < n:
-        return words[:0]
-    have, out, power, width = None, 0, words, 1
-    while True:
-        if n & width:
-            have = power if have is None else _mix(have[: len(words) - out - width + 1], power[out:], salt)
-            out += width
-        if out == n:
-            return have[: len(words) - n + 1]
-        power = _mix(power[: len(power) - width], power[width:], salt)
+def phrase_hashes(words: np.ndarray) -> np.ndarray:
+    """Hash of every PHRASE consecutive entries, never 0; empty if there are fewer."""
+    width = 1
+    while width < PHRASE:
+        words = _mix(words[:-width], words[width:]) if len(words) > width else words[:0]
         width *= 2
+    return words | np.uint64(1)
 
 
-def chosen(phrases: np.ndarray, within: int) -> np.ndarray:
-    """Positions of the smallest entry of every ``within`` consecutive ones (the first of equals), each position once."""
-    n = len(phrases) - within + 1
-    if n < 1:
-        return np.zeros(0, np.int64)
-    least, width = phrases, 1
-    while width < within:
-        step = min(width, within - width)
-        least = np.minimum(least[: len(least) - step], least[step:])
+def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
+    """``pick`` over every ``n`` consecutive entries, by doubling."""
+    width = 1
+    while width < n:
+        step = min(width, n - width)
+        x = pick(x[:-step], x[step:])
         width += step
-    least = least[:n]
-    # All positions that hold a window's smallest value: a superset of the first of equals, and the same set in equal windows.
-    reach = np.zeros(len(phrases), bool)
-    for k in range(within):
-        reach[k : k + n] |= phrases[k : k + n] == least
-    return np.flatnonzero(reach)
+    return x
 
 
 class Block:
-    """The texts of a block as arrays: where each word starts and ends, its two hashes, and which words are whose."""
+    """The texts of a block, their words joined by single spaces: where each word starts and ends, and which words are whose."""
 
     def __init__(self, texts: list[str | None]) -> None:
         self.texts = [common.text_or_empty(t) for t in texts]
-        self.start, self.end, self.a, self.b = common.hashed_words(b"\n".join(self.texts))
-        self.origin = np.cumsum([0] + [len(t) + 1 for t in self.texts])
-        self.first = np.searchsorted(self.start, self.origin)
-
-    def words_of(self, k: int) -> slice:
-        return slice(int(self.first[k]), int(self.first[k + 1]))
-
-    def long_enough(self) -> Iterator[tuple[int, slice]]:
-        return ((k, self.words_of(k)) for k in np.flatnonzero(np.diff(self.first) >= WINDOW).tolist())
-
-    def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, times, a place) of the chosen phrases; a phrase twice in one document counts twice."""
-        places = []
-        every = runs_hashed(self.a, PHRASE, 0)
-        for _, own in self.long_enough():
-            p = every[own.start : own.stop - PHRASE + 1]
-            places.append(own.start + chosen(p, WINDOW - PHRASE + 1))
-        at = np.concatenate(places) if places else np.zeros(0, np.int64)
-        h, where, n = np.unique(every[at], return_index=True, return_counts=True)
-        return h, n, at[where]
-
-    def located(self, recurring: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(document, starts of the windows around a recurring phrase): stream each document through the block's automaton.
-
-        A letter of the automaton is a word, numbered within the block; numbers are characters while there are enough of those.
+        plain = [b" ".join(b" ".join(words) for words in common.word_lists(t)) for t in self.texts]
+        self.data = b"\n".join(plain)
+        self.start, self.end = common.word_places(self.data)
+        self.first = np.searchsorted(self.start, np.cumsum([0] + [len(t) + 1 for t in plain]))
+        self.first[-1] = len(self.start)
+
+    def words(self) -> np.ndarray:
+        return common.hashed_words(self.data, 1)[2]
+
+    def passages(self) -> tuple[np.ndarray, ...]:
+        """(anchor's hash, two halves of the passage's hash, place, times up to 2) of each distinct passage of the block."""
+        phrases = phrase_hashes(self.words())
+        n = len(phrases) - WITHIN + 1
+        if n < 1:
+            return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int32))
+        inside = np.zeros(n, bool)  # windows that cross no end of a document
+        for a, b in zip(self.first.tolist(), self.first[1:].tolist(), strict=False):
+            if b - a >= WINDOW:
+                inside[a : b - WINDOW + 1] = True
+        least = np.where(inside, _sliding(phrases, WITHIN, np.minimum), np.uint64(0))
+        padded = np.concatenate((np.zeros(WITHIN - 1, np.uint64), least, np.zeros(WITHIN - 1, np.uint64)))
+        at = np.flatnonzero(_sliding(padded, WITHIN, np.maximum) == phrases)  # each is the smallest of some window
+        own, low, high = phrases[at], np.full(len(at), -1), np.full(len(at), -2)
+        for k in range(WITHIN):
+            hit = padded[at + k] == own  # the window that starts at - WITHIN + 1 + k
+            low = np.where(hit & (low < 0), at - WITHIN + 1 + k, low)
+            high = np.where(hit, at - WITHIN + 1 + k, high)
+        again = np.flatnonzero((own[1:] == own[:-1]) & (np.diff(at) < WITHIN)) + 1
+        low[again] = np.maximum(low[again], at[again - 1] + 1)  # windows with two such phrases are the left one's
+        good = np.flatnonzero((low >= 0) & (high >= low))
+        own, at, low, high = own[good], at[good], low[good], high[good]
+        data, seen, where, times = self.data, {}, [], []
+        for k, (a, b) in enumerate(zip(self.start[low].tolist(), self.end[high + WINDOW - 1].tolist(), strict=True)):
+            i = seen.setdefault(xxh3_128_intdigest(data[a:b]), len(where))
+            if i == len(where):
+                where.append(k)
+                times.append(1)
+            else:
+                times[i] = 2
+        where = np.array(where, np.int64)
+        halves = [np.array([h >> 64 for h in seen], np.uint64), np.array([h & (1 << 64) - 1 for h in seen], np.uint64)]
+        place = (at[where] << BEFORE_BITS | at[where] - low[where]) << WINDOWS_BITS | high[where] - low[where]
+        return own[where], *halves, place, np.array(times, np.int32)
+
+    @staticmethod
+    def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word of the passage, words before its anchor, number of windows)."""
+        before = place >> WINDOWS_BITS & (1 << BEFORE_BITS) - 1
+        return (place >> WINDOWS_BITS + BEFORE_BITS) - before, before, (place & (1 << WINDOWS_BITS) - 1) + 1
+
+    def windows(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(position in ``place``, window's number in its passage, two halves of its hash) of every window of passages."""
+        low, _, n = self.unpacked(place)
+        which = np.repeat(np.arange(len(place)), n)
+        number = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        at = low[which] + number
+        data = self.data
+        found = [xxh3_128_intdigest(data[a:b]) for a, b in zip(self.start[at].tolist(), self.end[at + WINDOW - 1].tolist(), strict=True)]
+        return which, number, np.array([h >> 64 for h in found], np.uint64), np.array([h & (1 << 64) - 1 for h in found], np.uint64)
+
+    def located(self, place: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Which words of the block go: every document is streamed through the automaton of the confirmed passages (their places in the block
+        and the masks of their recurring windows).
+
+        Two letters of a small alphabet, from its hash, stand for a word: a node then has few children, which the automaton searches one by one.
+        Passages are compared as bytes, so words that share letters do no harm.
         """
-        h, _, at = self.phrases()
-        at = at[np.isin(h, recurring)]
-        if not len(at):
-            return
-        names, number = np.unique(self.a, return_inverse=True)
-        if len(names) < 0x10F000:
-            letters = np.where(number < 0xD800, number, number + 0x800).astype("<u4").tobytes().decode("utf-32-le")
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        else:
-            letters = tuple(number.tolist())
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for i in at.tolist():
-            automaton.add_word(letters[i : i + PHRASE], 1)
+        gone = np.zeros(len(self.start) + 1, np.int64)
+        if not len(place):
+            return gone[:-1] > 0
+        codes = (self.words() >> np.uint64(40)).astype(np.uint8)
+        letters = (np.stack((codes >> 4, codes & 15), axis=1) + 65).astype(np.uint8).tobytes().decode("ascii")
+        data, start, end = self.data, self.start.tolist(), self.end.tolist()
+        anchors: dict[str, set[tuple[int, int]]] = {}
+        passages: dict[bytes, int] = {}
+        for low, before, n, bits in zip(*(x.tolist() for x in self.unpacked(place)), mask.tolist(), strict=True):
+            anchors.setdefault(letters[2 * (low + before) : 2 * (low + before + PHRASE)], set()).add((before, n + WINDOW - 1))
+            passages[data[start[low] : end[low + n + WINDOW - 2]]] = bits
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for anchor, shapes in anchors.items():
+            automaton.add_word(anchor, tuple(shapes))
         automaton.make_automaton()
-        for k, own in self.long_enough():
-            n = own.stop - own.start - WINDOW + 1
-            ends = np.fromiter((e for e, _ in automaton.iter(letters[own])), np.int64)
-            if len(ends):
-                edge = np.zeros(n + 1, np.int64)  # windows from end - 34 to the phrase's start
-                np.add.at(edge, np.maximum(ends - WINDOW + 1, 0), 1)
-                np.add.at(edge, np.minimum(ends - PHRASE + 2, n), -1)
-                yield k, np.flatnonzero(np.cumsum(edge[:n]) > 0)
-
-    def windows(self, k: int, starts: np.ndarray) -> np.ndarray:
-        """128-bit hashes of the windows at ``starts`` of document ``k``."""
-        out, own = np.empty(len(starts), [("a", np.uint64), ("b", np.uint64)]), self.words_of(k)
-        out["a"], out["b"] = runs_hashed(self.a[own], WINDOW, 1)[starts], runs_hashed(self.b[own], WINDOW, 2)[starts]
-        return out
-
-    def without(self, k: int, gone: np.ndarray | None) -> tuple[int, int, str, str]:
-        """(words, words removed, SHA-256 of the kept words joined by spaces, text left).
+        froms, tos = [], []
+        for a, b in zip(self.first.tolist(), self.first[1:].tolist(), strict=False):
+            if b - a < WINDOW:
+                continue
+            for last, shapes in automaton.iter(letters[2 * a : 2 * b]):
+                if not last & 1:  # between words
+                    continue
+                for before, size in shapes:
+                    low = a + (last >> 1) - PHRASE + 1 - before
+                    if low < a or low + size > b:
+                        continue
+                    bits = passages.get(data[start[low] : end[low + size - 1]])
+                    if bits is None:
+                        continue
+                    if bits < 0:  # all windows
+                        froms.append(low)
+                        tos.append(low + size)
+                        continue
+                    for k in range(bits.bit_length()):
+                        if bits >> k & 1:
+                            froms.append(low + k)
+                            tos.append(low + k + WINDOW)
+        np.add.at(gone, np.array(froms, np.int64), 1)
+        np.add.at(gone, np.array(tos, np.int64), -1)
+        return np.cumsum(gone[:-1]) > 0
+
+    def without(self, k: int, gone: np.ndarray, keep_text: bool) -> tuple[int, int, str, str | None]:
+        """(words, words removed, SHA-256 of the kept words joined by spaces, text left) of document ``k``; ``gone`` is for all words of the block.
 
         The text is untouched where nothing goes; else a removed word goes with the white space after it.
         """
-        data, own, digest = self.texts[k], self.words_of(k), hashlib.sha256()
-        n = own.stop - own.start
-        if gone is None or not gone.any():
-            digest.update(b" ".join(data.split()))
-            return n, 0, digest.hexdigest(), data.decode("utf-8", "surrogatepass")
-        start = self.start[own] - self.origin[k]
-        edges = np.flatnonzero(np.diff(np.concatenate(([True], gone, [True])).astype(np.int8)))
-        parts = []
-        for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            parts.append(data[int(start[i]) if i else 0 : int(start[j]) if j < n else len(data)])
-        kept = 0
-        for part in parts:
-            words = part.split()
-            digest.update((b" " if kept and words else b"") + b" ".join(words))
-            kept += len(words)
-        return n, n - kept, digest.hexdigest(), b"".join(parts).decode("utf-8", "surrogatepass")
-
-
-def covered(n: int, starts: np.ndarray) -> np.ndarray:
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + WINDOW, -1)
-    return np.cumsum(edge[:n]) > 0
+        a, b = int(self.first[k]), int(self.first[k + 1])
+        own = gone[a:b]
+        edges = np.flatnonzero(np.diff(np.concatenate(([True], own, [True])).astype(np.int8))).tolist()
+        parts = list(zip(edges[::2], edges[1::2], strict=True))  # runs of kept words
+        digest = hashlib.sha256()
+        for n, (i, j) in enumerate(parts):
+            digest.update((b" " if n else b"") + self.data[self.start[a + i] : self.end[a + j - 1]])
+        text = None
+        if keep_text:
+            text = data = self.texts[k]
+            if own.any():
+                start = common.word_places(data)[0]
+                text = b"".join(data[int(start[i]) if i else 0 : int(start[j]) if j < b - a else len(data)] for i, j in parts)
+            text = text.decode("utf-8", "surrogatepass")
+        return b - a, int(own.sum()), digest.hexdigest(), text
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
 
 
-def one_list(x: np.ndarray) -> pa.Array:
-    """A column of one row: the list of these numbers."""
-    values = _signed(x)
+def one_list(values: pa.Array) -> pa.Array:
+    """A column of one row: the list of these values."""
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _texts(payload: pa.Scalar) -> list[str | None]:
+    return common.thaw(payload.as_py()).column("text").to_pylist()
+
+
+def _provided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of the passages asked for: block and place, number, hash, and how often it is known to stand somewhere (1 or 2)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            asked = batch.column("asked")[i].values
+            place, times = (asked.field(c).to_numpy(zero_copy_only=False) for c in ("place", "times"))
+            which, number, a, b = Block(_texts(batch.column("payload")[i])).windows(place)
+            for at in range(0, len(which), 65536):
+                w = which[at : at + 65536]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), batch.column("block")[i].as_py())), pa.array(place[w]), pa.array(number[at : at + 65536].astype(np.int32)), _signed(a[at : at + 65536]), _signed(b[at : at + 65536]), pa.array(times[w].astype(np.int32))], ["block", "place", "number", "a", "b", "times"])
+
+
+def confirmed(blocks: DataFrame) -> DataFrame:
+    """(block, place, mask) of the passages with a window that stands elsewhere too: bit k of the mask is window k, all bits if the whole passage recurs.
+
+    Counts go through partial aggregates and joins only: a key as frequent as the input is large is split like any skewed key of a join.
+    """
+    each = blocks.select("block", F.explode(F.arrays_zip("anchor", "a", "b", "place", "times")).alias("x")).select("block", "x.*")
+    often = each.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
+    recurring = common.written(each.join(often, "anchor"), "recurring")
+    spot = F.struct("block", "place")
+    passages = common.written(recurring.groupBy("anchor", "a", "b").agg(F.least(F.sum("times"), F.lit(2)).cast("int").alias("times"), F.min(spot).alias("spot")), "passages")
+    whole = recurring.join(passages.where("times > 1").select("anchor", "a", "b"), ["anchor", "a", "b"], "left_semi").select("block", "place", F.lit(-1).cast("long").alias("mask"))
+    # Anchors with a passage that stands alone: the windows of each of their passages, from one place each.
+    mixed = passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("times").alias("least")).where("n > 1 and least = 1").select("anchor")
+    asked = passages.join(mixed, "anchor").select("spot.*", "times")
+    asked = common.written(asked, "asked").groupBy("block").agg(F.collect_list(F.struct("place", "times")).alias("asked"))
+    windows = common.written(blocks.select("block", "payload").join(asked, "block").select("block", "payload", "asked").mapInArrow(_provided, "block long, place long, number int, a long, b long, times int"), "windows")
+    repeated = windows.groupBy("a", "b").agg(F.sum("times").alias("n")).where("n > 1").select("a", "b")
+    single = common.written(windows.where("times = 1").join(repeated, ["a", "b"], "left_semi").select("block", "place", "number"), "single")
+    parts = single.groupBy("block", "place").agg(F.bit_or(F.expr("shiftleft(1L, number)")).alias("mask"))
+    return whole.unionByName(parts)
+
+
 def deduplicated(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Struct columns ``row`` (all columns as given, the text column in its new form) and ``removal`` (n_words, n_removed, kept_sha256) of every row.
 
@@ -181,61 +255,34 @@ def deduplicated(docs: DataFrame, text: str = "text", keep_text: bool = True) ->
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part in zip(common.block_ids(), common.slices(batches, "text", BLOCK)):  # noqa: B905
-            hashes, times, _ = Block(part.column("text").to_pylist()).phrases()
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([common.freeze(part)], pa.binary()), one_list(hashes), one_list(np.minimum(times, 2))], ["block", "payload", "hash", "times"])
+            anchor, a, b, place, times = Block(part.column("text").to_pylist()).passages()
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([common.freeze(part)], pa.binary()), *(one_list(_signed(x)) for x in (anchor, a, b)), one_list(pa.array(place)), one_list(pa.array(times))], ["block", "payload", "anchor", "a", "b", "place", "times"])
 
-    blocks = common.written(given.mapInArrow(gather, "block long, payload binary, hash array<long>, times array<long>"), "phrases")
-    each = blocks.select("block", F.explode(F.arrays_zip("hash", "times")).alias("x")).select("block", "x.hash", "x.times")
-    recurring = each.withColumn("n", F.sum("times").over(Window.partitionBy("hash"))).where("n > 1")
-    by_block = recurring.groupBy("block").agg(F.collect_list("hash").alias("recurring"))
-
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                found = batch.column("recurring")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                block = Block(common.thaw(batch.column("payload")[i].as_py()).column("text").to_pylist())
-                hashes = [block.windows(k, starts) for k, starts in block.located(found)]
-                if not hashes:
-                    continue
-                a, b = (np.concatenate([h[c] for h in hashes]) for c in ("a", "b"))
-                order = np.lexsort((b, a))
-                a, b = a[order], b[order]
-                new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-                times = np.minimum(np.diff(np.append(new, len(a))), 2)
-                for low in range(0, len(new), 65536):
-                    at = new[low : low + 65536]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column("block")[i].as_py())), _signed(a[at]), _signed(b[at]), pa.array(times[low : low + 65536], pa.int32())], ["block", "a", "b", "times"])
-
-    # A window comes once from each block that has it, so its rows are no more than the blocks.
-    windows = blocks.select("block", "payload").join(by_block, "block").mapInArrow(locate, "block long, a long, b long, times int")
-    repeated = windows.withColumn("n", F.sum("times").over(Window.partitionBy("a", "b"))).where("n > 1")
-    back = repeated.groupBy("block").agg(F.collect_list("a").alias("repeated"))
+    blocks = common.written(given.mapInArrow(gather, "block long, payload binary, anchor array<long>, a array<long>, b array<long>, place array<long>, times array<int>"), "blocks")
+    by_block = confirmed(blocks).groupBy("block").agg(F.collect_list(F.struct("place", "mask")).alias("found"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                pairs = batch.column("repeated")[i]
-                table = common.thaw(batch.column("payload")[i].as_py())
+                table, found = common.thaw(batch.column("payload")[i].as_py()), batch.column("found")[i]
                 texts = table.column("text").to_pylist()
                 block = Block(texts)
-                gone: dict[int, np.ndarray] = {}
-                if pairs.is_valid:  # within its block, half of a confirmed window's hash tells it
-                    hit = np.isin(runs_hashed(block.a, WINDOW, 1), pairs.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                    for k, own in block.long_enough():
-                        at = np.flatnonzero(hit[own.start : own.stop - WINDOW + 1])
-                        if len(at):
-                            gone[k] = covered(own.stop - own.start, at)
-                found = [block.without(k, gone.get(k)) for k in range(len(texts))]
-                new = pa.array([None if t is None or not keep_text else x[3] for t, x in zip(texts, found, strict=True)], pa.string())
-                rest = table.column("rest").combine_chunks()
-                done = pa.StructArray.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["n_words", "n_removed", "kept_sha256"])
-                yield pa.RecordBatch.from_arrays([rest, new, done], ["rest", "text", "removal"])
-
-    out = blocks.select("block", "payload").join(back, "block", "left").mapInArrow(remove, f"rest {rest_type}, text string, removal struct<n_words: long, n_removed: long, kept_sha256: string>")
-    row = F.struct(*[F.col("text").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in names])
+                place, mask = (found.values.field(c).to_numpy(zero_copy_only=False) if found.is_valid else np.zeros(0, np.int64) for c in ("place", "mask"))
+                gone = block.located(place, mask)
+                out = [block.without(k, gone, keep_text) for k in range(len(texts))]
+                new = pa.array([None if t is None else x[3] for t, x in zip(texts, out, strict=True)], pa.string())
+                done = pa.StructArray.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["n_words", "n_removed", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([table.column("rest").combine_chunks(), new, done], ["rest", "text", "removal"])
+
+    out = blocks.select("block", "payload").join(by_block, "block", "left").select("block", "payload", "found").mapInArrow(remove, f"rest {rest_type}, text string, removal struct<n_words: long, n_removed: long, kept_sha256: string>")
+    row = F.struct(*[_column(c, text) for c in names])
     return out.select(row.alias("row"), "removal")
 
 
+def _column(name: str, text: str) -> Column:
+    return (F.col("text") if name == text else F.col("rest").getField(name)).alias(name)
+
+
 def removal_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row; the cases of ``deduplicated`` hold."""
     return deduplicated(docs.select("doc_id", "text"), keep_text=False).select("row.doc_id", "removal.*")
