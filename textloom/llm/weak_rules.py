@@ -182,8 +182,12 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; null, repeated, empty and clashing cases as for ``judged``."""
-    found = with_features(docs.select(F.struct("*").alias("row"), F.col("text").alias("text")))
-    counts = common.written(found.select(pattern(F.col("quality")).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")), "votes")
-    good = posterior(pattern(F.col("quality")), fit(counts)) >= THRESHOLD
-    return found.where(~base_failed(F.col("quality")) & good).select("row.*")
+    """The rows of ``docs`` that are kept, with all their columns; null, repeated, empty and clashing cases as for ``judged``.
+
+    Rows are written with their counts once, so that no filter works them out again.
+    """
+    found = common.written(with_features(docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))).select("row", "quality"), "quality-rows")
+    f = F.col("quality")
+    coded = found.select("row", pattern(f).alias("code"), base_failed(f).alias("failed"))
+    model = fit(common.written(coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")), "votes"))
+    return coded.where(~F.col("failed") & (posterior(F.col("code"), model) >= THRESHOLD)).select("row.*")
