@@ -34,67 +34,34 @@ class BadGif(ValueError):
 # ---- LZW
 
 
-def lzw_literals(samples: np.ndarray) -> bytes:
-    """A valid LZW stream for 8-bit samples made of literal codes: a clear code comes before the table would need ten bits.
-
-    It costs 9/8 of a byte a sample and no dictionary, so it runs at array speed; ``lzw_dictionary`` is the smaller, slower form.
-    """
-    n, run = len(samples), 253
-    rows = -(-n // run)
-    codes = np.full((rows, run + 1), 256, np.uint16)
-    padded = np.zeros(rows * run, np.uint16)
-    padded[:n] = samples
-    codes[:, 1:] = padded.reshape(rows, run)
-    flat = np.append(codes.reshape(-1)[: n + rows], np.uint16(257))
-    flat = np.append(flat, np.zeros(-len(flat) % 8, np.uint16)).reshape(-1, 8)
-    out = np.zeros((len(flat), 9), np.uint8)
-    for k in range(8):  # eight 9-bit codes are nine bytes; code k starts k bits into byte k
-        v = flat[:, k].astype(np.uint32) << k
-        out[:, k] |= (v & 255).astype(np.uint8)
-        out[:, k + 1] |= (v >> 8).astype(np.uint8)
-    return out.tobytes()[: -(-(n + rows + 1) * 9 // 8)]
-
-
-def lzw_dictionary(samples: bytes) -> bytes:
-    """LZW with a growing dictionary and codes of 9 to 12 bits."""
-    acc = bits = 0
-    out = bytearray()
-    table: dict[int, int] = {}
-    nxt, width = 258, 9
-
-    def put(code: int) -> None:
-        nonlocal acc, bits
-        acc |= code << bits
-        bits += width
-        while bits >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            bits -= 8
-
-    put(256)
-    it = iter(samples)
-    prefix = next(it, None)
-    for b in it:
+def lzw_encode(samples: bytes) -> bytes:
+    """LZW for 8-bit samples with a growing dictionary and codes of 9 to 12 bits; a clear code where the table is full."""
+    codes = [256]
+    put, table, size = codes.append, {}, 258
+    prefix = samples[0] if samples else None
+    for b in memoryview(samples)[1:]:
         key = prefix << 8 | b
-        if (code := table.get(key)) is not None:
-            prefix = code
+        if key in table:
+            prefix = table[key]
             continue
         put(prefix)
         prefix = b
-        if nxt == 4096:
+        if size == 4096:
             put(256)
-            table, nxt, width = {}, 258, 9
-            continue
-        table[key] = nxt
-        width = max(width, nxt.bit_length())
-        nxt += 1
+            table.clear()
+            size = 258
+        else:
+            table[key] = size
+            size += 1
     if prefix is not None:
         put(prefix)
-        width = min(12, max(width, nxt.bit_length()))
     put(257)
-    if bits:
-        out.append(acc & 255)
-    return bytes(out)
+    flat = np.array(codes, np.uint16)
+    since = np.arange(len(flat)) - 1
+    since -= np.maximum.accumulate(np.where(np.concatenate(([False], flat[:-1] == 256)), since, 0))  # codes after the last clear code
+    widths = _widths(8)[np.maximum(since, 0)]
+    bits = np.unpackbits(flat.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(bits[np.arange(16) < widths[:, None]], bitorder="little").tobytes()
 
 
 def _read_codes(data: np.ndarray, bit: int, widths: np.ndarray) -> np.ndarray:
@@ -118,38 +85,17 @@ def lzw_decode(stream: bytes, min_size: int, count: int) -> np.ndarray:
     """The first ``count`` samples of an LZW stream; a stream that ends early or holds an impossible code raises BadGif."""
     if not 1 <= min_size <= 11:
         raise BadGif("code size")
-    clear, first = 1 << min_size, min_size + 1
+    clear = 1 << min_size
     data = np.frombuffer(stream + b"\0\0\0", np.uint8)
     limit, bit, parts, have = 8 * len(stream), 0, [], 0
     grow = _widths(min_size)
     while have < count:
-        if bit + first > limit:
+        if bit + min_size + 1 > limit:
             raise BadGif("short code stream")
-        # Whole runs of literals between clear codes, as long as no code could have widened.
-        ahead = _read_codes(data, bit, np.full(min(count - have + 2 + (count - have) // 64, (limit - bit) // first), first))
-        stops = np.flatnonzero(ahead >= clear)
-        if len(stops) and stops[0] == 0 and ahead[0] == clear and len(ahead) > 1:
-            gaps = np.diff(np.append(stops, len(ahead)))
-            other = np.flatnonzero(ahead[stops] != clear)
-            k = int(other[0]) if len(other) else len(stops)
-            long = np.flatnonzero(gaps[:k] > clear - 1)
-            if len(long):
-                n = int(stops[long[0]])
-            elif len(other):  # an end code ends the run; a table code takes its whole segment out of it
-                n = int(stops[k]) if ahead[stops[k]] == clear + 1 else int(stops[k - 1])
-            else:
-                n = len(ahead) if int((ahead < clear).sum()) >= count - have else int(stops[-1])
-            if n > 1:
-                part = ahead[:n]
-                part = part[part < clear].astype(np.uint8)[: count - have]
-                parts.append(part)
-                have += len(part)
-                bit += n * first
-                continue
-        # One segment up to the next clear code, with the table.
+        # One segment up to the next clear code.
         codes, j = [], 0
         while True:
-            widths = grow[j : j + 512] if j + 512 <= len(grow) else grow[-512:]
+            widths = grow[j : j + 1024] if j + 1024 <= len(grow) else grow[-1024:]
             got = _read_codes(data, bit, widths)
             got = got[: int(np.searchsorted(np.cumsum(widths), limit - bit, side="right"))]
             stop = np.flatnonzero((got == clear) | (got == clear + 1))
@@ -181,16 +127,17 @@ def _expand(codes: list[int], clear: int) -> bytes:
     if codes[0] >= clear:
         raise BadGif("first code")
     last = table[codes[0]]
-    out = [last]
+    out, size, add = [last], len(table), table.append
     for code in codes[1:]:
-        if code < len(table):
+        if code < size:
             now = table[code]
-        elif code == len(table):
+        elif code == size:
             now = last + last[:1]
         else:
             raise BadGif("code beyond the table")
-        if len(table) < 4096:
-            table.append(last + now[:1])
+        if size < 4096:
+            add(last + now[:1])
+            size += 1
         out.append(now)
         last = now
     return b"".join(out)
@@ -199,7 +146,7 @@ def _expand(codes: list[int], clear: int) -> bytes:
 # ---- container
 
 
-def encode_samples(payload: bytes, delay_cs: int = 10, dictionary: bool = False) -> bytes:
+def encode_samples(payload: bytes, delay_cs: int = 10) -> bytes:
     """A GIF whose frames hold ``payload`` (a multiple of 64 bytes) row by row: 64 columns, at most 1024 rows a frame, grey ramp."""
     if not payload or len(payload) % WIDTH:
         raise ValueError("the payload must be a positive multiple of 64 bytes")
@@ -207,7 +154,7 @@ def encode_samples(payload: bytes, delay_cs: int = 10, dictionary: bool = False)
     out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, MAX_ROWS), 0xF7, 0, 0), GREY.tobytes()]
     for top in range(0, rows, MAX_ROWS):
         part = payload[top * WIDTH : (top + MAX_ROWS) * WIDTH]
-        code = lzw_dictionary(part) if dictionary else lzw_literals(np.frombuffer(part, np.uint8))
+        code = lzw_encode(part)
         out += [b"\x21\xf9\x04", struct.pack("<BHB", 1 << 2, delay_cs, 0), b"\0,", struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0), b"\x08"]
         for i in range(0, len(code), 255):
             out += [bytes([len(code[i : i + 255])]), code[i : i + 255]]
@@ -318,6 +265,7 @@ def gif_frames(df: DataFrame, gif: str = "gif", pixels: bool = True) -> DataFram
         for batch in batches:
             kind = batch.schema.field("source").type
             schema = pa.schema([("source", kind), ("frame_no", pa.int32()), ("start_ms", pa.int64()), *[(n, pa.int32()) for n in ("delay_ms", "left", "top", "width", "height", "disposal", "canvas_width", "canvas_height")], ("rgba", pa.binary()), ("visible_pixels", pa.int64()), *[(n, pa.list_(pa.int64())) for n in ("hist_r", "hist_g", "hist_b")], ("error", pa.string())])
+            held, size = [], 0
             for i in range(batch.num_rows):
                 source, data = batch.column("source")[i].as_py(), batch.column("gif")[i].as_py()
                 if data is None:
@@ -329,9 +277,15 @@ def gif_frames(df: DataFrame, gif: str = "gif", pixels: bool = True) -> DataFram
                         seen = canvas[..., 3] > 0
                         row = x | {"source": source, "canvas_width": canvas.shape[1], "canvas_height": canvas.shape[0], "rgba": canvas.tobytes() if pixels else None, "visible_pixels": int(seen.sum())}
                         row |= {f"hist_{n}": histogram(canvas[..., k][seen]) for k, n in enumerate("rgb")}
-                        yield pa.RecordBatch.from_pylist([row], schema)
+                        held.append(row)
+                        size += len(row["rgba"] or b"")
+                        if len(held) >= 256 or size >= common.BLOCK_BYTES:
+                            yield pa.RecordBatch.from_pylist(held, schema)
+                            held, size = [], 0
                 except (BadGif, IndexError, ValueError, struct.error) as error:
-                    yield pa.RecordBatch.from_pylist([{"source": source, "error": str(error) or type(error).__name__}], schema)
+                    held.append({"source": source, "error": str(error) or type(error).__name__})
+            if held:
+                yield pa.RecordBatch.from_pylist(held, schema)
 
     return given.mapInArrow(rows, f"source {given.schema['source'].dataType.simpleString()}, {FRAME_FIELDS}")
 
