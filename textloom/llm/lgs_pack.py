@@ -25,11 +25,15 @@ CAPACITY, END_ID, GROUPS = 1024, 2, 1024
 #: Shares of the capacity up to which a piece counts as small; the plan with the fewest sequences is taken.
 SMALL = (1 / 16, 1 / 4, 1 / 3, 1 / 2)
 
+#: Fixed value of the tokenizer file: its one special token, which it recognises inside a text too.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
 class Encoder:
-    """Token ids of a text as little-endian unsigned 32-bit numbers.
+    """Token ids of a text as little-endian unsigned 32-bit numbers, as the tokenizer file gives them without added special tokens.
 
     The ids come from tiktoken, which has the same vocabulary as ranks and gives the same ids several times faster than the
-    tokenizer file's own library (the tests hold both against each other).
+    tokenizer file's own library (the tests hold both against each other, special tokens in a text included).
     """
 
     def __init__(self) -> None:
@@ -40,10 +44,11 @@ class Encoder:
 
         with open(public.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.own = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.own = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
     def __call__(self, text: str) -> bytes:
-        return np.array(self.own.encode_ordinary(text), "<u4").tobytes()
+        ids = self.own.encode(text, allowed_special="all") if any(s in text for s in SPECIAL) else self.own.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
