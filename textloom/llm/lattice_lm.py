@@ -4,8 +4,8 @@ A text's probability is the sum over all its segmentations into pieces of the pr
 token's. Pieces never cross words, so the sum factorises by word; a word's is found by log-space forward recursion. The
 vocabulary and its starting scores exist already (see ``sp_unigram``); the training texts' expected piece counts re-estimate them.
 
-Words are counted in blocks of a few megabytes and then over all blocks, so a word costs one row a block, however frequent it is;
-a word's lattice is worked out once for the whole corpus and comes back to the blocks that use it.
+Words are counted in blocks of a few megabytes and then over all blocks by partial sums; a word's lattice is worked out once for the whole corpus, and its
+figures come back to the blocks that use it by a join, so the most frequent word costs one row a block and is split like any skewed key.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -244,10 +244,14 @@ def scored(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Da
             texts = [common.text_or_empty(t).lower() for t in part.column("text").to_pylist()]
             ids = part.column("doc_id").to_pylist()
             data = b"\n".join(texts)
-            start, end, a, _ = common.hashed_words(data)
+            start, end, a, b = common.hashed_words(data)
             first = np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in texts]))
             n = np.diff(first)
             _, at, word = np.unique(a, return_index=True, return_inverse=True)
+            if (b[at][word] != b).any():  # two words of one hash: number them by their bytes
+                numbers: dict[bytes, int] = {}
+                word = np.array([numbers.setdefault(data[s:e], len(numbers)) for s, e in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+                at = np.unique(word, return_index=True)[1]
             out = np.array([held_out(i) for i in ids], bool)
             train = np.bincount(word, weights=np.repeat(~out, n), minlength=len(at)).astype(np.int64)
             words = [data[s:e].decode("utf-8", "surrogatepass") for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)]
@@ -256,10 +260,8 @@ def scored(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Da
     schema = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n", pa.list_(pa.int64())), ("tokens", pa.binary()), ("words", pa.list_(pa.string())), ("train", pa.list_(pa.int64()))])
     blocks = common.written(docs.select("doc_id", "text").mapInArrow(gather, "block long, doc_id array<long>, held_out array<boolean>, n array<long>, tokens binary, words array<string>, train array<long>"), "lm-blocks")
     uses = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("pos", "x")).select("block", "pos", F.col("x.words").alias("word"), F.col("x.train").alias("train"))
-    # A word comes once from each block that has it, so no word has more rows than there are blocks.
-    w = Window.partitionBy("word")
-    placed = common.written(uses.withColumn("c", F.sum("train").over(w)).withColumn("first", F.row_number().over(w.orderBy("block")) == 1).select("word", "c", "first", "block", "pos"), "lm-words")
-    counts = placed.where("first and c > 0").select("word", "c")
+    words = common.written(uses.groupBy("word").agg(F.sum("train").alias("c")), "lm-words")
+    counts = words.where("c > 0")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = blocks.agg(F.coalesce(F.sum(F.size(F.filter("held_out", lambda x: ~x))), F.lit(0)).alias("n")).first().n
     n_all, v_all = totals.n + ends, totals.v + (ends > 0)
@@ -285,10 +287,10 @@ def scored(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Da
     def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Arrays(Lattice(*last))
         for b in gathered(batches, Arrays.TOGETHER):
-            words = b.column("word").dictionary_encode()
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("pos"), b.column("c"), pa.array(model.log10(words.dictionary.to_pylist())[words.indices.to_numpy()], pa.float64())], ["block", "pos", "c", "p"])
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(model.log10(b.column("word").to_pylist()), pa.float64())], ["word", "c", "p"])
 
-    back = placed.select("block", "pos", "c", "word").mapInArrow(by_word, "block long, pos int, c long, p double").groupBy("block").agg(F.collect_list(F.struct("pos", "c", "p")).alias("words"))
+    known = common.written(words.mapInArrow(by_word, "word string, c long, p double"), "lm-scores")
+    back = uses.select("word", "block", "pos").join(known, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "c", "p")).alias("words"))
 
     result = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     floor = n_all + 0.5 * (v_all + 1)
