@@ -3,7 +3,7 @@
 A record is never one big cell on its way: its payload travels as rows (record_id, chunk_no, chunk) with the digest of all bytes so far.
 Archives are written the same way, as numbered pieces of their byte stream in a table in the shared scratch folder (their concatenation in
 order is a ``.warc.gz`` file, one gzip member a record), and read back by a parser that holds a buffer and one chunk, whatever the
-record's length.
+record's length. A piece holds whole records and is read where it lies; only a record beyond a piece's size spreads over several, which meet in one task in order.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,40 +54,65 @@ def compressed(parts: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def planned(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest, record_type and refers_to of every row."""
+    """page_id, url, html, payload_bytes, payload_digest, record_type and refers_to of every row.
+
+    Payloads are compared by size and digest in a table without them; html itself is dealt out by page, so a page that many share meets no other.
+    """
     p = pages.select("page_id", "url", "html", F.length(F.encode(F.coalesce("html", F.lit("")), "utf-8")).cast("long").alias("payload_bytes"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("payload_digest"))
-    firsts = p.where(F.col("payload_bytes") >= LEAST).groupBy("payload_digest").agg(F.min("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("payload_digest", "response_id")
-    again = (F.col("payload_bytes") >= LEAST) & F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
-    return p.join(firsts, "payload_digest", "left").select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("response_id")).alias("refers_to"))
+    digests = common.written(p.where(F.col("payload_bytes") >= LEAST).select("page_id", "payload_digest"), "warc-digests")
+    firsts = digests.groupBy("payload_digest").agg(F.min("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and response_id is not null")
+    again = digests.join(firsts, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("response_id")))
+    again = common.written(again.select(F.col("page_id").alias("again_id"), F.col("payload_digest").alias("again_digest"), "response_id"), "warc-revisits").distinct()
+    return p.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("payload_digest") == F.col("again_digest")), "left").select(
+        "page_id", "url", "html", "payload_bytes", "payload_digest", F.when(F.col("response_id").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("response_id").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
-    """Write every row as a record; the table (archive, piece_no, piece) of the archives' bytes. An archive ends after the record with which it reaches 32 MB, so no reader gets more
-    than that and one record; pieces are of about 4 MB."""
+    """Write every row as a record; the table (archive, piece_no, split, piece) of the archives' bytes. An archive ends after the record with which it reaches 32 MB.
 
-    def piece(archive: int, number: int, held: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([number]), pa.array([b"".join(held)], pa.binary())], ["archive", "piece_no", "piece"])
+    Pieces end with a record before they exceed about 4 MB and have a null ``split``; a longer record has pieces of its own, ``split`` being the number of the first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = common.block_ids()
-        archive, number, held, size, total = next(ids), 0, [], 0, 0
+        archive, number, total, held, size = next(ids), 0, 0, [], 0
+
+        def piece(parts: list[bytes], split: int | None) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([number - 1]), pa.array([split], pa.int64()), pa.array([b"".join(parts)], pa.binary())], ["archive", "piece_no", "split", "piece"])
+
         for batch in batches:
             names = batch.schema.names
             for i in range(batch.num_rows):
+                own, own_size, split = [], 0, None
                 for part in compressed(record_parts({n: batch.column(k)[i].as_py() for k, n in enumerate(names)})):
-                    held.append(part)
-                    size, total = size + len(part), total + len(part)
-                    if size >= PIECE:
-                        yield piece(archive, number, held)
-                        number, held, size = number + 1, [], 0
+                    own.append(part)
+                    own_size, total = own_size + len(part), total + len(part)
+                    if own_size >= PIECE:
+                        if held:
+                            yield piece(held, None)
+                            held, size = [], 0
+                        split = number if split is None else split
+                        yield piece(own, split)
+                        own, own_size = [], 0
+                if split is not None:
+                    if own:
+                        yield piece(own, split)
+                else:
+                    if held and size + own_size > PIECE:
+                        yield piece(held, None)
+                        held, size = [], 0
+                    held += own
+                    size += own_size
                 if total >= ARCHIVE:
                     if held:
-                        yield piece(archive, number, held)
-                    archive, number, held, size, total = next(ids), 0, [], 0, 0
+                        yield piece(held, None)
+                    archive, number, total, held, size = next(ids), 0, 0, [], 0
         if held:
-            yield piece(archive, number, held)
+            yield piece(held, None)
 
-    return common.written(planned(pages).mapInArrow(run, "archive long, piece_no long, piece binary"), "warc")
+    return common.written(planned(pages).mapInArrow(run, "archive long, piece_no long, split long, piece binary"), "warc")
 
 
 def unpacked(pieces: Iterator[bytes]) -> Iterator[bytes]:
@@ -157,32 +183,30 @@ CHUNKS = "record_id string, page_id long, target_uri string, record_type string,
 
 
 def read_archives(archives: DataFrame, keep_chunks: bool = True) -> DataFrame:
-    """The chunk table of all archives: whole archives go to one task each, in order, and stream through it."""
+    """The chunk table of all archives: pieces of whole records are read where they are; those of a longer record go to one task, in order, and stream through it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((b.column("archive")[i].as_py(), b.column("piece")[i].as_py()) for b in batches for i in range(b.num_rows))
-        pending = next(rows, None)
-        while pending:
-            now = pending[0]
-
-            def own(now: int = now) -> Iterator[bytes]:
-                nonlocal pending
-                while pending and pending[0] == now:
-                    yield pending[1]
-                    pending = next(rows, None)
-
-            out, size = [], 0
-            for x in record_chunks(unpacked(own())):
+    def rows(streams: Iterator[Iterator[bytes]]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for stream in streams:
+            for x in record_chunks(unpacked(stream)):
                 f = x["fields"]
                 out.append({"record_id": f["warc-record-id"], "page_id": int(f["x-page-id"]) if f["x-page-id"] else None, "target_uri": f["warc-target-uri"], "record_type": f["warc-type"], "refers_to": int(f["x-refers-to-page"]) if "x-refers-to-page" in f else None, "stated_digest": f["warc-payload-digest"].partition(":")[2], "stated_bytes": int(f["payload-length"])} | {k: x[k] for k in ("chunk_no", "bytes_so_far", "digest_so_far", "last")} | {"chunk": x["chunk"] if keep_chunks else None})
                 size += len(x["chunk"])
                 if len(out) >= 1024 or size >= PIECE:
                     yield pa.RecordBatch.from_pylist(out, SCHEMA)
                     out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_pylist(out, SCHEMA)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, SCHEMA)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return rows(iter([b.column("piece")[i].as_py()]) for b in batches for i in range(b.num_rows))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = (((b.column("archive")[i].as_py(), b.column("split")[i].as_py()), b.column("piece")[i].as_py()) for b in batches for i in range(b.num_rows))
+        return rows((piece for _, piece in own) for _, own in groupby(pieces, key=lambda x: x[0]))
 
-    return archives.repartition("archive").sortWithinPartitions("archive", "piece_no").select("archive", "piece").mapInArrow(run, CHUNKS)
+    long = archives.where("split is not null").repartition("archive", "split").sortWithinPartitions("archive", "split", "piece_no")
+    return archives.where("split is null").select("piece").mapInArrow(whole, CHUNKS).unionByName(long.select("archive", "split", "piece").mapInArrow(spread, CHUNKS))
 
 
 SCHEMA = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("target_uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("stated_digest", pa.string()), ("stated_bytes", pa.int64()), ("chunk_no", pa.int64()), ("chunk", pa.binary()), ("bytes_so_far", pa.int64()), ("digest_so_far", pa.string()), ("last", pa.bool_())])
