@@ -11,7 +11,7 @@ import hashlib
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -105,16 +105,41 @@ class DoubleArray:
                 yield i + 1, value[t]
 
 
+class Known(dict):
+    """Unit to its ids as bytes; a unit that is not there yet is segmented once, and remembered unless it is long."""
+
+    def __init__(self, segment: Callable[[str], bytes]) -> None:
+        self.segment = segment
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.segment(unit)
+        if len(unit) < 64:
+            self[unit] = found
+        return found
+
+
 class Unigram:
     def __init__(self, path: str | None = None) -> None:
-        self.vocabulary = Vocabulary(path)
-        self.trie = DoubleArray({p.encode(): i for p, i in self.vocabulary.by_piece.items()})
-        self.piece_score = [self.vocabulary.score.get(i, 0.0) for i in range(len(self.vocabulary.pieces))]
-        self.spellers = set(self.vocabulary.byte_ids.values())
-        self.known: dict[str, tuple[bytes, int, float]] = {}
-        inner = "".join(re.escape(c) for c in "\n\t" if not any(c in p for p in self.vocabulary.by_piece)) or "\0"
+        v = self.vocabulary = Vocabulary(path)
+        self.trie = DoubleArray({p.encode(): i for p, i in v.by_piece.items()})
+        self.piece_score = [v.score.get(i, 0.0) for i in range(len(v.pieces))]
+        #: The same by id, with what a character without a piece costs at its first byte, and which ids are bytes.
+        self.id_score, self.is_byte = np.array(self.piece_score), np.zeros(len(v.pieces), bool)
+        for b, i in v.byte_ids.items():
+            self.id_score[i], self.is_byte[i] = 0.0 if 0x80 <= b < 0xC0 else v.unknown, True
+        self.spelt = [p.replace(MARK, " ").encode() for p in v.pieces]
+        for b, i in v.byte_ids.items():
+            self.spelt[i] = bytes([b])
+        self.base, self.check, self.value = (np.array(x, np.int64) for x in (self.trie.base, self.trie.check, self.trie.value))
+        self.byte_ids = np.array([v.byte_ids[b] for b in range(256)])
+        self.known = Known(lambda unit: np.array(self.viterbi(unit)[0], "<u4").tobytes())
+        #: Words between spaces, each a few units in a row.
+        self.words = Known(lambda word: b"".join(map(self.known.__getitem__, self.units.findall(MARK + word))))
+        #: A marker that is in the text itself is spelt in bytes.
+        self.literal = np.array([v.byte_ids[b] for b in MARK.encode()], "<u4").tobytes()
+        inner = "".join(re.escape(c) for c in "\n\t" if not any(c in p for p in v.by_piece)) or "\0"
         #: Punctuation that no piece holds after a letter or digit.
-        apart = "".join(re.escape(c) for c in ",.;:!?" if not any(re.search(rf"\w{re.escape(c)}", p) for p in self.vocabulary.by_piece)) or "\0"
+        apart = "".join(re.escape(c) for c in ",.;:!?" if not any(re.search(rf"\w{re.escape(c)}", p) for p in v.by_piece)) or "\0"
         #: Units that no piece crosses: a run of markers with what follows, up to such punctuation, or a character that is in no piece.
         self.units = re.compile(rf"[{inner}]|{MARK}*[^{MARK}{inner}{apart}]*\w(?=[{apart}])|{MARK}*[^{MARK}{inner}]+|{MARK}+")
 
@@ -154,47 +179,94 @@ class Unigram:
             j = i
         return ids[::-1], best[n]
 
-    def _unit(self, unit: str) -> tuple[bytes, int, float]:
-        ids, score = self.viterbi(unit)
-        return np.array(ids, "<u4").tobytes(), sum(i in self.spellers for i in ids), score
+    def viterbi_many(self, units: list[bytes]) -> list[bytes]:
+        """``viterbi``'s ids, as bytes, of units of one length in bytes: the same walks through the trie, a column for each unit."""
+        data = np.frombuffer(b"".join(units), np.uint8).reshape(len(units), -1).T.astype(np.int64)
+        n, width = data.shape
+        score, unknown, size = self.id_score, self.vocabulary.unknown, len(self.check)
+        best, came, piece_at = np.full((n + 1, width), -np.inf), np.zeros((n + 1, width), np.int64), np.full((n + 1, width), -1)
+        best[0] = 0.0
+        for i in range(n):
+            at = np.flatnonzero(best[i] > -np.inf)
+            if not len(at):
+                continue
+            lead = data[i, at]
+            char_end = i + 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+            whole, walk, state = np.zeros(len(at), bool), np.arange(len(at)), np.zeros(len(at), np.int64)
+            for j in range(i, n):
+                t = self.base[state] + data[j, at[walk]] + 1
+                on = self.check[np.minimum(t, size - 1)] == state
+                on &= t < size
+                walk, state = walk[on], t[on]
+                if not len(walk):
+                    break
+                piece = self.value[state]
+                end = np.flatnonzero(piece >= 0)
+                if not len(end):
+                    continue
+                which, piece = at[walk[end]], piece[end]
+                whole[walk[end]] |= char_end[walk[end]] == j + 1
+                s = best[i, which] + score[piece]
+                better = s > best[j + 1, which]
+                which = which[better]
+                best[j + 1, which], came[j + 1, which], piece_at[j + 1, which] = s[better], i, piece[better]
+            at, char_end = at[~whole], np.minimum(char_end[~whole], n)
+            s = best[i, at] + unknown
+            better = s > best[char_end, at]
+            at, char_end = at[better], char_end[better]
+            best[char_end, at], came[char_end, at], piece_at[char_end, at] = s[better], i, -1
+        # Ids go to the place of their last byte; what stands before is dropped. A character without a piece has an id at each byte.
+        ids, column, j = np.full((n, width), -1), np.arange(width), np.full(width, n)
+        while len(column):
+            i, piece = came[j, column], piece_at[j, column]
+            ids[j - 1, column] = piece
+            for k in np.flatnonzero(piece < 0).tolist():
+                ids[i[k] : j[k], column[k]] = self.byte_ids[data[i[k] : j[k], column[k]]]
+            left = i > 0
+            column, j = column[left], i[left]
+        ids = ids.T
+        there = ids >= 0
+        flat, ends = ids[there].astype("<u4").tobytes(), np.cumsum(there.sum(1)) * 4
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def encode(self, text: str) -> tuple[bytes, int, float]:
-        """(ids as little-endian unsigned 32-bit numbers, byte pieces among them, score)."""
-        if not text:
-            return b"", 0, 0.0
+    @staticmethod
+    def plain(text: str) -> bool:
+        """Whether each marker in the marked text starts a unit of its own."""
+        return not text.startswith(" ") and "  " not in text and MARK not in text
+
+    def learn(self, texts: Iterable[str]) -> None:
+        """Segment the units of these texts that are not known yet, many at once."""
         if len(self.known) > REMEMBER:
             self.known.clear()
-        out, n_bytes, score, first = [], 0, 0.0, True
-        literal = [self.vocabulary.byte_ids[b] for b in MARK.encode()]
-        for part in text.split(MARK):  # a marker that is in the text itself is spelt in bytes
-            if not first:
-                out.append(np.array(literal, "<u4").tobytes())
-                n_bytes, score = n_bytes + len(literal), score + self.vocabulary.unknown
-            marked = (MARK if first else "") + part.replace(" ", MARK)
-            first = False
-            for unit in self.units.findall(marked):
-                got = self.known.get(unit)
-                if got is None:
-                    got = self._unit(unit)
-                    if len(unit) < 64:
-                        self.known[unit] = got
-                out.append(got[0])
-                n_bytes, score = n_bytes + got[1], score + got[2]
-        return b"".join(out), n_bytes, score
-
-    def decode(self, ids: bytes) -> str:
-        """The text again: byte pieces are joined to characters, markers become spaces, the first one goes."""
-        if not ids:
-            return ""
-        data = b"".join(map(self._spelt().__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return data[1:].decode("utf-8", "surrogatepass")
-
-    def _spelt(self) -> list[bytes]:
-        if not hasattr(self, "spelt"):
-            self.spelt = [p.replace(MARK, " ").encode() for p in self.vocabulary.pieces]
-            for b, i in self.vocabulary.byte_ids.items():
-                self.spelt[i] = bytes([b])
-        return self.spelt
+            self.words.clear()
+        words = {w for text in texts if self.plain(text) for w in text.split(" ")} - self.words.keys()
+        by_length: dict[int, dict[bytes, str]] = {}
+        for unit in {u for w in words for u in self.units.findall(MARK + w)} - self.known.keys():
+            data = unit.encode("utf-8", "surrogatepass")
+            if len(data) < 48:
+                by_length.setdefault(len(data), {})[data] = unit
+        for found in by_length.values():
+            units = list(found)
+            for k in range(0, len(units), 16384):
+                for data, ids in zip(units[k : k + 16384], self.viterbi_many(units[k : k + 16384]), strict=True):
+                    self.known[found[data]] = ids
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of the best segmentation."""
+        if not text:
+            return np.zeros(0, "<u4")
+        if self.plain(text):
+            return np.frombuffer(b"".join(map(self.words.__getitem__, text.split(" "))), "<u4")
+        out: list[bytes] = []
+        for k, part in enumerate(text.split(MARK)):
+            if k:
+                out.append(self.literal)
+            out += map(self.known.__getitem__, self.units.findall(("" if k else MARK) + part.replace(" ", MARK)))
+        return np.frombuffer(b"".join(out), "<u4")
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The text's UTF-8 again: byte pieces are joined to characters, markers become spaces, the first one goes."""
+        return b"".join(map(self.spelt.__getitem__, ids.tolist()))[1:]
 
 
 @cache
@@ -212,10 +284,16 @@ def coded(docs: DataFrame, path: str | None = None) -> DataFrame:
     other columns are not read.
     """
 
-    def run(row: dict) -> Iterator[dict]:
-        model, text = unigram(path), row["text"] or ""
-        ids, n_bytes, score = model.encode(text)
-        back = model.decode(ids)
-        yield {"doc_id": row["doc_id"], "n_pieces": len(ids) // 4, "n_byte_pieces": n_bytes, "ids_crc32": zlib.crc32(ids), "score": score, "decoded_sha256": hashlib.sha256(common.text_or_empty(back)).hexdigest(), "round_trip": back == text}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = unigram(path)
+        for part in common.slices(batches, "text"):
+            texts, out = [t or "" for t in part.column("text").to_pylist()], []
+            model.learn(texts)
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), texts, strict=True):
+                ids = model.encode(text)
+                back = model.decode(ids)
+                out.append((doc_id, len(ids), int(model.is_byte[ids].sum()), zlib.crc32(ids), float(model.id_score[ids].sum()), hashlib.sha256(back).hexdigest(), back == common.text_or_empty(text)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), CODED, strict=True)], schema=CODED)
 
-    return docs.select("doc_id", "text").mapInArrow(common.over_rows(run, CODED), "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, score double, decoded_sha256 string, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, score double, decoded_sha256 string, round_trip boolean")
