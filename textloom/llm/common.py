@@ -29,14 +29,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return (found or os.path.join(tempfile.gettempdir(), "textloom-scratch")).rstrip("/")
 
 
+#: Paths of the tables that this process has written and not dropped.
+MADE: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared scratch folder and read it back: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_unread(docs: DataFrame) -> None:
+    """Delete the tables written so far, unless ``docs`` reads one of them. What was made from them must have been written before."""
+    if not MADE or any(path.rpartition("/")[2] in f for f in docs.inputFiles() for path in MADE):
+        return
+    jvm, conf = docs.sparkSession._jvm, docs.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    while MADE:
+        path = jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def text_or_empty(value: str | None) -> bytes:
     return (value or "").encode("utf-8", "surrogatepass")
 

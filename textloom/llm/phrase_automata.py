@@ -223,21 +223,21 @@ def _provided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirmed(blocks: DataFrame) -> DataFrame:
     """(block, place, mask) of the passages with a window that stands elsewhere too: bit k of the mask is window k, all bits if the whole passage recurs.
 
-    Counts go through partial aggregates and joins only: a key as frequent as the input is large is split like any skewed key of a join.
+    Counts go through partial aggregates and, once written, joins only: a key as frequent as the input is large is split like any skewed key of a join.
     """
     each = blocks.select("block", F.explode(F.arrays_zip("anchor", "a", "b", "place", "times")).alias("x")).select("block", "x.*")
-    often = each.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
+    often = common.written(each.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor"), "often")
     recurring = common.written(each.join(often, "anchor"), "recurring")
     spot = F.struct("block", "place")
     passages = common.written(recurring.groupBy("anchor", "a", "b").agg(F.least(F.sum("times"), F.lit(2)).cast("int").alias("times"), F.min(spot).alias("spot")), "passages")
-    whole = recurring.join(passages.where("times > 1").select("anchor", "a", "b"), ["anchor", "a", "b"], "left_semi").select("block", "place", F.lit(-1).cast("long").alias("mask"))
+    whole = recurring.join(passages.where("times > 1").select("anchor", "a", "b"), ["anchor", "a", "b"]).select("block", "place", F.lit(-1).cast("long").alias("mask"))
     # Anchors with a passage that stands alone: the windows of each of their passages, from one place each.
-    mixed = passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("times").alias("least")).where("n > 1 and least = 1").select("anchor")
+    mixed = common.written(passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("times").alias("least")).where("n > 1 and least = 1").select("anchor"), "mixed")
     asked = passages.join(mixed, "anchor").select("spot.*", "times")
     asked = common.written(asked, "asked").groupBy("block").agg(F.collect_list(F.struct("place", "times")).alias("asked"))
     windows = common.written(blocks.select("block", "payload").join(asked, "block").select("block", "payload", "asked").mapInArrow(_provided, "block long, place long, number int, a long, b long, times int"), "windows")
-    repeated = windows.groupBy("a", "b").agg(F.sum("times").alias("n")).where("n > 1").select("a", "b")
-    single = common.written(windows.where("times = 1").join(repeated, ["a", "b"], "left_semi").select("block", "place", "number"), "single")
+    repeated = common.written(windows.groupBy("a", "b").agg(F.sum("times").alias("n")).where("n > 1").select("a", "b"), "repeated")
+    single = common.written(windows.where("times = 1").join(repeated, ["a", "b"]).select("block", "place", "number"), "single")
     parts = single.groupBy("block", "place").agg(F.bit_or(F.expr("shiftleft(1L, number)")).alias("mask"))
     return whole.unionByName(parts)
 
