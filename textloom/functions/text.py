@@ -1,11 +1,14 @@
-"""Column expressions over text. All are built-in functions, so they stay in the JVM; null in, null out unless said otherwise."""
+"""Column expressions over text. All but ``unescaped`` are built-in functions, so they stay in the JVM; null in, null out unless said otherwise."""
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Category keywords in the order in which they are tried.
 CATEGORIES = (("finance", "finance|money|invest|econom"), ("islam", "islam|quran|hadith|fiqh"), ("it", "python|software|program|data"), ("psychology", "psycholog|mind|habit"), ("branding", "brand|market|content"))
@@ -13,13 +16,32 @@ DEFAULT_CATEGORY = "psychology"
 FACTUAL, RELIGIOUS = r"(?iu)\b(what|when|who|how many|fact|statistic)\b", r"(?iu)\b(quran|hadith|islam|prayer)\b"
 
 
+#: White space as Unicode has it; spelt out, for a class of named properties is several times slower.
+SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a bound variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def rstrip(c: Column, chars: str = SPACE) -> Column:
+    return F.regexp_replace(c, f"{chars}+$", "")
+
+
+def squeezed(c: Column) -> Column:
+    """White space runs as one space, none at the ends."""
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def normalise(c: Column) -> Column:
     """Stripped, lower case, white space (Unicode's) squeezed."""
-    return F.lower(F.regexp_replace(strip(c), r"(?U)\s+", " "))
+    return F.lower(squeezed(c))
 
 
 def fingerprint(*parts: Column) -> Column:
@@ -31,9 +53,9 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
 
 
-def category(c: Column) -> Column:
-    tries = reduce(lambda w, x: w.when(F.lower(c).rlike(x[1]), x[0]), CATEGORIES[1:], F.when(F.lower(c).rlike(CATEGORIES[0][1]), CATEGORIES[0][0]))
-    return tries.otherwise(DEFAULT_CATEGORY)
+def category(c: Column, keywords: tuple[tuple[str, str], ...] = CATEGORIES, default: str = DEFAULT_CATEGORY) -> Column:
+    """The first category whose configured pattern is in the text."""
+    return F.coalesce(*[F.when(F.lower(c).rlike(pattern), name) for name, pattern in keywords], F.lit(default))
 
 
 def chapter_title(c: Column, limit: int = 300) -> Column:
@@ -52,18 +74,22 @@ def last_index(c: Column, mark: str) -> Column:
 
 
 def enforce_length(c: Column, limit: int) -> Column:
-    """Cut at the last sentence end in the limit if that keeps 55 % of it, else at the last space with an ellipsis."""
-    head = F.substring(c, 1, limit)
-    end = F.greatest(*[last_index(head, m) for m in (". ", "! ", "? ", "\n")])
-    space = last_index(head, " ")
-    word = F.when(space > 0, F.substring(head, F.lit(1), space - 1)).otherwise(head)
-    return F.when(F.length(c) <= limit, c).when(end >= 0.55 * limit, F.rtrim(F.substring(head, F.lit(1), end))).otherwise(F.concat(F.rtrim(word), F.lit("…")))
+    """The stripped text, cut after the last sentence end in the limit if that keeps 55 % of it, else before the last space, with an ellipsis."""
+
+    def cut(s: Column) -> Column:
+        head = F.substring(s, 1, limit)
+        end = F.greatest(*[last_index(head, m) for m in (". ", "! ", "? ", "\n")])
+        space = last_index(head, " ")
+        word = F.concat(rstrip(F.substring(head, F.lit(1), space - 1), "[ ,;:]"), F.lit("…"))
+        return F.when(F.length(s) <= limit, s).when(end - 1 >= int(limit * 0.55), rstrip(F.substring(head, F.lit(1), end))).when(space > 1, word).otherwise(rstrip(head))
+
+    return let(strip(c), cut)
 
 
 def length_class(c: Column, improve: bool = False) -> Column:
     low, high = (300, 800) if improve else (180, 650)
     n = F.length(strip(c))
-    return F.when(n <= low, "short").when(n <= high, "medium").otherwise("long")
+    return F.when(n < low, "short").when(n < high, "normal").otherwise("expanded")
 
 
 def message_score(c: Column, channel: Column) -> Column:
@@ -79,9 +105,24 @@ def clamp(c: Column, default: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c.try_cast("double"), F.lit(default))))
 
 
+#: Fixed pattern: a message that starts so holds a credential.
+CREDENTIAL = r"(?iu)^(password|пароль|pass|логин|login|token|api[_-]?key)\s*[:=]"
+
+
 def is_noise(c: Column) -> Column:
+    """Too short, nothing but a URL, or a credential; null counts as empty."""
     s = F.coalesce(strip(c), F.lit(""))
-    return (F.length(s) < 15) | s.rlike(r"^https?://\S+$") | s.rlike(r"(?i)^(password|login|token|api[_ -]?key)\b")
+    return (F.length(s) < 15) | s.rlike(r"(?i)^https?://\S+$") | s.rlike(CREDENTIAL)
+
+
+def is_media_only(text: Column, *media: Column) -> Column:
+    """A message without text that has any of the media fields."""
+    return (F.coalesce(strip(text), F.lit("")) == "") & reduce(lambda a, b: a | b, [m.isNotNull() for m in media], F.lit(False))
+
+
+def selected(df, score: Column, least: int):
+    """Rows whose score is ``least`` or more, the highest first."""
+    return df.withColumn("score", score).where(F.col("score") >= least).orderBy(F.desc("score"))
 
 
 def urls(c: Column, hosts: list[str]) -> Column:
@@ -90,16 +131,24 @@ def urls(c: Column, hosts: list[str]) -> Column:
     return F.array_distinct(F.filter(found, lambda u: F.lower(F.regexp_extract(u, r"^https?://([^/?#]+)", 1)).isin(*hosts)))
 
 
+def without_urls(c: Column, hosts: list[str]) -> Column:
+    """The text without URLs of the hosts, white space squeezed."""
+    host = "|".join(h.replace(".", r"\.") for h in hosts)
+    return squeezed(F.regexp_replace(c, rf"(?i)https?://(?:{host})(?=[/?#\s]|$)[^\s]*", ""))
+
+
 def clean_markdown(c: Column) -> Column:
-    """Page spans, anchors and back-links out, third-level headings up one level, blank lines squeezed."""
-    steps = ((r"<span[^>]*></span>", ""), (r"\{#[^}]*\}", ""), (r"\[↩\]\([^)]*\)", ""), (r"(?m)^### ", "## "), (r"\n{3,}", "\n\n"))
-    return strip(reduce(lambda x, s: F.regexp_replace(x, *s), steps, c))
+    """Page spans and back-links out, anchors as plain numbers, third-level headings up one level, broken lines joined, blank lines squeezed; ends with a line end."""
+    steps = ((r"(?i)<span[^>]*>\s*</span>", ""), (r"\[Вернуться\]\(#page-\d+-\d+\)", ""), (r"\[\\\[(\d+)\\\]\]\(#page-\d+-\d+\)", "[$1]"), (r"\[(\d+)\]\(#page-\d+-\d+\)", "[$1]"), (r"(?m)^###\s+", "## "))
+    out = strip(F.regexp_replace(joined_lines(reduce(lambda x, s: F.regexp_replace(x, *s), steps, c)), r"\n{3,}", "\n\n"))
+    return F.when(out != "", F.concat(out, F.lit("\n"))).otherwise(out)
 
 
-def tagged_section(c: Column, tag: str) -> Column:
-    """What stands between the tags, or all but other blocks' markers if there is no such section."""
-    inner = F.regexp_extract(c, f"(?is)<{tag}>(.*?)</{tag}>", 1)
-    return strip(F.when(inner != "", inner).otherwise(F.regexp_replace(c, r"(?is)<(\w+)>.*?</\1>", "")))
+def tagged_section(c: Column, own: str, external: str, marker: str = "<!--source:youtube-->") -> Column:
+    """What stands in the first ``own`` section; without one the text less ``external`` sections and the marker, white space squeezed."""
+    section = rf"(?is)<{own}>(.*?)</{own}>"
+    rest = F.regexp_replace(F.regexp_replace(c, rf"(?is)<{external}>.*?</{external}>", ""), f"(?i){marker}", "")
+    return F.when(c.rlike(section), strip(F.regexp_extract(c, section, 1))).otherwise(squeezed(rest))
 
 
 def grounded(source: Column, quote: Column) -> Column:
@@ -112,12 +161,16 @@ def differs(new: Column, old: Column) -> Column:
     return ~(F.contains(a, b) | F.contains(b, a))
 
 
+@F.pandas_udf(StringType())
+def unescaped(c: pd.Series) -> pd.Series:
+    """Character references of HTML decoded, all two thousand names of them."""
+    return c.map(html.unescape, na_action="ignore")
+
+
 def caption_text(c: Column) -> Column:
-    """Entities decoded, tags and zero-width characters out, white space squeezed."""
-    out = F.regexp_replace(c, "<[^>]*>", "")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "[​‌‍﻿]", ""), r"(?U)\s+", " "), "^[ -]+|[ -]+$", "")
+    """Character references decoded, then tags and zero-width characters out, white space squeezed."""
+    plain = F.regexp_replace(F.regexp_replace(F.when(F.contains(c, F.lit("&")), unescaped(c)).otherwise(c), "<[^>]+>", ""), "[\\u200B\\uFEFF]", "")
+    return F.regexp_replace(squeezed(plain), "^[ -]+|[ -]+$", "")
 
 
 def seconds(c: Column) -> Column:
@@ -157,9 +210,10 @@ def experience_text(*parts: Column) -> Column:
     return F.array_join(F.array(*[F.coalesce(p, F.lit("")) for p in parts]), "\n")
 
 
-def topics(c: Column) -> Column:
+def topics(c: Column, factual: str = FACTUAL, religious: str = RELIGIOUS) -> Column:
+    """Whether a question asks for facts or speaks of religion, by configured patterns."""
     text = F.coalesce(c, F.lit(""))
-    return F.struct(text.rlike(FACTUAL).alias("factual"), text.rlike(RELIGIOUS).alias("religious"))
+    return F.struct(text.rlike(factual).alias("factual"), text.rlike(religious).alias("religious"))
 
 
 def with_source(c: Column, url: Column, keep: bool) -> Column:
@@ -187,13 +241,22 @@ def is_excluded(name: Column, patterns: list[str]) -> Column:
 
 
 def joined_lines(c: Column) -> Column:
-    """Lines broken inside a paragraph joined again: a line goes on where the one before has no sentence end and neither is a heading or a list item."""
-    block = r"^\s*(#|[-*+]\s|\d+[.)]\s|>|\|)"
+    """Lines broken inside a paragraph joined again, over one blank line too: a line goes on where the one before ends no sentence and neither is a heading nor the later a list item.
+
+    Whether a line goes on depends on it and the two before only, so the text is put together once.
+    """
+    lines = F.transform(F.split(F.regexp_replace(c, rf"(?:{LINE_END})\z", ""), LINE_END), strip)
+
+    def goes_on(x: Column, i: Column) -> Column:
+        line, before, blank = F.get(x, i), F.get(x, i - 1), F.get(x, i - 1) == ""
+        last = F.when(blank, F.get(x, i - 2)).otherwise(before)
+        return (i > 0) & (line != "") & (F.coalesce(last, F.lit("")) != "") & ~last.startswith("#") & ~last.rlike(r"[.!?;:»\"')\]]$") & ~line.startswith("#") & ~line.rlike(r"^(\d+\.|[-*+])\s")
+
+    def placed(x: Column) -> Column:
+        def one(line: Column, i: Column) -> Column:
+            joins_next = (line == "") & (i > 0) & F.coalesce(goes_on(x, i + 1), F.lit(False))
+            return F.when(joins_next & (F.get(x, i - 1) != ""), "").when(F.coalesce(goes_on(x, i), F.lit(False)), F.concat(F.lit(" "), line)).when(i > 0, F.concat(F.lit("\n"), line)).otherwise(line)
 
-    def step(acc: Column, line: Column) -> Column:
-        last = F.coalesce(F.get(F.split(acc, "\n"), F.size(F.split(acc, "\n")) - 1), F.lit(""))
-        on = (F.trim(last) != "") & (F.trim(line) != "") & ~last.rlike(r"[.!?:;…»\"”)]\s*$") & ~last.rlike(block) & ~line.rlike(block)
-        return F.when(on, F.concat(F.rtrim(acc), F.lit(" "), F.ltrim(line))).otherwise(F.concat(acc, F.lit("\n"), line))
+        return F.array_join(F.transform(x, one), "")
 
-    lines = F.split(c, "\n")
-    return F.aggregate(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), F.get(lines, 0), step)
+    return let(lines, placed)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators import folds
 
 
 def exploded(df: DataFrame, chunks: Column, keep: list[str]) -> DataFrame:
@@ -26,24 +27,45 @@ def paragraphs(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 
 def sections(df: DataFrame, text: str, key: str) -> DataFrame:
-    """Markdown sections by headings of level 1 to 3: section number, title and body; text before the first is ``Preamble``."""
+    """Markdown sections by headings of level 1 to 3: section number, level, title and body; text before the first is ``Preamble``, one without headings ``Document``."""
     lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("level", F.length(F.regexp_extract("line", r"^(#{1,3})[ \t]+\S", 1)))
     numbered = lines.withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(Window.partitionBy(key).orderBy("pos")))
-    grouped = numbered.groupBy(key, "section").agg(F.max(F.when(F.col("level") > 0, F.regexp_replace("line", r"^#+[ \t]+", ""))).alias("title"), F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("pos", "line")))).alias("body"))
-    return grouped.select(key, "section", F.coalesce("title", F.lit("Preamble")).alias("title"), T.strip(F.array_join(F.transform("body", lambda x: x["line"]), "\n")).alias("body")).where("section > 0 or body <> ''")
+    grouped = numbered.groupBy(key, "section").agg(F.max("level").alias("level"), F.max(F.when(F.col("level") > 0, F.regexp_replace("line", r"^#+[ \t]+", ""))).alias("title"), F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("pos", "line")))).alias("body"))
+    alone = F.max("section").over(Window.partitionBy(key)) == 0
+    return grouped.select(key, "section", F.greatest("level", F.lit(1)).alias("level"), F.coalesce("title", F.when(alone, "Document").otherwise("Preamble")).alias("title"), T.strip(F.array_join(F.transform("body", lambda x: x["line"]), "\n")).alias("body")).where("section > 0 or body <> '' or title = 'Document'")
 
 
 def packed(df: DataFrame, parts: Column, keep: list[str], limit: int, joiner: str = "\n") -> DataFrame:
-    """Parts packed greedily, in order, up to ``limit`` characters; a longer part is cut first. A fold over each row's own array."""
-    cut = F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(p) / limit) - 1, F.lit(0)).cast("int")), lambda i: F.substring(p, i * limit + 1, F.lit(limit)))))
+    """Parts packed greedily, in order, up to ``limit`` characters; a longer part closes the open chunk and is cut into chunks of its own. A fold over each row's own array."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(acc: Column, p: Column) -> Column:
-        joined = F.when(acc["open"] == "", p).otherwise(F.concat(acc["open"], F.lit(joiner), p))
+        long, joined = F.length(p) > limit, F.when(acc["open"] == "", p).otherwise(F.concat(acc["open"], F.lit(joiner), p))
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(p) / limit) - 1, F.lit(0)).cast("int")), lambda i: F.substring(p, i * limit + 1, F.lit(limit)))
         fits = F.length(joined) <= limit
-        return F.struct(F.when(fits, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"), F.when(fits, joined).otherwise(p).alias("open"))
+        return F.struct(F.when(long, F.concat(F.array_append(acc["done"], acc["open"]), cut)).when(fits, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"), F.when(long, "").when(fits, joined).otherwise(p).alias("open"))
 
-    return exploded(df, F.aggregate(cut, start, step, lambda acc: F.array_append(acc["done"], acc["open"])), keep)
+    return exploded(df, F.aggregate(parts, start, step, lambda acc: F.array_append(acc["done"], acc["open"])), keep)
+
+
+def paragraph_packs(df: DataFrame, text: str, keep: list[str], limit: int = 2500) -> DataFrame:
+    """Stripped paragraphs packed up to ``limit`` characters."""
+    parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), T.strip), lambda x: x != "")
+    return packed(df, parts, keep, limit, "\n\n")
+
+
+def line_packs(df: DataFrame, text: str, keep: list[str], limit: int = 12_000) -> DataFrame:
+    """Lines packed up to ``limit`` characters, line ends included; a longer line is a chunk of its own and not cut. Chunks are not stripped."""
+    lines = F.split(F.regexp_replace(F.col(text), rf"(?:{T.LINE_END})\z", ""), T.LINE_END)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = F.length(acc["open"]) + 1 + F.length(x) + 1 <= limit
+        full = acc["open"].isNotNull() & ~fits
+        return F.struct(F.when(full, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]).alias("done"), F.when(acc["open"].isNull() | full, x).otherwise(F.concat(acc["open"], F.lit("\n"), x)).alias("open"))
+
+    chunks = F.aggregate(lines, start, step, lambda acc: F.array_append(acc["done"], acc["open"]))
+    return df.where(F.col(text) != "").select(*keep, F.posexplode(chunks).alias("pos", "chunk")).select(*keep, (F.col("pos") + 1).alias("chunk_no"), "chunk")
 
 
 def transcript(df: DataFrame, key: str, start: str, text: str) -> DataFrame:
@@ -63,24 +85,70 @@ def semantic_breaks(df: DataFrame, key: str, order: str, vector: str, quantile:
     return steps.join(limits, key).withColumn("chunk_no", F.sum(F.coalesce((F.col("distance") > F.col("bound")).cast("int"), F.lit(0))).over(w)).drop("bound")
 
 
-def routed(df: DataFrame, text: str, category: str, keep: list[str], by_window: list[str], by_paragraph: list[str]) -> DataFrame:
-    """Windows or paragraphs by category; a category in neither list comes out as one chunk."""
+def routed(df: DataFrame, text: str, category: str, keep: list[str], by_window: list[str], by_paragraph: list[str], otherwise: DataFrame | None = None) -> DataFrame:
+    """Windows or paragraphs by category; chunks of other categories are ``otherwise`` (the keys, chunk_no, chunk: a semantic split, say), or without it whole texts."""
     c = F.coalesce(F.col(category), F.lit(""))
-    rest = df.where(~c.isin(*by_window, *by_paragraph))
-    return windows(df.where(c.isin(*by_window)), text, keep).unionByName(paragraphs(df.where(c.isin(*by_paragraph)), text, keep)).unionByName(exploded(rest, F.array(text), keep))
+    known = c.isin(*by_window, *by_paragraph)
+    rest = exploded(df.where(~known), F.array(text), keep) if otherwise is None else otherwise.join(df.where(~known).select(*keep).distinct(), keep, "left_semi").select(*keep, "chunk_no", "chunk")
+    return windows(df.where(c.isin(*by_window)), text, keep).unionByName(paragraphs(df.where(c.isin(*by_paragraph)), text, keep)).unionByName(rest)
+
+
+def semantic_chunks(sentences: DataFrame, key: str, order: str, vector: str, text: str, quantile: float = 0.95) -> DataFrame:
+    """Sentences joined by spaces between semantic breaks: the key, chunk_no (from 1) and chunk."""
+    broken = semantic_breaks(sentences, key, order, vector, quantile)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), " ")
+    return broken.groupBy(key, (F.col("chunk_no") + 1).cast("int").alias("chunk_no")).agg(joined.alias("chunk"))
+
+
+def tokens_of(text: str) -> int:
+    return max(1, len(text) // 4)
 
 
-def section_packs(df: DataFrame, key: str, section: str, title: str, body: str, tokens: int = 4000, share: float = 0.1) -> DataFrame:
-    """Sections packed in order into chunks of at most ``tokens`` estimated tokens; a larger section is cut by paragraphs first.
+def section_packs(df: DataFrame, key: str, section: str, level: str, title: str, body: str, tokens: int = 4000, share: float = 0.1) -> DataFrame:
+    """Sections packed in order into chunks of at most ``tokens`` estimated tokens: chunk_no, titles (joined by bars) and chunk.
 
-    Every chunk but a document's first starts with the last words of the one before: twice the overlap's tokens, at least 40.
-    A fold over one document's sections.
+    A larger section starts chunks of its own, packed from its paragraphs, each with the section's title. Every chunk but a document's first starts with
+    the last words of the one before: twice the overlap's tokens, at least 40. A document's sections stream through a fold that holds one chunk.
     """
-    head = F.concat(F.lit("## "), F.col(title), F.lit("\n\n"), F.col(body))
-    parts = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(section).alias("s"), head.alias("t")))), lambda x: F.when(T.token_estimate(x["t"]) > tokens, F.split(x["t"], "\n\n")).otherwise(F.array(x["t"]))))
-    docs = df.groupBy(key).agg(parts.alias("parts"))
-    packs = packed(docs, F.col("parts"), [key], tokens * 4, "\n\n")
-    words = max(2 * int(tokens * share), 40)
-    before = F.split(F.lag("chunk").over(Window.partitionBy(key).orderBy("chunk_no")), r"\s+")
-    tail = F.array_join(F.slice(before, F.greatest(F.size(before) - words + 1, F.lit(1)), words), " ")
-    return packs.withColumn("overlap", F.coalesce(tail, F.lit("")))
+    overlap = int(tokens * share)
+
+    def fold(rows):
+        number, tail = 0, ""
+
+        def chunk(parts: list[tuple[str, str]], titles: str) -> dict:
+            nonlocal number, tail
+            text = "\n\n".join(t for _, t in parts).strip()
+            if tail and overlap:
+                text = f"{tail}\n\n{text}"
+            number, tail = number + 1, " ".join(text.split()[-max(2 * overlap, 40) :]) if overlap > 0 else ""
+            return {key: of, "chunk_no": number, "titles": titles, "chunk": text}
+
+        held: list[tuple[str, str]] = []
+        size = 0
+        for r in rows:
+            of, name = r[key], r[title]
+            whole = f"{'#' * r[level]} {name}\n\n{r[body]}".strip()
+            n = tokens_of(whole)
+            if held and (n > tokens or size + n > tokens):
+                yield chunk(held, " | ".join(t for t, _ in held))
+                held, size = [], 0
+            if n <= tokens:
+                held.append((name, whole))
+                size += n
+                continue
+            own, size = [], tokens_of("")
+            for paragraph in filter(None, map(str.strip, r[body].split("\n\n"))):
+                block = f"## {name}\n\n{paragraph}"
+                if own and size + tokens_of(block) > tokens:
+                    yield chunk(own, name)
+                    own, size = [], 0
+                own.append((name, block))
+                size += tokens_of(block)
+            if own:
+                yield chunk(own, name)
+            size = 0
+        if held:
+            yield chunk(held, " | ".join(t for t, _ in held))
+
+    kind = df.schema[key].dataType.simpleString()
+    return folds.over_sorted(df.select(key, section, level, title, body), [key], [section], fold, f"{key} {kind}, chunk_no int, titles string, chunk string")

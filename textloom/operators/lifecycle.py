@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 
 
-def apply_decisions(candidates: DataFrame, decisions: DataFrame, active: DataFrame) -> DataFrame:
-    """candidates (id, kind, content) joined to decisions (id, decision, at): status after review.
+def apply_decisions(candidates: DataFrame, decisions: DataFrame, active: DataFrame, similar: DataFrame | None = None) -> DataFrame:
+    """candidates (id, kind, content) joined to decisions (id, decision, at and, for edits, text): kind, status, content, match_type and duplicate_of after review.
 
-    An accepted row whose normalised content is active already, or was accepted earlier in the batch, is a duplicate; order is by time, then id.
+    ``edit`` sets the content and leaves the row pending; of a row's other decisions the last counts, edits come first. An accepted row whose normalised content is active
+    already, or was accepted earlier in the batch (by time, then id), is a duplicate, and so is one that ``similar`` (query_id, duplicate_of; see
+    ``retrieval.semantic_duplicates``) finds among the active rows. ``duplicate_of`` is an active row's id, or null for a row of the batch.
     """
-    c = candidates.join(decisions, "id", "left").withColumn("print", T.fingerprint(F.col("kind"), F.col("content")))
-    held = active.select(T.fingerprint(F.col("kind"), F.col("content")).alias("print")).distinct().withColumn("is_active", F.lit(True))
+    given = decisions if "text" in decisions.columns else decisions.withColumn("text", F.lit(None).cast("string"))
+    edit = F.col("decision") == "edit"
+    last = F.struct(F.col("at").isNotNull(), "at")
+    told = given.groupBy("id").agg(F.max_by(F.when(edit, F.col("text")), F.when(edit, last)).alias("text"), F.max_by("decision", F.when(~edit, last)).alias("decision"), F.max_by("at", F.when(~edit, last)).alias("at"))
+    c = candidates.join(told, "id", "left").withColumn("content", F.coalesce("text", "content")).withColumn("print", T.fingerprint(F.col("kind"), F.col("content")))
+    held = active.select(T.fingerprint(F.col("kind"), F.col("content")).alias("print"), F.col("id").alias("held") if "id" in active.columns else F.lit(None).cast("long").alias("held")).groupBy("print").agg(F.min("held").alias("held"), F.lit(True).alias("is_active"))
     c = c.join(held, "print", "left")
+    near = (similar if similar is not None else c.sparkSession.createDataFrame([], "query_id long, duplicate_of long")).select(F.col("query_id").alias("id"), F.col("duplicate_of").alias("near"))
+    c = c.join(near, "id", "left")
     accepted = F.col("decision") == "accept"
     nth = F.sum(F.when(accepted, 1).otherwise(0)).over(Window.partitionBy("print").orderBy(F.asc_nulls_last("at"), "id"))
-    status = F.when(F.col("decision").isNull(), "pending").when(F.col("decision") == "reject", "rejected").when(F.col("decision") == "skip", "skipped").when(F.coalesce("is_active", F.lit(False)) | (nth > 1), "duplicate").otherwise("active")
-    return c.withColumn("status", status).select("id", "kind", "status")
+    match = F.when(~F.coalesce(accepted, F.lit(False)), None).when(F.coalesce("is_active", F.lit(False)) | (nth > 1), "exact_content").when(F.col("near").isNotNull(), "semantic_similarity")
+    c = c.withColumn("match_type", match)
+    status = F.when(F.col("decision").isNull(), "pending").when(F.col("decision") == "reject", "rejected").when(F.col("decision") == "skip", "skipped").when(F.col("match_type").isNotNull(), "duplicate").otherwise("active")
+    found = F.when(F.col("match_type") == "exact_content", F.col("held")).when(F.col("match_type") == "semantic_similarity", F.col("near"))
+    return c.withColumn("status", status).select("id", "kind", "status", "content", "match_type", found.alias("duplicate_of"))
 
 
 def archive_duplicates(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

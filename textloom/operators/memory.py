@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import chunking, tables
+from textloom.operators import chunking, folds, tables
 
 #: Confidence and context lengths from which a candidate is queued without a person's confirmation.
 AUTO_CONFIDENCE, MIN_CONTEXT, MIN_QUOTE = 0.75, 40, 30
@@ -89,21 +89,73 @@ def without_vector(queries: DataFrame, corpus: DataFrame, order: list[Column], k
 
 
 def rules_for(queries: DataFrame, near: DataFrame, rules: DataFrame, is_global: Column, newest: list[Column], limit: int, most_global: int = 10) -> DataFrame:
-    """Global rules, newest first, then the ``limit`` nearest ones that are none of these, up to ``limit`` in all.
+    """Global rules, newest first, then nearest ones: as many of the nearest as the global rules leave of ``limit``, less those that are global rules already.
 
-    The nearest are cut before repeats go, so a query may get fewer than ``limit``.
+    The nearest are cut before repeats go, so a query may get fewer than ``limit``. A query with neither gets the ``limit`` newest rules.
     """
-    top = without_vector(queries.withColumn("embedding", F.lit(None).cast("array<float>")), rules.where(is_global), newest, min(limit, most_global))
-    fill = near.where(F.col("rank") <= limit).join(top.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    all_queries = queries.withColumn("embedding", F.lit(None).cast("array<float>"))
+    top = without_vector(all_queries, rules.where(is_global), newest, min(limit, most_global))
+    taken = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("_taken"))
+    cut = near.join(taken, "query_id", "left").where(F.col("rank") <= limit - F.coalesce("_taken", F.lit(0)))
+    fill = cut.join(top.select("query_id", "id"), ["query_id", "id"], "left_anti")
     both = top.select("query_id", "id", F.lit(0).alias("_part"), "rank").unionByName(fill.select("query_id", "id", F.lit(1).alias("_part"), "rank"))
+    recent = without_vector(all_queries.join(both.select("query_id"), "query_id", "left_anti"), rules, newest, limit)
+    both = both.unionByName(recent.select("query_id", "id", F.lit(2).alias("_part"), "rank"))
     w = Window.partitionBy("query_id").orderBy("_part", "rank")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("_part")
 
 
-def gate(confidence: Column, source: Column, quote: Column, context: Column) -> Column:
-    """``queue`` if the quote is in the source, confidence is high and there is context; else ``pending_confirm``."""
+def gate(confidence: Column, source: Column, quote: Column, context: Column, source_type: Column | None = None) -> Column:
+    """``queue`` if the quote is in the source and confidence is high, and for channel posts if there is context; else ``pending_confirm``.
+
+    Without a source type all rows count as channel posts.
+    """
     long_enough = (F.length(F.coalesce(context, F.lit(""))) >= MIN_CONTEXT) | (F.length(F.coalesce(quote, F.lit(""))) >= MIN_QUOTE)
-    return F.when(T.grounded(source, quote) & (confidence >= AUTO_CONFIDENCE) & long_enough, "queue").otherwise("pending_confirm")
+    other = F.lit(False) if source_type is None else F.coalesce(source_type != "channel", F.lit(True))
+    return F.when(T.grounded(source, quote) & (confidence >= AUTO_CONFIDENCE) & (other | long_enough), "queue").otherwise("pending_confirm")
+
+
+def style_gate(confidence: Column, source: Column, quote: Column, pattern_type: Column) -> Column:
+    """The same for style entries: tone markers whose quote is in the source, stop words if their confidence is high too; others never by themselves."""
+    sure = (pattern_type == "tone_markers") | (pattern_type == "stop_words") & (confidence >= AUTO_CONFIDENCE)
+    return F.when(T.grounded(source, quote) & sure, "queue").otherwise("pending_confirm")
+
+
+def gate_report(decided: DataFrame, known: DataFrame, layer: str = "kind", decision: str = "decision", key: str = "fingerprint") -> DataFrame:
+    """Rows of each layer that were inserted (queued and not known yet), skipped (known) or are to be confirmed."""
+    held = known.select(key).distinct().withColumn("_has", F.lit(True))
+    outcome = F.when(F.col("_has"), "skipped").when(F.col(decision) == "queue", "inserted").otherwise("pending_confirm")
+    return decided.join(held, key, "left").groupBy(layer, outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_manual_entries(profile: DataFrame, *more: DataFrame) -> DataFrame:
+    """Profile entries with those of further tables after them, in the order of the tables: all columns and ``part`` (0 for the profile)."""
+    out = profile.withColumn("part", F.lit(0))
+    for n, df in enumerate(more, start=1):
+        out = out.unionByName(df.withColumn("part", F.lit(n)), allowMissingColumns=True)
+    return out
+
+
+def style_corrections(corrections: DataFrame) -> DataFrame:
+    """One pending candidate for each correction (id, instruction): the instruction is content and quote, confidence 1; of equal ones the first id comes, blank ones go."""
+    rows = corrections.where(T.strip(F.coalesce("instruction", F.lit(""))) != "").select("id", F.lit("style").alias("kind"), F.col("instruction").alias("content"), F.col("instruction").alias("quote"), F.lit(1.0).alias("confidence"), F.lit("correction").alias("source_type"), F.lit("pending").alias("status"), T.fingerprint(F.lit("style"), F.col("instruction")).alias("fingerprint"))
+    return tables.first_of(rows, ["fingerprint"], [F.col("id")])
+
+
+def regret_candidates(regrets: DataFrame, default_title: str = "Reflection") -> DataFrame:
+    """Candidates of imported regrets (id, event_title, source_quote, consequences_lessons, context, confidence): the first of quote, lessons, context and title
+    that is not empty is the quote; an unknown confidence is 0.85. Of equal ones the first id comes."""
+    full = lambda c: F.nullif(F.col(c), F.lit(""))
+    title = F.coalesce(full("event_title"), F.lit(default_title))
+    quote = F.coalesce(full("source_quote"), full("consequences_lessons"), full("context"), title)
+    rows = regrets.select("id", F.lit("regret").alias("kind"), title.alias("topic"), quote.alias("quote"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.85)).alias("confidence"), T.fingerprint(F.lit("regret"), title, F.coalesce("consequences_lessons", F.lit(""))).alias("fingerprint"))
+    return tables.first_of(rows, ["fingerprint"], [F.col("id")])
+
+
+def backfilled(legacy: DataFrame, existing: DataFrame, kind: str, content: Column, order: str) -> DataFrame:
+    """Legacy rows as reviewable ones (kind, content, status pending, fingerprint) that the table does not have yet; blank contents go."""
+    rows = legacy.select(F.lit(kind).alias("kind"), content.alias("content"), F.lit("pending").alias("status"), T.fingerprint(F.lit(kind), content).alias("fingerprint"), F.col(order).alias("legacy_id")).where(T.strip(F.col("content")) != "")
+    return tables.insert_new(rows, existing, "fingerprint", [F.col("legacy_id")])
 
 
 def candidates(extractions: DataFrame, buckets: list[str]) -> DataFrame:
@@ -133,37 +185,64 @@ def voice_rows(messages: DataFrame, kind: str = "kind") -> DataFrame:
     return messages.withColumn("fingerprint", T.fingerprint(F.col(kind), F.col("text"))).withColumn("quality_weight", F.when(chat, 0.45).otherwise(1.0)).withColumn("style_only", chat)
 
 
-def cleanup_plan(chunks: DataFrame) -> DataFrame:
-    """What a cleanup does to each chunk of (id, source_book, category, content): columns id, action, content.
-
-    Later copies within all books go (``delete``). A short chunk joins the one before it in its book and category, the first ones the one
-    after (``delete``; the other is an ``update``). What is then too long is a ``split``; see ``split_rows``. Others: ``keep``.
-    Null contents count as empty.
-    """
-    text = chunks.select("id", "source_book", "category", F.coalesce("content", F.lit("")).alias("content")).withColumn("print", T.fingerprint(F.col("content")))
-    ranked = text.withColumn("_n", F.row_number().over(Window.partitionBy("print").orderBy("id")))
-    copies = ranked.where("_n > 1").select("id", F.lit("delete").alias("action"), "content")
-    w = Window.partitionBy("source_book", "category").orderBy("id")
-    stands = (F.length("content") >= SHORT).cast("int")
-    grouped = ranked.where("_n = 1").withColumn("_group", F.greatest(F.sum(stands).over(w), F.lit(1)))
-    parts = grouped.groupBy("source_book", "category", "_group").agg(F.array_sort(F.collect_list(F.struct("id", "content"))).alias("p"))
-    whole = F.array_join(F.transform("p", lambda x: x["content"]), "\n\n")
-    head = F.coalesce(F.get(F.filter("p", lambda x: F.length(x["content"]) >= SHORT), 0)["id"], F.get("p", 0)["id"])
-    joined = parts.select(head.alias("id"), F.when(F.length(whole) > LONG, "split").when(F.size("p") > 1, "update").otherwise("keep").alias("action"), whole.alias("content"), F.filter(F.transform("p", lambda x: x["id"]), lambda i: i != head).alias("_gone"))
-    gone = joined.select(F.explode("_gone").alias("id"), F.lit("delete").alias("action"), F.lit("").alias("content"))
-    return joined.drop("_gone").unionByName(gone).unionByName(copies)
-
+def _merged_shorts(rows):
+    """Rows of one chapter in order, each with its content after short ones joined the next row, or the last ones the row before them; null where a row went."""
+    carried, waiting, last = "", [], None
+    for r in rows:
+        text = f"{carried}\n\n{r['content']}" if waiting else r["content"]
+        if len(" ".join(text.split())) < SHORT:
+            carried, _ = text, waiting.append(r)
+            continue
+        if last:
+            yield last
+        for x in waiting:
+            yield {"id": x["id"], "merged": None}
+        last, carried, waiting = {"id": r["id"], "merged": text, "at": r["chunk_index"]}, "", []
+    if waiting:  # nothing comes after the last short row
+        tail = waiting.pop()
+        for x in waiting:
+            yield {"id": x["id"], "merged": None}
+        yield {"id": tail["id"], "merged": None if last else carried}
+        if last:
+            both = [last["merged"], carried]
+            last["merged"] = "\n\n".join(both if last["at"] < tail["chunk_index"] else both[::-1])
+    if last:
+        yield last
 
-def split_rows(plan: DataFrame) -> DataFrame:
-    """The pieces of chunks to split: id, chunk_no and chunk."""
-    return chunking.packed(plan.where("action = 'split'"), F.split("content", "\n\n"), ["id"], TARGET, "\n\n")
 
+def cleanup_plan(chunks: DataFrame) -> DataFrame:
+    """What a cleanup does to each chunk of (id, source_book, chapter_title, chunk_index, content): columns id, chunk_index, action, content, split.
 
-def applied_plan(chunks: DataFrame, plan: DataFrame) -> DataFrame:
-    """Chunks (id, chunk_no, content, fingerprint) after the plan; of equal fingerprints the lowest id and number stay."""
-    whole = plan.where("action in ('keep', 'update')").select("id", F.lit(1).alias("chunk_no"), "content")
-    new = whole.unionByName(split_rows(plan).withColumnRenamed("chunk", "content")).withColumn("fingerprint", T.fingerprint(F.col("content")))
-    return tables.first_of(new.join(chunks.select("id"), "id", "left_semi"), ["fingerprint"], [F.col("id"), F.col("chunk_no")])
+    Later copies within all books go (``delete``). In the order of chunk_index, a short chunk joins the next one of its book and chapter, the last ones the one before
+    (``delete``; the other is an ``update``). What is then too long and falls into several pieces keeps the first (``update``, the others are in ``split``; see
+    ``inserted_rows``). Others: ``keep``. Null contents count as empty, null books as one, null indexes as 0. A chapter streams through a fold that holds two chunks.
+    """
+    text = chunks.select("id", F.coalesce("source_book", F.lit("unknown")).alias("source_book"), "chapter_title", F.coalesce("chunk_index", F.lit(0)).cast("long").alias("chunk_index"), F.coalesce("content", F.lit("")).alias("content")).withColumn("print", T.fingerprint(F.col("content")))
+    firsts = text.groupBy("print").agg(F.min("id").alias("first"))
+    ranked = text.join(firsts, "print")
+    copies = ranked.where("id > first").select("id", "chunk_index", F.lit("delete").alias("action"), F.lit("").alias("content"), F.array().cast("array<string>").alias("split"))
+    own = ranked.where("id = first").select("id", "source_book", "chapter_title", "chunk_index", "content")
+    merged = folds.over_sorted(own, ["source_book", "chapter_title"], ["chunk_index", "id"], _merged_shorts, "id long, merged string")
+    pieces = chunking.paragraph_packs(merged.where(F.length("merged") > LONG), "merged", ["id"], TARGET).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))).alias("p"))
+    many = F.size("p") > 1
+    planned = own.join(merged, "id").join(pieces.where(many), "id", "left")
+    content = F.when(F.col("p").isNotNull(), F.get("p", 0)["chunk"]).otherwise(F.coalesce("merged", F.lit("")))
+    action = F.when(F.col("merged").isNull(), "delete").when(F.col("p").isNotNull() | (F.col("merged") != F.col("content")), "update").otherwise("keep")
+    rest = F.coalesce(F.transform(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(1))), lambda x: x["chunk"]), F.array().cast("array<string>"))
+    return planned.select("id", "chunk_index", action.alias("action"), content.alias("content"), rest.alias("split")).unionByName(copies)
+
+
+def inserted_rows(plan: DataFrame) -> DataFrame:
+    """The further pieces of split chunks: split_from_id, chunk_index (1000 times the chunk's, plus the piece's number) and content."""
+    return plan.select(F.col("id").alias("split_from_id"), "chunk_index", F.posexplode("split").alias("n", "content")).select("split_from_id", (F.col("chunk_index") * 1000 + F.col("n") + 1).alias("chunk_index"), "content")
+
+
+def applied_plan(chunks: DataFrame, plan: DataFrame, sources: dict[str, str] | None = None) -> DataFrame:
+    """Chunks (id, chunk_index, content, canonical_source, fingerprint) after the plan; inserted pieces have the id they come from. Of equal fingerprints the lowest id and index stay."""
+    whole = plan.where("action in ('keep', 'update')").select("id", F.lit(0).alias("_piece"), "chunk_index", "content")
+    new = whole.unionByName(inserted_rows(plan).select(F.col("split_from_id").alias("id"), F.lit(1).alias("_piece"), "chunk_index", "content"))
+    named = canonical(new.join(chunks.select("id", F.coalesce("source_book", F.lit("unknown")).alias("canonical_source")), "id"), "canonical_source", sources or {})
+    return tables.first_of(named.withColumn("fingerprint", T.fingerprint(F.col("content"))), ["fingerprint"], [F.col("id"), F.col("_piece"), F.col("chunk_index")]).drop("_piece")
 
 
 def audit(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
@@ -195,12 +274,23 @@ def current_drafts(changes: DataFrame, key: str, order: Column, fields: list[str
 
 
 def message_packs(messages: DataFrame, key: str, order: list[str], header: Column, text: str, limit: int = 80_000) -> DataFrame:
-    """Messages of each chat in packs of about ``limit`` characters (a pack ends with the message that fills it), separated by ``---``.
+    """Messages of each chat packed greedily, in order, up to ``limit`` characters (header, text and three line ends each): pack_no, n_messages, pack.
 
-    A running length gives the pack, so no task gathers a whole chat: a list holds one pack.
+    A longer message is a pack of its own. A chat streams through a fold that holds one pack.
     """
-    line = messages.withColumn("_line", F.concat(header, F.lit("\n"), F.coalesce(F.col(text), F.lit(""))))
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = line.withColumn("pack_no", F.floor(F.coalesce(F.sum(F.length("_line")).over(w), F.lit(0)) / limit) + 1)
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, "_line"))), lambda x: x["_line"])
-    return placed.groupBy(key, "pack_no").agg(F.count(F.lit(1)).alias("n_messages"), F.array_join(lines, "\n---\n").alias("pack"))
+    kind = messages.schema[key].dataType.simpleString()
+
+    def fold(rows):
+        number, held, size = 0, [], 0
+        for r in rows:
+            n = len(r["_block"]) + 2
+            if held and size + n > limit:
+                number += 1
+                yield {key: r[key], "pack_no": number, "n_messages": len(held), "pack": "\n\n---\n\n".join(held)}
+                held, size = [], 0
+            held.append(r["_block"])
+            size += n
+        yield {key: r[key], "pack_no": number + 1, "n_messages": len(held), "pack": "\n\n---\n\n".join(held)}
+
+    blocks = messages.select(key, *order, F.concat(header, F.lit("\n"), F.coalesce(F.col(text), F.lit(""))).alias("_block"))
+    return folds.over_sorted(blocks, [key], order, fold, f"{key} {kind}, pack_no long, n_messages long, pack string")

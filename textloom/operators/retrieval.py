@@ -6,59 +6,102 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions import vectors as V
 
-#: Queries that go to the executors at once; a larger query set takes several passes.
-QUERY_BLOCK = 2048
+#: Rows in a block of queries and of the corpus, and results that a task keeps before it sends them on.
+QUERY_BLOCK, ROW_BLOCK, HELD = 2048, 4096, 4_000_000
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", row_id: str = "id", vector: str = "embedding", kind: str | None = None) -> DataFrame:
-    """query_id, id, similarity and rank of the ``k`` corpus rows most similar to each query; ties go to the smaller id.
+def _blocks(df: DataFrame, size: int, side: str) -> DataFrame:
+    """Rows (id, v, kind, w) packed, as they lie, into blocks of unit vectors times w; null and zero vectors and null weights are left out."""
 
-    With ``kind``, a column of both sides, only rows of the query's kind count; a null kind matches nothing.
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
 
-    The query side travels in blocks of a fixed size; each task multiplies matrices and sends on its own top k of a query, so the shuffle holds
-    k rows a query and task. Null and zero vectors match nothing.
+        def block() -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            ids = [x for b in held for x in b.column("id").to_pylist()]
+            kinds = [x for b in held for x in b.column("kind").to_pylist()]
+            v = np.array([x for b in held for x in b.column("v").to_pylist()], np.float64)
+            length = np.linalg.norm(v, axis=1)
+            good = np.flatnonzero(length > 0)
+            unit = v[good] / length[good, None] * np.array([x for b in held for x in b.column("w").to_pylist()], np.float64)[good, None]
+            return pa.RecordBatch.from_arrays([pa.array([number - 1]), pa.array([[ids[i] for i in good]], pa.list_(pa.int64())), pa.array([[kinds[i] for i in good]], pa.list_(pa.string())), pa.array([unit.tobytes()], pa.binary())], [f"{side}_{c}" for c in ("block", "ids", "kinds", "unit")])
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= size:
+                yield block()
+                held.clear()
+        if held:
+            yield block()
+
+    return df.where("v is not null and w is not null").mapInArrow(pack, f"{side}_block long, {side}_ids array<long>, {side}_kinds array<string>, {side}_unit binary")
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", row_id: str = "id", vector: str = "embedding", kind: str | None = None, null_for_all: bool = False, weight: str | None = None) -> DataFrame:
+    """query_id, id, similarity and rank of the ``k`` corpus rows most similar to each query; ties go to the smaller id. With ``weight``, a column of the corpus, similarities are multiplied by it.
+
+    With ``kind``, a column of both sides, only rows of the query's kind count; a query's null kind matches nothing, or everything with ``null_for_all``.
+
+    Blocks of the stated query set meet blocks of the corpus in one job (the smaller side is broadcast only below Spark's size limit). A task multiplies
+    matrices and keeps the best k of each query it has met, so the shuffle holds about k rows a query and task. Null and zero vectors match nothing.
     """
-    spark, parts = queries.sparkSession, None
-    n = queries.count()
-    for block in range(-(-n // QUERY_BLOCK) or 1):
-        some = queries if n <= QUERY_BLOCK else queries.where(F.pmod(F.xxhash64(query_id), F.lit(-(-n // QUERY_BLOCK))) == block)
-        rows = some.select(query_id, vector, *[kind] if kind else []).where(F.col(vector).isNotNull()).collect()
-        codes = {x: i for i, x in enumerate({r[2] for r in rows} - {None})} if kind else {}
-        own = np.array([codes.get(r[2], -2) for r in rows] if kind else [], np.int64)
-        ids = np.array([r[0] for r in rows], np.int64)
-        q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-        norms = np.linalg.norm(q, axis=1, keepdims=True)
-        q = np.divide(q, norms, out=np.full_like(q, np.nan), where=norms > 0)
-
-        def score(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q, codes: dict = codes, own: np.ndarray = own) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                pdf = pdf[pdf["v"].notna()]
-                if pdf.empty or not len(ids):
+    def side(df: DataFrame, i: str, w: str | None = None) -> DataFrame:
+        return df.select(F.col(i).cast("long").alias("id"), F.col(vector).alias("v"), (F.col(kind).cast("string") if kind else F.lit(None).cast("string")).alias("kind"), (F.col(w).cast("double") if w else F.lit(1.0)).alias("w"))
+
+    pairs = _blocks(side(corpus, row_id, weight), ROW_BLOCK, "c").join(_blocks(side(queries, query_id), QUERY_BLOCK, "q"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}  # by query block: its ids, and positions, similarities, ids of the best rows
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for ids, at, s, rid in best.values():
+                for i in range(0, len(at), 65536):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at[i : i + 65536]]), pa.array(rid[i : i + 65536]), pa.array(s[i : i + 65536])], ["query_id", "id", "similarity"])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                get = lambda c, b=b, i=i: b.column(c)[i]
+                ids, rid = (np.array(get(c).as_py(), np.int64) for c in ("q_ids", "c_ids"))
+                if not len(ids) or not len(rid):
                     continue
-                c = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-                length = np.linalg.norm(c, axis=1, keepdims=True)
-                c = np.divide(c, length, out=np.full_like(c, np.nan), where=length > 0)
-                sims = np.nan_to_num(q @ c.T, nan=-2.0)
+                q, c = (np.frombuffer(get(x).as_py()).reshape(n, -1) for x, n in (("q_unit", len(ids)), ("c_unit", len(rid))))
+                sims = q @ c.T
                 if kind:
-                    sims[own[:, None] != np.array([codes.get(x, -1) for x in pdf["kind"]], np.int64)] = -2.0
-                rid = pdf["id"].to_numpy(np.int64)
-                for i in range(0, len(ids), 256):
-                    top = np.lexsort((np.broadcast_to(rid, sims[i : i + 256].shape), -sims[i : i + 256]), axis=1)[:, :k]
-                    s = np.take_along_axis(sims[i : i + 256], top, 1).ravel()
-                    keep = s > -2.0
-                    yield pd.DataFrame({"query_id": np.repeat(ids[i : i + 256], top.shape[1])[keep], "id": rid[top].ravel()[keep], "similarity": s[keep]})
-
-        found = corpus.select(F.col(row_id).cast("long").alias("id"), F.col(vector).alias("v"), *[F.col(kind).alias("kind")] if kind else []).mapInPandas(score, "query_id long, id long, similarity double")
-        parts = found if parts is None else parts.union(found)
+                    mine, theirs = (np.array(get(x).as_py(), object) for x in ("q_kinds", "c_kinds"))
+                    no_kind = np.array([x is None for x in mine])
+                    other = (mine[:, None] != theirs[None, :]) | no_kind[:, None]
+                    sims[other & ~no_kind[:, None] if null_for_all else other] = -2.0
+                least = np.full(len(ids), -2.0) if len(rid) <= k else -np.partition(-sims, k - 1, axis=1)[:, k - 1]
+                at, col = np.nonzero((sims >= least[:, None]) & (sims > -2.0))
+                block = get("q_block").as_py()
+                _, old_at, old_s, old_rid = best.get(block, (ids, at[:0], sims[0, :0], rid[:0]))
+                size -= len(old_at)
+                at, s, rid = np.concatenate((old_at, at)), np.concatenate((old_s, sims[at, col])), np.concatenate((old_rid, rid[col]))
+                order = np.lexsort((rid, -s, at))
+                at, s, rid = at[order], s[order], rid[order]
+                nth = np.arange(len(at)) - np.searchsorted(at, at)
+                best[block] = ids, at[nth < k], s[nth < k], rid[nth < k]
+                size += int((nth < k).sum())
+                if size > HELD:
+                    yield from out()
+                    best.clear()
+                    size = 0
+        yield from out()
+
+    found = pairs.mapInArrow(score, "query_id long, id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    del spark
-    return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def reranked(found: DataFrame, corpus: DataFrame, score: Column, k: int) -> DataFrame:
@@ -81,26 +124,64 @@ def semantic_duplicates(corpus: DataFrame, queries: DataFrame, kind: str, thresh
     return found.where(F.col("similarity") >= threshold).groupBy("query_id").agg(F.max_by("id", F.struct("similarity", -F.col("id"))).alias("duplicate_of"), F.max("similarity").alias("similarity"))
 
 
-def layer(found: DataFrame, line: Column, name: str, limit: int, placeholder: str = "-") -> DataFrame:
+#: Fixed limits of a context: rows by layer, over-fetch of voice, characters of a line, of all, and of voice at least.
+RULES, VOICE, EXPERIENCES, KNOWLEDGE, OVERFETCH, LINE, LONG_LINE, BUDGET, LEAST = 20, 6, 4, 3, 4, 1200, 1800, 30_000, 1000
+
+
+def layer(found: DataFrame, line: Column, name: str, joiner: str = "\n") -> DataFrame:
     """One text of ranked lines a query, with its line count."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", T.clip(line, limit).alias("line")))), lambda x: x["line"])
-    return found.groupBy("query_id").agg(F.array_join(lines, "\n").alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])
+    return found.groupBy("query_id").agg(F.array_join(lines, joiner).alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
+
+
+def rule_line(rule_type: Column, topic: Column, content: Column) -> Column:
+    return F.format_string("- [%s] %s: %s", rule_type, topic, T.clip(F.coalesce(content, F.lit("")), LINE))
+
+
+def voice_line(rank: Column, source_type: Column, text: Column) -> Column:
+    return F.format_string("[example %d; source=%s]\n%s", rank, source_type, T.clip(F.coalesce(text, F.lit("")), LINE))
 
 
-def context(queries: DataFrame, layers: dict[str, DataFrame], budget: int = 30_000, shrink: str = "voice", least: int = 1000) -> DataFrame:
-    """Layers joined to the query table; where their sum is over the budget, one layer shrinks, not below ``least``."""
+def experience_line(is_regret: Column, title: Column, context: Column, choice: Column, lessons: Column) -> Column:
+    return F.format_string("- [%s] %s: %s → %s → %s", F.when(is_regret, "REGRET").otherwise("EXPERIENCE"), title, context, choice, T.clip(F.coalesce(lessons, F.lit("")), LINE))
+
+
+def knowledge_line(source: Column, chapter: Column, status: Column, content: Column) -> Column:
+    return F.format_string("- [%s / %s / %s] %s", source, F.coalesce(chapter, F.lit("General")), status, T.clip(F.coalesce(content, F.lit("")), LONG_LINE))
+
+
+def voice_examples(queries: DataFrame, voice: DataFrame, as_of: str, k: int = VOICE, rate: float = 0.002) -> DataFrame:
+    """Over-fetched nearest examples, the ``k`` best by similarity times quality, those in the order of that score with their age taken into account."""
+    facts = voice.drop("embedding")
+    best = reranked(nearest(queries, voice, k * OVERFETCH), facts, F.col("similarity") * F.col("quality_weight"), k)
+    return reranked(best.select("query_id", "id", "similarity"), facts, V.recency(F.col("similarity") * F.coalesce("quality_weight", F.lit(0.5)), F.col("occurred_at"), as_of, rate), k)
+
+
+def gated_knowledge(queries: DataFrame, knowledge: DataFrame, k: int = KNOWLEDGE) -> DataFrame:
+    """Nearest knowledge of queries (query_id, embedding, factual, religious) that ask for it: factual or religious ones; religious ones get verified rows only.
+
+    However similar a row is, it does not open the gate.
+    """
+    asked = queries.where("factual or religious").select("query_id", "embedding", F.when(F.col("religious"), "verified").alias("_only"))
+    return nearest(asked, knowledge.withColumn("_only", F.col("verification_status")), k, kind="_only", null_for_all=True)
+
+
+def context(queries: DataFrame, layers: dict[str, tuple[DataFrame, str]], budget: int = BUDGET, frame: int = 0, shrink: str = "voice", least: int = LEAST) -> DataFrame:
+    """Layers (text by query, and what stands for an empty one) joined to the query table.
+
+    Where they and the ``frame`` characters around them are over the budget, one layer is clipped by as much, not below ``least``.
+    """
     out = queries
-    for name, df in layers.items():
-        out = out.join(df, "query_id", "left").withColumn(name, F.coalesce(name, F.lit("-"))).withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
-    total = sum((F.length(n) for n in layers), F.lit(0))
-    over = F.greatest(total - budget, F.lit(0))
-    room = F.greatest(F.lit(least), F.length(shrink) - over)
-    out = out.withColumn(shrink, F.when(over > 0, F.expr(f"substring({shrink}, 1, greatest({least}, length({shrink}) - greatest({'+'.join(f'length({n})' for n in layers)} - {budget}, 0)))")).otherwise(F.col(shrink)))
-    del room
-    return out.withColumn("context_chars", sum((F.length(n) for n in layers), F.lit(0)))
+    for name, (df, placeholder) in layers.items():
+        out = out.join(df, "query_id", "left").withColumn(name, F.coalesce(name, F.lit(placeholder))).withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
+    total = lambda: sum((F.length(n) for n in layers), F.lit(frame))
+    room = F.greatest(F.lit(least), F.length(shrink) - (total() - budget))
+    clipped = F.concat(T.rstrip(F.substring(F.col(shrink), F.lit(1), room - 1)), F.lit("…"))
+    out = out.withColumn(shrink, F.when((total() > budget) & (F.length(shrink) > room), clipped).otherwise(F.col(shrink)))
+    return out.withColumn("context_chars", total())
 
 
-#: Rows that the coarse index is fitted on, at most; every row is indexed.
+#: Rows that the coarse index is fitted on, about, at most, chosen by the hash of their id; every row is indexed.
 FIT_ROWS = 50_000
 
 
@@ -109,7 +190,9 @@ def index_lists(corpus: DataFrame, lists: int, seed: int = 42) -> tuple[DataFram
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    some = corpus.where(F.col("embedding").isNotNull()).orderBy(F.xxhash64("id")).limit(FIT_ROWS)
+    there = corpus.where(F.col("embedding").isNotNull())
+    n = there.count()
+    some = there.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, FIT_ROWS / max(n, 1)) * (1 << 30)))
     model = KMeans(k=lists, seed=seed, featuresCol="v", maxIter=10).fit(some.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v")))
     centres = np.array(model.clusterCenters())
 
@@ -126,10 +209,15 @@ def index_lists(corpus: DataFrame, lists: int, seed: int = 42) -> tuple[DataFram
 def nearest_in_lists(queries: DataFrame, corpus: DataFrame, k: int, lists: int, probe: int) -> DataFrame:
     """Approximate ``nearest``: exact within the ``probe`` lists whose centres are nearest to the query. With ``probe == lists`` it is exact."""
     indexed, centres = index_lists(corpus, lists)
-    c = F.array(*[F.struct(F.lit(i).alias("list"), F.array(*[F.lit(float(x)) for x in row]).alias("at")) for i, row in enumerate(centres)])
-    away = lambda x: F.aggregate(F.zip_with(x["at"], F.col("embedding"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y)
-    near = F.slice(F.array_sort(F.transform(c, lambda x: F.struct(away(x).alias("away"), x["list"].alias("list")))), 1, probe)
-    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").alias("q"), F.explode(F.transform(near, lambda x: x["list"])).alias("list"))
+    squares = (centres**2).sum(1)
+
+    def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            q = np.stack(pdf["q"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, centres.shape[1]))
+            near = np.argsort(squares - 2 * q @ centres.T, axis=1, kind="stable")[:, :probe].astype(np.int32)
+            yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), near.shape[1]), "q": np.repeat(pdf["q"].to_numpy(), near.shape[1]), "list": near.ravel()})
+
+    asked = queries.where(F.col("embedding").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("q")).mapInPandas(probed, "query_id long, q array<float>, list int")
     found = indexed.join(asked, "list").select("query_id", "id", V.cosine(F.col("q"), F.col("embedding")).alias("similarity")).where("similarity is not null")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions import vectors as V
-from textloom.operators import captions, chunking, lifecycle, memory, retrieval, tables
+from textloom.operators import captions, chunking, lifecycle, matching, memory, retrieval, tables
+from textloom.sources import exports
 from textloom.streaming import ingest
 
 AS_OF = "2024-02-01 00:00:00"
@@ -54,11 +55,11 @@ def vectors(t) -> DataFrame:
 
 
 V_SQL = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS embedding, label, ts AS occurred_at, greatest(0.0, least(1.0, value / 500)) AS quality_weight, event_type AS kind FROM embeddings JOIN events ON vec_id = event_id)"
-NEAR_SQL = V_SQL + ", s AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.embedding, v.embedding) AS similarity FROM v AS q, v WHERE q.id % 25 = 0), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s))"
+NEAR_SQL = V_SQL + ", s AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.embedding, v.embedding) AS similarity FROM v AS q, v WHERE q.id % 20 = 0), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s))"
 
 
 def questions(t) -> DataFrame:
-    return vectors(t).where("id % 25 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return vectors(t).where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
 
 
 def chat(t) -> DataFrame:
@@ -77,21 +78,21 @@ def p2_p4_normalise_fingerprint(t):
     return d.select("doc_id", T.normalise(F.col("text")).alias("normalised"), T.fingerprint(F.col("source"), F.col("text")).alias("fingerprint"), F.sha2("text", 256).alias("content_hash"), F.length("text").alias("n_chars"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^\p{L}\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,
 CASE WHEN regexp_matches(lower(text), 'finance|money|invest|econom') THEN 'finance' WHEN regexp_matches(lower(text), 'islam|quran|hadith|fiqh') THEN 'islam' WHEN regexp_matches(lower(text), 'python|software|program|data') THEN 'it' WHEN regexp_matches(lower(text), 'psycholog|mind|habit') THEN 'psychology' WHEN regexp_matches(lower(text), 'brand|market|content') THEN 'branding' ELSE 'psychology' END AS category,
 CASE WHEN length(text) > 120 THEN concat(rtrim(substr(text, 1, 119), ' '), '…') ELSE text END AS clipped,
 least(length(text) // 10, 200) + CASE WHEN source = 'src0' THEN 100 ELSE 0 END + CASE WHEN length(text) > 500 THEN 50 ELSE 0 END AS score, greatest(1, length(text) // 4) AS tokens,
-CASE WHEN length(""" + STRIP.format("text") + r""") <= 180 THEN 'short' WHEN length(""" + STRIP.format("text") + """) <= 650 THEN 'medium' ELSE 'long' END AS length_class FROM documents""")
+CASE WHEN length(""" + STRIP.format("text") + r""") < 180 THEN 'short' WHEN length(""" + STRIP.format("text") + """) < 650 THEN 'normal' ELSE 'expanded' END AS length_class FROM documents""")
 def p5_p12_text_expressions(t):
     c = F.col("text")
-    return t("documents").select("doc_id", T.slug(F.substring(c, 1, 60)).alias("slug"), T.category(c).alias("category"), T.clip(c, 120).alias("clipped"), T.message_score(c, F.col("source") == "src0").alias("score"), T.token_estimate(c).alias("tokens"), T.length_class(c).alias("length_class"))
+    return t("documents").select("doc_id", T.slug(c).alias("slug"), T.category(c).alias("category"), T.clip(c, 120).alias("clipped"), T.message_score(c, F.col("source") == "src0").alias("score"), T.token_estimate(c).alias("tokens"), T.length_class(c).alias("length_class"))
 
 
-@query(r"""WITH h AS (SELECT doc_id, text, substr(text, 1, 300) AS h FROM documents),
+@query(r"""WITH s AS (SELECT doc_id, """ + STRIP.format("text") + r""" AS text FROM documents), h AS (SELECT doc_id, text, substr(text, 1, 300) AS h FROM s),
 e AS (SELECT *, greatest(CASE WHEN instr(reverse(h), ' .') = 0 THEN 0 ELSE length(h) - instr(reverse(h), ' .') END, CASE WHEN instr(reverse(h), ' !') = 0 THEN 0 ELSE length(h) - instr(reverse(h), ' !') END,
  CASE WHEN instr(reverse(h), ' ?') = 0 THEN 0 ELSE length(h) - instr(reverse(h), ' ?') END, CASE WHEN instr(reverse(h), chr(10)) = 0 THEN 0 ELSE length(h) - instr(reverse(h), chr(10)) + 1 END) AS e,
  CASE WHEN instr(reverse(h), ' ') = 0 THEN 0 ELSE length(h) - instr(reverse(h), ' ') + 1 END AS s FROM h)
-SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN e >= 165 THEN rtrim(substr(h, 1, e), ' ') ELSE concat(rtrim(CASE WHEN s > 0 THEN substr(h, 1, s - 1) ELSE h END, ' '), '…') END AS cut FROM e""")
+SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN e - 1 >= 165 THEN regexp_replace(substr(h, 1, e), '\s+$', '') WHEN s > 1 THEN concat(regexp_replace(substr(h, 1, s - 1), '[ ,;:]+$', ''), '…') ELSE regexp_replace(h, '\s+$', '') END AS cut FROM e""")
 def p10_enforce_length(t):
     return t("documents").select("doc_id", T.enforce_length(F.col("text"), 300).alias("cut"))
 
@@ -109,9 +110,9 @@ def p24_p29_vectors_recency(t):
     return vectors(t).select("id", F.size(short).alias("dim"), F.round(F.aggregate(short, F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"), F.round(V.recency(F.col("quality_weight"), F.col("occurred_at"), AS_OF), 9).alias("recency"))
 
 
-@query(r"SELECT doc_id, regexp_replace(replace(concat('## ', replace(text, chr(10), chr(10) || chr(10))), '<span id=x></span>', ''), '^\s+|\s+$', '', 'g') AS cleaned FROM documents")
-def p27_markdown_cleanup(t):
-    raw = F.concat(F.lit('### <span id="p1"></span>'), F.replace("text", F.lit("\n"), F.lit("\n\n\n\n")))
+@query(r"WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(list_transform(x, lambda y: regexp_replace(y, '^\s+|\s+$', '', 'g'))) AS x FROM (SELECT doc_id, CASE WHEN len(x) > 1 AND x[-1] = '' THEN x[:-2] ELSE x END AS x FROM (SELECT doc_id, string_split(concat('## ', text), chr(10)) AS x FROM documents))), p AS (SELECT *, lag(x) OVER w AS b, lag(x, 2) OVER w AS bb FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)), g AS (SELECT *, CASE WHEN b = '' THEN bb ELSE b END AS last FROM p), j AS (SELECT *, i > 1 AND x <> '' AND coalesce(last, '') <> '' AND NOT starts_with(last, '#') AND NOT regexp_matches(last, '[.!?;:»\"'')\]]$') AND NOT starts_with(x, '#') AND NOT regexp_matches(x, '^(\d+\.|[-*+])\s') AS on_ FROM g), n AS (SELECT *, lead(on_) OVER (PARTITION BY doc_id ORDER BY i) AS next_on FROM j), o AS (SELECT doc_id, string_agg(CASE WHEN x = '' AND b <> '' AND coalesce(next_on, false) THEN '' WHEN on_ THEN ' ' || x WHEN i > 1 THEN chr(10) || x ELSE x END, '' ORDER BY i) AS t FROM n GROUP BY doc_id) SELECT doc_id, CASE WHEN regexp_matches(t, '\S') THEN regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10) ELSE '' END AS cleaned FROM o")
+def p27_c9_markdown_cleanup(t):
+    raw = F.concat(F.lit('### <span id="page-1-2"></span>'), "text")
     return t("documents").select("doc_id", T.clean_markdown(raw).alias("cleaned"))
 
 
@@ -124,9 +125,9 @@ def f1_f11_chat_filters(t):
     return chat(t).where(~T.is_noise(F.col("text")) & n.between(80, 1500)).select("conv_id", "turn", "kind")
 
 
-@query(f"WITH {K_SQL} SELECT id, {norm('substr(content, 5, 40)')} <> '' AND contains({norm('content')}, {norm('substr(content, 5, 40)')}) AS grounded, {norm('substr(content, 5, 40)')} <> '' AND length(content) >= 200 AND verification_status = 'verified' AS queued FROM k")
+@query(f"WITH {K_SQL} SELECT id, {norm('substr(content, 5)')} <> '' AND contains({norm('content')}, {norm('substr(content, 5)')}) AS grounded, {norm('substr(content, 5)')} <> '' AND length(content) >= 200 AND verification_status = 'verified' AS queued FROM k")
 def f9_f10_grounding_gate(t):
-    k, quote = knowledge(t), F.substring("content", 5, 40)
+    k, quote = knowledge(t), F.expr("substring(content, 5)")
     g = T.grounded(F.col("content"), quote)
     return k.select("id", g.alias("grounded"), (g & (F.length("content") >= 200) & (F.col("verification_status") == "verified")).alias("queued"))
 
@@ -141,15 +142,21 @@ def s9_j1_insert_if_new(t):
     return tables.insert_new(p.where("doc_id % 3 <> 0"), p.where("doc_id % 3 = 0"), "print", [F.col("doc_id")]).select("doc_id", "print")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE lang END AS lang FROM documents WHERE doc_id % 2 = 0 OR doc_id % 5 = 0")
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 2 = 1 THEN 'new' ELSE lang END AS lang FROM documents")
 def s10_upsert(t):
     d = t("documents").select("doc_id", "lang")
-    return tables.upsert(d.where("doc_id % 2 = 0"), d.where("doc_id % 5 = 0").withColumn("lang", F.lit("new")), "doc_id")
+    return tables.upsert(d.where("doc_id % 2 = 0"), d.where("doc_id % 5 = 0 or doc_id % 2 = 1").withColumn("lang", F.lit("new")), "doc_id")
 
 
-@query("SELECT 'documents' AS table_name, count(*) AS n_rows, CAST(sum(CAST(CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''), coalesce(lang, ''), coalesce(source, ''), coalesce(CAST(n_chars AS VARCHAR), ''))), 1, 12) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM documents")
+def _snapshot_sql(table: str, *columns: str) -> str:
+    field = lambda c: f"coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    return f"SELECT '{table}' AS table_name, count(*) AS n_rows, CAST(sum(CAST(CAST('0x' || substr(md5(concat({', '.join(map(field, columns))})), 1, 12) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM {table}"
+
+
+@query(" UNION ALL ".join([_snapshot_sql("documents", "doc_id", "text", "lang", "source", "n_chars"), _snapshot_sql("conversations", "conv_id", "turn", "role", "text"), _snapshot_sql("labels", "doc_id", "quality", "toxic"), _snapshot_sql("pages", "page_id", "url", "html")]))
 def s7_snapshot_manifest(t):
-    return tables.snapshot(t("documents"), "documents")
+    columns = {"documents": ["doc_id", "text", "lang", "source", "n_chars"], "conversations": ["conv_id", "turn", "role", "text"], "labels": ["doc_id", "quality", "toxic"], "pages": ["page_id", "url", "html"]}
+    return tables.manifest({n: t(n).select(*c) for n, c in columns.items()})
 
 
 @query("SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -169,10 +176,10 @@ def j4_g6_exact_duplicates(t):
     return p.join(p.groupBy("print").agg(F.min("doc_id").alias("duplicate_of")), "print").where("doc_id > duplicate_of").select("doc_id", "duplicate_of")
 
 
-@query(f"WITH {V_SQL}, s AS (SELECT q.id AS query_id, q.label, v.id, v.label AS other, list_cosine_similarity(q.embedding, v.embedding) AS s FROM v AS q, v WHERE q.id % 25 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM s) SELECT query_id, arg_max(id, s) AS duplicate_of, round(max(s), 6) AS similarity FROM n WHERE r <= 9 AND id <> query_id AND label = other AND s >= 0.2 GROUP BY query_id")
+@query(f"WITH {V_SQL}, s AS (SELECT q.id AS query_id, q.label, v.id, v.label AS other, list_cosine_similarity(q.embedding, v.embedding) AS s FROM v AS q, v WHERE q.id % 20 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM s) SELECT query_id, arg_max(id, s) AS duplicate_of, round(max(s), 6) AS similarity FROM n WHERE r <= 9 AND id <> query_id AND label = other AND s >= 0.2 GROUP BY query_id")
 def j5_semantic_duplicates(t):
     v = vectors(t)
-    found = retrieval.semantic_duplicates(v, v.where("id % 25 = 0"), "label", 0.2, compat=True)
+    found = retrieval.semantic_duplicates(v, v.where("id % 20 = 0"), "label", 0.2, compat=True)
     return found.select("query_id", "duplicate_of", F.round("similarity", 6).alias("similarity"))
 
 
@@ -251,6 +258,68 @@ def w9_semantic_breaks(t):
     return chunking.semantic_breaks(vectors(t), "label", "id", "embedding").select("id", "label", "chunk_no")
 
 
+@query(f"WITH {C_SQL}, b AS (SELECT kind, conv_id, count(*) AS n, sum(length(text)) AS chars FROM c GROUP BY ALL UNION ALL SELECT 'all', conv_id, count(*), sum(length(text)) FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, conv_id) AS rank FROM b) SELECT kind, CAST(sum(n) AS BIGINT) AS message_count, CAST(sum(chars) AS BIGINT) AS total_characters, string_agg(conv_id || ':' || n, ',' ORDER BY rank) FILTER (rank <= 15) AS top_chats FROM r GROUP BY kind")
+def g1_s6_top_chats(t):
+    stats = exports.corpus_stats(chat(t), "conv_id")
+    return stats.withColumn("top_chats", F.array_join(F.transform("top_chats", lambda x: F.concat(x["chat"].cast("string"), F.lit(":"), x["messages"].cast("string"))), ","))
+
+
+@query("SELECT CASE quality WHEN 1 THEN 'ok' WHEN 0 THEN 'failed' ELSE 'unknown' END AS status, count(*) AS n FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id) GROUP BY ALL")
+def s14_run_report(t):
+    done = t("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return tables.run_report(t("documents").join(done, "doc_id", "left").withColumn("status", F.when(F.col("quality") == 1, "ok").when(F.col("quality") == 0, "failed")))
+
+
+@query(f"WITH f AS (SELECT doc_id, {norm('text')} AS p FROM documents), k AS (SELECT DISTINCT p FROM f WHERE doc_id % 3 = 0), s AS (SELECT p FROM f WHERE doc_id % 3 <> 0) SELECT count(DISTINCT p) FILTER (p NOT IN (SELECT p FROM k)) AS remaining, count(*) - count(DISTINCT p) FILTER (p NOT IN (SELECT p FROM k)) AS skipped FROM s")
+def j1_import_report(t):
+    p = _prints(t)
+    return tables.import_report(p.where("doc_id % 3 <> 0"), p.where("doc_id % 3 = 0"), "print")
+
+
+@query("WITH s AS (SELECT conv_id, turn, length(text) AS n, least(length(text) // 10, 200) + CASE WHEN role = 'assistant' THEN 100 ELSE 0 END + CASE WHEN length(text) > 500 THEN 50 ELSE 0 END AS score FROM conversations) SELECT conv_id, turn, score FROM s WHERE score >= 25")
+def f8_selected_messages(t):
+    m = t("conversations").select("conv_id", "turn", "role", "text")
+    return T.selected(m, T.message_score(F.col("text"), F.col("role") == "assistant"), 25).select("conv_id", "turn", "score")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE NOT (turn % 3 = 0 AND turn % 2 = 0)")
+def f2_with_text_or_no_media(t):
+    m = t("conversations").withColumn("shown", F.when(F.col("turn") % 3 != 0, F.col("text"))).withColumn("photo", F.when(F.col("turn") % 2 == 0, F.lit("p")))
+    return m.where(~T.is_media_only(F.col("shown"), F.col("photo"))).select("conv_id", "turn")
+
+
+@query("SELECT event_id, event_id NOT IN (SELECT arg_max(event_id, (ts, event_id)) FROM events GROUP BY user_id, event_type) AS is_deprecated FROM events")
+def l9_deprecated(t):
+    losers = tables.conflicts(t("events"), ["user_id", "event_type"], "event_id", F.struct("ts", "event_id"))
+    return tables.deprecated(t("events").select("event_id"), losers, "event_id")
+
+
+@query(f"WITH c AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = 'user'), r AS (SELECT *, row_number() OVER (PARTITION BY {norm('text')} ORDER BY id) AS n FROM c WHERE {STRIP.format('text')} <> '') SELECT id, 'pending' AS status, 1.0::DOUBLE AS confidence, sha256(concat('style:', {norm('text')})) AS fingerprint FROM r WHERE n = 1")
+def l3b_style_corrections(t):
+    c = t("conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("instruction"))
+    return memory.style_corrections(c).select("id", "status", "confidence", "fingerprint")
+
+
+@query(f"WITH r AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN source ELSE 'Reflection' END AS topic, CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 2 = 0 THEN text WHEN doc_id % 4 = 0 THEN source ELSE 'Reflection' END AS quote, CASE WHEN doc_id % 5 = 0 THEN 0.5 ELSE 0.85 END AS confidence, CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END AS lessons FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY {norm('topic')}, {norm('lessons')} ORDER BY id) AS nth FROM r) SELECT id, topic, sha256(quote) AS quote, CAST(confidence AS DOUBLE) AS confidence FROM n WHERE nth = 1")
+def l5_regret_candidates(t):
+    r = t("documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 == 0, F.col("source")).alias("event_title"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise("").alias("source_quote"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("consequences_lessons"), F.lit("").alias("context"), F.when(F.col("doc_id") % 5 == 0, 0.5).alias("confidence"))
+    return memory.regret_candidates(r).select("id", "topic", F.sha2("quote", 256).alias("quote"), "confidence")
+
+
+@query(f"WITH l AS (SELECT item_id, text, sha256(concat('rule:', {norm('text')})) AS fingerprint FROM benchmark WHERE {STRIP.format('text')} <> ''), e AS (SELECT fingerprint FROM l WHERE item_id % 4 = 0) SELECT fingerprint, min(item_id) AS legacy_id FROM l WHERE fingerprint NOT IN (SELECT fingerprint FROM e) GROUP BY fingerprint")
+def l8_backfilled(t):
+    b = t("benchmark")
+    known = b.where("item_id % 4 = 0").select(T.fingerprint(F.lit("rule"), F.col("text")).alias("fingerprint"))
+    return memory.backfilled(b, known, "rule", F.col("text"), "item_id").select("fingerprint", "legacy_id")
+
+
+@query("SELECT source AS owner, part, count(*) AS n FROM (SELECT source, 0 AS part FROM documents WHERE lang = 'en' UNION ALL SELECT source, 1 FROM documents WHERE lang = 'es' UNION ALL SELECT source, 2 FROM documents WHERE lang NOT IN ('en', 'es')) GROUP BY ALL")
+def u3_manual_entries(t):
+    d = t("documents").select(F.col("source").alias("owner"), F.col("text").alias("value"), "lang")
+    merged = memory.with_manual_entries(d.where("lang = 'en'"), d.where("lang = 'es'"), d.where("lang not in ('en', 'es')").drop("lang"))
+    return merged.groupBy("owner", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- top-k
 
 
@@ -272,7 +341,7 @@ def k6_verification_queue(t):
     return knowledge(t).where("verification_status = 'unverified' and category = 'en'").select("id", "category").orderBy(F.desc("id")).limit(50)
 
 
-@query(f"WITH {V_SQL}, s AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.embedding, v.embedding) AS similarity FROM v AS q, v WHERE q.id % 25 = 0 AND v.kind = 'purchase'), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) SELECT query_id, id, rank FROM n WHERE rank <= 5")
+@query(f"WITH {V_SQL}, s AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.embedding, v.embedding) AS similarity FROM v AS q, v WHERE q.id % 20 = 0 AND v.kind = 'purchase'), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) SELECT query_id, id, rank FROM n WHERE rank <= 5")
 def k8_filtered_top_k(t):
     return retrieval.nearest(questions(t), vectors(t).where("kind = 'purchase'"), 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
@@ -297,15 +366,15 @@ def c2_w7_paragraphs(t):
 
 
 @query(r"""WITH p AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS x FROM documents), l AS (SELECT doc_id, i, x, i % 5 = 0 AND regexp_matches(x, '^\S') AS head FROM p),
-n AS (SELECT *, CAST(sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS section FROM l), g AS (SELECT doc_id, section, coalesce(max(CASE WHEN head THEN x END), 'Preamble') AS title, regexp_replace(coalesce(string_agg(CASE WHEN NOT head THEN CASE WHEN i % 5 = 0 THEN '# ' || x ELSE x END END, chr(10) ORDER BY i), ''), '^\s+|\s+$', '', 'g') AS body FROM n GROUP BY doc_id, section) SELECT * FROM g WHERE section > 0 OR body <> ''""")
+n AS (SELECT *, CAST(sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS section FROM l), g AS (SELECT doc_id, section, max(CASE WHEN head THEN x END) AS title, regexp_replace(coalesce(string_agg(CASE WHEN NOT head THEN CASE WHEN i % 5 = 0 THEN '# ' || x ELSE x END END, chr(10) ORDER BY i), ''), '^\s+|\s+$', '', 'g') AS body FROM n GROUP BY doc_id, section), h AS (SELECT doc_id, section, coalesce(title, CASE WHEN max(section) OVER (PARTITION BY doc_id) = 0 THEN 'Document' ELSE 'Preamble' END) AS title, body FROM g) SELECT * FROM h WHERE section > 0 OR body <> '' OR title = 'Document'""")
 def c4_markdown_sections(t):
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("# "), x)).otherwise(x))
-    return chunking.sections(t("documents").select("doc_id", F.array_join(lines, "\n").alias("text")), "text", "doc_id")
+    return chunking.sections(t("documents").select("doc_id", F.array_join(lines, "\n").alias("text")), "text", "doc_id").drop("level")
 
 
-@query()
-def c6_c7_greedy_pack(t):
-    return chunking.packed(t("documents"), F.split("text", "\n"), ["doc_id"], 2500)
+@query(r"WITH RECURSIVE p AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS x FROM (SELECT doc_id, CASE WHEN len(x) > 1 AND x[-1] = '' THEN x[:-2] ELSE x END AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text <> ''))), g AS (SELECT doc_id, i, length(x) + 1 AS size, 1 AS n FROM p WHERE i = 1 UNION ALL SELECT p.doc_id, p.i, CASE WHEN g.size + length(x) + 1 > 2500 THEN length(x) + 1 ELSE g.size + length(x) + 1 END, g.n + CASE WHEN g.size + length(x) + 1 > 2500 THEN 1 ELSE 0 END FROM g JOIN p ON p.doc_id = g.doc_id AND p.i = g.i + 1) SELECT doc_id, CAST(n AS BIGINT) AS chunk_no, string_agg(x, chr(10) ORDER BY i) AS chunk FROM g JOIN p USING (doc_id, i) GROUP BY doc_id, n")
+def c7_line_packs(t):
+    return chunking.line_packs(t("documents"), "text", ["doc_id"], 2500).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
 @query("SELECT user_id, string_agg(printf('[%02d:%02d] ', event_id // 60, event_id % 60) || event_type, chr(10) ORDER BY event_id) AS transcript FROM events GROUP BY user_id")
@@ -317,12 +386,12 @@ def c12_transcript(t):
 
 
 @query(f"""WITH c AS (SELECT doc_id AS id, source AS kind, sha256(concat({norm('source')}, ':', {norm('text')})) AS print FROM documents), d AS (SELECT doc_id AS id, min(CASE WHEN toxic = 1 OR quality = 0 THEN 'reject' ELSE 'accept' END) AS decision FROM labels GROUP BY doc_id),
-a AS (SELECT DISTINCT print FROM c WHERE id % 10 = 0), j AS (SELECT c.*, decision, a.print IS NOT NULL AS held, sum(CASE WHEN decision = 'accept' THEN 1 ELSE 0 END) OVER (PARTITION BY c.print ORDER BY CASE WHEN decision IS NULL THEN NULL ELSE id END NULLS LAST, id ROWS UNBOUNDED PRECEDING) AS nth FROM c LEFT JOIN d USING (id) LEFT JOIN a ON c.print = a.print)
-SELECT id, kind, CASE WHEN decision IS NULL THEN 'pending' WHEN decision = 'reject' THEN 'rejected' WHEN held OR nth > 1 THEN 'duplicate' ELSE 'active' END AS status FROM j""")
+a AS (SELECT print, min(id) AS held FROM c WHERE id % 10 = 0 GROUP BY print), j AS (SELECT c.*, decision, a.held, sum(CASE WHEN decision = 'accept' THEN 1 ELSE 0 END) OVER (PARTITION BY c.print ORDER BY CASE WHEN decision IS NULL THEN NULL ELSE id END NULLS LAST, id ROWS UNBOUNDED PRECEDING) AS nth FROM c LEFT JOIN d USING (id) LEFT JOIN a ON c.print = a.print)
+SELECT id, kind, CASE WHEN decision IS NULL THEN 'pending' WHEN decision = 'reject' THEN 'rejected' WHEN held IS NOT NULL OR nth > 1 THEN 'duplicate' ELSE 'active' END AS status, CASE WHEN decision = 'accept' AND (held IS NOT NULL OR nth > 1) THEN 'exact_content' END AS match_type, CASE WHEN decision = 'accept' AND (held IS NOT NULL OR nth > 1) THEN held END AS duplicate_of FROM j""")
 def l6_apply_decisions(t):
     c = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("kind"), F.col("text").alias("content"))
     d = t("labels").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), "reject").otherwise("accept")).alias("decision"), F.max("doc_id").alias("at"))
-    return lifecycle.apply_decisions(c, d, c.where("id % 10 = 0"))
+    return lifecycle.apply_decisions(c, d, c.where("id % 10 = 0")).drop("content")
 
 
 @query("WITH r AS (SELECT event_id AS request_id, user_id AS token, ts, CASE WHEN event_type = 'error' THEN 'draft' ELSE 'approved' END AS state FROM events), n AS (SELECT *, sum(CASE WHEN state = 'approved' THEN 1 ELSE 0 END) OVER (PARTITION BY token ORDER BY ts, request_id) AS nth FROM r) SELECT request_id, CASE WHEN state = 'draft' THEN 'rejected' WHEN nth = 1 THEN 'accepted' ELSE 'duplicate' END AS outcome FROM n")
@@ -343,13 +412,63 @@ def t1_channel_posts(t):
     return ingest.channel_posts_batch(posts, posts.where("channel_id % 4 = 0").select("channel_id", "message_id").distinct())
 
 
+#: Fixed values of the binding: words that make a question of these tables factual or religious.
+ASKS_FACTS, ASKS_RELIGION = r"(?i)\b(for|para|pour)\b", r"(?i)\b(than|der|les)\b"
+
+
+def _asked(t) -> DataFrame:
+    """Questions with the text of the document of the same id, its flags and the style mode asked for."""
+    flags = T.topics(F.col("text"), ASKS_FACTS, ASKS_RELIGION)
+    d = t("documents").select(F.col("doc_id").alias("query_id"), flags["factual"].alias("factual"), flags["religious"].alias("religious"), (F.col("n_chars") % 4).alias("mode"))
+    return questions(t).join(d, "query_id")
+
+
+def _knowledge_vectors(t) -> DataFrame:
+    return knowledge(t).join(t("embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
+
+
+def _context(t) -> DataFrame:
+    q, v, k = _asked(t), vectors(t), _knowledge_vectors(t)
+    rules, lived = v.where("label < 5"), v.where("label >= 5")
+    facts = v.drop("embedding")
+    chosen = memory.rules_for(q.select("query_id", "embedding"), retrieval.nearest(q, rules, retrieval.RULES), rules, F.col("label") == 0, [F.desc_nulls_first("occurred_at"), F.asc("id")], retrieval.RULES).join(facts, "id")
+    voice = retrieval.voice_examples(q, v, AS_OF)
+    lives = retrieval.reranked(retrieval.nearest(q, lived, retrieval.EXPERIENCES), facts, V.recency(F.col("similarity"), F.col("occurred_at"), AS_OF), retrieval.EXPERIENCES)
+    known = retrieval.gated_knowledge(q, k).join(k.drop("embedding"), "id")
+    text = F.concat(F.lit("vector "), "id")
+    layers = {
+        "rules": (retrieval.layer(chosen, retrieval.rule_line(F.col("kind"), F.col("label"), text), "rules"), "No confirmed rules yet."),
+        "voice": (retrieval.layer(voice, retrieval.voice_line(F.col("rank"), F.col("kind"), text), "voice", "\n\n"), "No examples of speech yet."),
+        "experiences": (retrieval.layer(lives, retrieval.experience_line(F.col("kind") == "error", F.col("label"), F.col("kind"), F.col("quality_weight"), text), "experiences"), "No confirmed stories yet."),
+        "knowledge": (retrieval.layer(known, retrieval.knowledge_line(F.col("source_book"), F.lit(None).cast("string"), F.col("verification_status"), F.col("content")), "knowledge"), "No outside knowledge is used."),
+    }
+    modes = t("region").where("r_regionkey < 3").select(F.col("r_regionkey").cast("long").alias("mode"), F.col("r_name").alias("style_mode"))
+    asked = memory.lookup(q.select("query_id", "religious", F.col("mode").cast("long").alias("mode")), modes, "mode", 0).select("query_id", F.col("religious").alias("religious_guardrail"), "style_mode")
+    return retrieval.context(asked, layers)
+
+
 @query()
 def r1_context(t):
-    v, q = vectors(t), questions(t)
-    near = lambda k, c: retrieval.nearest(q, c, k).join(v.select("id", "kind", "quality_weight"), "id")
-    line = F.format_string("%d. %s (%.3f)", F.col("rank"), F.col("kind"), F.col("similarity"))
-    voice = retrieval.reranked(retrieval.nearest(q, v, 24), v.drop("embedding"), F.col("similarity") * F.col("quality_weight"), 6)
-    return retrieval.context(q.select("query_id"), {"rules": retrieval.layer(near(20, v.where("label < 5")), line, "rules", 1200), "voice": retrieval.layer(voice, line, "voice", 1800), "experiences": retrieval.layer(near(4, v.where("label >= 5")), line, "experiences", 1800)})
+    return _context(t)
+
+
+@query(f"""WITH {NEAR_SQL}, a AS (SELECT q.id AS query_id, regexp_matches(text, '(?i)\\b(for|para|pour)\\b') AS factual, regexp_matches(text, '(?i)\\b(than|der|les)\\b') AS religious, CASE WHEN n_chars % 4 < 3 THEN n_chars % 4 ELSE 0 END AS mode FROM v AS q JOIN documents ON q.id = doc_id WHERE q.id % 20 = 0), {K_SQL},
+g AS (SELECT id, row_number() OVER (ORDER BY occurred_at DESC NULLS FIRST, id) AS rank FROM v WHERE label = 0), l AS (SELECT query_id, s.id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, s.id) AS rank FROM s JOIN v USING (id) WHERE v.label < 5),
+t AS (SELECT query_id, count(*) AS n FROM (SELECT query_id, g.id FROM a, g WHERE g.rank <= 10 UNION SELECT query_id, id FROM l WHERE rank <= 20 - (SELECT least(10, count(*)) FROM g)) GROUP BY query_id),
+e AS (SELECT verification_status, id FROM k JOIN embeddings ON vec_id = id), w AS (SELECT a.query_id, least(3, count(e.id) FILTER (NOT a.religious OR e.verification_status = 'verified')) AS n FROM a CROSS JOIN e WHERE a.factual OR a.religious GROUP BY a.query_id)
+SELECT a.query_id, religious AS religious_guardrail, r_name AS style_mode, t.n AS n_rules, least(6, (SELECT count(*) FROM v)) AS n_voice, least(4, (SELECT count(*) FROM v WHERE label >= 5)) AS n_experiences, coalesce(w.n, 0) AS n_knowledge FROM a JOIN t USING (query_id) LEFT JOIN w USING (query_id) JOIN region ON r_regionkey = mode""")
+def r1_r5_run_metrics(t):
+    return _context(t).select("query_id", "religious_guardrail", "style_mode", "n_rules", "n_voice", "n_experiences", "n_knowledge")
+
+
+@query(f"WITH {NEAR_SQL}, k AS (SELECT query_id, s.id, similarity, v.kind, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, s.id) AS rank FROM s JOIN v ON s.id = v.id JOIN v AS q ON q.id = query_id WHERE q.label >= 5 OR v.kind = q.kind), e AS (SELECT query_id, s.id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, s.id) AS rank FROM s JOIN v ON s.id = v.id WHERE query_id % 40 = 0 OR v.kind <> 'error'), x AS (SELECT query_id, s.id, row_number() OVER (PARTITION BY query_id ORDER BY similarity * quality_weight DESC, s.id) AS rank FROM s JOIN v ON s.id = v.id) SELECT 'knowledge' AS source, query_id, id, rank FROM k WHERE rank <= 1 + query_id % 5 UNION ALL SELECT 'experience', query_id, id, rank FROM e WHERE rank <= 4 UNION ALL SELECT 'voice', query_id, id, rank FROM x WHERE rank <= 6")
+def x1_matches(t):
+    v = vectors(t).withColumn("category", F.col("kind")).withColumn("is_regret", F.col("kind") == "error")
+    q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding", F.when(F.col("label") < 5, F.col("kind")).alias("filter_category"), (1 + F.col("id") % 5).alias("match_count"), (F.col("id") % 40 == 0).alias("include_regrets"))
+    fixed = q.drop("match_count")
+    found = {"knowledge": matching.match_knowledge_chunks(q, v), "experience": matching.match_life_experiences(fixed, v), "voice": matching.match_voice_examples(fixed, v, mode="exact")}
+    parts = [df.select(F.lit(n).alias("source"), "query_id", "id", F.col("rank").cast("long").alias("rank")) for n, df in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # ---- memory tables, captions and the rest
@@ -447,13 +566,13 @@ def w10_best_track(t):
     return captions.best_track(tracks, "user_id", ["ru", "en"]).select("user_id", "origin", "lang")
 
 
-@query(f"WITH {V_SQL}, b AS (SELECT id, row_number() OVER (ORDER BY quality_weight DESC NULLS FIRST, occurred_at DESC NULLS FIRST, id) AS rank FROM v) SELECT q.id AS query_id, b.id, rank FROM v AS q, b WHERE q.id % 50 = 0 AND rank <= 6")
+@query(f"WITH {V_SQL}, b AS (SELECT id, row_number() OVER (ORDER BY quality_weight DESC NULLS FIRST, occurred_at DESC NULLS FIRST, id) AS rank FROM v) SELECT q.id AS query_id, b.id, rank FROM v AS q, b WHERE q.id % 20 = 0 AND rank <= 6")
 def k3_without_vector(t):
-    q = questions(t).withColumn("embedding", F.when(F.col("query_id") % 50 != 0, F.col("embedding")))
+    q = questions(t).withColumn("embedding", F.lit(None).cast("array<float>"))
     return memory.without_vector(q, vectors(t), [F.desc_nulls_first("quality_weight"), F.desc_nulls_first("occurred_at"), F.asc("id")], 6).select("query_id", "id", "rank")
 
 
-@query(f"WITH {NEAR_SQL}, g AS (SELECT id, row_number() OVER (ORDER BY occurred_at DESC NULLS FIRST, id) AS rank FROM v WHERE label = 0), t AS (SELECT q.id AS query_id, g.id, 0 AS part, g.rank FROM v AS q, g WHERE q.id % 25 = 0 AND g.rank <= 10), a AS (SELECT * FROM t UNION ALL SELECT query_id, id, 1, rank FROM n WHERE rank <= 20 AND (query_id, id) NOT IN (SELECT (query_id, id) FROM t)), r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY part, rank) AS rank FROM a) SELECT * FROM r WHERE rank <= 20")
+@query(f"WITH {NEAR_SQL}, g AS (SELECT id, row_number() OVER (ORDER BY occurred_at DESC NULLS FIRST, id) AS rank FROM v WHERE label = 0), t AS (SELECT q.id AS query_id, g.id, 0 AS part, g.rank FROM v AS q, g WHERE q.id % 20 = 0 AND g.rank <= 10), a AS (SELECT * FROM t UNION ALL SELECT query_id, id, 1, rank FROM n WHERE rank <= 20 - (SELECT least(10, count(*)) FROM g) AND (query_id, id) NOT IN (SELECT (query_id, id) FROM t)), r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY part, rank) AS rank FROM a) SELECT * FROM r WHERE rank <= 20")
 def k4_j9_rules(t):
     q, v = questions(t), vectors(t)
     return memory.rules_for(q, retrieval.nearest(q, v, 20), v, F.col("label") == 0, [F.desc_nulls_first("occurred_at"), F.asc("id")], 20).select("query_id", "id", "rank")
@@ -474,21 +593,16 @@ def c3_routed(t):
 def c5_section_packs(t):
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("# "), x)).otherwise(x))
     s = chunking.sections(t("documents").select("doc_id", F.array_join(lines, "\n").alias("text")), "text", "doc_id")
-    return chunking.section_packs(s, "doc_id", "section", "title", "body", 400)
+    return chunking.section_packs(s, "doc_id", "section", "level", "title", "body", 400)
 
 
-@query("WITH l AS (SELECT *, concat('[', role, ' | ', conv_id, ']', chr(10), coalesce(text, '')) AS line FROM conversations), p AS (SELECT *, CAST(floor(coalesce(sum(length(line)) OVER (PARTITION BY conv_id ORDER BY turn, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 500) AS BIGINT) + 1 AS pack_no FROM l) SELECT conv_id, pack_no, count(*) AS n_messages, string_agg(line, chr(10) || '---' || chr(10) ORDER BY turn, line) AS pack FROM p GROUP BY conv_id, pack_no")
+@query("WITH RECURSIVE l AS (SELECT *, concat('[', role, ' | ', conv_id, ']', chr(10), coalesce(text, '')) AS line FROM conversations), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, line) AS i, length(line) + 2 AS n FROM l), g AS (SELECT conv_id, i, n AS size, 1 AS pack_no FROM o WHERE i = 1 UNION ALL SELECT o.conv_id, o.i, CASE WHEN g.size + o.n > 500 THEN o.n ELSE g.size + o.n END, g.pack_no + CASE WHEN g.size + o.n > 500 THEN 1 ELSE 0 END FROM g JOIN o ON o.conv_id = g.conv_id AND o.i = g.i + 1) SELECT conv_id, CAST(pack_no AS BIGINT) AS pack_no, count(*) AS n_messages, string_agg(line, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS pack FROM g JOIN o USING (conv_id, i) GROUP BY conv_id, pack_no")
 def c8_message_packs(t):
     head = F.concat(F.lit("["), "role", F.lit(" | "), "conv_id", F.lit("]"))
     m = t("conversations").withColumn("line", F.concat(head, F.lit("\n"), F.coalesce("text", F.lit(""))))
     return memory.message_packs(m, "conv_id", ["turn", "line"], head, "text", 500)
 
 
-@query()
-def c9_joined_lines(t):
-    return t("documents").select("doc_id", T.joined_lines(F.col("text")).alias("joined"))
-
-
 CAPTION_SQL = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '[​‌‍﻿]', '', 'g'), '\s+', ' ', 'g'), '^[ -]+|[ -]+$', '', 'g')".replace('\\"', '"')
 
 
@@ -516,27 +630,61 @@ def l2_voice_rows(t):
     return memory.voice_rows(chat(t)).select("conv_id", "turn", "fingerprint", "quality_weight", "style_only")
 
 
-@query(f"WITH b AS (SELECT doc_id AS id, 'beliefs' AS kind, substr(text, 1, 50) AS content, greatest(0.0, least(1.0, (doc_id % 130) / 100)) AS confidence FROM documents UNION ALL SELECT doc_id, 'decisions', source, 0.0 FROM documents), f AS (SELECT *, sha256(concat(kind, ':', {norm('content')})) AS fingerprint, row_number() OVER (PARTITION BY kind, {norm('content')} ORDER BY id) AS r FROM b WHERE {STRIP.format('content')} <> '') SELECT id, kind, round(confidence, 6) AS confidence, fingerprint FROM f WHERE r = 1")
+@query(f"WITH b AS (SELECT doc_id AS id, 'beliefs' AS kind, text AS content, greatest(0.0, least(1.0, (doc_id % 130) / 100)) AS confidence FROM documents UNION ALL SELECT doc_id, 'decisions', source, 0.0 FROM documents), f AS (SELECT *, sha256(concat(kind, ':', {norm('content')})) AS fingerprint, row_number() OVER (PARTITION BY kind, {norm('content')} ORDER BY id) AS r FROM b WHERE {STRIP.format('content')} <> '') SELECT id, kind, round(confidence, 6) AS confidence, fingerprint FROM f WHERE r = 1")
 def l3_u2_candidates(t):
     entry = lambda c, n: F.array(F.struct(c.alias("content"), c.alias("quote"), n.alias("confidence")))
-    d = t("documents").select(F.col("doc_id").alias("id"), entry(F.substring("text", 1, 50), ((F.col("doc_id") % 130) / 100).cast("string")).alias("beliefs"), entry(F.col("source"), F.lit("unclear")).alias("decisions"))
+    d = t("documents").select(F.col("doc_id").alias("id"), entry(F.col("text"), ((F.col("doc_id") % 130) / 100).cast("string")).alias("beliefs"), entry(F.col("source"), F.lit("unclear")).alias("decisions"))
     return memory.candidates(d, ["beliefs", "decisions"]).select("id", "kind", F.round("confidence", 6).alias("confidence"), "fingerprint")
 
 
-@query(f"SELECT CASE WHEN {norm('substr(text, 5, 40)')} <> '' AND contains({norm('text')}, {norm('substr(text, 5, 40)')}) AND doc_id % 100 >= 75 AND (length(source) >= 40 OR length(substr(text, 5, 40)) >= 30) THEN 'queue' ELSE 'pending_confirm' END AS decision, count(*) AS n FROM documents GROUP BY decision")
-def l4_gate_report(t):
-    d = t("documents").withColumn("decision", memory.gate((F.col("doc_id") % 100) / 100, F.col("text"), F.substring("text", 5, 40), F.col("source")))
-    return d.groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+@query(f"WITH d AS (SELECT *, CASE WHEN {norm('substr(text, 5)')} <> '' AND contains({norm('text')}, {norm('substr(text, 5)')}) AND doc_id % 100 >= 75 AND (lang <> 'en' OR length(source) >= 40 OR length(substr(text, 5)) >= 30) THEN 'queue' ELSE 'pending_confirm' END AS decision, CASE WHEN {norm('substr(text, 5)')} <> '' AND contains({norm('text')}, {norm('substr(text, 5)')}) AND (lang = 'es' OR lang = 'fr' AND doc_id % 100 >= 75) THEN 'queue' ELSE 'pending_confirm' END AS style, {norm('text')} AS n FROM documents), k AS (SELECT DISTINCT n FROM d WHERE doc_id % 3 = 0), r AS (SELECT lang AS kind, CASE WHEN n IN (SELECT n FROM k) THEN 'skipped' WHEN decision = 'queue' THEN 'inserted' ELSE 'pending_confirm' END AS outcome FROM d UNION ALL SELECT 'style', CASE WHEN n IN (SELECT n FROM k) THEN 'skipped' WHEN style = 'queue' THEN 'inserted' ELSE 'pending_confirm' END FROM d) SELECT kind, outcome, count(*) AS n FROM r GROUP BY ALL")
+def l4_f10_gate_report(t):
+    sure, quote = (F.col("doc_id") % 100) / 100, F.expr("substring(text, 5)")
+    d = t("documents").withColumn("fingerprint", T.fingerprint(F.col("text")))
+    facts = d.select("doc_id", "fingerprint", F.col("lang").alias("kind"), memory.gate(sure, F.col("text"), quote, F.col("source"), F.when(F.col("lang") == "en", "channel").otherwise("note")).alias("decision"))
+    kind = F.when(F.col("lang") == "es", "tone_markers").when(F.col("lang") == "fr", "stop_words").otherwise("syntax")
+    style = d.select("doc_id", "fingerprint", F.lit("style").alias("kind"), memory.style_gate(sure, F.col("text"), quote, kind).alias("decision"))
+    return memory.gate_report(facts.unionByName(style), d.where("doc_id % 3 = 0"))
+
+
+#: The plan in SQL: a recursive walk through each book's chunks in order, ``carried`` being the short ones that wait for a longer one.
+PLAN_SQL = K_SQL + f""", f AS (SELECT id, content, source_book, chapter, row_number() OVER (PARTITION BY {norm('content')} ORDER BY id) AS nth FROM (SELECT *, CASE WHEN category = 'en' THEN 'one' ELSE 'two' END AS chapter FROM k)),
+o AS (SELECT *, row_number() OVER (PARTITION BY source_book, chapter ORDER BY id) AS i, count(*) OVER (PARTITION BY source_book, chapter) AS n FROM f WHERE nth = 1),
+w AS (SELECT id, source_book, chapter, i, n, content AS own, content AS t FROM o WHERE i = 1 UNION ALL SELECT o.id, o.source_book, o.chapter, o.i, o.n, o.content, CASE WHEN length(trim(regexp_replace(w.t, '\\s+', ' ', 'g'))) < 100 THEN w.t || chr(10) || chr(10) || o.content ELSE o.content END FROM w JOIN o ON o.source_book = w.source_book AND o.chapter = w.chapter AND o.i = w.i + 1),
+s AS (SELECT *, length(trim(regexp_replace(t, '\\s+', ' ', 'g'))) < 100 AS short FROM w), z AS (SELECT *, max(CASE WHEN NOT short THEN i END) OVER (PARTITION BY source_book, chapter) AS lastlong, max(CASE WHEN i = n AND short THEN t END) OVER (PARTITION BY source_book, chapter) AS tail FROM s),
+m AS (SELECT id, own, CASE WHEN NOT short AND i = lastlong AND tail IS NOT NULL THEN t || chr(10) || chr(10) || tail WHEN NOT short OR (lastlong IS NULL AND i = n) THEN t END AS merged FROM z)"""
+
 
+def _chapters(t) -> DataFrame:
+    return knowledge(t).withColumn("chapter_title", F.when(F.col("category") == "en", "one").otherwise("two")).withColumn("chunk_index", F.col("id"))
 
-@query(f"WITH {K_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY {norm('content')} ORDER BY id) AS n FROM k), g AS (SELECT *, greatest(sum(CAST(length(content) >= 100 AS INT)) OVER (PARTITION BY source_book, category ORDER BY id), 1) AS grp FROM r WHERE n = 1), h AS (SELECT coalesce(min(id) FILTER (length(content) >= 100), min(id)) AS id, count(*) AS parts, sum(length(content)) + 2 * (count(*) - 1) AS size, list(id) AS ids FROM g GROUP BY source_book, category, grp) SELECT id, CASE WHEN size > 5000 THEN 'split' WHEN parts > 1 THEN 'update' ELSE 'keep' END AS action, CAST(size AS BIGINT) AS size FROM h UNION ALL SELECT id, 'delete', 0 FROM k WHERE id NOT IN (SELECT id FROM h)")
+
+@query(f"WITH RECURSIVE {PLAN_SQL} SELECT id, CASE WHEN merged IS NULL THEN 'delete' WHEN merged <> own THEN 'update' ELSE 'keep' END AS action, sha256(coalesce(merged, '')) AS digest FROM m WHERE length(coalesce(merged, '')) <= 5000 UNION ALL SELECT id, 'delete', sha256('') FROM f WHERE nth > 1")
 def l13_cleanup_plan(t):
-    return memory.cleanup_plan(knowledge(t)).select("id", "action", F.when(F.col("action") == "delete", 0).otherwise(F.length("content")).cast("long").alias("size"))
+    """Chunks that are not split; the others are in l13_c6_split_rows."""
+    return memory.cleanup_plan(_chapters(t)).where("size(split) = 0").select("id", "action", F.sha2("content", 256).alias("digest"))
 
 
-@query()
+#: Splits in SQL: paragraphs of the long chunks walked in order; ``open`` is the chunk being filled, ``done`` what the step closed.
+SPLIT_SQL = r""", p AS (SELECT id, generate_subscripts(x, 1) AS i, unnest(x) AS x, len(x) AS n FROM (SELECT id, list_filter(list_transform(regexp_split_to_array(merged, '\n\s*\n'), lambda y: regexp_replace(y, '^\s+|\s+$', '', 'g')), lambda y: y <> '') AS x FROM m WHERE length(merged) > 5000)),
+c AS (SELECT id, 0 AS i, CAST(NULL AS VARCHAR) AS open, CAST([] AS VARCHAR[]) AS done FROM p WHERE i = 1
+ UNION ALL SELECT c.id, p.i, CASE WHEN length(p.x) > 2500 THEN NULL WHEN c.open IS NOT NULL AND length(c.open) + 2 + length(p.x) <= 2500 THEN c.open || chr(10) || chr(10) || p.x ELSE p.x END,
+  CASE WHEN length(p.x) > 2500 THEN list_concat(CASE WHEN c.open IS NULL THEN [] ELSE [c.open] END, list_transform(range(0, length(p.x), 2500), lambda s: regexp_replace(substr(p.x, s + 1, 2500), '^\s+|\s+$', '', 'g'))) WHEN c.open IS NOT NULL AND length(c.open) + 2 + length(p.x) > 2500 THEN [c.open] ELSE [] END
+ FROM c JOIN p ON p.id = c.id AND p.i = c.i + 1),
+a AS (SELECT id, i, unnest(done) AS chunk, generate_subscripts(done, 1) AS j FROM c UNION ALL SELECT c.id, c.i + 1, c.open, 1 FROM c JOIN p ON p.id = c.id AND p.i = c.i AND p.i = p.n WHERE c.open IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {PLAN_SQL}{SPLIT_SQL} SELECT id, row_number() OVER (PARTITION BY id ORDER BY i, j) AS chunk_no, sha256(chunk) AS digest FROM a WHERE chunk <> ''")
+def l13_c6_split_rows(t):
+    """Pieces of the chunks that are too long, the first one in place and the others inserted."""
+    plan = memory.cleanup_plan(_chapters(t)).where("size(split) > 0")
+    pieces = F.concat(F.array("content"), "split")
+    return plan.select("id", F.posexplode(pieces).alias("n", "chunk")).select("id", (F.col("n") + 1).cast("long").alias("chunk_no"), F.sha2("chunk", 256).alias("digest"))
+
+
+@query(f"WITH RECURSIVE {PLAN_SQL}{SPLIT_SQL}, q AS (SELECT id, 0 AS chunk_no, merged AS content FROM m WHERE length(merged) <= 5000 UNION ALL SELECT id, row_number() OVER (PARTITION BY id ORDER BY i, j), chunk FROM a WHERE chunk <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY {norm('content')} ORDER BY id, chunk_no) AS nth FROM q) SELECT r.id, CASE source WHEN 'src0' THEN 'main' ELSE source END AS canonical_source, sha256({norm('content')}) AS fingerprint FROM r JOIN documents ON r.id = doc_id WHERE nth = 1")
 def l14_applied_plan(t):
-    return memory.applied_plan(knowledge(t), memory.cleanup_plan(knowledge(t)))
+    return memory.applied_plan(_chapters(t), memory.cleanup_plan(_chapters(t)), {"src0": "main"}).select("id", "canonical_source", "fingerprint")
 
 
 @query("""SELECT doc_id, '{"lang":"' || lang || '"}' AS old_value, CASE WHEN doc_id % 11 <> 0 THEN '{"lang":"new"}' END AS new_value FROM documents WHERE doc_id % 5 = 0 OR doc_id % 11 = 0""")
@@ -551,11 +699,11 @@ def l16_purged(t):
     return memory.purged(knowledge(t), s == "rejected", s == "pending").select("id")
 
 
-@query("WITH a AS (SELECT source, lang, min(substr(text, 1, 30)) AS old FROM documents WHERE doc_id % 3 = 1 GROUP BY ALL) SELECT CASE WHEN old IS NULL THEN 'insert' WHEN NOT (contains(lower(trim(substr(text, 1, 30), ' ' || chr(10))), lower(trim(old, ' ' || chr(10)))) OR contains(lower(trim(old, ' ' || chr(10))), lower(trim(substr(text, 1, 30), ' ' || chr(10))))) THEN 'update' ELSE 'skip' END AS outcome, count(*) AS n FROM documents LEFT JOIN a USING (source, lang) WHERE doc_id % 3 = 0 GROUP BY outcome")
+@query("WITH a AS (SELECT source, lang, min(text) AS old FROM documents WHERE doc_id % 3 = 1 GROUP BY ALL) SELECT CASE WHEN old IS NULL THEN 'insert' WHEN NOT (contains(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), lower(regexp_replace(old, '^\\s+|\\s+$', '', 'g'))) OR contains(lower(regexp_replace(old, '^\\s+|\\s+$', '', 'g')), lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')))) THEN 'update' ELSE 'skip' END AS outcome, count(*) AS n FROM documents LEFT JOIN a USING (source, lang) WHERE doc_id % 3 <> 1 GROUP BY outcome")
 def l17_seed_outcomes(t):
-    d = t("documents").select("doc_id", "source", "lang", F.substring("text", 1, 30).alias("value"))
+    d = t("documents").select("doc_id", "source", "lang", F.col("text").alias("value"))
     active = d.where("doc_id % 3 = 1").groupBy("source", "lang").agg(F.min("value").alias("value"))
-    return memory.seed_outcomes(d.where("doc_id % 3 = 0"), active, ["source", "lang"], "value").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return memory.seed_outcomes(d.where("doc_id % 3 <> 1"), active, ["source", "lang"], "value").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT source, 'langs' AS pattern_type, list(DISTINCT lang ORDER BY lang) AS patterns FROM documents GROUP BY source UNION ALL SELECT source, 'long', list(DISTINCT lang ORDER BY lang) FILTER (length(text) > 15000) FROM documents GROUP BY source HAVING count(*) FILTER (length(text) > 15000) > 0")
