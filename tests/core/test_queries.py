@@ -263,6 +263,22 @@ def test_nearest_over_many_blocks(spark, monkeypatch):
                 assert got.get(i, []) == [j for _, j in near[:4]]
 
 
+def test_drafts_from_their_change_log(spark):
+    rows = [(1, 1, "created", {}), (1, 2, "patched", {"length_mode": "short", "pending_instruction": "again"}), (1, 3, "version", {"text": "v1"}), (1, 4, "patched", {"length_mode": None}), (2, 1, "created", {"state": "idea"})]
+    events = spark.createDataFrame(rows, "draft_id int, at int, event string, patch map<string, string>")
+    fields = ["state", "length_mode", "final_text", "pending_instruction"]
+    got = {r.draft_id: tuple(r)[1:] for r in memory.current_drafts(memory.draft_changes(events, fields), "draft_id", F.col("at"), fields).collect()}
+    assert got == {1: ("drafted", None, "v1", None, 4), 2: ("idea", "normal", None, None, 1)}
+
+
+def test_modes_urls_and_parts(spark):
+    text = F.lit("x\nURL: https://a.b/c d\n<YouTube_post_mode> Deep </youtube_post_mode>")
+    row = spark.range(1).select(T.post_mode(text, ["deep", "short"], "short"), T.post_mode(F.lit("none"), ["deep"], "short"), T.stated_url(text), T.stated_url(F.lit("no")), T.json_part(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2)))).first()
+    assert tuple(row) == ("deep", "short", "https://a.b/c", None, '{"a":2,"b":1}')
+    log = tables.conflict_log(spark.createDataFrame([("k", 1, 5, [3, 4])], "a string, b int, winner int, losers array<int>"), ["a", "b"], F.lit("2024-01-01"))
+    assert tuple(log.first()) == ("k|1", 5, [3, 4], "2024-01-01")
+
+
 def test_confirmed_rows_mark_their_journal(spark):
     pending = spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string")
     journal = spark.createDataFrame([(1, "pending"), (3, "pending")], "id int, status string")
@@ -363,3 +379,10 @@ def test_streams_of_status_and_feedback(spark, tmp_path):
     d.write.parquet(str(tmp_path / "d"))
     ingest.publish_feedback(spark.readStream.schema(d.schema).parquet(str(tmp_path / "d")), str(tmp_path / "voice"), str(tmp_path / "c2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "voice")).count() == 2
+    beliefs = "array<struct<content: string, quote: string, confidence: string>>"
+    e = spark.createDataFrame([(1, "x", [("c", "q", "1")]), (3, "y", [("C ", "q", "1"), ("new", "q", "2")])], f"draft_id long, final_text string, beliefs {beliefs}")
+    for n in (1, 2):  # the second time all comes again
+        e.write.mode("append").parquet(str(tmp_path / "e2"))
+        ingest.publish_feedback(spark.readStream.schema(e.schema).parquet(str(tmp_path / "e2")), str(tmp_path / "voice2"), str(tmp_path / "c3"), str(tmp_path / "cand"), ["beliefs"]).awaitTermination()
+        assert sorted(r.draft_id for r in spark.read.parquet(str(tmp_path / "voice2")).collect()) == [1, 3]
+        assert sorted((r.id, r.content) for r in spark.read.parquet(str(tmp_path / "cand")).collect()) == [(1, "c"), (3, "new")]

@@ -49,6 +49,11 @@ def fingerprint(*parts: Column) -> Column:
     return F.sha2(F.concat_ws(":", *[normalise(F.coalesce(p, F.lit(""))) for p in parts]), 256)
 
 
+def json_part(m: Column) -> Column:
+    """A map as JSON with its keys in order, for a part of a fingerprint."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
+
+
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
 
@@ -216,6 +221,17 @@ def topics(c: Column, factual: str = FACTUAL, religious: str = RELIGIOUS) -> Col
     return F.struct(text.rlike(factual).alias("factual"), text.rlike(religious).alias("religious"))
 
 
+def post_mode(c: Column, allowed: list[str], default: str) -> Column:
+    """The mode named in a ``youtube_post_mode`` section, if it is an allowed one; else the default."""
+    named = F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?i)<youtube_post_mode>\s*([^<\s]+)\s*</youtube_post_mode>", 1))
+    return F.when(named.isin(*allowed), named).otherwise(default)
+
+
+def stated_url(c: Column) -> Column:
+    """The URL of the first line that states one; null without such a line."""
+    return F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?m)^URL:\s*(https?://\S+)", 1), F.lit(""))
+
+
 def with_source(c: Column, url: Column, keep: bool) -> Column:
     """The text without the URL, which comes last on a line of its own if it is to be kept."""
     bare = strip(F.replace(c, url, F.lit("")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,28 @@ def counts(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
     return row.unpivot([], list(metrics), "metric", "value")
 
 
+def dashboard(tables: dict[str, tuple[DataFrame, dict[str, Column]]]) -> DataFrame:
+    """``counts`` of several tables, one pass each, as (table_name, metric, value)."""
+    parts = [counts(df, metrics).select(F.lit(name).alias("table_name"), "metric", "value") for name, (df, metrics) in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def gates(values: DataFrame, limits: dict[str, tuple[int | None, int | None]], reviewed: bool, only_reviewed: tuple[str, ...] = ()) -> DataFrame:
+    """(metric, value) rows held against (least, most): columns check, value, ok. Before a review the checks in ``only_reviewed`` are left out; a metric without a row counts as 0."""
+    spark = values.sparkSession
+    rows = [(n, *limits[n]) for n in limits if reviewed or n not in only_reviewed]
+    table = F.broadcast(spark.createDataFrame(rows, "check string, least long, most long"))
+    held = table.join(values.select(F.col("metric").alias("check"), "value"), "check", "left").withColumn("value", F.coalesce("value", F.lit(0)))
+    return held.select("check", "value", (F.coalesce(F.col("value") >= F.col("least"), F.lit(True)) & F.coalesce(F.col("value") <= F.col("most"), F.lit(True))).alias("ok"))
+
+
+def next_items(items: DataFrame, owner: str = "owner", priority: tuple[str, ...] = ("candidate", "rule", "experience")) -> DataFrame:
+    """Each owner's next pending item of (kind, id, created_at, status): by kind in order of priority, then the oldest, then the smallest id."""
+    place = F.array_position(F.array(*map(F.lit, priority)), F.col("kind"))
+    first = F.min(F.struct(place.alias("place"), F.col("created_at").isNull().alias("undated"), "created_at", "id", "kind"))
+    return items.where((F.col("status") == "pending") & (place > 0)).groupBy(owner).agg(first.alias("n")).select(owner, "n.kind", "n.id", "n.created_at")
+
+
 def checks(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Violations of each rule and whether it holds, in one pass."""
     return counts(df, rules).select(F.col("metric").alias("check"), F.col("value").alias("violations"), (F.col("value") == 0).alias("ok"))

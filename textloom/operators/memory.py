@@ -273,6 +273,31 @@ def current_drafts(changes: DataFrame, key: str, order: Column, fields: list[str
     return changes.groupBy(key).agg(*[F.max_by(F.col(f"set_{f}"), F.when(F.col(f"set_{f}").isNotNull(), order))["value"].alias(f) for f in fields], F.max(order).alias("updated"))
 
 
+#: Fixed values of a new draft.
+NEW_DRAFT = {"state": "new", "length_mode": "normal"}
+
+
+def draft_changes(events: DataFrame, fields: list[str]) -> DataFrame:
+    """Events (draft_id, at, event, patch: map of strings) as changes for ``current_drafts``: ``created`` sets the defaults of NEW_DRAFT under what it gives; ``patched`` sets
+    what it gives, nulls included; ``version`` sets final_text, the state ``drafted`` and no pending instruction."""
+
+    def change(f: str) -> Column:
+        given = F.map_contains_key("patch", F.lit(f))
+        own = F.struct(F.element_at("patch", F.lit(f)).alias("value"))
+        fixed = lambda v: F.struct(F.lit(v).cast("string").alias("value"))
+        out = F.when(F.col("event").isin("created", "patched") & given, own)
+        if f in NEW_DRAFT:
+            out = out.when(F.col("event") == "created", fixed(NEW_DRAFT[f]))
+        version = F.col("event") == "version"
+        if f == "final_text":
+            out = out.when(version, F.struct(F.element_at("patch", F.lit("text")).alias("value")))
+        if f in ("state", "pending_instruction"):
+            out = out.when(version, fixed("drafted" if f == "state" else None))
+        return out.alias(f"set_{f}")
+
+    return events.select("draft_id", "at", *[change(f) for f in fields])
+
+
 def message_packs(messages: DataFrame, key: str, order: list[str], header: Column, text: str, limit: int = 80_000) -> DataFrame:
     """Messages of each chat packed greedily, in order, up to ``limit`` characters (header, text and three line ends each): pack_no, n_messages, pack.
 

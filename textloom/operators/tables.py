@@ -34,6 +34,11 @@ def conflicts(df: DataFrame, keys: list[str], row_id: str, newest: Column) -> Da
     return groups.where(F.size("ids") > 1).select(*keys, "winner", F.array_remove("ids", F.col("winner")).alias("losers"))
 
 
+def conflict_log(found: DataFrame, keys: list[str], at: Column) -> DataFrame:
+    """Rows for an append log of ``conflicts``: subject (the keys, joined by bars), winner, losers, at."""
+    return found.select(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("subject"), "winner", "losers", at.alias("at"))
+
+
 def next_versions(new: DataFrame, existing: DataFrame, key: str, order: Column, version: str = "version") -> DataFrame:
     top = existing.groupBy(key).agg(F.max(version).alias("_top"))
     n = F.row_number().over(Window.partitionBy(key).orderBy(order))

@@ -210,6 +210,37 @@ def g2_q1_counts(t):
     return lifecycle.counts(knowledge(t), {"verified": s == "verified", "rejected": s == "rejected", "short": n < 100, "long": n > 5000})
 
 
+@query(f"WITH {K_SQL}, m AS (SELECT 'knowledge' AS table_name, unnest(['rows', 'verified', 'rejected', 'unverified', 'short', 'long', 'empty', 'books_src0']) AS metric, unnest([count(*), count(*) FILTER (verification_status = 'verified'), count(*) FILTER (verification_status = 'rejected'), count(*) FILTER (verification_status = 'unverified'), count(*) FILTER (length(content) < 100), count(*) FILTER (length(content) > 5000), count(*) FILTER (content = ''), count(*) FILTER (source_book = 'src0')]) AS value FROM k UNION ALL SELECT 'voice', unnest(['rows', 'posts', 'chats', 'short']), unnest([count(*), count(*) FILTER (role = 'assistant'), count(*) FILTER (role = 'user'), count(*) FILTER (length(text) < 80)]) FROM conversations UNION ALL SELECT 'operations', unnest(['rows', 'errors', 'no_value']), unnest([count(*), count(*) FILTER (event_type = 'error'), count(*) FILTER (value IS NULL)]) FROM events UNION ALL SELECT 'vectors', unnest(['rows', 'no_vector']), unnest([count(*), count(*) FILTER (embedding IS NULL)]) FROM embeddings) SELECT * FROM m")
+def g2_q1_dashboard(t):
+    return lifecycle.dashboard(_dashboard(t))
+
+
+def _dashboard(t):
+    n, s, e = F.length("content"), F.col("verification_status"), F.col("event_type")
+    every = F.lit(True)
+    return {
+        "knowledge": (knowledge(t), {"rows": every, "verified": s == "verified", "rejected": s == "rejected", "unverified": s == "unverified", "short": n < 100, "long": n > 5000, "empty": F.col("content") == "", "books_src0": F.col("source_book") == "src0"}),
+        "voice": (t("conversations"), {"rows": every, "posts": F.col("role") == "assistant", "chats": F.col("role") == "user", "short": F.length("text") < 80}),
+        "operations": (t("events"), {"rows": every, "errors": e == "error", "no_value": F.col("value").isNull()}),
+        "vectors": (t("embeddings"), {"rows": every, "no_vector": F.col("embedding").isNull()}),
+    }
+
+
+@query("WITH c AS (SELECT count(*) FILTER (role = 'assistant') AS posts, count(*) FILTER (role = 'user') AS chats, count(*) FILTER (role = 'system') AS pending FROM conversations) SELECT 'before' AS mode, unnest(['posts', 'chats', 'other']) AS \"check\", unnest([posts, chats, 0]) AS value, unnest([posts >= 62, chats >= 1800, true]) AS ok FROM c UNION ALL SELECT 'after', unnest(['posts', 'chats', 'other', 'pending']), unnest([posts, chats, 0, pending]), unnest([posts >= 62, chats >= 1800, true, pending <= 0]) FROM c")
+def q2_review_gates(t):
+    r = F.col("role")
+    values = lifecycle.counts(t("conversations"), {"posts": r == "assistant", "chats": r == "user", "pending": r == "system"})
+    limits = {"posts": (62, None), "chats": (1800, None), "other": (None, 5), "pending": (None, 0)}
+    both = [lifecycle.gates(values, limits, reviewed, ("pending",)).withColumn("mode", F.lit("after" if reviewed else "before")) for reviewed in (False, True)]
+    return both[0].unionByName(both[1])
+
+
+@query("WITH i AS (SELECT lang AS owner, CASE WHEN doc_id % 7 < 3 THEN 'experience' WHEN doc_id % 7 < 6 THEN 'rule' ELSE 'candidate' END AS kind, doc_id AS id, n_chars AS created_at FROM documents WHERE n_chars % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY CASE kind WHEN 'candidate' THEN 1 WHEN 'rule' THEN 2 ELSE 3 END, created_at, id) AS n FROM i) SELECT owner, kind, id, created_at FROM r WHERE n = 1")
+def l7_next_items(t):
+    kind = F.when(F.col("doc_id") % 7 < 3, "experience").when(F.col("doc_id") % 7 < 6, "rule").otherwise("candidate")
+    return lifecycle.next_items(t("documents").select(F.col("lang").alias("owner"), kind.alias("kind"), F.col("doc_id").alias("id"), F.col("n_chars").alias("created_at"), F.when(F.col("n_chars") % 5 == 0, "done").otherwise("pending").alias("status")))
+
+
 @query("SELECT 'has_text' AS \"check\", count(*) FILTER (coalesce(text, '') = '') AS violations, count(*) FILTER (coalesce(text, '') = '') = 0 AS ok FROM documents UNION ALL SELECT 'known_lang', count(*) FILTER (lang NOT IN ('en', 'es', 'fr')), count(*) FILTER (lang NOT IN ('en', 'es', 'fr')) = 0 FROM documents UNION ALL SELECT 'chars_match', count(*) FILTER (n_chars <> length(text)), count(*) FILTER (n_chars <> length(text)) = 0 FROM documents")
 def q2_q4_checks(t):
     return lifecycle.checks(t("documents"), {"has_text": F.coalesce("text", F.lit("")) == "", "known_lang": ~F.col("lang").isin("en", "es", "fr"), "chars_match": F.col("n_chars") != F.length("text")})
@@ -336,6 +367,12 @@ def k2_overfetch_quality(t):
     return out.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {NEAR_SQL}, r AS (SELECT query_id, id, similarity * quality_weight AS score, occurred_at, similarity FROM n JOIN v USING (id) WHERE rank <= 24), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r), x AS (SELECT query_id, id, score * exp(-0.002 * greatest(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(occurred_at), 0) / 86400e6) AS score FROM w WHERE rank <= 6) SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x")
+def k2_k1_voice_examples(t):
+    out = retrieval.voice_examples(questions(t), vectors(t), AS_OF)
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"WITH {K_SQL} SELECT id, category FROM k WHERE verification_status = 'unverified' AND category = 'en' ORDER BY id DESC LIMIT 50")
 def k6_verification_queue(t):
     return knowledge(t).where("verification_status = 'unverified' and category = 'en'").select("id", "category").orderBy(F.desc("id")).limit(50)
@@ -377,6 +414,21 @@ def c7_line_packs(t):
     return chunking.line_packs(t("documents"), "text", ["doc_id"], 2500).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
+C6_SQL = r"""WITH RECURSIVE p AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS x, len(x) AS n FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda y: regexp_replace(y, '^\s+|\s+$', '', 'g')), lambda y: y <> '') AS x FROM documents)),
+c AS (SELECT doc_id, 0 AS i, CAST(NULL AS VARCHAR) AS open, CAST([] AS VARCHAR[]) AS done FROM p WHERE i = 1
+ UNION ALL SELECT c.doc_id, p.i, CASE WHEN length(p.x) > 500 THEN NULL WHEN c.open IS NOT NULL AND length(c.open) + 2 + length(p.x) <= 500 THEN c.open || chr(10) || chr(10) || p.x ELSE p.x END,
+  CASE WHEN length(p.x) > 500 THEN list_concat(CASE WHEN c.open IS NULL THEN [] ELSE [c.open] END, list_transform(range(0, length(p.x), 500), lambda s: regexp_replace(substr(p.x, s + 1, 500), '^\s+|\s+$', '', 'g'))) WHEN c.open IS NOT NULL AND length(c.open) + 2 + length(p.x) > 500 THEN [c.open] ELSE [] END
+ FROM c JOIN p ON p.doc_id = c.doc_id AND p.i = c.i + 1),
+a AS (SELECT doc_id, i, unnest(done) AS chunk, generate_subscripts(done, 1) AS j FROM c UNION ALL SELECT c.doc_id, c.i + 1, c.open, 1 FROM c JOIN p ON p.doc_id = c.doc_id AND p.i = c.i AND p.i = p.n WHERE c.open IS NOT NULL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS chunk_no, chunk FROM a WHERE chunk <> ''"""
+
+
+@query(C6_SQL)
+def c6_greedy_pack(t):
+    d = t("documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n \n")))
+    return chunking.paragraph_packs(d, "text", ["doc_id"], 500).withColumn("chunk_no", F.col("chunk_no").cast("long"))
+
+
 @query("SELECT user_id, string_agg(printf('[%02d:%02d] ', event_id // 60, event_id % 60) || event_type, chr(10) ORDER BY event_id) AS transcript FROM events GROUP BY user_id")
 def c12_transcript(t):
     return chunking.transcript(t("events"), "user_id", "event_id", "event_type")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textloom.functions import text as T
+from textloom.operators import memory
 
 
 def gated(posts: DataFrame, channel_id: int | None = None, least: int = 80) -> DataFrame:
@@ -63,9 +64,30 @@ def feedback_rows(published: DataFrame) -> DataFrame:
     return published.select("draft_id", F.col("final_text").alias("text"), T.fingerprint(F.lit("draft"), F.col("final_text")).alias("fingerprint"), F.lit(0.4).alias("quality_weight"))
 
 
-def publish_feedback(published: DataFrame, voice: str, checkpoint: str) -> StreamingQuery:
-    """Stream published drafts into the voice table; a batch that comes again is written over itself."""
+def publish_feedback(published: DataFrame, voice: str, checkpoint: str, candidates: str | None = None, buckets: list[str] | None = None) -> StreamingQuery:
+    """Stream published drafts into the voice table: one row a draft, however often it comes. A batch that comes again is written over itself.
+
+    With ``candidates`` the extraction ``buckets`` of the drafts (see ``memory.candidates``; the draft's id is theirs) go to a table there in the same way.
+    """
+    def earlier(spark, path: str, number: int) -> DataFrame | None:
+        try:
+            return spark.read.parquet(path).where(F.col("batch") < number)
+        except Exception as error:
+            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+                raise
+            return None
+
     def write(batch: DataFrame, number: int) -> None:
-        feedback_rows(batch.dropDuplicates(["draft_id"])).write.mode("overwrite").parquet(f"{voice}/batch={number}")
+        once, spark = batch.dropDuplicates(["draft_id"]), batch.sparkSession
+        done = earlier(spark, voice, number)
+        if done is not None:
+            once = once.join(done.select("draft_id"), "draft_id", "left_anti")
+        feedback_rows(once).write.mode("overwrite").parquet(f"{voice}/batch={number}")
+        if candidates:
+            rows = memory.candidates(once.withColumnRenamed("draft_id", "id"), buckets or [])
+            known = earlier(spark, candidates, number)
+            if known is not None:
+                rows = rows.join(known.select("fingerprint"), "fingerprint", "left_anti")
+            rows.write.mode("overwrite").parquet(f"{candidates}/batch={number}")
 
     return published.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
