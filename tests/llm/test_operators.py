@@ -359,6 +359,9 @@ def test_html_layouts_with_known_text(spark):
         want.append("\n\n".join([title, *blocks]))
     got = {r.page_id: r.text for r in html_mss.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert [got[k] for k in range(90)] == want
+    out = [html_mss.prior(x) <= html_mss.FROM for x in "comments comment-list commentlist comment-text topnav adSlot ad_box related-posts recent-posts article-comments site-footer menu-toggle cookieNotice main-nav".split()]
+    stay = [html_mss.prior(x) > html_mss.FROM for x in "entry-content content post-header legal-history tags-and-types search-theory with-sidebar no-ads addendum commentary metadata container row shadow navy".split()]
+    assert all(out) and all(stay)
     began = time.process_time()
     assert html_mss.extract("<b>" * 30000 + "word " * 10 + "</i>" * 30000, html_mss.START_WEIGHTS) == ("word " * 10).strip()
     assert html_mss.extract("<p a='x b='y>one two three four five</p>" * 3000, html_mss.START_WEIGHTS).count("five") >= 1 and time.process_time() - began < 5

@@ -35,11 +35,13 @@ BLOCK = frozenset("address article aside blockquote body canvas caption center d
 CONTENT = frozenset(("article", "main"))
 #: Elements whose open one ends at the next of its kind.
 CLOSERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Fixed words: heads of class names that tell boilerplate, that may, and that tell content; nouns that are no head; words that make a class speak of another element.
+#: Fixed words: heads of class names that tell boilerplate, that may, and that tell content; words that are no head; those that stand before one written together with it;
+#: words that make a class speak of another element.
 TELLING = frozenset("ad ads advert adverts advertisement advertising adsense banner banners sponsor sponsored sponsors promo promos promotion sidebar comment comments respond disqus reply replies cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social widget widgets toolbar pagination pager skip complementary contentinfo copyright disclaimer hidden".split())
-DOUBTFUL = frozenset("header related recommended recommendations tag tags search legal meta form aside".split())
+DOUBTFUL = frozenset("header related recommended recommendations recent popular trending tag tags search legal meta form aside".split())
 SPEAKING = frozenset("article post entry content story main text prose".split())
-GENERIC = frozenset("list item items slot bar buttons button box container wrapper wrap links link icons icon block area section inner outer left right top bottom unit zone label message group row column col panel holder body thread form".split())
+GENERIC = frozenset("list item items slot bar buttons button box container wrapper wrap links link icons icon block area section inner outer left right top bottom unit zone label message group row column col panel holder body thread form toggle posts articles stories primary secondary fixed sticky mobile desktop fluid default".split())
+BEFORE = frozenset("site page top main global left right bottom sub side foot head post".split())
 ELSEWHERE = frozenset("with has no without is show hide js".split())
 TELLS, DOUBTS, SPEAKS, FROM = -3.0, -1.5, 1.5, -1.5
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)(?:>|\Z)|[^<]+|<", re.S)
@@ -64,13 +66,16 @@ def _attributes(attributes: str) -> tuple[tuple[str, ...], bool]:
 
 @cache
 def prior(token: str) -> float:
-    """What a class token says by itself: its head is the last word that is no generic noun."""
+    """What a class token says by itself: its head is the last word that is no generic noun, and no word for text behind a telling one (``comment-text``)."""
     words = [w for w in re.split(r"[-_:]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", token).lower()) if w]
     if not words or len(words) > 1 and words[0] in ELSEWHERE:
         return 0.0
-    while len(words) > 1 and (words[-1] in GENERIC or words[-1].isdigit()):
+    while len(words) > 1 and (words[-1] in GENERIC or words[-1].isdigit() or words[-1] in SPEAKING and words[-2] in TELLING):
         words.pop()
-    own = TELLS if words[-1] in TELLING else DOUBTS if words[-1] in DOUBTFUL else 0.0
+    last = words[-1]
+    if last not in TELLING | DOUBTFUL:  # written together: commentlist, topnav
+        last = max((t for t in TELLING | DOUBTFUL if last.startswith(t) and last[len(t) :] in GENERIC or last.endswith(t) and last[: -len(t)] in BEFORE), key=lambda t: (len(t), t), default=last)
+    own = TELLS if last in TELLING else DOUBTS if last in DOUBTFUL else 0.0
     return own + SPEAKS * any(w in SPEAKING for w in words)
 
 
