@@ -240,6 +240,19 @@ def brute_near(rows):
     return root
 
 
+def test_sketch_keeps_similar_sets():
+    rng = np.random.default_rng(3)
+    far = []
+    for n in (20, 100, 2000):
+        for _ in range(300):
+            both, own = rng.integers(0, 1 << 63, n, dtype=np.uint64), rng.integers(0, 1 << 63, n // 4, dtype=np.uint64)
+            a, b = np.concatenate((both, own[: n // 8])), np.concatenate((both, own[n // 8 :]))  # similarity 0.8
+            far.append((shingle_sets.sketch(a) ^ shingle_sets.sketch(b)).bit_count())
+    assert max(far) <= shingle_sets.BITS and 6 < np.mean(far) < 13
+    h = rng.integers(0, 1 << 63, 70000, dtype=np.uint64)
+    assert shingle_sets.sketch(h) == sum(1 << (63 - k) for k, ones in enumerate(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0)) if 2 * int(ones) > 70000)
+
+
 def test_weak_supervision_base_counts_and_verdicts(spark, odd):
     d = docs(spark)
     got = {r.doc_id: r for r in weak_rules.judged(d).collect()}
@@ -649,11 +662,12 @@ def test_pipeline_stages(spark, odd):
 
 
 def test_stage_drops_what_earlier_ones_left(spark, tmp_path):
+    other = common.written(docs(spark), "other")
     first = corpus_pipeline.lines(spark, docs(spark), SF)
-    left = list(common.MADE)
+    left = set(corpus_pipeline.LEFT)
     assert left
     first.write.parquet(str(tmp_path / "one"))
     chained = corpus_pipeline.quality(spark, first, SF)  # reads the first stage's tables: they stay
-    assert set(left) <= set(common.MADE) and chained.count()
+    assert left < set(corpus_pipeline.LEFT) and chained.count()
     second = corpus_pipeline.quality(spark, spark.read.parquet(str(tmp_path / "one")), SF)
-    assert not set(left) & set(common.MADE) and second.count()
+    assert not left & set(corpus_pipeline.LEFT) and second.count() and other.count()

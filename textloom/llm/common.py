@@ -29,7 +29,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return (found or os.path.join(tempfile.gettempdir(), "textloom-scratch")).rstrip("/")
 
 
-#: Paths of the tables that this process has written and not dropped.
+#: Paths of the tables that this process has written.
 MADE: list[str] = []
 
 
@@ -39,16 +39,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
     MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()  # what the driver no longer refers to, shuffle files of the written plan above all, goes now and not at Spark's half-hourly cleaning
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_unread(docs: DataFrame) -> None:
-    """Delete the tables written so far, unless ``docs`` reads one of them. What was made from them must have been written before."""
-    if not MADE or any(path.rpartition("/")[2] in f for f in docs.inputFiles() for path in MADE):
+def drop_unread(docs: DataFrame, paths: list[str]) -> None:
+    """Delete the tables at ``paths`` and empty the list, unless ``docs`` reads one of them. What was made from them must have been written before."""
+    if not paths or any(path.rpartition("/")[2] in f for f in docs.inputFiles() for path in paths):
         return
     jvm, conf = docs.sparkSession._jvm, docs.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    while MADE:
-        path = jvm.org.apache.hadoop.fs.Path(MADE.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
