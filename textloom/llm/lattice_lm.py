@@ -102,7 +102,7 @@ class Arrays:
     words beyond ``LONG`` characters go one by one.
     """
 
-    LONG, TOGETHER, BASE, SHIFT = 64, 65536, np.uint64(0x9E3779B97F4A7C15), np.uint64(46)
+    LONG, TOGETHER, BASE, SHIFT = 64, 16384, np.uint64(0x9E3779B97F4A7C15), np.uint64(46)
 
     def __init__(self, lattice: Lattice) -> None:
         self.one, self.names = lattice, list(lattice.pieces)
