@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, over their whole tables, and DuckDB SQL for those that SQL can express."""
+"""The registered queries of the operators, over their whole tables, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, html_mss, lattice_lm, lgs_pack, line_align, phrase_automata, simhash_vp, sp_unigram, warc_chunks, weak_rules
+from . import gif, html_mss, jacobi_davidson, lattice_lm, lgs_pack, line_align, pairwise_rank, phrase_automata, segment_negatives, simhash_vp, sp_unigram, warc_chunks, weak_rules
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -24,6 +24,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_phrase_automata": _over("documents", phrase_automata.removal_report),
     "op9_patience_line_dedup": _over("documents", line_align.report),
     "op10_warc_chunks": _over("pages", warc_chunks.round_trip),
+    "op11_pairwise_rank": lambda spark, sf_dir: pairwise_rank.scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+    "op12_segment_negatives": _over("embeddings", segment_negatives.hard_negatives),
+    "op13_jacobi_davidson": _over("embeddings", jacobi_davidson.report),
 }
 
 ORACLE: dict[str, str] = {
@@ -42,4 +45,12 @@ SELECT page_id, payload_bytes, p.payload_digest,
        CASE WHEN first_id IS NOT NULL AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100""",
+    "op12_segment_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, CAST(list_inner_product(a.x, e.x) AS BIGINT) AS score FROM e AS a, e WHERE a.vec_id % 100 = 0 AND a.vec_id <> e.vec_id),
+p AS (SELECT * FROM (SELECT anchor_id, vec_id, score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
 }
