@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,8 +55,9 @@ def provider(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return e.select(*keep, "cue", start.alias("start"), (start + number("e.duration") / 1000).alias("end"), T.caption_text(F.coalesce("e.text", F.lit(""))).alias("text")).where("text <> ''")
 
 
-def _rolled(rows: Iterator[dict]) -> Iterator[dict]:
-    last = said = None
+def _rolled(state: tuple[dict, str] | None, rows: Iterator[dict]) -> Generator[dict, None, tuple[dict, str] | None]:
+    """The segments that stay; the state is the last one kept, and what it says."""
+    last, said = state or (None, "")
     for row in rows:
         now = " ".join(row["text"].lower().split())
         if last:
@@ -74,18 +75,16 @@ def _rolled(rows: Iterator[dict]) -> Iterator[dict]:
                 continue
             yield last
         last, said = row, now
-    if last:
-        yield last
+    return (last, said) if last else None
 
 
 def without_rolling_repeats(segments: DataFrame, track: str) -> DataFrame:
     """Segments of each track without the repeats of rolling captions: each is compared with the last one kept, whatever the case.
 
     One held in the last goes; one that holds the last and starts within 5 s of its start replaces it; a shared end and start of three words and more is cut.
-    A track's segments stream through a fold that holds the last one kept.
+    A long track is folded in segments; see ``folds.in_segments``.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.schema)
-    return folds.over_sorted(segments, [track], ["start", "cue"], _rolled, schema)
+    return folds.in_segments(segments, [track], ["start", "cue"], _rolled, lambda state: [state[0]] if state else [])
 
 
 def best_track(tracks: DataFrame, key: str, languages: list[str]) -> DataFrame:

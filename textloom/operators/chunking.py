@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import folds
+from textloom.operators import packs, scratch
 
 
 def exploded(df: DataFrame, chunks: Column, keep: list[str]) -> DataFrame:
@@ -100,55 +100,37 @@ def semantic_chunks(sentences: DataFrame, key: str, order: str, vector: str, tex
     return broken.groupBy(key, (F.col("chunk_no") + 1).cast("int").alias("chunk_no")).agg(joined.alias("chunk"))
 
 
-def tokens_of(text: str) -> int:
-    return max(1, len(text) // 4)
-
-
-def section_packs(df: DataFrame, key: str, section: str, level: str, title: str, body: str, tokens: int = 4000, share: float = 0.1) -> DataFrame:
+def section_packs(df: DataFrame, key: str, section: str, level: str, title: str, body: str, tokens: int = 4000, share: float = 0.1, cell: int = packs.CELL) -> DataFrame:
     """Sections packed in order into chunks of at most ``tokens`` estimated tokens: chunk_no, titles (joined by bars) and chunk.
 
     A larger section starts chunks of its own, packed from its paragraphs, each with the section's title. Every chunk but a document's first starts with
-    the last words of the one before: twice the overlap's tokens, at least 40. A document's sections stream through a fold that holds one chunk.
+    the last words of the one before: twice the overlap's tokens, at least 40. A document of any length spreads over tasks: chunks come from ``packs``; the
+    last words before a chunk are the last words of all text before it, found by their place among the document's words.
     """
     overlap = int(tokens * share)
-
-    def fold(rows):
-        number, tail = 0, ""
-
-        def chunk(parts: list[tuple[str, str]], titles: str) -> dict:
-            nonlocal number, tail
-            text = "\n\n".join(t for _, t in parts).strip()
-            if tail and overlap:
-                text = f"{tail}\n\n{text}"
-            number, tail = number + 1, " ".join(text.split()[-max(2 * overlap, 40) :]) if overlap > 0 else ""
-            return {key: of, "chunk_no": number, "titles": titles, "chunk": text}
-
-        held: list[tuple[str, str]] = []
-        size = 0
-        for r in rows:
-            of, name = r[key], r[title]
-            whole = f"{'#' * r[level]} {name}\n\n{r[body]}".strip()
-            n = tokens_of(whole)
-            if held and (n > tokens or size + n > tokens):
-                yield chunk(held, " | ".join(t for t, _ in held))
-                held, size = [], 0
-            if n <= tokens:
-                held.append((name, whole))
-                size += n
-                continue
-            own, size = [], tokens_of("")
-            for paragraph in filter(None, map(str.strip, r[body].split("\n\n"))):
-                block = f"## {name}\n\n{paragraph}"
-                if own and size + tokens_of(block) > tokens:
-                    yield chunk(own, name)
-                    own, size = [], 0
-                own.append((name, block))
-                size += tokens_of(block)
-            if own:
-                yield chunk(own, name)
-            size = 0
-        if held:
-            yield chunk(held, " | ".join(t for t, _ in held))
-
-    kind = df.schema[key].dataType.simpleString()
-    return folds.over_sorted(df.select(key, section, level, title, body), [key], [section], fold, f"{key} {kind}, chunk_no int, titles string, chunk string")
+    blank = F.lit("\n\n")
+    whole = T.strip(F.concat(F.repeat(F.lit("#"), F.col(level)), F.lit(" "), F.col(title), blank, F.col(body)))
+    rows = df.select(key, F.col(section).alias("_section"), F.col(title).alias("_title"), F.col(body).alias("_body"), whole.alias("_whole")).withColumn("_size", T.token_estimate(F.col("_whole")))
+    first = scratch.written(packs.packs(rows, [key], ["_section"], "_size", tokens, cell=cell), "section-packs")
+    large = F.get("rows", 0)["_size"] > tokens
+    joined = lambda of: T.strip(F.array_join(F.transform("rows", lambda x: x[of]), "\n\n"))
+    small = first.where(~large).select(key, "pack_no", F.lit(0).cast("long").alias("_sub"), F.array_join(F.transform("rows", lambda x: x["_title"]), " | ").alias("titles"), joined("_whole").alias("_text"))
+    paragraphs = F.filter(F.transform(F.split(F.get("rows", 0)["_body"], "\n\n"), T.strip), lambda x: x != "")
+    blocks = first.where(large).select(key, "pack_no", F.get("rows", 0)["_title"].alias("_title"), F.posexplode(paragraphs).alias("_pos", "_p")).withColumn("_block", F.concat(F.lit("## "), "_title", blank, "_p"))
+    # A section's first chunk starts with one token.
+    sized = blocks.select(key, F.col("pack_no").alias("_pack"), "_pos", "_title", "_block", (T.token_estimate(F.col("_block")) + F.when(F.col("_pos") == 0, 1).otherwise(0)).alias("_size"))
+    cut = packs.packs(sized, [key, "_pack"], ["_pos"], "_size", tokens, cell=cell).select(key, F.col("_pack").alias("pack_no"), F.col("pack_no").alias("_sub"), F.get("rows", 0)["_title"].alias("titles"), joined("_block").alias("_text"))
+    chunks = small.unionByName(cut).withColumn("_one", F.lit(1).cast("long")).withColumn("_words", F.when(F.col("_text") == "", 0).otherwise(F.size(F.split(T.squeezed(F.col("_text")), " "))).cast("long"))
+    placed = packs.numbered(chunks, [key], ["pack_no", "_sub"], "_one", "_words")
+    number = (F.col("_at__one") + 1).cast("int").alias("chunk_no")
+    if overlap <= 0:
+        return placed.select(key, number, "titles", F.col("_text").alias("chunk"))
+    kept = max(2 * overlap, 40)
+    # A chunk's words end at a place on the document's axis of words; those that a later chunk repeats end less than ``kept`` before it, in its stretch of the axis or the one before.
+    end, start = F.col("_at__words") + F.col("_words"), F.col("_at__words")
+    ends = placed.where("_words > 0").select("_key", F.floor(end / kept).alias("_stretch"), end.alias("_end"), F.slice(F.split(T.squeezed(F.col("_text")), " "), F.greatest(F.col("_words") - kept, F.lit(0)).cast("int") + 1, kept).alias("_last"))
+    asked = placed.where(start > 0).select("_key", "_seq", start.alias("_start"), F.explode(F.array(F.floor(start / kept) - 1, F.floor(start / kept))).alias("_stretch"))
+    near = asked.join(ends, ["_key", "_stretch"]).where((F.col("_end") <= F.col("_start")) & (F.col("_end") > F.col("_start") - kept))
+    words = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_end", "_last"))), lambda x: x["_last"]))
+    tails = near.groupBy("_key", "_seq").agg(words.alias("_w")).select("_key", "_seq", F.array_join(F.slice("_w", F.greatest(F.size("_w") - kept, F.lit(0)) + 1, kept), " ").alias("_tail"))
+    return placed.join(tails, ["_key", "_seq"], "left").select(key, number, "titles", F.concat(F.coalesce(F.concat("_tail", blank), F.lit("")), "_text").alias("chunk"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import chunking, folds, tables
+from textloom.operators import chunking, packs, scratch, tables
 
 #: Confidence and context lengths from which a candidate is queued without a person's confirmation.
 AUTO_CONFIDENCE, MIN_CONTEXT, MIN_QUOTE = 0.75, 40, 30
@@ -185,29 +185,25 @@ def voice_rows(messages: DataFrame, kind: str = "kind") -> DataFrame:
     return messages.withColumn("fingerprint", T.fingerprint(F.col(kind), F.col("text"))).withColumn("quality_weight", F.when(chat, 0.45).otherwise(1.0)).withColumn("style_only", chat)
 
 
-def _merged_shorts(rows):
-    """Rows of one chapter in order, each with its content after short ones joined the next row, or the last ones the row before them; null where a row went."""
-    carried, waiting, last = "", [], None
-    for r in rows:
-        text = f"{carried}\n\n{r['content']}" if waiting else r["content"]
-        if len(" ".join(text.split())) < SHORT:
-            carried, _ = text, waiting.append(r)
-            continue
-        if last:
-            yield last
-        for x in waiting:
-            yield {"id": x["id"], "merged": None}
-        last, carried, waiting = {"id": r["id"], "merged": text, "at": r["chunk_index"]}, "", []
-    if waiting:  # nothing comes after the last short row
-        tail = waiting.pop()
-        for x in waiting:
-            yield {"id": x["id"], "merged": None}
-        yield {"id": tail["id"], "merged": None if last else carried}
-        if last:
-            both = [last["merged"], carried]
-            last["merged"] = "\n\n".join(both if last["at"] < tail["chunk_index"] else both[::-1])
-    if last:
-        yield last
+def merged_shorts(chunks: DataFrame, cell: int = packs.CELL) -> DataFrame:
+    """id and ``merged`` of chunks (id, source_book, chapter_title, chunk_index, content): the content after short ones joined the next chunk of their chapter, or the last ones the one before them; null where a chunk went.
+
+    Chunks up to the first that makes the text long enough are a pack, so that a chapter of any length spreads over tasks; see ``packs``.
+    """
+    keys = ["source_book", "chapter_title"]
+    n = F.length(T.squeezed(F.col("content")))
+    # Joined texts have a space between them that counts, empty ones none.
+    sized = chunks.select("id", *keys, "chunk_index", "content", F.when(n > 0, n + 1).otherwise(0).cast("long").alias("_size"))
+    found = packs.packs(sized, keys, ["chunk_index", "id"], "_size", SHORT + 1, at_least=True, cell=cell)
+    text = F.array_join(F.transform("rows", lambda x: x["content"]), "\n\n")
+    total = F.aggregate("rows", F.lit(0).cast("long"), lambda acc, x: acc + x["_size"])
+    groups = scratch.written(found.select(packs.key_of(keys).alias("_key"), "pack_no", F.transform("rows", lambda x: x["id"]).alias("ids"), F.element_at("rows", -1)["chunk_index"].alias("at"), text.alias("text"), (total > SHORT).alias("full")), "short-chunks")
+    tails = groups.where("not full").select("_key", (F.col("pack_no") - 1).alias("pack_no"), F.col("at").alias("tail_at"), F.col("text").alias("tail"))
+    whole = groups.where("full").join(tails, ["_key", "pack_no"], "left")
+    both = F.when(F.col("tail").isNull(), F.col("text")).when(F.col("at") < F.col("tail_at"), F.concat("text", F.lit("\n\n"), "tail")).otherwise(F.concat("tail", F.lit("\n\n"), "text"))
+    alone = groups.where("not full").withColumn("merged", F.when(F.col("pack_no") == 1, F.col("text")))
+    each = F.transform("ids", lambda x, i: F.struct(x.alias("id"), F.when(i == F.size("ids") - 1, F.col("merged")).alias("merged")))
+    return whole.withColumn("merged", both).select("ids", "merged").unionByName(alone.select("ids", "merged")).select(F.inline(each))
 
 
 def cleanup_plan(chunks: DataFrame) -> DataFrame:
@@ -215,14 +211,14 @@ def cleanup_plan(chunks: DataFrame) -> DataFrame:
 
     Later copies within all books go (``delete``). In the order of chunk_index, a short chunk joins the next one of its book and chapter, the last ones the one before
     (``delete``; the other is an ``update``). What is then too long and falls into several pieces keeps the first (``update``, the others are in ``split``; see
-    ``inserted_rows``). Others: ``keep``. Null contents count as empty, null books as one, null indexes as 0. A chapter streams through a fold that holds two chunks.
+    ``inserted_rows``). Others: ``keep``. Null contents count as empty, null books as one, null indexes as 0. See ``merged_shorts``.
     """
     text = chunks.select("id", F.coalesce("source_book", F.lit("unknown")).alias("source_book"), "chapter_title", F.coalesce("chunk_index", F.lit(0)).cast("long").alias("chunk_index"), F.coalesce("content", F.lit("")).alias("content")).withColumn("print", T.fingerprint(F.col("content")))
     firsts = text.groupBy("print").agg(F.min("id").alias("first"))
     ranked = text.join(firsts, "print")
     copies = ranked.where("id > first").select("id", "chunk_index", F.lit("delete").alias("action"), F.lit("").alias("content"), F.array().cast("array<string>").alias("split"))
     own = ranked.where("id = first").select("id", "source_book", "chapter_title", "chunk_index", "content")
-    merged = folds.over_sorted(own, ["source_book", "chapter_title"], ["chunk_index", "id"], _merged_shorts, "id long, merged string")
+    merged = merged_shorts(own)
     pieces = chunking.paragraph_packs(merged.where(F.length("merged") > LONG), "merged", ["id"], TARGET).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))).alias("p"))
     many = F.size("p") > 1
     planned = own.join(merged, "id").join(pieces.where(many), "id", "left")
@@ -298,24 +294,11 @@ def draft_changes(events: DataFrame, fields: list[str]) -> DataFrame:
     return events.select("draft_id", "at", *[change(f) for f in fields])
 
 
-def message_packs(messages: DataFrame, key: str, order: list[str], header: Column, text: str, limit: int = 80_000) -> DataFrame:
+def message_packs(messages: DataFrame, key: str, order: list[str], header: Column, text: str, limit: int = 80_000, cell: int = packs.CELL) -> DataFrame:
     """Messages of each chat packed greedily, in order, up to ``limit`` characters (header, text and three line ends each): pack_no, n_messages, pack.
 
-    A longer message is a pack of its own. A chat streams through a fold that holds one pack.
+    A longer message is a pack of its own. A chat of any length spreads over tasks; see ``packs``.
     """
-    kind = messages.schema[key].dataType.simpleString()
-
-    def fold(rows):
-        number, held, size = 0, [], 0
-        for r in rows:
-            n = len(r["_block"]) + 2
-            if held and size + n > limit:
-                number += 1
-                yield {key: r[key], "pack_no": number, "n_messages": len(held), "pack": "\n\n---\n\n".join(held)}
-                held, size = [], 0
-            held.append(r["_block"])
-            size += n
-        yield {key: r[key], "pack_no": number + 1, "n_messages": len(held), "pack": "\n\n---\n\n".join(held)}
-
-    blocks = messages.select(key, *order, F.concat(header, F.lit("\n"), F.coalesce(F.col(text), F.lit(""))).alias("_block"))
-    return folds.over_sorted(blocks, [key], order, fold, f"{key} {kind}, pack_no long, n_messages long, pack string")
+    blocks = messages.select(key, *order, F.concat(header, F.lit("\n"), F.coalesce(F.col(text), F.lit(""))).alias("_block")).withColumn("_size", F.length("_block").cast("long") + 2)
+    found = packs.packs(blocks, [key], order, "_size", limit, cell=cell)
+    return found.select(key, "pack_no", F.size("rows").cast("long").alias("n_messages"), F.array_join(F.transform("rows", lambda x: x["_block"]), "\n\n---\n\n").alias("pack"))

@@ -402,8 +402,12 @@ def c2_w7_paragraphs(t):
     return chunking.paragraphs(t("documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), "text", ["doc_id"]).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
-@query(r"""WITH p AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS x FROM documents), l AS (SELECT doc_id, i, x, i % 5 = 0 AND regexp_matches(x, '^\S') AS head FROM p),
-n AS (SELECT *, CAST(sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS section FROM l), g AS (SELECT doc_id, section, max(CASE WHEN head THEN x END) AS title, regexp_replace(coalesce(string_agg(CASE WHEN NOT head THEN CASE WHEN i % 5 = 0 THEN '# ' || x ELSE x END END, chr(10) ORDER BY i), ''), '^\s+|\s+$', '', 'g') AS body FROM n GROUP BY doc_id, section), h AS (SELECT doc_id, section, coalesce(title, CASE WHEN max(section) OVER (PARTITION BY doc_id) = 0 THEN 'Document' ELSE 'Preamble' END) AS title, body FROM g) SELECT * FROM h WHERE section > 0 OR body <> '' OR title = 'Document'""")
+#: Sections in SQL; the walk of c5 goes on from there.
+C4_SQL = r"""WITH RECURSIVE p AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS x FROM documents), l AS (SELECT doc_id, i, x, i % 5 = 0 AND regexp_matches(x, '^\S') AS head FROM p),
+n AS (SELECT *, CAST(sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS section FROM l), g AS (SELECT doc_id, section, max(CASE WHEN head THEN x END) AS title, regexp_replace(coalesce(string_agg(CASE WHEN NOT head THEN CASE WHEN i % 5 = 0 THEN '# ' || x ELSE x END END, chr(10) ORDER BY i), ''), '^\s+|\s+$', '', 'g') AS body FROM n GROUP BY doc_id, section), h AS (SELECT doc_id, section, coalesce(title, CASE WHEN max(section) OVER (PARTITION BY doc_id) = 0 THEN 'Document' ELSE 'Preamble' END) AS title, body FROM g), sections AS (SELECT * FROM h WHERE section > 0 OR body <> '' OR title = 'Document')"""
+
+
+@query(C4_SQL + " SELECT * FROM sections")
 def c4_markdown_sections(t):
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("# "), x)).otherwise(x))
     return chunking.sections(t("documents").select("doc_id", F.array_join(lines, "\n").alias("text")), "text", "doc_id").drop("level")
@@ -641,7 +645,19 @@ def c3_routed(t):
     return chunking.routed(t("documents"), "text", "lang", ["doc_id"], ["en"], ["es"]).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.sha2("chunk", 256).alias("chunk"))
 
 
-@query()
+#: Sections as in c4, packed by a recursive walk, large ones by one through their paragraphs; words before a chunk from all words of its document.
+C5_SQL = C4_SQL + r""", o AS (SELECT *, greatest(1, length(whole) // 4) AS n FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section) AS i, title, body, """ + STRIP.format("concat('# ', title, chr(10), chr(10), body)") + r""" AS whole FROM sections)),
+g5 AS (SELECT doc_id, i, n AS size, 1 AS pack FROM o WHERE i = 1 UNION ALL SELECT o.doc_id, o.i, CASE WHEN g5.size + o.n > 400 THEN o.n ELSE g5.size + o.n END, g5.pack + CASE WHEN g5.size + o.n > 400 THEN 1 ELSE 0 END FROM g5 JOIN o ON o.doc_id = g5.doc_id AND o.i = g5.i + 1),
+a5 AS (SELECT doc_id, pack, string_agg(title, ' | ' ORDER BY i) AS titles, string_agg(whole, chr(10) || chr(10) ORDER BY i) AS text, max(n) AS most, any_value(body) AS body FROM g5 JOIN o USING (doc_id, i) GROUP BY doc_id, pack),
+b5 AS (SELECT *, greatest(1, length(block) // 4) + CASE WHEN j = 1 THEN 1 ELSE 0 END AS n FROM (SELECT doc_id, pack, titles, generate_subscripts(x, 1) AS j, concat('## ', titles, chr(10), chr(10), unnest(x)) AS block FROM (SELECT doc_id, pack, titles, list_filter(list_transform(string_split(body, chr(10) || chr(10)), lambda y: """ + STRIP.format("y") + r"""), lambda y: y <> '') AS x FROM a5 WHERE most > 400))),
+h5 AS (SELECT doc_id, pack, j, n AS size, 1 AS sub FROM b5 WHERE j = 1 UNION ALL SELECT b5.doc_id, b5.pack, b5.j, CASE WHEN h5.size + b5.n > 400 THEN b5.n ELSE h5.size + b5.n END, h5.sub + CASE WHEN h5.size + b5.n > 400 THEN 1 ELSE 0 END FROM h5 JOIN b5 ON b5.doc_id = h5.doc_id AND b5.pack = h5.pack AND b5.j = h5.j + 1),
+c5 AS (SELECT doc_id, pack, 0 AS sub, titles, text FROM a5 WHERE most <= 400 UNION ALL SELECT doc_id, pack, sub, any_value(titles), string_agg(block, chr(10) || chr(10) ORDER BY j) FROM h5 JOIN b5 USING (doc_id, pack, j) GROUP BY doc_id, pack, sub),
+d5 AS (SELECT doc_id, titles, row_number() OVER w AS chunk_no, """ + STRIP.format("text") + r""" AS text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS words FROM c5 WINDOW w AS (PARTITION BY doc_id ORDER BY pack, sub)),
+e5 AS (SELECT *, coalesce(sum(len(words)) OVER (PARTITION BY doc_id ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d5), f5 AS (SELECT doc_id, flatten(list(words ORDER BY chunk_no)) AS spoken FROM d5 GROUP BY doc_id)
+SELECT doc_id, CAST(chunk_no AS INT) AS chunk_no, titles, CASE WHEN before > 0 THEN array_to_string(spoken[CAST(greatest(before - 80, 0) AS BIGINT) + 1:CAST(before AS BIGINT)], ' ') || chr(10) || chr(10) || text ELSE text END AS chunk FROM e5 JOIN f5 USING (doc_id)"""
+
+
+@query(C5_SQL)
 def c5_section_packs(t):
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("# "), x)).otherwise(x))
     s = chunking.sections(t("documents").select("doc_id", F.array_join(lines, "\n").alias("text")), "text", "doc_id")
@@ -671,10 +687,22 @@ def c10_c11_captions(t):
     return both.select(*keep, "form", "start", "end", "text")
 
 
-@query()
+#: A recursive walk through each track: the last segment kept, what it says, and what the step gave out.
+W8_SQL = "WITH RECURSIVE s AS (SELECT conv_id, turn, CAST(turn + 0.5 AS DOUBLE) AS start, CAST(turn + 1 AS DOUBLE) AS stop, " + CAPTION_SQL.format("text") + r""" AS text FROM conversations), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY start, turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM s WHERE text <> ''),
+g AS (SELECT conv_id, i, n, turn, start, stop, text, lower(text) AS said, CAST(NULL AS STRUCT(turn BIGINT, start DOUBLE, stop DOUBLE, text VARCHAR)) AS done FROM o WHERE i = 1
+ UNION ALL SELECT conv_id, i, n, CASE WHEN way = 'same' THEN turn ELSE new_turn END, CASE WHEN way = 'next' THEN new_start ELSE start END, CASE WHEN way = 'same' THEN stop ELSE new_stop END, CASE WHEN way = 'same' THEN text ELSE rest END, CASE WHEN way = 'same' THEN said ELSE lower(rest) END, CASE WHEN way = 'next' THEN {'turn': turn, 'start': start, 'stop': stop, 'text': text} END
+ FROM (SELECT *, CASE WHEN contains(said, lower(full_text)) THEN 'same' WHEN contains(lower(full_text), said) AND new_start - start <= 5 THEN 'grown' WHEN rest = '' OR lower(rest) = said THEN 'same' ELSE 'next' END AS way
+  FROM (SELECT *, CASE WHEN contains(lower(full_text), said) AND new_start - start <= 5 THEN full_text ELSE array_to_string(string_split(full_text, ' ')[shared + 1:], ' ') END AS rest
+   FROM (SELECT g.conv_id, o.i, g.n, g.turn, g.start, g.stop, g.text, g.said, o.turn AS new_turn, o.start AS new_start, o.stop AS new_stop, o.text AS full_text,
+     coalesce(list_max(list_filter(range(3, least(len(string_split(g.said, ' ')), len(string_split(o.text, ' '))) + 1), lambda k: string_split(g.said, ' ')[-k:] = string_split(lower(o.text), ' ')[1:k])), 0) AS shared FROM g JOIN o ON o.conv_id = g.conv_id AND o.i = g.i + 1))))
+SELECT conv_id, done.turn AS turn, done.start AS start, done.stop AS "end", done.text AS text FROM g WHERE done IS NOT NULL UNION ALL SELECT conv_id, turn, start, stop, text FROM g WHERE i = n"""
+
+
+@query(W8_SQL)
 def w8_rolling_captions(t):
-    segments = captions.vtt(_caption_files(t), "vtt", ["conv_id"]).withColumn("cue", F.col("start").cast("int"))
-    return captions.without_rolling_repeats(segments, "conv_id")
+    """Each conversation as a track, each turn as a segment of it."""
+    segments = captions.vtt(_caption_files(t), "vtt", ["conv_id", "turn"]).withColumn("cue", F.col("turn"))
+    return captions.without_rolling_repeats(segments, "conv_id").select("conv_id", "turn", "start", "end", "text")
 
 
 @query(f"WITH {C_SQL} SELECT conv_id, turn, sha256(concat(kind, ':', {norm('text')})) AS fingerprint, CASE kind WHEN 'chats' THEN 0.45::DOUBLE ELSE 1.0::DOUBLE END AS quality_weight, kind = 'chats' AS style_only FROM c")
