@@ -59,15 +59,26 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "quer
         return df.select(F.col(i).cast("long").alias("id"), F.col(vector).alias("v"), (F.col(kind).cast("string") if kind else F.lit(None).cast("string")).alias("kind"), (F.col(w).cast("double") if w else F.lit(1.0)).alias("w"))
 
     pairs = _blocks(side(corpus, row_id, weight), ROW_BLOCK, "c").join(_blocks(side(queries, query_id), QUERY_BLOCK, "q"))
+    return ranked(best_of(pairs, k, kind is not None, null_for_all), k)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return found.select("query_id", "id", "similarity").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def best_of(pairs: DataFrame, k: int, by_kind: bool = False, null_for_all: bool = False) -> DataFrame:
+    """query_id, id, similarity and q_block of the ``k`` best rows that each task has met for each query, from pairs of blocks."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}  # by query block: its ids, and positions, similarities, ids of the best rows
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for ids, at, s, rid in best.values():
+            for block, (ids, at, s, rid) in best.items():
                 for i in range(0, len(at), 65536):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at[i : i + 65536]]), pa.array(rid[i : i + 65536]), pa.array(s[i : i + 65536])], ["query_id", "id", "similarity"])
+                    n = len(at[i : i + 65536])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at[i : i + 65536]]), pa.array(rid[i : i + 65536]), pa.array(s[i : i + 65536]), pa.array(np.full(n, block))], ["query_id", "id", "similarity", "q_block"])
 
         for b in batches:
             for i in range(b.num_rows):
@@ -77,7 +88,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "quer
                     continue
                 q, c = (np.frombuffer(get(x).as_py()).reshape(n, -1) for x, n in (("q_unit", len(ids)), ("c_unit", len(rid))))
                 sims = q @ c.T
-                if kind:
+                if by_kind:
                     mine, theirs = (np.array(get(x).as_py(), object) for x in ("q_kinds", "c_kinds"))
                     no_kind = np.array([x is None for x in mine])
                     other = (mine[:, None] != theirs[None, :]) | no_kind[:, None]
@@ -99,9 +110,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "quer
                     size = 0
         yield from out()
 
-    found = pairs.mapInArrow(score, "query_id long, id long, similarity double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return pairs.select("q_block", "q_ids", "q_kinds", "q_unit", "c_ids", "c_kinds", "c_unit").mapInArrow(score, "query_id long, id long, similarity double, q_block long")
 
 
 def reranked(found: DataFrame, corpus: DataFrame, score: Column, k: int) -> DataFrame:

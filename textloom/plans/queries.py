@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions import vectors as V
-from textloom.operators import captions, chunking, lifecycle, matching, memory, retrieval, tables
+from textloom.operators import bounds, captions, chunking, lifecycle, matching, memory, retrieval, tables
 from textloom.sources import exports
 from textloom.streaming import ingest
 
@@ -170,6 +170,26 @@ def j3_knn(t):
     return retrieval.nearest(questions(t), vectors(t), 6).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"WITH {NEAR_SQL} SELECT query_id, id, rank, round(similarity, 6) AS similarity FROM n WHERE rank <= 6")
+def j3_bounded_knn(t):
+    """As j3_knn, by blocks of which those that can't matter never meet."""
+    found, _ = bounds.search(questions(t), vectors(t), 6)
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def j3_block_pairs(t):
+    """The share of block pairs that met."""
+    return bounds.search(questions(t), vectors(t), 6)[1]
+
+
+@query("WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), c AS (SELECT min(id) AS class_id, v, label FROM e GROUP BY v, label), p AS (SELECT a.class_id, b.class_id AS other, list_cosine_similarity(a.v, b.v) AS s FROM c AS a JOIN c AS b ON a.label = b.label AND a.class_id <> b.class_id WHERE list_cosine_similarity(a.v, b.v) >= 0.25), n AS (SELECT class_id, count(*) AS links, arg_max(other, (s, -other)) AS nearest, max(s) AS s FROM p GROUP BY class_id) SELECT e.id, c.class_id, coalesce(links, 0) AS links, nearest, round(n.s, 6) AS similarity FROM e JOIN c ON e.v = c.v AND e.label = c.label LEFT JOIN n USING (class_id)")
+def j5_similar_rows(t):
+    """Semantic duplicates of all rows inside their label, at a similarity that these vectors reach."""
+    e = t("embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return bounds.linked_rows(e, 0.25, kind="label").withColumn("similarity", F.round("similarity", 6))
+
+
 @query(f"WITH f AS (SELECT doc_id, source, sha256({norm('text')}) AS p FROM documents) SELECT a.doc_id, min(b.doc_id) AS duplicate_of FROM f a JOIN f b ON a.p = b.p AND b.doc_id < a.doc_id GROUP BY a.doc_id")
 def j4_g6_exact_duplicates(t):
     p = _prints(t)
