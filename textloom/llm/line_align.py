@@ -7,10 +7,9 @@ Documents are sequences of lines; a line's words count, not its spacing, and bla
 - a rare mark, held by at most RARE different documents, links each of them to all that come before it;
 - a commoner mark links each of its documents to the first one that holds it, so links grow with the lines, never with the square of a group.
 
-Linked documents are aligned with patience diff (unique common lines, their longest increasing subsequence, again between those) over the span of their shared
-marks and the two lines around it, and again on what is left, so that moved blocks are found too; a telling line that the earlier document
-has is always found. The later document loses the aligned blocks that hold a telling line or three lines. So each telling line stays only in the first document that holds
-it, whatever is common or rare. Document order is by doc_id, then by place.
+Linked documents are aligned with patience diff (equal ends, then unique common lines, their longest increasing subsequence, again between those) over the span of their shared
+marks and the two lines around it. The later document loses the aligned blocks that hold a telling line or three lines; alignment alone decides. So a line that the earlier document
+has in another order stays unless a document that it is linked to has it in its order. Document order is by doc_id, then by place.
 """
 
 from __future__ import annotations
@@ -29,8 +28,8 @@ from . import common
 
 #: A line of so many words or bytes is telling; of shorter ones so many in a row are.
 MIN_WORDS, MIN_BYTES, RUN = 5, 40, 3
-#: Documents up to which a mark is rare; alignments of what an earlier one has left.
-RARE, ROUNDS = 8, 3
+#: Different documents up to which a mark is rare.
+RARE = 8
 BLOCK = 4 << 20
 LONGS = pa.list_(pa.int64())
 #: Bytes of a line's hash, and lines on each side of the shared marks that can belong to a block with one.
@@ -80,26 +79,18 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_lines(later: list[int], earlier: list[int], telling: list[bool]) -> list[int]:
-    """Positions in ``later`` of the aligned blocks (lines next to each other in both) with a telling line or RUN lines."""
-    aligned: dict[int, int] = {}
-    there = set(earlier)
-    for again in range(ROUNDS):
-        left = [i for i in range(len(later)) if i not in aligned]
-        if again and not any(telling[i] and later[i] in there for i in left):
-            break
-        found = patience([later[i] for i in left], earlier)
-        if not found:
-            break
-        aligned |= {left[i]: j for i, j in found}
+    """Positions in ``later`` of the aligned blocks (lines next to each other in both) with a telling line or RUN lines. What isn't aligned stays, whatever the earlier one has elsewhere."""
     out: list[int] = []
     block: list[int] = []
-    for i in [*sorted(aligned), len(later) + 1]:
-        if block and (i != block[-1] + 1 or aligned[i] != aligned[block[-1]] + 1):
+    before = -2
+    for i, j in [*patience(later, earlier), (len(later) + 1, -1)]:
+        if block and (i != block[-1] + 1 or j != before + 1):
             if len(block) >= RUN or any(telling[k] for k in block):
                 out += block
             block = []
         block.append(i)
-    return sorted({*out, *(i for i, x in enumerate(later) if telling[i] and x in there)})
+        before = j
+    return out
 
 
 def described(text: str | None) -> tuple[bytes, list[bool], dict[int, tuple[int, int]]]:
