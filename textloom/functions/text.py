@@ -16,8 +16,8 @@ DEFAULT_CATEGORY = "psychology"
 FACTUAL, RELIGIOUS = r"(?iu)\b(what|when|who|how many|fact|statistic)\b", r"(?iu)\b(quran|hadith|islam|prayer)\b"
 
 
-#: White space as Unicode has it; spelt out, for a class of named properties is several times slower.
-SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+#: White space as Unicode has it, for functions that take characters one by one: several times faster than a class of them in a pattern.
+WHITE = "".join(map(chr, [0x20, *range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
@@ -27,16 +27,16 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
-def rstrip(c: Column, chars: str = SPACE) -> Column:
-    return F.regexp_replace(c, f"{chars}+$", "")
+def rstrip(c: Column, chars: str = WHITE) -> Column:
+    return F.rtrim(c, F.lit(chars))
 
 
 def squeezed(c: Column) -> Column:
     """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(F.translate(c, WHITE, " " * len(WHITE)), " {2,}", " "))
 
 
 def normalise(c: Column) -> Column:
@@ -85,7 +85,7 @@ def enforce_length(c: Column, limit: int) -> Column:
         head = F.substring(s, 1, limit)
         end = F.greatest(*[last_index(head, m) for m in (". ", "! ", "? ", "\n")])
         space = last_index(head, " ")
-        word = F.concat(rstrip(F.substring(head, F.lit(1), space - 1), "[ ,;:]"), F.lit("…"))
+        word = F.concat(rstrip(F.substring(head, F.lit(1), space - 1), " ,;:"), F.lit("…"))
         return F.when(F.length(s) <= limit, s).when(end - 1 >= int(limit * 0.55), rstrip(F.substring(head, F.lit(1), end))).when(space > 1, word).otherwise(rstrip(head))
 
     return let(strip(c), cut)

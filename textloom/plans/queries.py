@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions import vectors as V
-from textloom.operators import bounds, captions, chunking, lifecycle, matching, memory, retrieval, tables
+from textloom.operators import bounds, captions, chunking, lifecycle, matching, memory, retrieval, scratch, tables
 from textloom.sources import exports
 from textloom.streaming import ingest
 
@@ -192,7 +192,7 @@ def j5_similar_rows(t):
 
 @query(f"WITH f AS (SELECT doc_id, source, sha256({norm('text')}) AS p FROM documents) SELECT a.doc_id, min(b.doc_id) AS duplicate_of FROM f a JOIN f b ON a.p = b.p AND b.doc_id < a.doc_id GROUP BY a.doc_id")
 def j4_g6_exact_duplicates(t):
-    p = _prints(t)
+    p = scratch.written(_prints(t).select("doc_id", "print"), "prints")  # both sides read these; a text is hashed once
     return p.join(p.groupBy("print").agg(F.min("doc_id").alias("duplicate_of")), "print").where("doc_id > duplicate_of").select("doc_id", "duplicate_of")
 
 
