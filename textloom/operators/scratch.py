@@ -18,8 +18,13 @@ def folder(spark: SparkSession) -> str:
     return (found or os.path.join(tempfile.gettempdir(), "textloom-scratch")).rstrip("/")
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in that folder."""
+    return f"{folder(spark)}/textloom-{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: what follows reads only the columns it needs, and a lost executor loses nothing."""
-    path = f"{folder(df.sparkSession)}/textloom-{name}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

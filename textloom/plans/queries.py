@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions import vectors as V
-from textloom.operators import bounds, captions, chunking, lifecycle, matching, memory, retrieval, scratch, tables
+from textloom.operators import bounds, captions, chunking, graph_index, lifecycle, matching, memory, retrieval, scratch, tables
 from textloom.sources import exports
 from textloom.streaming import ingest
 
@@ -609,6 +609,30 @@ def j11_nearest_in_lists(t):
     return retrieval.nearest_in_lists(c.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"), c, 6, 16, 10).select("query_id", "id", "rank")
 
 
+def grown_index(t) -> str:
+    """The folder of a graph index of nine tenths of the vectors, with the rest inserted afterwards."""
+    c = t("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    path = scratch.place(c.sparkSession, "graph-index")
+    graph_index.build(c.where("id % 10 <> 3"), path)
+    graph_index.append(c.where("id % 10 = 3"), path)
+    return path
+
+
+@query()
+def j11_graph_index(t):
+    q = t("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return graph_index.search(q, grown_index(t), 6).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("WITH e AS (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL) SELECT (SELECT count(*) FROM e) AS indexed, count(*) AS queries, CAST(count(*) * least(6, (SELECT count(*) FROM e)) AS BIGINT) AS wanted, true AS recall_reached FROM e WHERE vec_id % 20 = 0")
+def j11_graph_recall(t):
+    """Rows that the grown index holds, and whether its search finds nine tenths of the rows of the exact one."""
+    q, path = t("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), grown_index(t)
+    found = graph_index.recall(graph_index.search(q, path, 6), graph_index.search(q, path, 6, exact=True))
+    indexed = graph_index.stored(q.sparkSession, path).agg(F.sum("n").alias("indexed"))
+    return indexed.join(found).select("indexed", "queries", "wanted", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 @query("SELECT count(text) AS n, count(text) - count(DISTINCT text) AS duplicates, count(*) FILTER (text IS NULL) AS missing, count(*) FILTER (lang = 'en') + count(*) FILTER (source = 'src0') AS total FROM documents")
 def g3_g5_duplicates_nulls(t):
     return t("documents").agg(F.count("text").alias("n"), (F.count("text") - F.countDistinct("text")).alias("duplicates"), F.count_if(F.col("text").isNull()).alias("missing"), (F.count_if(F.col("lang") == "en") + F.count_if(F.col("source") == "src0")).alias("total"))
