@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions import vectors as V
 from textloom.operators import bounds, captions, chunking, graph_index, lifecycle, matching, memory, retrieval, scratch, tables
-from textloom.sources import exports
+from textloom.sources import exports, split_exports
 from textloom.streaming import ingest
 
 AS_OF = "2024-02-01 00:00:00"
@@ -633,6 +633,15 @@ def j11_graph_recall(t):
     return indexed.join(found).select("indexed", "queries", "wanted", (F.col("recall") >= 0.9).alias("recall_reached"))
 
 
+@query(f"SELECT CAST(conv_id AS VARCHAR) AS chat_name, CAST(turn AS BIGINT) AS id, role AS author, coalesce({STRIP.format('text')}, '') AS text FROM conversations")
+def s1_split_exports(t):
+    """The conversations as eight exports, and these read back in splits."""
+    c = t("conversations")
+    path = scratch.place(c.sparkSession, "exports")
+    split_exports.write_exports(c, path, "conv_id", "turn", "text", "role")
+    return split_exports.chat_exports(c.sparkSession, path, "*.txt")[0].select("chat_name", "id", "author", "text")
+
+
 @query("SELECT count(text) AS n, count(text) - count(DISTINCT text) AS duplicates, count(*) FILTER (text IS NULL) AS missing, count(*) FILTER (lang = 'en') + count(*) FILTER (source = 'src0') AS total FROM documents")
 def g3_g5_duplicates_nulls(t):
     return t("documents").agg(F.count("text").alias("n"), (F.count("text") - F.countDistinct("text")).alias("duplicates"), F.count_if(F.col("text").isNull()).alias("missing"), (F.count_if(F.col("lang") == "en") + F.count_if(F.col("source") == "src0")).alias("total"))
