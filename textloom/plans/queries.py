@@ -635,7 +635,7 @@ def j11_graph_recall(t):
 
 @query(f"SELECT CAST(conv_id AS VARCHAR) AS chat_name, CAST(turn AS BIGINT) AS id, role AS author, coalesce({STRIP.format('text')}, '') AS text FROM conversations")
 def s1_split_exports(t):
-    """The conversations as eight exports, and these read back in splits."""
+    """The conversations as exports, and these read back in splits."""
     c = t("conversations")
     path = scratch.place(c.sparkSession, "exports")
     split_exports.write_exports(c, path, "conv_id", "turn", "text", "role")

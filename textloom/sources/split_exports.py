@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -179,10 +179,9 @@ def chat_exports(spark: SparkSession, path: str, glob: str = "result.json", run:
     return out, bad.unionByName(every.where("m is null").select("path", F.col("chat").alias("chat_pos"), F.lit("message is not JSON").alias("reason")))
 
 
-def write_exports(chats: DataFrame, path: str, chat: str, order: str, text: str, author: str, files: int = 8) -> None:
-    """Chats as ``files`` exports under ``path``, all chats of a file in one list: rows of one chat in ``order``, which becomes the id. Null texts are left out."""
-    from pyspark.sql import Window
-
+def write_exports(chats: DataFrame, path: str, chat: str, order: str, text: str, author: str, rows_a_file: int = 100_000) -> None:
+    """Chats as exports under ``path``, of about ``rows_a_file`` messages and 8 at least, all chats of a file in one list: rows of one chat in ``order``, which becomes the id. Null texts are left out."""
+    files = max(8, chats.count() // rows_a_file)
     message = F.to_json(F.struct(F.col(order).cast("long").alias("id"), F.lit("message").alias("type"), F.col(author).cast("string").alias("from_id"), F.col(text).alias("text")))
     rows = chats.select(F.pmod(F.xxhash64(chat), F.lit(files)).alias("file"), F.col(chat).cast("string").alias("chat"), F.col(order).alias("at"), message.alias("message"))
     one = rows.groupBy("file", "chat").agg(F.max("at").alias("last"), F.min("at").alias("start"), F.count(F.lit(1)).alias("n"))
