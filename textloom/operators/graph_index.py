@@ -283,12 +283,12 @@ def append(rows: DataFrame, path: str, row_id: str = "id", vector: str = "embedd
 def search(queries: DataFrame, path: str, k: int, probe: int | None = None, beam: int = BEAM, exact: bool = False, version: int | None = None, query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
     """query_id, id, similarity and rank of about the ``k`` most similar rows of the index; ties go to the smaller id.
 
-    A query walks the graphs of the ``probe`` lists nearest to it (an eighth of them, at least 8) with a beam of ``beam`` nodes. ``exact`` compares it with every node of every
+    A query walks the graphs of the ``probe`` lists nearest to it (three quarters of them, at least 8; clustered vectors need fewer) with a beam of ``beam`` nodes. ``exact`` compares it with every node of every
     list. Queries with a null, zero or non-finite vector, or one of another length, find nothing; repeated ones give their rows once.
     """
     spark = queries.sparkSession
     around = _centres(spark, path)
-    probe = max(1, len(around)) if exact else probe or max(8, len(around) // 8)
+    probe = max(1, len(around)) if exact else probe or max(8, 3 * len(around) // 4)
     d = _commits(spark, path, version).agg(F.max("d")).first()[0] or 0
     asked = _usable(queries, query_id, vector).where(F.size("v") == d).dropDuplicates(["id"])
     asked = scratch.written(_dealt(asked, around, probe), "graph-asked")
