@@ -1,8 +1,9 @@
-"""Column expressions over text. All but ``unescaped`` are built-in functions, so they stay in the JVM; null in, null out unless said otherwise."""
+"""Column expressions over text. All but ``unescaped`` and ``canonical_json`` are built-in functions, so they stay in the JVM; null in, null out unless said otherwise."""
 
 from __future__ import annotations
 
 import html
+import json
 from functools import reduce
 
 import pandas as pd
@@ -54,6 +55,21 @@ def json_part(m: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
 
 
+@F.pandas_udf(StringType())
+def canonical_json(c: pd.Series) -> pd.Series:
+    """JSON of any depth in one form: keys of every object in order, one space after commas and colons, characters outside ASCII as they are, numbers as Python writes them
+    (``1.50`` is ``1.5``, ``1e2`` is ``100.0``, whole numbers of any length stay). Of a key that comes twice the last counts. What is not JSON, or nested too deeply to be read, is null.
+    """
+
+    def form(x: str) -> str | None:
+        try:
+            return json.dumps(json.loads(x), ensure_ascii=False, sort_keys=True).encode("utf-8", "replace").decode()
+        except (ValueError, RecursionError):
+            return None
+
+    return c.map(form, na_action="ignore")
+
+
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
 
@@ -178,6 +194,11 @@ def caption_text(c: Column) -> Column:
     return F.regexp_replace(squeezed(plain), "^[ -]+|[ -]+$", "")
 
 
+def sentences(c: Column) -> Column:
+    """The pieces between runs of white space that follow a full stop, question or exclamation mark; white space elsewhere stays. An empty text is one empty piece."""
+    return F.split(c, f"(?<=[.?!])[{WHITE}]+")
+
+
 def seconds(c: Column) -> Column:
     """``MM:SS`` or ``HH:MM:SS`` (fractions allowed) as seconds."""
     return F.aggregate(F.split(F.replace(c, F.lit(","), F.lit(".")), ":"), F.lit(0.0), lambda acc, x: acc * 60 + x.try_cast("double"))

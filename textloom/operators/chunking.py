@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.functions import vectors as V
 from textloom.operators import packs, scratch
 
 
@@ -77,8 +80,6 @@ def transcript(df: DataFrame, key: str, start: str, text: str) -> DataFrame:
 
 def semantic_breaks(df: DataFrame, key: str, order: str, vector: str, quantile: float = 0.95) -> DataFrame:
     """A chunk number for each sentence: a new chunk where the step to it is over the key's quantile of steps."""
-    from textloom.functions import vectors as V
-
     w = Window.partitionBy(key).orderBy(order)
     steps = df.withColumn("distance", 1 - V.cosine(F.lag(vector).over(w), F.col(vector)))
     limits = steps.groupBy(key).agg(F.expr(f"percentile(distance, {quantile})").alias("bound"))
@@ -100,6 +101,42 @@ def semantic_chunks(sentences: DataFrame, key: str, order: str, vector: str, tex
     return broken.groupBy(key, (F.col("chunk_no") + 1).cast("int").alias("chunk_no")).agg(joined.alias("chunk"))
 
 
+def document_chunks(df: DataFrame, key: str, text: str, vector: Callable[[Column], Column], quantile: float = 0.95, around: int = 1) -> DataFrame:
+    """Semantic chunks of raw texts: the key, chunk_no (from 1), sentences (how many) and chunk.
+
+    Sentences are compared by the sum of their ``vector`` (an array of numbers, the same length for all) and those of ``around`` neighbours on each side. A chunk ends where the distance
+    to the next sentence (one minus the cosine; 0 where one has a zero vector) is over the quantile of the text's distances, with linear interpolation; its sentences are joined by spaces,
+    stripped, and empty chunks dropped. All of a row is worked out in the row, without a shuffle; the work is in proportion to its sentences, but for sorting distances. Null texts give no chunks.
+    """
+
+    def summed(vectors: Column) -> Column:
+        near = lambda i: F.slice(vectors, F.greatest(i - around, F.lit(0)) + 1, F.least(i, F.lit(around)) + around + 1)
+        total = lambda some: F.aggregate(F.slice(some, 2, max(2 * around, 1)), F.get(some, 0), lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
+        return F.transform(F.sequence(F.lit(0), F.size(vectors) - 1), lambda i: T.let(near(i), total))
+
+    def steps(v: Column) -> Column:
+        one = lambda a, b: F.coalesce(1 - V.cosine(a, b), F.lit(0.0))
+        return F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), one)
+
+    def bound(d: Column) -> Column:
+        place = (F.size(d) - 1) * F.lit(quantile)
+        low = F.floor(place).cast("int")
+        between = lambda s: F.get(s, low) + (F.coalesce(F.get(s, low + 1), F.get(s, low)) - F.get(s, low)) * (place - low)
+        return T.let(F.array_sort(d), between)
+
+    def ends(d: Column) -> Column:
+        """How many sentences come before each break, then no number for the last chunk."""
+        at = F.sequence(F.lit(1), F.size(d))
+        over = T.let(bound(d), lambda b: F.filter(at, lambda i: F.get(d, i - 1) > b))
+        return F.when(F.size(d) == 0, F.array().cast("array<int>")).otherwise(over)
+
+    pieces = df.where(F.col(text).isNotNull()).select(key, T.sentences(F.col(text)).alias("_s"))
+    vectors = F.transform("_s", lambda s: F.transform(vector(s), lambda x: x.cast("double")))
+    cut = pieces.select(key, "_s", T.let(T.let(T.let(vectors, summed), steps), ends).alias("_ends"))
+    spans = F.zip_with(F.concat(F.array(F.lit(0)), "_ends"), F.concat("_ends", F.array(F.size("_s"))), lambda a, b: F.struct((b - a).alias("sentences"), T.strip(F.array_join(F.slice("_s", a + 1, b - a), " ")).alias("chunk")))
+    return cut.select(key, F.posexplode(F.filter(spans, lambda x: x["chunk"] != "")).alias("_pos", "_c")).select(key, (F.col("_pos") + 1).alias("chunk_no"), "_c.sentences", "_c.chunk")
+
+
 def section_packs(df: DataFrame, key: str, section: str, level: str, title: str, body: str, tokens: int = 4000, share: float = 0.1, cell: int = packs.CELL) -> DataFrame:
     """Sections packed in order into chunks of at most ``tokens`` estimated tokens: chunk_no, titles (joined by bars) and chunk.
 

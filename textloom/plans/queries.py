@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions import vectors as V
-from textloom.operators import bounds, captions, chunking, graph_index, lifecycle, matching, memory, retrieval, scratch, tables
+from textloom.operators import audit, bounds, buckets, captions, chunking, graph_index, lifecycle, matching, memory, retrieval, scratch, tables
 from textloom.sources import exports, split_exports
 from textloom.streaming import ingest
 
@@ -863,3 +863,84 @@ def s15_embedded(t):
 @query(f"SELECT event_id AS draft_id, sha256(concat('draft:', {norm('event_type')})) AS fingerprint, 0.4::DOUBLE AS quality_weight FROM events WHERE event_type = 'purchase'")
 def t3_publish_feedback(t):
     return ingest.feedback_rows(t("events").where("event_type = 'purchase'").select(F.col("event_id").alias("draft_id"), F.col("event_type").alias("final_text"))).drop("text")
+
+
+# ---- nested fingerprints, audits, merges by bucket, chunks of raw documents
+
+
+NESTED_SQL = "concat('{\"lang\": ', to_json(lang), ', \"nested\": {\"Tokens\": ', CAST(n_chars / 4 AS DOUBLE), ', \"chars\": [', n_chars, ', ', doc_id, ', null], \"source\": ', to_json(source), '}, \"text\": ', to_json(text), '}')"
+
+
+@query(f"SELECT doc_id, sha256(concat('payload:', {norm(NESTED_SQL)})) AS fingerprint FROM documents")
+def p3_nested_prints(t):
+    nested = F.struct(F.col("source"), (F.col("n_chars") / 4).alias("Tokens"), F.array("n_chars", "doc_id", F.lit(None)).alias("chars"))
+    payload = F.to_json(F.struct("text", nested.alias("nested"), "lang"), {"ignoreNullFields": "false"})
+    return t("documents").select("doc_id", payload.alias("payload")).select("doc_id", T.fingerprint(F.lit("payload"), T.canonical_json(F.col("payload"))).alias("fingerprint"))
+
+
+def _shown_sql(columns: tuple[str, ...]) -> str:
+    return f"substr(concat_ws('|', {', '.join(f"coalesce(CAST({c} AS VARCHAR), 'null')" for c in columns)}), 1, {audit.SHOWN})"
+
+
+def _rule_sql(rule: audit.Rule) -> str:
+    head = f"SELECT '{rule.rule}' AS rule, '{rule.table}' AS table_name, '{type(rule).__name__.lower()}' AS kind, "
+    if isinstance(rule, audit.Domain):
+        return head + f"count(*) AS violations, NULL::BIGINT AS bad_keys, min({_shown_sql(rule.shown)}) AS sample FROM {rule.table} WHERE {rule.bad}"
+    keys = ", ".join(rule.columns)
+    held = " AND ".join(f"{c} IS NOT NULL" for c in rule.columns)
+    grouped = f"SELECT count(*) AS n, min({_shown_sql(rule.columns)}) AS shown FROM {rule.table} WHERE {held}"
+    if isinstance(rule, audit.Unique):
+        return head + f"coalesce(CAST(sum(n - 1) AS BIGINT), 0) AS violations, count(*) AS bad_keys, min(shown) AS sample FROM ({grouped} GROUP BY {keys} HAVING count(*) > 1)"
+    lacks = " AND ".join(f"p.{b} = {rule.table}.{a}" for a, b in zip(rule.columns, rule.parent_columns))
+    return head + f"coalesce(CAST(sum(n) AS BIGINT), 0) AS violations, count(*) AS bad_keys, min(shown) AS sample FROM ({grouped} AND NOT EXISTS (SELECT 1 FROM {rule.parent} AS p WHERE {lacks}) GROUP BY {keys})"
+
+
+#: Rules of the given tables.
+RULES = [
+    audit.Domain("chars_match", "documents", "n_chars <> length(text)", ("doc_id",)),
+    audit.Domain("known_lang", "documents", "lang NOT IN ('en', 'es', 'fr')", ("lang", "doc_id")),
+    audit.Domain("value_range", "events", "value < 1 OR value > 100", ("event_type",)),
+    audit.Unique("one_id", "documents", ("doc_id",)),
+    audit.Unique("one_text", "documents", ("text",)),
+    audit.Unique("one_turn", "conversations", ("conv_id", "turn")),
+    audit.Unique("one_type_a_user", "events", ("user_id", "event_type")),
+    audit.Foreign("label_of_document", "labels", ("doc_id",), "documents", ("doc_id",)),
+    audit.Foreign("document_with_label", "documents", ("doc_id",), "labels", ("doc_id",)),
+    audit.Foreign("event_of_customer", "events", ("user_id",), "customer", ("c_custkey",)),
+    audit.Foreign("order_of_customer", "orders", ("o_custkey",), "customer", ("c_custkey",)),
+]
+
+
+@query(" UNION ALL ".join(map(_rule_sql, RULES)))
+def q4_constraints(t):
+    return audit.audited(t, RULES)
+
+
+@query("SELECT doc_id, lang, 1::BIGINT AS version FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 2 = 1 THEN 'new' ELSE lang END, 2 FROM documents")
+def s10_bucket_merge(t):
+    d = t("documents").select("doc_id", "lang")
+    spark, path = d.sparkSession, scratch.place(d.sparkSession, "bucketed")
+    buckets.create(d.where("doc_id % 2 = 0"), path, "doc_id", 16)
+    buckets.merge(d.where("doc_id % 5 = 0 or doc_id % 2 = 1").withColumn("lang", F.lit("new")), path, "doc_id", base=1)
+    both = [buckets.read(spark, path, v).withColumn("version", F.lit(v).cast("long")) for v in (1, 2)]
+    return both[0].unionByName(both[1])
+
+
+#: Sentences with the buckets of their words; each with its neighbours' as a vector; steps, bounds, and chunks between the breaks.
+W9_SQL = r"""WITH x AS (SELECT doc_id, string_split(regexp_replace(text, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)) AS x FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM x),
+w AS (SELECT *, list_transform(regexp_extract_all(lower(s), '[a-z0-9]+'), lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 16) AS b FROM p),
+c AS (SELECT doc_id, i, s, list_concat(list_concat(coalesce(lag(b) OVER o, []), b), coalesce(lead(b) OVER o, [])) AS b FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+v AS (SELECT doc_id, i, s, list_transform(range(16), lambda k: CAST(len(list_filter(b, lambda y: y = k)) AS DOUBLE)) AS v FROM c),
+n AS (SELECT *, lead(v) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM v),
+d AS (SELECT *, CASE WHEN u IS NOT NULL THEN coalesce(1 - list_dot_product(v, u) / nullif(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(u, u)), 0), 0) END AS distance FROM n),
+q AS (SELECT doc_id, quantile_cont(distance, 0.95) AS bound FROM d GROUP BY doc_id),
+g AS (SELECT doc_id, i, s, coalesce(sum(CASE WHEN distance > bound THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM d JOIN q USING (doc_id)),
+k AS (SELECT doc_id, g, count(*) AS sentences, """ + STRIP.format("string_agg(s, ' ' ORDER BY i)") + r""" AS chunk FROM g GROUP BY doc_id, g)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS chunk_no, sentences, sha256(chunk) AS chunk FROM k WHERE chunk <> ''"""
+
+
+@query(W9_SQL)
+def w9_document_chunks(t):
+    chunks = chunking.document_chunks(t("documents"), "doc_id", "text", lambda s: V.hashed_words(s, 16))
+    return chunks.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.col("sentences").cast("long").alias("sentences"), F.sha2("chunk", 256).alias("chunk"))
