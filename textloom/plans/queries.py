@@ -482,12 +482,30 @@ def q3_t2_latest_status(t):
     return lifecycle.latest_status(e)
 
 
-@query(f"WITH p AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS r FROM conversations WHERE length({STRIP.format('text')}) >= 80 AND conv_id % 4 <> 0) SELECT conv_id AS channel_id, turn AS message_id, text, sha256(concat('channel:', {norm('text')})) AS fingerprint, CAST(CASE WHEN turn % 2 = 1 THEN 0.85 ELSE 1.0 END AS DOUBLE) AS quality_weight FROM p WHERE r = 1")
+T1_SQL = f"WITH p AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS r FROM conversations WHERE length({STRIP.format('text')}) >= 80 AND conv_id % 4 <> 0) SELECT conv_id AS channel_id, turn AS message_id, text, sha256(concat('channel:', {norm('text')})) AS fingerprint, CAST(CASE WHEN turn % 2 = 1 THEN 0.85 ELSE 1.0 END AS DOUBLE) AS quality_weight FROM p WHERE r = 1"
+
+
+def _posts(t) -> DataFrame:
+    return t("conversations").select(F.col("conv_id").alias("channel_id"), F.col("turn").alias("message_id"), "text", F.lit(AS_OF).cast("timestamp").alias("date"), (F.col("turn") % 2 == 1).alias("forwarded"))
+
+
+@query(T1_SQL)
 def t1_channel_posts(t):
-    posts = t("conversations").select(F.col("conv_id").alias("channel_id"), F.col("turn").alias("message_id"), "text", F.lit(AS_OF).cast("timestamp").alias("date"), (F.col("turn") % 2 == 1).alias("forwarded"))
+    posts = _posts(t)
     return ingest.channel_posts_batch(posts, posts.where("channel_id % 4 = 0").select("channel_id", "message_id").distinct())
 
 
+@query(T1_SQL)
+def t1_keyed_stream(t):
+    """The stream itself: posts arrive in a folder, a fourth of the channels stands in the ledger already."""
+    posts, spark = _posts(t), t("conversations").sparkSession
+    place = scratch.place(spark, "keyed-stream")
+    posts.write.parquet(f"{place}/in")
+    ingest.voice_rows(posts.where("channel_id % 4 = 0")).write.parquet(f"{place}/ledger/run=earlier/batch=0")
+    ingest.channel_posts(spark.readStream.schema(posts.schema).parquet(f"{place}/in"), f"{place}/ledger", f"{place}/dead", f"{place}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{place}/ledger").where("run <> 'earlier'").drop("run", "batch")
+
+
 #: Fixed values of the binding: words that make a question of these tables factual or religious.
 ASKS_FACTS, ASKS_RELIGION = r"(?i)\b(for|para|pour)\b", r"(?i)\b(than|der|les)\b"
 
