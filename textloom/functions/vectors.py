@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
@@ -30,4 +32,4 @@ def hashed_words(text: Column, n: int) -> Column:
     """A deterministic stand-in for a model: how many lower-case words of the text fall into each of ``n`` buckets by their MD5. Null counts as empty."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9]+"), F.lit(0))
     buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % n)
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("float"))
+    return T.let(buckets, lambda found: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.size(F.filter(found, lambda b: b == i)).cast("float")))
