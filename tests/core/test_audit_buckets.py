@@ -137,3 +137,13 @@ def test_chunks_of_raw_texts(spark):
         assert r.chunk_no == len(got[r.id])
     assert got == {i: want(t) for i, t in enumerate(texts) if t and want(t)}
     assert chunking.document_chunks(df.limit(0), "id", "text", lambda s: V.hashed_words(s, 4)).count() == 0
+
+
+def test_equal_distances_make_no_break(spark):
+    """All steps have a cosine of 4 / 5, which rounding makes larger or smaller; before, the one that came out largest was a break."""
+    text = ". ".join(f"{k},{2 * k}" if i % 2 else f"{2 * k},{k}" for i, k in enumerate([5, 17, 7, 17, 1, 5, 3, 9, 3, 13, 3, 17, 1, 7])) + "."
+    v = [np.array(eval(f"({x})"), float) for x in text.rstrip(".").split(". ")]
+    assert len({1 - a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)) for a, b in zip(v, v[1:])}) > 1
+    numbers = lambda s: F.transform(F.split(F.replace(s, F.lit("."), F.lit("")), ","), lambda x: x.cast("double"))
+    got = chunking.document_chunks(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text", numbers, around=0).collect()
+    assert [(r.sentences, r.chunk) for r in got] == [(14, text)]

@@ -106,7 +106,7 @@ def document_chunks(df: DataFrame, key: str, text: str, vector: Callable[[Column
 
     Sentences are compared by the sum of their ``vector`` (an array of numbers, the same length for all) and those of ``around`` neighbours on each side. A chunk ends where the distance
     to the next sentence (one minus the cosine; 0 where one has a zero vector) is over the quantile of the text's distances, with linear interpolation; its sentences are joined by spaces,
-    stripped, and empty chunks dropped. All of a row is worked out in the row, without a shuffle; the work is in proportion to its sentences, but for sorting distances. Null texts give no chunks.
+    stripped, and empty chunks dropped. Distances count in billionths, rounded, and the quantile in ten-thousandths, so that all comparisons are of whole numbers and equal distances stay equal. All of a row is worked out in the row, without a shuffle; the work is in proportion to its sentences, but for sorting distances. Null texts give no chunks.
     """
 
     def summed(vectors: Column) -> Column:
@@ -115,19 +115,19 @@ def document_chunks(df: DataFrame, key: str, text: str, vector: Callable[[Column
         return F.transform(F.sequence(F.lit(0), F.size(vectors) - 1), lambda i: T.let(near(i), total))
 
     def steps(v: Column) -> Column:
-        one = lambda a, b: F.coalesce(1 - V.cosine(a, b), F.lit(0.0))
+        one = lambda a, b: F.floor(F.coalesce(1 - V.cosine(a, b), F.lit(0.0)) * 1e9 + 0.5).cast("long")
         return F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), one)
 
     def bound(d: Column) -> Column:
-        place = (F.size(d) - 1) * F.lit(quantile)
-        low = F.floor(place).cast("int")
-        between = lambda s: F.get(s, low) + (F.coalesce(F.get(s, low + 1), F.get(s, low)) - F.get(s, low)) * (place - low)
-        return T.let(F.array_sort(d), between)
+        """The sorted distances about the quantile, and the place between them in ten-thousandths."""
+        place = (F.size(d) - 1).cast("long") * round(quantile * 10_000)
+        low = F.floor(place / 10_000).cast("int")
+        return T.let(F.array_sort(d), lambda s: F.struct(F.get(s, low).alias("low"), F.coalesce(F.get(s, low + 1), F.get(s, low)).alias("high"), (place % 10_000).alias("part")))
 
     def ends(d: Column) -> Column:
         """How many sentences come before each break, then no number for the last chunk."""
         at = F.sequence(F.lit(1), F.size(d))
-        over = T.let(bound(d), lambda b: F.filter(at, lambda i: F.get(d, i - 1) > b))
+        over = T.let(bound(d), lambda b: F.filter(at, lambda i: (F.get(d, i - 1) - b["low"]) * 10_000 > (b["high"] - b["low"]) * b["part"]))
         return F.when(F.size(d) == 0, F.array().cast("array<int>")).otherwise(over)
 
     pieces = df.where(F.col(text).isNotNull()).select(key, T.sentences(F.col(text)).alias("_s"))
