@@ -4,12 +4,14 @@ A document's keys are the ``KEYS`` smallest hashes of its shingle set. Two sets
 about (1 - s) ** KEYS, 1e-17 at 0.8. Holders of a key are put in two orders and linked to the ``NEXT`` holders before them in each: by the key that follows in each
 document, which brings those together that share more than this key; and by how many of their keys other documents hold at all, which brings those together that are
 nearest to what a crowd has in common, for two sets cannot be more alike than the shares of them that stand elsewhere. Up to ``NEXT`` + 1 holders
-of a key all meet, and a key with more grows with its holders, never with their square.
+of a key all meet. What these links leave apart in a crowd, a key with more holders, is settled by all pairs of its holders in different groups: blocks of a bounded
+number of holders meet, and pairs that share enough keys are compared as whole sets, block with block. Groups are the work of the links; where few holders of
+a crowd are alike enough to be grouped, that step grows with the square of the crowd, spread over tasks of bounded memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from . import common, simhash_vp
 
 KEYS, NEXT, LIKELY, CROWD = 24, 3, 7 / 24, 100_000
+#: Holders of a crowd's key that meet at once, and sets and bytes of their hashes in a block that is compared with others.
+CELL, BLOCK_SETS, BLOCK_BYTES = 1024, 512, 4 << 20
 #: Bits of their sets' SimHash that two holders of a commoner key may differ in: at a similarity of 0.8 about 10 do, and more than this with a chance of about 1e-5.
 BITS = 22
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -118,6 +122,121 @@ def _ends(links: DataFrame) -> DataFrame:
     return links.where("sig <> other").select(F.greatest("sig", "other").alias("u"), F.least("sig", "other").alias("v")).distinct()
 
 
+def _set_blocks(texts: DataFrame, words: int) -> DataFrame:
+    """Texts (sig, near, text) as blocks, those with neighbouring ``near`` together: block, sigs, sizes and the hashes of their sets, one after the other. Written."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, sigs, own, size = common.block_ids(), [], [], 0
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([next(number)]), pa.array([sigs], pa.list_(pa.int64())), pa.array([[len(x) for x in own]], pa.list_(pa.int64())), pa.array([np.concatenate(own).tobytes()], pa.binary())], ["block", "sigs", "sizes", "hashes"])
+
+        for b in (p for x in batches for p in common.slices([x], "text")):
+            for sig, text in zip(b.column("sig").to_pylist(), b.column("text").to_pylist(), strict=True):
+                x = shingles(text, words)
+                if own and (len(own) == BLOCK_SETS or size + x.nbytes > BLOCK_BYTES):
+                    yield block()
+                    sigs, own, size = [], [], 0
+                sigs.append(sig)
+                own.append(x)
+                size += x.nbytes
+        if own:
+            yield block()
+
+    ordered = texts.repartitionByRange("near", "sig").sortWithinPartitions("near", "sig").select("sig", "text")
+    return common.written(ordered.mapInArrow(pack, "block long, sigs array<long>, sizes array<long>, hashes binary"), "near-blocks")
+
+
+def _crowd_pairs(held: DataFrame, least: float) -> DataFrame:
+    """(a, b, pairs): places in two blocks of all pairs of sets in different places that share enough keys, from rows (key, holders, part, block, nth, place, size, keys) of crowds.
+
+    A pair is found at the smallest key that it shares, so once. It needs LIKELY of its keys, as in ``_likely``: pairs that share a key which is none of a crowd have met before.
+    """
+    parts = F.ceil(F.col("holders") / CELL).cast("long")
+    own = F.pmod(F.xxhash64("block", "nth", "key"), parts)
+    dealt = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    cell = [F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")]
+    cells = dealt.groupBy("key", *cell).agg(F.collect_list(F.struct("own", "block", "nth", "place", "size", "keys")).alias("r"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, x, y, row in zip(b.column("key").to_pylist(), b.column("x").to_pylist(), b.column("y").to_pylist(), b.column("r"), strict=True):
+                r = row.values
+                part, block, nth, place, size = (r.field(c).to_numpy() for c in ("own", "block", "nth", "place", "size"))
+                lists = r.field("keys")
+                n = lists.value_lengths().to_numpy()
+                values, ids = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+                # Each set's keys in rising order, a row; no key has the number of none.
+                table = np.full((len(n), int(n.max())), len(values))
+                table[np.arange(table.shape[1]) < n[:, None]] = ids
+                this, has = int(np.searchsorted(values, key)), np.zeros(len(values) + 1, bool)
+                left = np.flatnonzero(part == x)
+                code, found = block * BLOCK_SETS + nth, []
+                for i in left.tolist():
+                    there = np.flatnonzero((part == y) & (place != place[i]) & (np.minimum(size, size[i]) / np.maximum(size, size[i]) >= least))
+                    if x == y:
+                        there = there[there > i]
+                    if not len(there):
+                        continue
+                    has[table[i]] = True
+                    has[-1] = False
+                    shared = has[table[there]]
+                    has[table[i]] = False
+                    enough = shared.sum(1) >= LIKELY * np.minimum(KEYS, np.maximum(size[there], size[i]))
+                    first = table[there, shared.argmax(1)] == this
+                    there = there[enough & first]
+                    found.append(np.stack([np.minimum(code[there], code[i]), np.maximum(code[there], code[i])]))
+                u, v = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+                if not len(u):
+                    continue
+                order = np.lexsort((v // BLOCK_SETS, u // BLOCK_SETS))
+                u, v = u[order], v[order]
+                ends = np.flatnonzero(np.append((u[1:] // BLOCK_SETS != u[:-1] // BLOCK_SETS) | (v[1:] // BLOCK_SETS != v[:-1] // BLOCK_SETS), True)) + 1
+                for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    pairs = u[start:end] % BLOCK_SETS * BLOCK_SETS + v[start:end] % BLOCK_SETS
+                    yield pa.RecordBatch.from_arrays([pa.array([u[start] // BLOCK_SETS]), pa.array([v[start] // BLOCK_SETS]), pa.array([pairs.tolist()], pa.list_(pa.int32()))], ["a", "b", "pairs"])
+
+    met = cells.mapInArrow(meet, "a long, b long, pairs array<int>")
+    return common.written(met.groupBy("a", "b").agg(F.flatten(F.collect_list("pairs")).alias("pairs")), "near-crowd-pairs")
+
+
+def _crowds(ranked: DataFrame, place: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, least: float) -> DataFrame:
+    """The (u, v), u > v, of all holders of a crowd's key in different places whose whole sets have similarity ``least`` or more. No partner is left out."""
+    rows = ranked.where(F.col("holders") > NEXT + 1).join(place, "sig").select("sig", "key", "size", "place")
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("holders"), F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y").select("key", "holders")
+    rows = common.written(rows.join(several, "key"), "near-crowds")
+    sets = common.written(rows.groupBy("sig").agg(F.sort_array(F.collect_set("key")).alias("keys")), "near-crowd-sets")
+    asked = texts(sets.select("sig")).join(sets.select("sig", F.get("keys", 0).alias("near")), "sig")
+    blocks = _set_blocks(asked, words)
+    where = common.written(blocks.select("block", F.posexplode("sigs").alias("nth", "sig")), "near-crowd-places")
+    pairs = _crowd_pairs(rows.join(sets, "sig").join(where, "sig"), least)
+    side = lambda c: blocks.select(*[F.col(x).alias(f"{c}_{x}") for x in blocks.columns]).withColumnRenamed(f"{c}_block", c)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                get = lambda c, batch=batch, i=i: batch.column(c)[i]
+                one, two = (np.frombuffer(get(f"{c}_hashes").as_buffer(), np.uint64) for c in "ab")
+                values, ids = np.unique(np.concatenate((one, two)), return_inverse=True)
+                n, m = (get(f"{c}_sizes").values.to_numpy() for c in "ab")
+                mine, theirs = ids[: len(one)], ids[len(one) :]
+                at, to = (np.concatenate(([0], np.cumsum(x))) for x in (n, m))
+                codes = np.sort(get("pairs").values.to_numpy())
+                has, u, v, good = np.zeros(len(values), bool), codes // BLOCK_SETS, codes % BLOCK_SETS, []
+                for x in np.unique(u).tolist():
+                    own, others = mine[at[x] : at[x + 1]], v[np.searchsorted(u, x, "left") : np.searchsorted(u, x, "right")]
+                    has[own] = True
+                    both = np.array([np.count_nonzero(has[theirs[to[y] : to[y + 1]]]) for y in others.tolist()])
+                    has[own] = False
+                    good += [(x, y) for y in others[both / (n[x] + m[others] - both) >= least].tolist()]
+                a, b = (get(f"{c}_sigs").values.to_numpy() for c in "ab")
+                first, second = (np.array([k[j] for k in good], np.int64) for j in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[second])], ["sig", "other"])
+
+    compared = pairs.join(side("a"), "a").join(side("b"), "b").select("pairs", *[f"{c}_{x}" for c in "ab" for x in ("sigs", "sizes", "hashes")])
+    return _ends(compared.mapInArrow(compare, "sig long, other long"))
+
+
 def keep_one_per_group(docs: DataFrame, bits: int, words: int, least: float) -> DataFrame:
     """The rows of ``docs``, all columns, less those that a chain of confirmed pairs joins to a row with a smaller doc_id (ties: any one of equal rows).
 
@@ -145,18 +264,20 @@ def keep_one_per_group(docs: DataFrame, bits: int, words: int, least: float) ->
     ranked, links = _shared_keys(sets), _groups(sets.select("sig", "fp"), bits)
 
     def texts(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct().join(sets.select("sig", "first.rid"), "sig").select("rid")
+        sigs = pairs if pairs.columns == ["sig"] else pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
+        asked = sigs.join(sets.select("sig", "first.rid"), "sig").select("rid")
         return common.written(rows.select("rid", "sig", F.col("row.text").alias("text")).join(asked, "rid", "left_semi").select("sig", "text"), "near-texts")
 
     # Each set is compared with the one that most of its links lead to first. Links inside a group that these make can add nothing, so they aren't compared: only those
-    # between sets in different places are, and all of these.
+    # between sets in different places are, and all of these: holders of rare keys by links, which reach them all, those of crowds block by block.
     most = F.array_max(F.transform(F.array_distinct("others"), lambda x: F.struct(F.size(F.filter("others", lambda y: y == x)).alias("n"), x.alias("other"))))
     closest = common.written(_ends(_neighbours(ranked, least).select("sig", most["other"].alias("other")).union(links)), "near-closest")
     best = common.written(_confirmed(closest, texts(closest), words, least), "near-best")
     joined = common.components(best, "near-joined")
     place = common.written(sets.select("sig").join(joined.select(F.col("node").alias("sig"), "component"), "sig", "left").select("sig", F.coalesce("component", "sig").alias("place")), "near-places")
-    apart = _ends(_neighbours(ranked.join(place, "sig"), least).select("sig", F.explode(F.array_distinct("others")).alias("other")))
+    apart = _ends(_neighbours(ranked.where(F.col("holders") <= NEXT + 1).join(place, "sig"), least).select("sig", F.explode(F.array_distinct("others")).alias("other")))
     apart = common.written(_likely(apart, sets), "near-apart")
-    found = common.components(best.union(_confirmed(apart, texts(apart), words, least)), "near-components")
+    crowds = _crowds(ranked, place, texts, words, least)
+    found = common.components(best.union(_confirmed(apart, texts(apart), words, least)).union(crowds), "near-components")
     groups = sets.select("sig", "first").join(found.select(F.col("node").alias("sig"), "component"), "sig", "left").groupBy(F.coalesce("component", "sig").alias("g")).agg(F.min("first").alias("first"))
     return rows.join(groups.select("first.rid"), "rid", "left_semi").select("row.*")
