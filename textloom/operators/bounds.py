@@ -37,10 +37,11 @@ def centres(rows: DataFrame, n: int = CENTRES, seed: int = 42) -> np.ndarray:
     return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300)
 
 
-def blocks(rows: DataFrame, around: np.ndarray, side: str, size: int = ROWS) -> DataFrame:
+def blocks(rows: DataFrame, around: np.ndarray, side: str, size: int = ROWS, by_kind: bool = False) -> DataFrame:
     """Rows (id, v, kind, w) as blocks of one centre's rows: the columns of retrieval's blocks, and centre, radius, least and most (of the weights), n. Written.
 
     Rows are dealt out by ranges of centre and hash, so that a centre with a third of all rows spreads over tasks. Null and zero vectors and null weights are left out.
+    With ``by_kind`` a block has rows of one kind, and those of several centres where a centre has few of it.
     """
     schema = rows.schema
 
@@ -72,7 +73,8 @@ def blocks(rows: DataFrame, around: np.ndarray, side: str, size: int = ROWS) ->
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(own, types, strict=True)], [f"{side}_{c}" for c in ("block", "ids", "kinds", "unit", "centre", "radius", "least", "most", "n")])
 
         for row in (r for b in batches for r in b.to_pylist()):
-            if held and (held[-1]["cell"] != row["cell"] or len(held) == size):
+            other = held and held[-1]["cell"] != row["cell"] and (not by_kind or len(held) >= size // 8)
+            if held and (other or len(held) == size or by_kind and held[-1]["kind"] != row["kind"]):
                 yield from block()
                 held.clear()
             held.append(row)
@@ -80,7 +82,8 @@ def blocks(rows: DataFrame, around: np.ndarray, side: str, size: int = ROWS) ->
             yield from block()
 
     dealt = rows.where("v is not null and w is not null").mapInArrow(nearest, schema.simpleString()[7:-1].replace(":", " ") + ", cell int")
-    ordered = dealt.repartitionByRange("cell", F.xxhash64("id")).sortWithinPartitions("cell")
+    order = ["kind", "cell"] if by_kind else ["cell"]
+    ordered = dealt.repartitionByRange(*order, F.xxhash64("id")).sortWithinPartitions(*order)
     p = side
     shape = f"{p}_block long, {p}_ids array<long>, {p}_kinds array<string>, {p}_unit binary, {p}_centre array<double>, {p}_radius double, {p}_least double, {p}_most double, {p}_n int"
     return scratch.written(ordered.mapInArrow(pack, shape), f"{side}-blocks")
@@ -128,44 +131,73 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query
     return retrieval.ranked(got.unionByName(then), k), report
 
 
-def similar_pairs(rows: DataFrame, threshold: float, row_id: str = "id", vector: str = "embedding", kind: str | None = None, n_centres: int = CENTRES, size: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(id, other and similarity of all pairs of classes at ``threshold`` or above, id below other; id and class_id of all rows).
-
-    Rows of one kind with equal vectors are a class, named by its smallest id, so that copies are never set against each other. Without ``kind`` all rows are of one; a null kind is one too. Null and zero vectors are
-    in no pair and a class by themselves. All pairs are found: block pairs are left out only where their reach is under the threshold.
-    """
+def _classes(rows: DataFrame, threshold: float, row_id: str, vector: str, kind: str | None, n_centres: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs of blocks of classes that may hold pairs at ``threshold`` or above; id and class_id of all rows), as in ``similar_pairs``."""
     given = _rows(rows, row_id, vector, kind)
     firsts = given.where("v is not null").groupBy("v", "kind").agg(F.min("id").alias("class_id"))
     member = given.join(firsts.select(F.col("v").alias("_v"), F.col("kind").alias("_kind"), "class_id"), F.col("v").eqNullSafe(F.col("_v")) & F.col("kind").eqNullSafe(F.col("_kind")), "left")
     members = member.select("id", F.coalesce("class_id", "id").alias("class_id"))
     one = scratch.written(firsts.select(F.col("class_id").alias("id"), "v", F.coalesce("kind", F.lit("")).alias("kind"), F.lit(1.0).alias("w")), "join-classes")
-    a = blocks(one, centres(one, n_centres), "c", size)
+    a = blocks(one, centres(one, n_centres), "c", size, kind is not None).withColumn("c_kind", F.get("c_kinds", 0))
     b = a.select(*[F.col(x).alias("q" + x[1:]) for x in a.columns])
-    by_kind = kind is not None
+    # Kinds meet only themselves. As two comparisons this is no key to deal by, of which there may be few.
+    same = (F.col("q_kind") <= F.col("c_kind")) & (F.col("q_kind") >= F.col("c_kind")) if kind is not None else F.lit(True)
+    met = a.join(b, (F.col("q_block") <= F.col("c_block")) & same & (reach() >= threshold))
+    return met.select("q_block", "q_ids", "q_unit", "c_block", "c_ids", "c_unit"), members
+
+
+def _products(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, others, similarities, which of them count) of pairs of blocks, a bounded number of rows at once; a block with itself gives each pair once."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            get = lambda c, batch=batch, i=i: batch.column(c)[i]
+            ids, others = (get(c).values.to_numpy() for c in ("q_ids", "c_ids"))
+            q, c = (np.frombuffer(get(x).as_buffer()).reshape(n, -1) for x, n in (("q_unit", len(ids)), ("c_unit", len(others))))
+            order = np.argsort(others)
+            others, c = others[order], c[order]
+            step = max(1, retrieval.AT_ONCE // len(others))
+            for at in range(0, len(ids), step):
+                own, s = ids[at : at + step], q[at : at + step] @ c.T
+                fits = s >= threshold
+                if get("q_block").as_py() == get("c_block").as_py():
+                    fits &= own[:, None] < others[None, :]
+                yield own, others, s, fits
+
+
+def similar_pairs(rows: DataFrame, threshold: float, row_id: str = "id", vector: str = "embedding", kind: str | None = None, n_centres: int = CENTRES, size: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """(id, other and similarity of all pairs of classes at ``threshold`` or above, id below other; id and class_id of all rows).
+
+    Rows of one kind with equal vectors are a class, named by its smallest id, so that copies are never set against each other. Without ``kind`` all rows are of one; a null kind is one too. Null and zero vectors are
+    in no pair and a class by themselves. All pairs are found: block pairs are left out only where their reach is under the threshold, or their kinds differ.
+    """
+    met, members = _classes(rows, threshold, row_id, vector, kind, n_centres, size)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                ids, others = (np.array(row[x], np.int64) for x in ("q_ids", "c_ids"))
-                s = np.frombuffer(row["q_unit"]).reshape(len(ids), -1) @ np.frombuffer(row["c_unit"]).reshape(len(others), -1).T
-                fits = s >= threshold
-                if by_kind:
-                    fits &= np.array(row["q_kinds"], object)[:, None] == np.array(row["c_kinds"], object)[None, :]
-                # A block with itself gives each pair twice.
-                fits &= (ids[:, None] < others[None, :]) if row["q_block"] == row["c_block"] else True
-                at, to = np.nonzero(fits)
-                x, y = ids[at], others[to]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(s[at, to])], ["id", "other", "similarity"])
-
-    met = a.join(b, (F.col("q_block") <= F.col("c_block")) & (reach() >= threshold))
-    return met.select("q_block", "q_ids", "q_kinds", "q_unit", "c_block", "c_ids", "c_kinds", "c_unit").mapInArrow(score, "id long, other long, similarity double"), members
-
-
-def linked_rows(rows: DataFrame, threshold: float, **how) -> DataFrame:
-    """One row for each row: id, class_id, links (other classes at the threshold or above), nearest (the most similar of them, ties to the smaller id) and its similarity."""
-    pairs, members = similar_pairs(rows, threshold, **how)
-    found = scratch.written(pairs, "similar-pairs")
-    both = found.unionByName(found.select(F.col("other").alias("id"), F.col("id").alias("other"), "similarity"))
-    best = both.groupBy(F.col("id").alias("class_id")).agg(F.count(F.lit(1)).alias("links"), F.max_by("other", F.struct("similarity", -F.col("other"))).alias("nearest"), F.max("similarity").alias("similarity"))
+        for ids, others, s, fits in _products(batches, threshold):
+            at, to = np.nonzero(fits)
+            x, y = ids[at], others[to]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(s[at, to])], ["id", "other", "similarity"])
+
+    return met.mapInArrow(score, "id long, other long, similarity double"), members
+
+
+def linked_rows(rows: DataFrame, threshold: float, row_id: str = "id", vector: str = "embedding", kind: str | None = None, n_centres: int = CENTRES, size: int = ROWS) -> DataFrame:
+    """One row for each row: id, class_id, links (other classes at the threshold or above), nearest (the most similar of them, ties to the smaller id) and its similarity.
+
+    Pairs are those of ``similar_pairs``. They are counted where they are found: a pair of blocks gives a row for each class that it links, never one for each pair.
+    """
+    met, members = _classes(rows, threshold, row_id, vector, kind, n_centres, size)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, others, s, fits in _products(batches, threshold):
+            s[~fits] = -np.inf
+            order = np.argsort(ids)
+            # ``others`` rise, and so do ``ids`` now: the first of equal similarities has the smallest id.
+            for own, partners, sims, fit in ((ids, others, s, fits), (others, ids[order], s[order].T, fits.T)):
+                n, best = fit.sum(1), sims.argmax(1)
+                has = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(own[has]), pa.array(n[has]), pa.array(partners[best[has]]), pa.array(sims[has, best[has]])], ["class_id", "n", "other", "similarity"])
+
+    found = met.mapInArrow(count, "class_id long, n long, other long, similarity double")
+    best = found.groupBy("class_id").agg(F.sum("n").alias("links"), F.max_by("other", F.struct("similarity", -F.col("other"))).alias("nearest"), F.max("similarity").alias("similarity"))
     return members.join(best, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "nearest", "similarity")
