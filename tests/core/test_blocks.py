@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.operators import bounds, graph_index
 from textloom.operators import retrieval as R
 
 
@@ -41,3 +42,24 @@ def test_lists_are_searched_by_blocks(rows):
     assert "c_unit" in plan and "zip_with" not in plan  # before, each pair of a query and a row was a row with its own sum of products
     few = key(R.nearest_in_lists(q, rows, 5, 6, 2))
     assert few and {i for i, _ in few} <= {i for i, _ in key(found)}
+
+
+def test_kinds_meet_only_themselves(spark):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, rng.standard_normal(8).tolist(), "abc"[i % 3]) for i in range(600)], "id long, embedding array<float>, kind string")
+    met, _ = bounds._classes(rows, -1.0, "id", "embedding", "kind", 4, 50)
+    pairs = met.select("q_ids", "c_ids").collect()
+    assert all(len({i % 3 for i in [*r.q_ids, *r.c_ids]}) == 1 for r in pairs)
+    assert sum(len(r.q_ids) * len(r.c_ids) for r in pairs) < 600 * 600 / 4  # before, all blocks met, of whatever kind
+    assert {r.links for r in bounds.linked_rows(rows, -1.0, kind="kind", n_centres=4, size=50).collect()} == {199}
+
+
+def test_queries_of_many_lists_stay_off_the_driver(spark, rows, tmp_path):
+    path = f"{tmp_path}/index"
+    graph_index.build(rows, path, lists=4, size=300)
+    q = rows.where("id % 9 = 0").withColumnRenamed("id", "query_id")
+    for exact in (False, True):
+        found = graph_index.search(q, path, 5, exact=exact)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin [shard" in plan  # before, the side with the queries went through the driver
+    assert found.where("rank = 1").count() == q.where("query_id < 3000").count()

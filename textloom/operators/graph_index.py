@@ -274,7 +274,7 @@ def append(rows: DataFrame, path: str, row_id: str = "id", vector: str = "embedd
     given, now = _usable(rows, row_id, vector), stored(spark, path)
     if not d:
         d = given.agg(F.mode(F.size("v"))).first()[0] or 0
-    given = given.where(F.size("v") == d).join(now.select(F.explode("ids").alias("id")), "id", "left_anti").groupBy("id").agg(F.min("v").alias("v"))
+    given = given.where(F.size("v") == d).join(now.select(F.explode("ids").alias("id")).hint("merge"), "id", "left_anti").groupBy("id").agg(F.min("v").alias("v"))
     dealt = scratch.written(_dealt(given, _centres(spark, path)), "graph-dealt")
     placed = scratch.written(_placed(dealt, now.select("list", "shard", "n"), size), "graph-placed")
     _write(spark, path, placed, now.join(placed.select("shard").distinct(), "shard", "left_semi"), seq + 1, size, d)
@@ -297,7 +297,8 @@ def search(queries: DataFrame, path: str, k: int, probe: int | None = None, beam
     parts = asked.withColumn("part", F.spark_partition_id()).withColumn("nth", F.floor((F.row_number().over(place) - 1) / QUERIES))
     packed = parts.groupBy("list", "part", "nth").agg(F.collect_list(F.struct("id", "v")).alias("asked")).drop("part", "nth")
     now = stored(spark, path, version)
-    packed = scratch.written(packed.join(now.select("list", "shard"), "list").drop("list"), "graph-queries")
+    # A row a shard is little; queries are not, though those of many lists lie so well compressed in their file that Spark would take them for it and send them through the driver.
+    packed = scratch.written(packed.join(F.broadcast(now.select("list", "shard")), "list").drop("list"), "graph-queries")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -325,7 +326,7 @@ def search(queries: DataFrame, path: str, k: int, probe: int | None = None, beam
                 own = np.array([x["id"] for x in row["asked"]], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(own[of[nth < k]]), pa.array(found[nth < k]), pa.array(s[nth < k])], ["query_id", "id", "similarity"])
 
-    met = now.join(packed, "shard").select("d", "ids", "starts", "vectors", "near", "far", "asked")
+    met = now.join(packed.hint("merge"), "shard").select("d", "ids", "starts", "vectors", "near", "far", "asked")
     return retrieval.ranked(met.mapInArrow(walk, "query_id long, id long, similarity double"), k)
 
 
