@@ -34,3 +34,20 @@ def test_no_pair_of_a_crowd_is_lost(spark, monkeypatch):
     for name, value in (("CELL", 50), ("BLOCK_SETS", 60)):
         monkeypatch.setattr(S, name, value, raising=False)
     assert {r.doc_id for r in S.keep_one_per_group(docs, 6, 5, 0.8).collect()} == want
+
+
+def test_links_that_join_as_much_as_all():
+    rng = random.Random(4)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(25)] + [(a, b) for a in range(100, 140) for b in range(100, a)]
+    groups = lambda links: sorted({frozenset(g) for g in merged(links).values()}, key=sorted)
+
+    def merged(links):
+        of = {x: {x} for pair in pairs for x in pair}
+        for a, b in links:
+            of[a] |= of[b]
+            for x in of[a]:
+                of[x] = of[a]
+        return of
+
+    kept = S._joining(pairs)
+    assert groups(kept) == groups(pairs) and len(kept) < len({x for pair in pairs for x in pair})

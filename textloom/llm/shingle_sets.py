@@ -122,6 +122,24 @@ def _ends(links: DataFrame) -> DataFrame:
     return links.where("sig <> other").select(F.greatest("sig", "other").alias("u"), F.least("sig", "other").alias("v")).distinct()
 
 
+def _joining(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """As few of the pairs as join what all of them join: fewer than they have ends."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    kept = []
+    for x, y in pairs:
+        a, b = top(x), top(y)
+        if a != b:
+            root[a] = b
+            kept.append((x, y))
+    return kept
+
+
 def _set_blocks(texts: DataFrame, words: int) -> DataFrame:
     """Texts (sig, near, text) as blocks, those with neighbouring ``near`` together: block, sigs, sizes and the hashes of their sets, one after the other. Written."""
 
@@ -201,7 +219,8 @@ def _crowd_pairs(held: DataFrame, least: float) -> DataFrame:
 
 
 def _crowds(ranked: DataFrame, place: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, least: float) -> DataFrame:
-    """The (u, v), u > v, of all holders of a crowd's key in different places whose whole sets have similarity ``least`` or more. No partner is left out."""
+    """(u, v), u > v, that join all holders of a crowd's key in different places whose whole sets have similarity ``least`` or more. No partner is left out; of the links
+    that a pair of blocks has, those are given that join as much as all do, so that they grow with its sets and not with their square."""
     rows = ranked.where(F.col("holders") > NEXT + 1).join(place, "sig").select("sig", "key", "size", "place")
     several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("holders"), F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y").select("key", "holders")
     rows = common.written(rows.join(several, "key"), "near-crowds")
@@ -230,8 +249,9 @@ def _crowds(ranked: DataFrame, place: DataFrame, texts: Callable[[DataFrame], Da
                     has[own] = False
                     good += [(x, y) for y in others[both / (n[x] + m[others] - both) >= least].tolist()]
                 a, b = (get(f"{c}_sigs").values.to_numpy() for c in "ab")
-                first, second = (np.array([k[j] for k in good], np.int64) for j in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[second])], ["sig", "other"])
+                # A set has one name in both blocks, which may be one block.
+                pairs = _joining([(int(a[x]), int(b[y])) for x, y in good])
+                yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in pairs], pa.int64()) for j in (0, 1)], ["sig", "other"])
 
     compared = pairs.join(side("a"), "a").join(side("b"), "b").select("pairs", *[f"{c}_{x}" for c in "ab" for x in ("sigs", "sizes", "hashes")])
     return _ends(compared.mapInArrow(compare, "sig long, other long"))
