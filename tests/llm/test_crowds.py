@@ -51,3 +51,30 @@ def test_links_that_join_as_much_as_all():
 
     kept = S._joining(pairs)
     assert groups(kept) == groups(pairs) and len(kept) < len({x for pair in pairs for x in pair})
+
+
+def test_only_sets_in_pairs_are_read_for_a_crowd(spark, monkeypatch):
+    """Texts that share a passage and little else: they are one crowd, but nearly no two of them share enough keys to be compared."""
+    rng = random.Random(3)
+    passage = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*passage, *[f"x{i}_{rng.random()}" for _ in range(160)]]) for i in range(200)]
+    template = [f"y{i}" for i in range(150)]
+    for i in range(60):
+        words = list(template)
+        for k in rng.sample(range(150), 7):
+            words[k] = f"z{i}_{k}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes, written = [], S.common.written
+
+    def noted(df, name):
+        out = written(df, name)
+        if name in ("near-crowd-sets", "near-texts"):
+            sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(S.common, "written", noted)
+    S.keep_one_per_group(docs, 6, 5, 0.8).collect()
+    crowd = next(k for k, (name, _) in enumerate(sizes) if name == "near-crowd-sets")
+    held, read = sizes[crowd][1], sizes[crowd + 1][1]
+    assert held > 200 and 1 < read <= 75  # all of them were read, and their blocks sent whole for each pair of blocks, before

@@ -140,29 +140,34 @@ def _joining(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
-def _set_blocks(texts: DataFrame, words: int) -> DataFrame:
-    """Texts (sig, near, text) as blocks, those with neighbouring ``near`` together: block, sigs, sizes and the hashes of their sets, one after the other. Written."""
+def _set_places(sets: DataFrame) -> DataFrame:
+    """sig, block and nth: sets (sig, near, size) dealt into blocks of a bounded number of sets and of bytes of their hashes, those with neighbouring ``near`` together. Written."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, sigs, own, size = common.block_ids(), [], [], 0
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, n, size = common.block_ids(), 0, 0
+        block = next(number)
+        for b in batches:
+            blocks, nth = [], []
+            for own in b.column("size").to_pylist():
+                if n and (n == BLOCK_SETS or size + 8 * own > BLOCK_BYTES):
+                    block, n, size = next(number), 0, 0
+                blocks.append(block)
+                nth.append(n)
+                n, size = n + 1, size + 8 * own
+            yield pa.RecordBatch.from_arrays([b.column("sig"), pa.array(blocks, pa.int64()), pa.array(nth, pa.int64())], ["sig", "block", "nth"])
+
+    ordered = sets.repartitionByRange("near", "sig").sortWithinPartitions("near", "sig").select("sig", "size")
+    return common.written(ordered.mapInArrow(deal, "sig long, block long, nth long"), "near-crowd-places")
 
-        def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([next(number)]), pa.array([sigs], pa.list_(pa.int64())), pa.array([[len(x) for x in own]], pa.list_(pa.int64())), pa.array([np.concatenate(own).tobytes()], pa.binary())], ["block", "sigs", "sizes", "hashes"])
 
+def _hashed(texts: DataFrame, words: int) -> DataFrame:
+    """sig and the hashes of its set, of texts (sig, text)."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (p for x in batches for p in common.slices([x], "text")):
-            for sig, text in zip(b.column("sig").to_pylist(), b.column("text").to_pylist(), strict=True):
-                x = shingles(text, words)
-                if own and (len(own) == BLOCK_SETS or size + x.nbytes > BLOCK_BYTES):
-                    yield block()
-                    sigs, own, size = [], [], 0
-                sigs.append(sig)
-                own.append(x)
-                size += x.nbytes
-        if own:
-            yield block()
+            yield pa.RecordBatch.from_arrays([b.column("sig"), pa.array([shingles(t, words).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["sig", "hashes"])
 
-    ordered = texts.repartitionByRange("near", "sig").sortWithinPartitions("near", "sig").select("sig", "text")
-    return common.written(ordered.mapInArrow(pack, "block long, sigs array<long>, sizes array<long>, hashes binary"), "near-blocks")
+    return texts.select("sig", "text").mapInArrow(describe, "sig long, hashes binary")
 
 
 def _crowd_pairs(held: DataFrame, least: float) -> DataFrame:
@@ -224,37 +229,43 @@ def _crowds(ranked: DataFrame, place: DataFrame, texts: Callable[[DataFrame], Da
     rows = ranked.where(F.col("holders") > NEXT + 1).join(place, "sig").select("sig", "key", "size", "place")
     several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("holders"), F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y").select("key", "holders")
     rows = common.written(rows.join(several, "key"), "near-crowds")
-    sets = common.written(rows.groupBy("sig").agg(F.sort_array(F.collect_set("key")).alias("keys")), "near-crowd-sets")
-    asked = texts(sets.select("sig")).join(sets.select("sig", F.get("keys", 0).alias("near")), "sig")
-    blocks = _set_blocks(asked, words)
-    where = common.written(blocks.select("block", F.posexplode("sigs").alias("nth", "sig")), "near-crowd-places")
-    pairs = _crowd_pairs(rows.join(sets, "sig").join(where, "sig"), least)
-    side = lambda c: blocks.select(*[F.col(x).alias(f"{c}_{x}") for x in blocks.columns]).withColumnRenamed(f"{c}_block", c)
+    sets = common.written(rows.groupBy("sig").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.min("size").alias("size")), "near-crowd-sets")
+    where = _set_places(sets.select("sig", F.get("keys", 0).alias("near"), "size"))
+    pairs = _crowd_pairs(rows.join(sets.select("sig", "keys"), "sig").join(where, "sig"), least)
+    # Of two blocks only the sets that a pair names meet: most holders of a crowd's key are in no pair, and two blocks mostly share few.
+    named = lambda side, block, nth: F.transform(F.array_distinct(F.transform("pairs", nth)), lambda n: F.struct(F.col(block).alias("block"), n.cast("long").alias("nth"), F.lit(side).alias("side")))
+    both = F.concat(named(0, "a", lambda x: F.floor(x / BLOCK_SETS)), named(1, "b", lambda x: x % BLOCK_SETS))
+    ends = pairs.select("a", "b", F.explode(both).alias("x")).select("a", "b", "x.*")
+    asked = common.written(ends.select("block", "nth").distinct().join(where, ["block", "nth"]), "near-crowd-asked")
+    hashed = asked.join(_hashed(texts(asked.select("sig")), words), "sig")
+    met = ends.join(hashed, ["block", "nth"]).groupBy("a", "b").agg(F.collect_list(F.struct("side", "nth", "sig", "hashes")).alias("sets"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                get = lambda c, batch=batch, i=i: batch.column(c)[i]
-                one, two = (np.frombuffer(get(f"{c}_hashes").as_buffer(), np.uint64) for c in "ab")
-                values, ids = np.unique(np.concatenate((one, two)), return_inverse=True)
-                n, m = (get(f"{c}_sizes").values.to_numpy() for c in "ab")
-                mine, theirs = ids[: len(one)], ids[len(one) :]
-                at, to = (np.concatenate(([0], np.cumsum(x))) for x in (n, m))
-                codes = np.sort(get("pairs").values.to_numpy())
-                has, u, v, good = np.zeros(len(values), bool), codes // BLOCK_SETS, codes % BLOCK_SETS, []
-                for x in np.unique(u).tolist():
-                    own, others = mine[at[x] : at[x + 1]], v[np.searchsorted(u, x, "left") : np.searchsorted(u, x, "right")]
-                    has[own] = True
-                    both = np.array([np.count_nonzero(has[theirs[to[y] : to[y + 1]]]) for y in others.tolist()])
-                    has[own] = False
-                    good += [(x, y) for y in others[both / (n[x] + m[others] - both) >= least].tolist()]
-                a, b = (get(f"{c}_sigs").values.to_numpy() for c in "ab")
+            for pairs, row in zip(batch.column("pairs"), batch.column("sets"), strict=True):
+                side, nth, sig = (row.values.field(c).to_numpy() for c in ("side", "nth", "sig"))
+                own = [np.frombuffer(x.as_buffer(), np.uint64) for x in row.values.field("hashes")]
+                size = np.array([len(x) for x in own])
+                values, ids = np.unique(np.concatenate(own), return_inverse=True)
+                at = np.concatenate(([0], np.cumsum(size)))
+                # The row at which a block's set stands, by its side and number.
+                there = np.zeros((2, BLOCK_SETS), np.int64)
+                there[side, nth] = np.arange(len(sig))
+                codes = np.sort(pairs.values.to_numpy())
+                has, u, v, good = np.zeros(len(values), bool), there[0, codes // BLOCK_SETS], there[1, codes % BLOCK_SETS], []
+                edges = np.flatnonzero(np.append(u[1:] != u[:-1], True)) + 1
+                for start, end in zip([0, *edges[:-1].tolist()], edges.tolist(), strict=True):
+                    x, others = u[start], v[start:end]
+                    mine = ids[at[x] : at[x + 1]]
+                    has[mine] = True
+                    both = np.array([np.count_nonzero(has[ids[at[y] : at[y + 1]]]) for y in others.tolist()])
+                    has[mine] = False
+                    good += [(int(sig[x]), int(sig[y])) for y in others[both / (size[x] + size[others] - both) >= least].tolist()]
                 # A set has one name in both blocks, which may be one block.
-                pairs = _joining([(int(a[x]), int(b[y])) for x, y in good])
-                yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in pairs], pa.int64()) for j in (0, 1)], ["sig", "other"])
+                kept = _joining(good)
+                yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in kept], pa.int64()) for j in (0, 1)], ["sig", "other"])
 
-    compared = pairs.join(side("a"), "a").join(side("b"), "b").select("pairs", *[f"{c}_{x}" for c in "ab" for x in ("sigs", "sizes", "hashes")])
-    return _ends(compared.mapInArrow(compare, "sig long, other long"))
+    return _ends(pairs.join(met, ["a", "b"]).select("pairs", "sets").mapInArrow(compare, "sig long, other long"))
 
 
 def keep_one_per_group(docs: DataFrame, bits: int, words: int, least: float) -> DataFrame:
