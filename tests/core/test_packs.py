@@ -178,3 +178,17 @@ def test_long_tracks_of_rolling_captions(spread):
             want.append(tuple(done.value[0].values()))
     assert got == sorted(want) and len(got) > 40
     assert captions.without_rolling_repeats(df.limit(0), "video").count() == 0
+
+
+def test_a_plan_sends_contents_once(spread, tmp_path, monkeypatch):
+    """Packs of short chunks are made of ids and sizes, and a plan is worked out once for what stays and what is inserted."""
+    seen, written = [], memory.scratch.written
+    monkeypatch.setattr(memory.scratch, "written", lambda df, name: (seen.append((name, df.dtypes)), written(df, name))[1])
+    rows = [(i, "b", "x", i, "w " * n) for i, n in enumerate([5, 60, 4000, 0, 70, 60, 3])]
+    k = spread.createDataFrame(rows, "id long, source_book string, chapter_title string, chunk_index long, content string")
+    plan = memory.cleanup_plan(k)
+    assert seen and not any("content" in str(kinds) or "text" in dict(kinds) for _, kinds in seen)  # before, every table of the packs had the contents
+    done = memory.applied_plan(k, plan)
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("chunk-fates") <= plan._jdf.queryExecution().optimizedPlan().toString().count("chunk-fates")
+    assert {r.id: r.action for r in plan.collect()} == {0: "delete", 1: "update", 2: "update", 3: "delete", 4: "update", 5: "delete", 6: "delete"}
+    assert {(r.id, r.chunk_index) for r in done.collect() if r.id == 2} == {(2, 2), (2, 2003)}  # equal pieces stay once

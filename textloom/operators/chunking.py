@@ -38,8 +38,7 @@ def sections(df: DataFrame, text: str, key: str) -> DataFrame:
     return grouped.select(key, "section", F.greatest("level", F.lit(1)).alias("level"), F.coalesce("title", F.when(alone, "Document").otherwise("Preamble")).alias("title"), T.strip(F.array_join(F.transform("body", lambda x: x["line"]), "\n")).alias("body")).where("section > 0 or body <> '' or title = 'Document'")
 
 
-def packed(df: DataFrame, parts: Column, keep: list[str], limit: int, joiner: str = "\n") -> DataFrame:
-    """Parts packed greedily, in order, up to ``limit`` characters; a longer part closes the open chunk and is cut into chunks of its own. A fold over each row's own array."""
+def _folded(parts: Column, limit: int, joiner: str) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -48,13 +47,26 @@ def packed(df: DataFrame, parts: Column, keep: list[str], limit: int, joiner: st
         fits = F.length(joined) <= limit
         return F.struct(F.when(long, F.concat(F.array_append(acc["done"], acc["open"]), cut)).when(fits, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"), F.when(long, "").when(fits, joined).otherwise(p).alias("open"))
 
-    return exploded(df, F.aggregate(parts, start, step, lambda acc: F.array_append(acc["done"], acc["open"])), keep)
+    return F.aggregate(parts, start, step, lambda acc: F.array_append(acc["done"], acc["open"]))
+
+
+def packed(df: DataFrame, parts: Column, keep: list[str], limit: int, joiner: str = "\n") -> DataFrame:
+    """Parts packed greedily, in order, up to ``limit`` characters; a longer part closes the open chunk and is cut into chunks of its own. A fold over each row's own array."""
+    return exploded(df, _folded(parts, limit, joiner), keep)
+
+
+def _paragraphs(text: str) -> Column:
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), T.strip), lambda x: x != "")
 
 
 def paragraph_packs(df: DataFrame, text: str, keep: list[str], limit: int = 2500) -> DataFrame:
     """Stripped paragraphs packed up to ``limit`` characters."""
-    parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), T.strip), lambda x: x != "")
-    return packed(df, parts, keep, limit, "\n\n")
+    return packed(df, _paragraphs(text), keep, limit, "\n\n")
+
+
+def paragraph_pieces(text: str, limit: int = 2500) -> Column:
+    """The chunks of ``paragraph_packs`` as an array."""
+    return F.filter(F.transform(_folded(_paragraphs(text), limit, "\n\n"), T.strip), lambda x: x != "")
 
 
 def line_packs(df: DataFrame, text: str, keep: list[str], limit: int = 12_000) -> DataFrame:

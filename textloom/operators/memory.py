@@ -185,25 +185,47 @@ def voice_rows(messages: DataFrame, kind: str = "kind") -> DataFrame:
     return messages.withColumn("fingerprint", T.fingerprint(F.col(kind), F.col("text"))).withColumn("quality_weight", F.when(chat, 0.45).otherwise(1.0)).withColumn("style_only", chat)
 
 
+#: What makes a chapter.
+CHAPTER = ["source_book", "chapter_title"]
+
+
+def _counted(content: Column) -> Column:
+    """Characters that a chunk adds to a merged text: joined texts have a space between them that counts, empty ones none."""
+    n = F.length(T.squeezed(content))
+    return F.when(n > 0, n + 1).otherwise(0).cast("long")
+
+
+def _with_merged(chunks: DataFrame, sized: DataFrame, cell: int) -> DataFrame:
+    """``chunks`` (id, content and more) of which ``sized`` (id, source_book, chapter_title, chunk_index, _size) has the id, with ``merged``; see ``merged_shorts``.
+
+    Packs are made of ids and sizes. Texts are joined only where a pack has several; every other chunk's text meets nothing but its own row.
+    """
+    found = packs.packs(sized.select("id", *CHAPTER, "chunk_index", "_size"), CHAPTER, ["chunk_index", "id"], "_size", SHORT + 1, at_least=True, cell=cell)
+    total = F.aggregate("rows", F.lit(0).cast("long"), lambda acc, x: acc + x["_size"])
+    groups = scratch.written(found.select(packs.key_of(CHAPTER).alias("_key"), "pack_no", F.transform("rows", lambda x: x["id"]).alias("ids"), F.element_at("rows", -1)["chunk_index"].alias("at"), (total > SHORT).alias("full")), "short-chunks")
+    tails = groups.where("not full").select("_key", (F.col("pack_no") - 1).alias("pack_no"), F.col("at").alias("tail_at"), F.col("ids").alias("tail"))
+    whole = groups.where("full").join(tails, ["_key", "pack_no"], "left")
+    both = F.when(F.col("tail").isNull(), F.array("ids")).when(F.col("at") < F.col("tail_at"), F.array("ids", "tail")).otherwise(F.array("tail", "ids"))
+    alone = groups.where("not full").select("ids", F.when(F.col("pack_no") == 1, F.array("ids")).alias("parts"))
+    each = F.transform("ids", lambda x, i: F.struct(x.alias("id"), F.when(i == F.size("ids") - 1, F.col("parts")).alias("parts")))
+    fates = scratch.written(whole.select("ids", both.alias("parts")).unionByName(alone).select(F.inline(each)), "chunk-fates")
+    several = F.coalesce(F.size(F.flatten("parts")) > 1, F.lit(False))
+    members = fates.where(several).select(F.col("id").alias("last"), F.posexplode("parts").alias("side", "ids")).select("last", "side", F.posexplode("ids").alias("nth", "id"))
+    members = scratch.written(members, "short-members")
+    in_order = lambda *by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by))), lambda x: x[by[-1]]), "\n\n")
+    sides = members.join(chunks.select("id", "content"), "id").groupBy("last", "side").agg(in_order("nth", "content").alias("text"))
+    texts = sides.groupBy("last").agg(in_order("side", "text").alias("_joined")).withColumnRenamed("last", "id")
+    told = chunks.join(fates.select("id", F.col("parts").isNotNull().alias("_stays"), several.alias("_several")), "id").join(texts, "id", "left")
+    merged = F.when(F.col("_several"), F.col("_joined")).when(F.col("_stays"), F.coalesce("content", F.lit("")))
+    return told.withColumn("merged", merged).drop("_stays", "_several", "_joined")
+
+
 def merged_shorts(chunks: DataFrame, cell: int = packs.CELL) -> DataFrame:
     """id and ``merged`` of chunks (id, source_book, chapter_title, chunk_index, content): the content after short ones joined the next chunk of their chapter, or the last ones the one before them; null where a chunk went.
 
     Chunks up to the first that makes the text long enough are a pack, so that a chapter of any length spreads over tasks; see ``packs``.
     """
-    keys = ["source_book", "chapter_title"]
-    n = F.length(T.squeezed(F.col("content")))
-    # Joined texts have a space between them that counts, empty ones none.
-    sized = chunks.select("id", *keys, "chunk_index", "content", F.when(n > 0, n + 1).otherwise(0).cast("long").alias("_size"))
-    found = packs.packs(sized, keys, ["chunk_index", "id"], "_size", SHORT + 1, at_least=True, cell=cell)
-    text = F.array_join(F.transform("rows", lambda x: x["content"]), "\n\n")
-    total = F.aggregate("rows", F.lit(0).cast("long"), lambda acc, x: acc + x["_size"])
-    groups = scratch.written(found.select(packs.key_of(keys).alias("_key"), "pack_no", F.transform("rows", lambda x: x["id"]).alias("ids"), F.element_at("rows", -1)["chunk_index"].alias("at"), text.alias("text"), (total > SHORT).alias("full")), "short-chunks")
-    tails = groups.where("not full").select("_key", (F.col("pack_no") - 1).alias("pack_no"), F.col("at").alias("tail_at"), F.col("text").alias("tail"))
-    whole = groups.where("full").join(tails, ["_key", "pack_no"], "left")
-    both = F.when(F.col("tail").isNull(), F.col("text")).when(F.col("at") < F.col("tail_at"), F.concat("text", F.lit("\n\n"), "tail")).otherwise(F.concat("tail", F.lit("\n\n"), "text"))
-    alone = groups.where("not full").withColumn("merged", F.when(F.col("pack_no") == 1, F.col("text")))
-    each = F.transform("ids", lambda x, i: F.struct(x.alias("id"), F.when(i == F.size("ids") - 1, F.col("merged")).alias("merged")))
-    return whole.withColumn("merged", both).select("ids", "merged").unionByName(alone.select("ids", "merged")).select(F.inline(each))
+    return _with_merged(chunks.select("id", "content"), chunks.withColumn("_size", _counted(F.col("content"))), cell).select("id", "merged")
 
 
 def cleanup_plan(chunks: DataFrame) -> DataFrame:
@@ -213,18 +235,19 @@ def cleanup_plan(chunks: DataFrame) -> DataFrame:
     (``delete``; the other is an ``update``). What is then too long and falls into several pieces keeps the first (``update``, the others are in ``split``; see
     ``inserted_rows``). Others: ``keep``. Null contents count as empty, null books as one, null indexes as 0. See ``merged_shorts``.
     """
-    text = chunks.select("id", F.coalesce("source_book", F.lit("unknown")).alias("source_book"), "chapter_title", F.coalesce("chunk_index", F.lit(0)).cast("long").alias("chunk_index"), F.coalesce("content", F.lit("")).alias("content")).withColumn("print", T.fingerprint(F.col("content")))
-    firsts = text.groupBy("print").agg(F.min("id").alias("first"))
-    ranked = text.join(firsts, "print")
-    copies = ranked.where("id > first").select("id", "chunk_index", F.lit("delete").alias("action"), F.lit("").alias("content"), F.array().cast("array<string>").alias("split"))
-    own = ranked.where("id = first").select("id", "source_book", "chapter_title", "chunk_index", "content")
-    merged = merged_shorts(own)
-    pieces = chunking.paragraph_packs(merged.where(F.length("merged") > LONG), "merged", ["id"], TARGET).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))).alias("p"))
-    many = F.size("p") > 1
-    planned = own.join(merged, "id").join(pieces.where(many), "id", "left")
-    content = F.when(F.col("p").isNotNull(), F.get("p", 0)["chunk"]).otherwise(F.coalesce("merged", F.lit("")))
+    none = F.array().cast("array<string>")
+    text = chunks.select("id", F.coalesce("source_book", F.lit("unknown")).alias("source_book"), "chapter_title", F.coalesce("chunk_index", F.lit(0)).cast("long").alias("chunk_index"), F.coalesce("content", F.lit("")).alias("content"))
+    # All that is decided by a chunk's print and length; contents are read once more, for what stays.
+    heads = scratch.written(text.select("id", *CHAPTER, "chunk_index", T.fingerprint(F.col("content")).alias("print"), _counted(F.col("content")).alias("_size")), "chunk-heads")
+    ranked = heads.join(heads.groupBy("print").agg(F.min("id").alias("first")), "print")
+    copies = ranked.where("id > first").select("id", "chunk_index", F.lit("delete").alias("action"), F.lit("").alias("content"), none.alias("split"))
+    merged = _with_merged(text.select("id", "chunk_index", "content"), ranked.where("id = first"), packs.CELL)
+    # As a row of its own, so that the pieces are made once for all that is asked of them.
+    pieces = F.explode(F.array(F.struct(F.when(F.length("merged") > LONG, chunking.paragraph_pieces("merged", TARGET)).alias("p"))))
+    planned = merged.withColumn("x", pieces).withColumn("p", F.when(F.size("x.p") > 1, F.col("x.p")))
+    content = F.when(F.col("p").isNotNull(), F.get("p", 0)).otherwise(F.coalesce("merged", F.lit("")))
     action = F.when(F.col("merged").isNull(), "delete").when(F.col("p").isNotNull() | (F.col("merged") != F.col("content")), "update").otherwise("keep")
-    rest = F.coalesce(F.transform(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(1))), lambda x: x["chunk"]), F.array().cast("array<string>"))
+    rest = F.coalesce(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(1))), none)
     return planned.select("id", "chunk_index", action.alias("action"), content.alias("content"), rest.alias("split")).unionByName(copies)
 
 
@@ -235,8 +258,11 @@ def inserted_rows(plan: DataFrame) -> DataFrame:
 
 def applied_plan(chunks: DataFrame, plan: DataFrame, sources: dict[str, str] | None = None) -> DataFrame:
     """Chunks (id, chunk_index, content, canonical_source, fingerprint) after the plan; inserted pieces have the id they come from. Of equal fingerprints the lowest id and index stay."""
-    whole = plan.where("action in ('keep', 'update')").select("id", F.lit(0).alias("_piece"), "chunk_index", "content")
-    new = whole.unionByName(inserted_rows(plan).select(F.col("split_from_id").alias("id"), F.lit(1).alias("_piece"), "chunk_index", "content"))
+    # One pass over the plan, which is a job of its own each time that it is read.
+    kept = F.when(F.col("action").isin("keep", "update"), F.array(F.struct(F.lit(0).alias("_piece"), F.col("chunk_index").cast("long").alias("chunk_index"), "content")))
+    more = F.transform("split", lambda x, i: F.struct(F.lit(1).alias("_piece"), (F.col("chunk_index") * 1000 + i + 1).cast("long").alias("chunk_index"), x.alias("content")))
+    none = F.array().cast("array<struct<_piece:int,chunk_index:bigint,content:string>>")
+    new = plan.select("id", F.inline(F.concat(F.coalesce(kept, none), F.coalesce(more, none))))
     named = canonical(new.join(chunks.select("id", F.coalesce("source_book", F.lit("unknown")).alias("canonical_source")), "id"), "canonical_source", sources or {})
     return tables.first_of(named.withColumn("fingerprint", T.fingerprint(F.col("content"))), ["fingerprint"], [F.col("id"), F.col("_piece"), F.col("chunk_index")]).drop("_piece")
 
