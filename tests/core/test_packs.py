@@ -192,3 +192,20 @@ def test_a_plan_sends_contents_once(spread, tmp_path, monkeypatch):
     assert done._jdf.queryExecution().optimizedPlan().toString().count("chunk-fates") <= plan._jdf.queryExecution().optimizedPlan().toString().count("chunk-fates")
     assert {r.id: r.action for r in plan.collect()} == {0: "delete", 1: "update", 2: "update", 3: "delete", 4: "update", 5: "delete", 6: "delete"}
     assert {(r.id, r.chunk_index) for r in done.collect() if r.id == 2} == {(2, 2), (2, 2003)}  # equal pieces stay once
+
+
+def test_section_packs_carry_a_body_once(spread, monkeypatch):
+    widths, written = [], chunking.scratch.written
+
+    def noted(df, name):
+        out = written(df, name)
+        if name == "section-packs":
+            widths.append(sum(len(str(r.rows)) for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(chunking.scratch, "written", noted)
+    rows = [(1, i, 1, "t", "word " * 200) for i in range(10)]
+    df = spread.createDataFrame(rows, "doc_id long, section long, level int, title string, body string")
+    got = chunking.section_packs(df, "doc_id", "section", "level", "title", "body", 1000).collect()
+    assert sum(r.chunk.count("# t") for r in got) == 10
+    assert 10_000 < widths[0] < 15_000  # a body and the whole text with it, before

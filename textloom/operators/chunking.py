@@ -158,17 +158,19 @@ def section_packs(df: DataFrame, key: str, section: str, level: str, title: str,
     """
     overlap = int(tokens * share)
     blank = F.lit("\n\n")
-    whole = T.strip(F.concat(F.repeat(F.lit("#"), F.col(level)), F.lit(" "), F.col(title), blank, F.col(body)))
-    rows = df.select(key, F.col(section).alias("_section"), F.col(title).alias("_title"), F.col(body).alias("_body"), whole.alias("_whole")).withColumn("_size", T.token_estimate(F.col("_whole")))
+    # A section's whole text is put together where it is asked for, so that packs carry a body once.
+    whole = lambda x: T.strip(F.concat(F.repeat(F.lit("#"), x["_level"]), F.lit(" "), x["_title"], blank, x["_body"]))
+    rows = df.select(key, F.col(section).alias("_section"), F.col(level).cast("int").alias("_level"), F.col(title).alias("_title"), F.col(body).alias("_body"))
+    rows = rows.withColumn("_size", T.token_estimate(whole({c: F.col(c) for c in ("_level", "_title", "_body")})))
     first = scratch.written(packs.packs(rows, [key], ["_section"], "_size", tokens, cell=cell), "section-packs")
     large = F.get("rows", 0)["_size"] > tokens
-    joined = lambda of: T.strip(F.array_join(F.transform("rows", lambda x: x[of]), "\n\n"))
-    small = first.where(~large).select(key, "pack_no", F.lit(0).cast("long").alias("_sub"), F.array_join(F.transform("rows", lambda x: x["_title"]), " | ").alias("titles"), joined("_whole").alias("_text"))
+    joined = lambda of: T.strip(F.array_join(F.transform("rows", of), "\n\n"))
+    small = first.where(~large).select(key, "pack_no", F.lit(0).cast("long").alias("_sub"), F.array_join(F.transform("rows", lambda x: x["_title"]), " | ").alias("titles"), joined(whole).alias("_text"))
     paragraphs = F.filter(F.transform(F.split(F.get("rows", 0)["_body"], "\n\n"), T.strip), lambda x: x != "")
     blocks = first.where(large).select(key, "pack_no", F.get("rows", 0)["_title"].alias("_title"), F.posexplode(paragraphs).alias("_pos", "_p")).withColumn("_block", F.concat(F.lit("## "), "_title", blank, "_p"))
     # A section's first chunk starts with one token.
     sized = blocks.select(key, F.col("pack_no").alias("_pack"), "_pos", "_title", "_block", (T.token_estimate(F.col("_block")) + F.when(F.col("_pos") == 0, 1).otherwise(0)).alias("_size"))
-    cut = packs.packs(sized, [key, "_pack"], ["_pos"], "_size", tokens, cell=cell).select(key, F.col("_pack").alias("pack_no"), F.col("pack_no").alias("_sub"), F.get("rows", 0)["_title"].alias("titles"), joined("_block").alias("_text"))
+    cut = packs.packs(sized, [key, "_pack"], ["_pos"], "_size", tokens, cell=cell).select(key, F.col("_pack").alias("pack_no"), F.col("pack_no").alias("_sub"), F.get("rows", 0)["_title"].alias("titles"), joined(lambda x: x["_block"]).alias("_text"))
     chunks = small.unionByName(cut).withColumn("_one", F.lit(1).cast("long")).withColumn("_words", F.when(F.col("_text") == "", 0).otherwise(F.size(F.split(T.squeezed(F.col("_text")), " "))).cast("long"))
     placed = packs.numbered(chunks, [key], ["pack_no", "_sub"], "_one", "_words")
     number = (F.col("_at__one") + 1).cast("int").alias("chunk_no")
